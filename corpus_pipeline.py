@@ -1,6 +1,6 @@
 """Corpus pipeline over `documents`: each stage is written as Parquet and read again by the next.
 
-1. language_id: documents whose language is unknown (no letters, or a score under 0.35) go.
+1. language_id: documents whose language is unknown (no letters, or a score under 0.3) go.
 2. line_dedup: later copies of three-line windows are cut; documents of which nothing is left go.
 3. ngram_jaccard_join: one document of each group of near duplicates stays, the smallest doc_id.
 4. decontamination: documents that hold a benchmark item go.

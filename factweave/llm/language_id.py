@@ -219,7 +219,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, model, id_col, text_col).withColumn("held_out", held_out(id_col)).select(id_col, "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` whose language is known with a score of ``least`` or more; the texts pass through the network's tasks once."""
     texts, labels = training_sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     if not texts:
