@@ -1,4 +1,7 @@
-"""Registered queries of the fact engine; filled by the modules in plans."""
+"""Registered queries of the fact engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from factweave.plans import facts
+
+_MODULES = (facts,)
+QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
