@@ -112,7 +112,7 @@ def parse_ts(c: Column) -> Column:
 def age_days(ts: Column, now: Column, missing: float = 0.0) -> Column:
     """Days since ``ts``, 0 at least; a missing time is young (0) for facts and old (infinity) for entities."""
     days = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / F.lit(float(DAY_MICROS))
-    return F.coalesce(F.greatest(F.lit(0.0), days), F.lit(missing))
+    return F.when(days.isNull(), F.lit(missing)).otherwise(F.greatest(F.lit(0.0), days))
 
 
 def reinforcement(n: Column) -> Column:
