@@ -55,7 +55,8 @@ def with_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def default_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
     """value, share: tempered token shares of one dimension. Values without tokens have none."""
     own = cells.groupBy(dim).agg(F.sum("tokens").alias("x")).where(F.col("x") > 0).withColumn("x", F.pow(F.col("x"), F.lit(power)))
-    return own.crossJoin(F.broadcast(own.agg(F.sum("x").alias("all")))).select(dim, (F.col("x") / F.col("all")).alias("share"))  # one row
+    every = own.agg(F.sum("x")).first()[0] or 1.0
+    return own.select(dim, (F.col("x") / F.lit(every)).alias("share"))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], cycles: int = CYCLES, tolerance: float = TOLERANCE) -> DataFrame:
