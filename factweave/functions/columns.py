@@ -6,12 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Vocabularies and other names of types and relations.
-MEMORY_TYPES = ("preference", "goal", "project", "learning", "tool", "fact", "event", "skill", "other")
-TEMPORAL_EVENTS = ("CREATE", "UPDATE", "END", "RESTORE")
-CAUSAL_RELATIONS = ("CAUSES", "CAUSED_BY", "ENABLES", "PREVENTS", "INFLUENCES", "RESULTS_IN")
-ENTITY_ALIASES = {"ORG": "ORGANIZATION", "ORGANISATION": "ORGANIZATION", "COMPANY": "ORGANIZATION", "PEOPLE": "PERSON", "HUMAN": "PERSON", "PLACE": "LOCATION", "CITY": "LOCATION", "TECH": "TECHNOLOGY", "SOFTWARE": "TECHNOLOGY"}
-ENTITY_TYPES = ("PERSON", "ORGANIZATION", "LOCATION", "TECHNOLOGY", "PROJECT", "PRODUCT", "TOOL", "CONCEPT", "EVENT", "GOAL", "OTHER")
-RELATION_ALIASES = {"USE": "USES", "WORK_ON": "WORKS_ON", "DEPENDS": "DEPENDS_ON", "OWN": "OWNS", "RELATED": "RELATED_TO", "CREATE": "CREATES", "PART": "PART_OF", "LOCATED": "LOCATED_IN"}
+MEMORY_TYPES = ("preference", "fact", "goal", "project", "person", "other")
+REWRITE_TYPES = ("identity", "skill", "learning", "goal", "project", "preference", "tool", "constraint", "other")
+TEMPORAL_STATUSES = ("current", "historical", "ended")
+TEMPORAL_EVENTS = ("START", "CHANGE", "END", "NONE")
+CAUSAL_RELATIONS = ("CAUSES", "RESULTS_IN", "REQUIRES", "PREVENTS")
+ENTITY_TYPES = ("PERSON", "SOFTWARE", "PROJECT", "SKILL", "TECHNOLOGY", "ORGANIZATION", "PLACE", "GOAL", "DOMAIN", "PRODUCT", "OTHER")
+ENTITY_ALIASES = {"APP": "SOFTWARE", "APPLICATION": "SOFTWARE", "TOOL": "SOFTWARE", "PROGRAM": "SOFTWARE", "TECH": "TECHNOLOGY", "COMPANY": "ORGANIZATION", "ORG": "ORGANIZATION", "OBJECTIVE": "GOAL", "SPECIALIZATION": "DOMAIN"}
+RELATIONS = ("RELATED_TO", "USED_FOR", "WORKS_WITH", "PART_OF", "REQUIRES", "DEPENDS_ON", "LEADS_TO", "SUPPORTS", "LEARNS", "BUILDS", "APPLIES_TO")
+UNDIRECTED_RELATIONS = ("RELATED_TO", "WORKS_WITH")
+RELATION_ALIASES = {"RELATES_TO": "RELATED_TO", "RELATED": "RELATED_TO", "USE_FOR": "USED_FOR", "WORKS_WITH": "WORKS_WITH", "DEPENDENT_ON": "DEPENDS_ON", "RESULTS_IN": "LEADS_TO", "LEAD_TO": "LEADS_TO", "APPLY_TO": "APPLIES_TO"}
+LIFECYCLES = ("ACTIVE", "AGING", "DORMANT", "ENDED")
 DAY_MICROS = 86_400_000_000
 
 
@@ -24,7 +29,8 @@ def clamp_importance(c: Column, low: int = 1, default: int = 1) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(5), F.coalesce(c.try_cast("int"), F.lit(default))))
 
 
-def clamp_confidence(c: Column, low: float = 0.2, high: float = 0.99, default: float = 0.7) -> Column:
+def clamp_confidence(c: Column, low: float = 0.2, high: float = 0.99, default: float = 0.8) -> Column:
+    """Facts: .2 to .99, default .8. Entities and relations: ``clamp_confidence(c, 0.0, 1.0, 0.7)``."""
     return F.round(F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(c.try_cast("double"), F.lit(default)))), 4)
 
 
@@ -52,7 +58,7 @@ def norm_entity_type(c: Column) -> Column:
 
 
 def canonical_relation(c: Column) -> Column:
-    up = F.regexp_replace(F.upper(F.trim(F.coalesce(c, F.lit("")))), r"[\s\-]+", "_")
+    up = F.translate(F.upper(F.trim(F.coalesce(c, F.lit("")))), "- ", "__")
     return F.coalesce(F.element_at(_map(RELATION_ALIASES), up), up)
 
 
@@ -61,11 +67,22 @@ def norm_enum(c: Column, allowed: tuple[str, ...], default: str) -> Column:
     return F.when(up.isin(*allowed), up).otherwise(default)
 
 
+#: Keywords of types, tried in this order. Fixed values.
+TYPE_KEYWORDS = {
+    "learning": ("learn", "یادگیری", "یاد می‌گیر", "یاد میگیر"),
+    "tool": ("use solidworks", "uses solidworks", "use abaqus", "uses abaqus", "software"),
+    "goal": ("goal", "هدف"),
+    "project": ("project", "پروژه"),
+}
+
+
 def guess_type(text: Column) -> Column:
-    """Ordered keyword rules."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    has = lambda *words: F.coalesce(low.rlike("|".join(words)), F.lit(False))
-    return F.when(has("learn", "study"), "learning").when(has("use", "tool"), "tool").when(has("goal", "want"), "goal").when(has("project", "build"), "project").otherwise("other")
+    """Ordered keyword rules; null is other."""
+    low, out = F.lower(text), None
+    for kind, words in TYPE_KEYWORDS.items():
+        hit = F.coalesce(low.rlike("|".join(words)), F.lit(False))
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+    return out.otherwise("other")
 
 
 def clean_ids(arr: Column, cap: int | None = None) -> Column:
@@ -99,9 +116,10 @@ def append_provenance(arr: Column, entry: Column, cap: int = 20) -> Column:
 
 
 def norm_causal(arr: Column, least: float = 0.7, cap: int = 30) -> Column:
-    """Causal links with a known relation and enough confidence, newest ``cap``."""
-    good = F.filter(arr, lambda x: norm_enum(x["relation"], CAUSAL_RELATIONS, "").isin(*CAUSAL_RELATIONS) & (x["confidence"] >= least) & (F.trim(x["target_memory_id"]) != ""))
-    return keep_newest(F.transform(good, lambda x: x.withField("relation", norm_enum(x["relation"], CAUSAL_RELATIONS, ""))), cap)
+    """Causal links with a known relation and enough confidence (clamped to 0..1), newest ``cap``."""
+    sure = lambda x: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x["confidence"].try_cast("double"), F.lit(0.0)))), 4)
+    good = F.filter(arr, lambda x: norm_enum(x["relation"], CAUSAL_RELATIONS, "").isin(*CAUSAL_RELATIONS) & (sure(x) >= least) & (F.trim(x["target_memory_id"]) != ""))
+    return keep_newest(F.transform(good, lambda x: x.withField("relation", norm_enum(x["relation"], CAUSAL_RELATIONS, "")).withField("confidence", sure(x))), cap)
 
 
 def parse_ts(c: Column) -> Column:
@@ -133,16 +151,37 @@ def ratio_cap(v: Column, top: float) -> Column:
 
 def word_set(c: Column) -> Column:
     """Distinct lower-case words."""
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}\s]", " "), r"\s+"), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda x: x != ""))
+
+
+#: Generic words of names, words that are generic only beside others, and spellings taken for one another (in this order). Fixed values.
+GENERIC_WORDS = ("software", "tool", "app", "application", "program", "fea", "cae", "platform", "system", "نرم", "افزار", "نرم_افزار")
+GENERIC_BESIDE_OTHERS = ("finite", "element", "analysis")
+GATE_GENERIC_WORDS = ("software", "tool", "app", "application", "program", "platform", "system", "fea", "cae", "language", "programming", "programming_language")
+SPELLINGS = {
+    "آباکوس": "abaqus", "آباكوس": "abaqus", "سالیدورکس": "solidworks", "سالیدورك": "solidworks", "پایتون": "python", "نرم افزار": "نرم_افزار", "نرم‌افزار": "نرم_افزار",
+    "ي": "ی", "ى": "ی", "ك": "ک", "ۀ": "ه", "ة": "ه", "أ": "ا", "إ": "ا", "آ": "ا",
+}
+PUNCTUATION = "[()\\[\\]{}<>:;,.!?/'\\\\\"`~@#$%^&*+=|_-]+"
 
 
-#: Words that say nothing about who an entity is. Fixed values.
-GENERIC_WORDS = ("the", "a", "an", "of", "and", "project", "app", "application", "system", "tool", "company", "inc", "ltd")
+def identity_text(c: Column) -> Column:
+    """Case-folded name with one spelling for variants and without punctuation."""
+    text = canonical_name(c)
+    for old, new in SPELLINGS.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, PUNCTUATION, " "), r"\s+", " "))
 
 
 def core_tokens(c: Column) -> Column:
-    """Identity words of a name, generic ones dropped."""
-    return F.filter(F.split(F.regexp_replace(canonical_name(c), r"[^\p{L}\p{N}\s]", " "), r"\s+"), lambda x: (x != "") & ~x.isin(*GENERIC_WORDS))
+    """Identity words of a name in order, generic ones dropped."""
+    words = F.filter(F.split(identity_text(c), " "), lambda x: x != "")
+    return F.filter(words, lambda x: ~x.isin(*GENERIC_WORDS) & ~(x.isin(*GENERIC_BESIDE_OTHERS) & (F.size(words) > 1)))
+
+
+def gate_core(c: Column) -> Column:
+    """Core name as the identity gate sees it: hyphens split words, its own generic words go."""
+    return F.array_join(F.filter(F.split(F.replace(canonical_name(c), F.lit("-"), F.lit(" ")), r"\s+"), lambda x: (x != "") & ~x.isin(*GATE_GENERIC_WORDS)), " ")
 
 
 def core_key(c: Column) -> Column:
@@ -161,7 +200,7 @@ def relation_id(source: Column, target: Column, relation: Column) -> Column:
 
 def result_ref(json: Column) -> Column:
     """First non-empty id field of a stored result."""
-    fields = ("memory_id", "entity_id", "relation_id", "conflict_id", "recovery_id")
+    fields = ("entity_id", "memory_id", "conflict_id", "relation_id", "recovery_id")
     return F.coalesce(*[F.nullif(F.get_json_object(json, f"$.{f}"), F.lit("")) for f in fields])
 
 
@@ -176,11 +215,11 @@ def item_lifecycle_score(importance: Column, days: Column, access: Column) -> Co
     return 0.5 * base + 0.3 * importance / 5 + 0.2 * reinforcement(access)
 
 
-def archive_score(importance: Column, days: Column, access: Column) -> Column:
-    """Pressure to archive: age, low importance, disuse and lifecycle."""
-    band = item_lifecycle(importance, days)
-    pressure = F.when(band == "decaying", 1.0).when(band == "aging", 0.5).otherwise(0.0)
-    return 0.35 * ratio_cap(days, 180.0) + 0.30 * (5 - importance) / 4 + 0.15 * (1 - reinforcement(access)) + 0.20 * pressure
+def archive_score(importance: Column, days: Column, access: Column, band: Column | None = None) -> Column:
+    """Pressure to archive: age, low importance, disuse (ten uses protect fully) and lifecycle."""
+    band = item_lifecycle(importance, days) if band is None else band
+    pressure = F.when(band == "decaying", 1.0).when(band == "aging", 0.45).otherwise(0.0)
+    return 0.35 * ratio_cap(days, 180.0) + 0.30 * (5 - importance) / 4 + 0.15 * (1 - ratio_cap(access, 10.0)) + 0.20 * pressure
 
 
 def archive_eligible(importance: Column, days: Column, access: Column) -> Column:

@@ -12,10 +12,11 @@ def build_nodes(items: DataFrame, entities: DataFrame) -> DataFrame:
     return items.select(F.col("memory_id").alias("id"), F.lit("memory").alias("kind")).unionByName(entities.select(F.col("entity_id").alias("id"), F.lit("entity").alias("kind")))
 
 
-def build_edges(items: DataFrame, mentions: DataFrame, relations: DataFrame, causal: DataFrame) -> DataFrame:
+def build_edges(items: DataFrame, mentions: DataFrame, relations: DataFrame, causal: DataFrame, related: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Edges of all families; of equal (source, target, type, relation) the first family's and then the most certain one stays.
 
     mentions: memory_id, entity_id. relations: source, target, relation, directed, confidence. causal: source, target, relation, confidence.
+    related: source, target of facts named together in a provenance entry. With ``nodes`` (id) an edge needs both ends among them.
     """
     one = F.lit(1.0)
     w = Window.partitionBy("chain_id").orderBy("version", "valid_from", "memory_id")
@@ -24,17 +25,20 @@ def build_edges(items: DataFrame, mentions: DataFrame, relations: DataFrame, cau
         mentions.select(F.col("memory_id").alias("source"), F.col("entity_id").alias("target"), F.lit("MEMORY_HAS_ENTITY").alias("type"), F.lit("MENTIONS").alias("relation"), one.alias("confidence")),
         relations.select("source", "target", F.lit("ENTITY_RELATION").alias("type"), "relation", "confidence"),
         relations.where("not directed").select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit("ENTITY_RELATION").alias("type"), "relation", "confidence"),
-        items.select(F.col("memory_id").alias("source"), F.col("supersedes").alias("target"), F.lit("TEMPORAL").alias("type"), F.lit("SUPERSEDES").alias("relation"), one.alias("confidence")),
-        items.select(F.col("superseded_by").alias("source"), F.col("memory_id").alias("target"), F.lit("TEMPORAL").alias("type"), F.lit("SUPERSEDES").alias("relation"), one.alias("confidence")),
-        items.select(F.col("memory_id").alias("source"), F.explode("derived_from").alias("target"), F.lit("PROVENANCE").alias("type"), F.lit("DERIVED_FROM").alias("relation"), one.alias("confidence")),
+        items.select(F.col("memory_id").alias("source"), F.col("supersedes").alias("target"), F.lit("TEMPORAL_SUPERSEDES").alias("type"), F.lit("SUPERSEDES").alias("relation"), one.alias("confidence")),
+        items.select(F.col("memory_id").alias("source"), F.col("superseded_by").alias("target"), F.lit("TEMPORAL_SUPERSEDES").alias("type"), F.lit("SUPERSEDED_BY").alias("relation"), one.alias("confidence")),
+        items.select(F.col("memory_id").alias("source"), F.explode("derived_from").alias("target"), F.lit("DERIVED_FROM").alias("type"), F.lit("DERIVED_FROM").alias("relation"), one.alias("confidence")),
         causal.select("source", "target", F.lit("CAUSAL").alias("type"), "relation", "confidence"),
-        chained.select(F.col("memory_id").alias("source"), F.col("nxt").alias("target"), F.lit("TEMPORAL").alias("type"), F.lit("NEXT_VERSION").alias("relation"), one.alias("confidence")),
+        *([related.select("source", "target", F.lit("DERIVED_FROM").alias("type"), F.lit("PROVENANCE_RELATED").alias("relation"), one.alias("confidence"))] if related is not None else []),
+        chained.select(F.col("memory_id").alias("source"), F.col("nxt").alias("target"), F.lit("TEMPORAL_SAME_CHAIN").alias("type"), F.lit("NEXT_VERSION").alias("relation"), one.alias("confidence")),
     ]
     every = None
     for i, f in enumerate(fam):
         f = f.withColumn("prio", F.lit(i))
         every = f if every is None else every.unionByName(f)
     good = every.where("source is not null and target is not null and source <> target")
+    if nodes is not None:
+        good = good.join(nodes.select(F.col("id").alias("source")), "source", "left_semi").join(nodes.select(F.col("id").alias("target")), "target", "left_semi")
     best = F.min(F.struct("prio", (-F.col("confidence")).alias("neg")))
     return good.groupBy("source", "target", "type", "relation").agg(best.alias("b")).select("source", "target", "type", "relation", (-F.col("b.neg")).alias("confidence"))
 

@@ -37,7 +37,7 @@ def chain_repair(items: DataFrame) -> DataFrame:
     w = Window.partitionBy("chain_id").orderBy("version", "valid_from", "memory_id")
     nxt, at = F.lead("memory_id").over(w), F.lead("valid_from").over(w)
     return items.withColumns({"superseded_by": nxt, "valid_to": F.coalesce(at, F.col("valid_to"))}).withColumn(
-        "temporal_status", F.when(F.col("superseded_by").isNotNull(), "superseded").when(F.col("valid_to").isNotNull(), "ended").otherwise("current"))
+        "temporal_status", F.when(F.col("superseded_by").isNotNull(), "historical").when(F.col("valid_to").isNotNull(), "ended").otherwise("current"))
 
 
 def as_of(versions: DataFrame, instants: DataFrame, key: str, closed: bool = False) -> DataFrame:

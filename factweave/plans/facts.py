@@ -87,19 +87,19 @@ def adjacent(spark, sf):
 
 
 @query("chain_repair", f"""with {V.ITEMS_SQL} select memory_id, lead(memory_id) over w as superseded_by, epoch_us(valid_to) as valid_to,
-  case when lead(memory_id) over w is null then 'current' else 'superseded' end as temporal_status from items window w as (partition by chain_id order by version)""")
+  case when lead(memory_id) over w is null then 'current' else 'historical' end as temporal_status from items window w as (partition by chain_id order by version)""")
 def chain_repair(spark, sf):
     fixed = windows.chain_repair(V.items(spark, sf, False).withColumn("valid_to", F.lit(None).cast("timestamp")))
     return fixed.select("memory_id", "superseded_by", F.unix_micros("valid_to").alias("valid_to"), "temporal_status")
 
 
-_INSTANTS = "i as (select c_custkey as chain_id, d::timestamp as instant from customer, range(timestamp '1995-01-01', timestamp '2001-10-01', interval 3 month) t(d) where c_custkey % 10 = 0 union select chain_id, valid_from from items where chain_id % 10 = 0)"
+_INSTANTS = "i as (select c_custkey as chain_id, d::timestamp as instant from customer, range(timestamp '1995-01-01', timestamp '2001-10-01', interval 3 month) t(d) union select chain_id, valid_from from items)"
 
 
 def _instants(spark, sf):
-    c = V.table(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("chain_id"))
+    c = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("chain_id"))
     quarters = c.withColumn("instant", F.explode(F.expr("sequence(timestamp'1995-01-01', timestamp'2001-07-01', interval 3 month)")))
-    return quarters.unionByName(V.items(spark, sf, False).where("chain_id % 10 = 0").select("chain_id", F.col("valid_from").alias("instant"))).distinct()
+    return quarters.unionByName(V.items(spark, sf, False).select("chain_id", F.col("valid_from").alias("instant"))).distinct()
 
 
 def _as_of_sql(until: str) -> str:
@@ -135,8 +135,8 @@ def lifecycle(spark, sf):
     return temporal.with_lifecycle(V.items(spark, sf), V.now()).select("memory_id", "band", "life_score")
 
 
-@query("archive_score", f"""with {V.ITEMS_SQL}, {_AGED} select memory_id, round(0.35 * least(days / 180.0::double, 1) + 0.3 * (5 - importance) / 4 + 0.15 * (1 - {V.REINF_SQL})
-  + 0.2 * case {_LIFE} when 'decaying' then 1 when 'aging' then 0.5 else 0 end, 4) as archive_score from aged""")
+@query("archive_score", f"""with {V.ITEMS_SQL}, {_AGED} select memory_id, round(0.35 * least(days / 180.0::double, 1) + 0.3 * (5 - importance) / 4 + 0.15 * (1 - least(1, access_count / 10.0::double))
+  + 0.2 * case {_LIFE} when 'decaying' then 1 when 'aging' then 0.45 else 0 end, 4) as archive_score from aged""")
 def archive_score(spark, sf):
     return temporal.with_lifecycle(V.items(spark, sf), V.now()).select("memory_id", "archive_score")
 
@@ -203,7 +203,7 @@ def _graph(spark, sf):
 _EDGES_SQL = f"""{V.ITEMS_SQL}, edges as (
 select distinct 'm' || l_orderkey as source, 'p' || l_partkey as target, 'MEMORY_HAS_ENTITY' as type, 'MENTIONS' as relation, 1.0::double as confidence from lineitem
 union all select 's' || l_suppkey, 'p' || l_partkey, 'ENTITY_RELATION', 'SUPPLIES', round(max(least(1.0, 0.6 + 0.05 * l_linenumber)), 4)::double from lineitem group by l_suppkey, l_partkey
-union all select * from (select 'm' || memory_id, 'm' || lead(memory_id) over (partition by chain_id order by version) as t, 'TEMPORAL', 'NEXT_VERSION', 1.0::double from items) where t is not null)"""
+union all select * from (select 'm' || memory_id, 'm' || lead(memory_id) over (partition by chain_id order by version) as t, 'TEMPORAL_SAME_CHAIN', 'NEXT_VERSION', 1.0::double from items) where t is not null)"""
 
 
 @query("edges", f"with {_EDGES_SQL} select * from edges")
@@ -218,18 +218,18 @@ def nodes(spark, sf):
 
 
 @query("neighbors", f"""with {_EDGES_SQL}, e as (select source as id, target as neighbor, 'out' as dir, type, relation from edges union all select target, source, 'in', type, relation from edges),
-f as (select id, neighbor, min(struct_pack(dir := dir, type := type, relation := relation)) as e from e where id in (select 'p' || p_partkey from part where p_partkey % 40 = 0) group by 1, 2)
+f as (select id, neighbor, min(struct_pack(dir := dir, type := type, relation := relation)) as e from e where id in (select 'p' || p_partkey from part) group by 1, 2)
 select id, neighbor, e.dir as dir, e.type as type, e.relation as relation, place from (select *, row_number() over (partition by id order by e.dir, e.type, e.relation, neighbor)::int as place from f) where place <= 10""")
 def neighbors(spark, sf):
-    ids = V.table(spark, sf, "part").where("p_partkey % 40 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    ids = V.table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
     return graph.neighbors(_graph(spark, sf), ids, 10)
 
 
-@query("subgraph", f"""with {_EDGES_SQL}, ids as (select 's' || s_suppkey as id from supplier where s_suppkey % 25 = 0),
+@query("subgraph", f"""with {_EDGES_SQL}, ids as (select 'p' || p_partkey as id from part where p_partkey % 50 = 0),
 n as (select id from ids union select target from edges where source in (select id from ids) union select source from edges where target in (select id from ids))
 select source, target, type, relation from edges where source in (select id from n) and target in (select id from n)""")
 def subgraph(spark, sf):
-    ids = V.table(spark, sf, "supplier").where("s_suppkey % 25 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    ids = V.table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
     return graph.subgraph(_graph(spark, sf), ids)[1].select("source", "target", "type", "relation")
 
 

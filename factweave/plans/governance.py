@@ -161,21 +161,33 @@ def interval_gate(spark, sf):
     return ledger.one_per_interval(V.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", 6 * 3600).select("user_id", F.unix_micros("ts").alias("ts"))
 
 
-@query("secret_filter", r"select doc_id from documents where regexp_matches(text, '(?i)(password|passwd|api[_ -]?key|secret|token)\s*[:=]')")
+@query("secret_filter", r"select doc_id from documents where regexp_matches(text, '(?i)(password|passwd|api[_ -]?key|secret|token)\s*(is|:|=)|sk-[A-Za-z0-9]{10,}')")
 def secret_filter(spark, sf):
     return V.table(spark, sf, "documents").where(curate.has_secret(F.col("text"))).select("doc_id")
 
 
-@query("clean_post", r"""select doc_id, t as text from (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'), '\*\*|__|`', '', 'g'), '(?m)^#+\s*', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) as t from documents)
-where length(t) between 60 and 3500 and not regexp_matches(lower(t), '^(i''m sorry|i cannot|i can''t|as an ai|sorry,)')""")
+@query("clean_post", r"""select doc_id, t as text from (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'), '\*\*|__|`', '', 'g'), '(?m)^\s{0,3}#{1,6}\s*', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as t from documents)
+where length(t) between 60 and 3500 and not regexp_matches(lower(t), '^\s*(sorry|i can''t|i cannot|i''m sorry|as an ai)')""")
 def clean_post(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", curate.strip_markup(F.col("text")).alias("text"))
     return d.where(curate.accepted(F.col("text")))
 
 
-@query("facts", """select doc_id, trim(substr(text, 1, 40)) as memory, 'other' as type, 4 as importance from documents where doc_id % 3 <> 2""")
+_SECRET_SQL = r"(?i)(password|passwd|api[_ -]?key|secret|token)\s*(is|:|=)|sk-[A-Za-z0-9]{10,}"
+
+
+@query("facts", rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where doc_id % 3 <> 2),
+t as (select doc_id, pos, regexp_replace(line, '^\s+|\s+$', '', 'g') as memory from l), g as (select * from t where memory <> '' and length(memory) <= 300 and not regexp_matches(memory, '{_SECRET_SQL}'))
+select doc_id, memory, 'other' as type, 4 as importance from (select *, row_number() over (partition by doc_id order by pos) as n from g) where n <= 3""")
 def facts(spark, sf):
+    """Every line of a document as a fact of a reply; replies come bare, inside prose, or broken."""
     d = V.table(spark, sf, "documents")
-    good = F.to_json(F.struct(F.array(F.struct(F.substring("text", 1, 40).alias("memory"), F.lit("4").alias("importance"))).alias("facts")))
+    good = F.to_json(F.struct(F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.lit("4").alias("importance"))).alias("facts")))
     raw = F.when(F.col("doc_id") % 3 == 0, good).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here: "), good, F.lit(" done"))).otherwise("{broken")
     return curate.fact_rows(d.select("doc_id", raw.alias("raw")), "raw", "doc_id")
+
+
+@query("rich_post")
+def rich_post(spark, sf):
+    d = V.table(spark, sf, "documents").select("doc_id", curate.rich_text(F.col("text")).alias("text"))
+    return d.where(curate.rich_accepted(F.col("text")))

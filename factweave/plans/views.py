@@ -53,12 +53,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTORS_SQL = f"""
 vecs as (select vec_id as key, embedding::double[] as vector, label % 5 + 1 as importance, vec_id % 12 as access_count, 0.8::double as confidence,
   vec_id % 200 as days, vec_id % 5 <> 0 as active from embeddings),
-q as (select key as query_id, vector as qv from vecs where key < 5),
+q as (select key as query_id, vector as qv from vecs where key % 50 = 0),
 sims as (select query_id, vecs.*, list_cosine_similarity(qv, vector) as sim from q, vecs)"""
 
 
 def queries_of(vecs: DataFrame) -> DataFrame:
-    return vecs.where("key < 5").select(F.col("key").alias("query_id"), "vector")
+    return vecs.where("key % 50 = 0").select(F.col("key").alias("query_id"), "vector")
 
 
 LIFE_SQL = """(case when importance >= 4 or {d} < 30 then 'active' when {d} < 90 then 'aging' else 'decaying' end)"""

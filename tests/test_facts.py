@@ -89,7 +89,7 @@ def test_edges_first_family_wins(spark):
     none = spark.createDataFrame([], "memory_id string, entity_id string")
     rel = spark.createDataFrame([("e", "f", "KNOWS", False, 0.7)], "source string, target string, relation string, directed boolean, confidence double")
     got = {(r.source, r.target, r.relation) for r in graph.build_edges(items, none, rel, rel.limit(0)).collect()}
-    assert got == {("e", "f", "KNOWS"), ("f", "e", "KNOWS"), ("b", "a", "SUPERSEDES"), ("a", "z", "DERIVED_FROM"), ("a", "b", "NEXT_VERSION")}
+    assert got == {("e", "f", "KNOWS"), ("f", "e", "KNOWS"), ("b", "a", "SUPERSEDES"), ("a", "b", "SUPERSEDED_BY"), ("a", "z", "DERIVED_FROM"), ("a", "b", "NEXT_VERSION")}
 
 
 def test_blocked_resolution(spark):
@@ -154,5 +154,39 @@ def test_dedupe_stream(spark, tmp_path):
 def test_text_rules(spark):
     good, bad = "x\n|a|b|\n|--|--|\n|1|2|\nend", "|a|b|\n|1|2|"
     assert one(spark, curate.tables_ok(F.lit(good))) and not one(spark, curate.tables_ok(F.lit(bad))) and not one(spark, curate.tables_ok(F.lit("|a|b|")))
-    raw = spark.createDataFrame([(1, 'ok {"facts":[{"memory":"likes tea"},{"memory":"password: x"},{"memory":" "}]} end'), (2, "{broken"), (3, None), (4, "")], "k int, raw string")
+    raw = spark.createDataFrame([(1, 'ok {"facts":[{"text":"likes tea"},{"text":"password: x"},{"text":" "}]} end'), (2, "{broken"), (3, None), (4, "")], "k int, raw string")
     assert [(r.k, r.memory, r.type, r.importance) for r in curate.fact_rows(raw, "raw", "k").collect()] == [(1, "likes tea", "other", 3)]
+
+
+@pytest.mark.parametrize("text,want", [("Abaqus FEA Software", ["abaqus"]), ("finite element analysis", []), ("analysis", ["analysis"]), ("آباکوس", ["abaqus"]), ("The Zeus-Project (v2)", ["the", "zeus", "project", "v2"]), (None, [])])
+def test_core_tokens(spark, text, want):
+    assert one(spark, C.core_tokens(F.col("c")), c=F.lit(text).cast("string")) == want
+
+
+def test_vocabularies(spark):
+    assert [one(spark, C.norm_entity_type(F.lit(x).cast("string"))) for x in ("app", "org", "City", None)] == ["SOFTWARE", "ORGANIZATION", "OTHER", "OTHER"]
+    assert [one(spark, C.canonical_relation(F.lit(x))) for x in ("results in", "depends-on", "RELATED")] == ["LEADS_TO", "DEPENDS_ON", "RELATED_TO"]
+    assert [one(spark, C.guess_type(F.lit(x).cast("string"))) for x in ("Learning Abaqus", "uses SolidWorks", "my goal", "پروژه", "x", None)] == ["learning", "tool", "goal", "project", "other", "other"]
+    assert one(spark, C.result_ref(F.lit('{"memory_id":"m","entity_id":"e"}'))) == "e"
+
+
+@pytest.mark.parametrize("text,want", [
+    ("```md\nbody {p}\n```", True), ("<u>{p}</u>", True), ("<u>{p}", False), ("<b>{p}</b>", False), ("cost $5 {p}", False), ("$a+b$ {p} $$x\ny$$", True), ("Sorry, {p}", False), ("{p}\n|a|b|\n|1|2|", False), ("{p}\n|a|b|\n|:--|--:|\n|1|2|", True), ("short", False), (None, False)])
+def test_rich_text(spark, text, want):
+    text = text and text.replace("{p}", "plain words here " * 6)
+    assert one(spark, curate.rich_accepted(curate.rich_text(F.col("c"))), c=F.lit(text).cast("string")) == want
+
+
+def test_candidates_of_replies(spark):
+    raw = spark.createDataFrame([(1, """{"entities":[{"name":"Bob","type":"person","confidence":0.7},{"name":"BOB","type":"person","confidence":0.9,"aliases":["bob","Bobby"]},{"name":"x","confidence":0.5}],
+      "relations":[{"source":"bob","target":"Acme","relation":"works with","confidence":0.8},{"source":"bob","target":"bob","relation":"works with","confidence":0.8},{"source":"bob","target":"nobody","relation":"builds","confidence":0.8}],
+      "evolutions":[{"entity_id":"e1","action":"end"},{"entity_id":"e9","action":"END"},{"entity_id":"e1","action":"none"}]}"""), (2, "{broken"), (3, None)], "k int, raw string")
+    known = spark.createDataFrame([("e1", "Bob"), ("e2", "Acme")], "entity_id string, name string")
+    assert [(r.name, r.type, r.confidence, r.aliases) for r in curate.entity_candidates(raw, "raw", "k").collect()] == [("BOB", "PERSON", 0.9, ["Bobby"])]
+    assert [(r.source, r.target, r.relation) for r in curate.relation_candidates(raw, "raw", "k", known).collect()] == [("e1", "e2", "WORKS_WITH")]
+    assert [(r.entity_id, r.action) for r in curate.evolution_candidates(raw, "raw", "k", known).collect()] == [("e1", "END")]
+
+
+def test_facts_may_be_strings(spark):
+    raw = spark.createDataFrame([(1, '{"facts":["plain",{"text":"obj","type":"goal","importance":5},{"text":"sk-abcdefghij12"},"a","b"]}')], "k int, raw string")
+    assert [(r.memory, r.type, r.importance) for r in curate.fact_rows(raw, "raw", "k").collect()] == [("plain", "other", 3), ("obj", "goal", 5), ("a", "other", 3)]

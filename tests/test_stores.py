@@ -35,7 +35,7 @@ def test_migrate(spark):
 
 def test_find_entity_tiers(spark):
     e = spark.createDataFrame([("1", "Apollo", ["Ap"]), ("2", "The Zeus Project", None), ("3", "ap", None)], "entity_id string, name string, aliases array<string>")
-    q = spark.createDataFrame([(1, "2"), (2, "AP"), (3, "zeus"), (4, "none")], "query_id int, q string")
+    q = spark.createDataFrame([(1, "2"), (2, "AP"), (3, "the zeus project tool"), (4, "none")], "query_id int, q string")
     assert {r.query_id: (r.entity_id, r.tier) for r in lookup.find_entity(q, e).collect()} == {1: ("2", 0), 2: ("1", 1), 3: ("2", 2)}
 
 
