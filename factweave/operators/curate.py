@@ -66,11 +66,12 @@ def rich_accepted(text: Column, low: int = 60, high: int = 6000) -> Column:
     """No refusal, every formula closed, allowed tags only and each as often closed as opened, sound tables. Null is not accepted."""
     flat = F.regexp_replace(text, FORMULA, "M")
     names = F.transform(F.regexp_extract_all(flat, F.lit(TAG), F.lit(2)), F.lower)
-    tags = F.arrays_zip(names.alias("name"), F.regexp_extract_all(flat, F.lit(TAG), F.lit(1)).alias("end"))
-    depth = [F.size(F.filter(tags, lambda t, n=n: (t["name"] == n) & (t["end"] == ""))) == F.size(F.filter(tags, lambda t, n=n: (t["name"] == n) & (t["end"] == "/"))) for n in ALLOWED_TAGS]
+    ends = F.regexp_extract_all(flat, F.lit(TAG), F.lit(1))
+    marks = F.zip_with(ends, names, F.concat)
+    count = lambda mark: F.size(F.filter(marks, lambda m: m == mark))
     balanced = F.forall(names, lambda n: n.isin(*ALLOWED_TAGS))
-    for d in depth:
-        balanced = balanced & d
+    for name in ALLOWED_TAGS:
+        balanced = balanced & (count(name) == count(f"/{name}"))
     return F.coalesce(accepted(text, low, high) & ~F.contains(flat, F.lit("$")) & balanced & tables_ok(text), F.lit(False))
 
 
