@@ -67,7 +67,7 @@ def rich_accepted(text: Column, low: int = 60, high: int = 6000) -> Column:
     flat = F.regexp_replace(text, FORMULA, "M")
     names = F.transform(F.regexp_extract_all(flat, F.lit(TAG), F.lit(2)), F.lower)
     ends = F.regexp_extract_all(flat, F.lit(TAG), F.lit(1))
-    marks = F.zip_with(ends, names, F.concat)
+    marks = F.zip_with(ends, names, lambda a, b: F.concat(a, b))
     count = lambda mark: F.size(F.filter(marks, lambda m: m == mark))
     balanced = F.forall(names, lambda n: n.isin(*ALLOWED_TAGS))
     for name in ALLOWED_TAGS:
