@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factweave.operators import aggregate, approvals, lookup
+from factweave.operators import aggregate, approvals, lookup, resolve
 from factweave.plans import views as V
 from factweave.sources import stores
 
@@ -12,9 +12,11 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str | None = None):
     def add(f):
-        QUERIES[name], ORACLE[name] = f, sql
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
         return f
 
     return add
@@ -73,3 +75,34 @@ def approval_quorum(spark, sf):
 @query("migrate", """select p_name as memory, min(p_partkey) as ord, 5 as importance from part group by p_name""")
 def migrate(spark, sf):
     return stores.migrate_legacy(V.table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"))).select("memory", "ord", "importance")
+
+
+def candidates(spark, sf):
+    """A candidate per part: its name as it is, with a generic word, or with its first word changed."""
+    p, k = V.table(spark, sf, "part"), F.col("p_partkey")
+    name = F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, F.concat("p_name", F.lit(" tool"))).otherwise(F.regexp_replace("p_name", r"^\S+", "plain"))
+    return p.select(k.alias("candidate_id"), name.alias("name"), _entity_type(F.col("p_size") + 1).alias("type"))
+
+
+def _entity_type(n):
+    return F.element_at(F.array(*[F.lit(x) for x in ("PRODUCT", "SOFTWARE", "PLACE", "OTHER")]), n % 4 + 1)
+
+
+def _entities(spark, sf, archived: bool):
+    p = V.table(spark, sf, "part").where((F.col("p_size") % 2 == 1) if archived else (F.col("p_size") % 2 == 0))
+    return p.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.array("p_brand").alias("aliases"), _entity_type(F.col("p_size")).alias("type"))
+
+
+@query("entity_resolve")
+def entity_resolve(spark, sf):
+    return resolve.resolve(candidates(spark, sf), _entities(spark, sf, False))
+
+
+@query("entity_recover")
+def entity_recover(spark, sf):
+    return resolve.recover_entities(candidates(spark, sf), _entities(spark, sf, True))
+
+
+@query("entity_ingest")
+def entity_ingest(spark, sf):
+    return resolve.ingest_entities(candidates(spark, sf), _entities(spark, sf, False), _entities(spark, sf, True))
