@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factweave.operators import audit, curate
+from factweave.operators import audit, curate, normalise, shapes
+from factweave.operators import reconcile as rec
 from factweave.plans import views as V
 from factweave.streaming import ledger
 
@@ -191,3 +192,32 @@ def facts(spark, sf):
 def rich_post(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", curate.rich_text(F.col("text")).alias("text"))
     return d.where(curate.rich_accepted(F.col("text")))
+
+
+@query("reconcile", f"""with b as (select code, sum(n)::bigint as before from (select * from ({_AUDIT_OPS}) union all select * from ({ORACLE['audit_items']})) group by 1)
+select code, before, case when code in ('COMPLETED_OPERATION_HAS_LEASE', 'MEMORY_ARCHIVE_STATUS_INVALID') then 0 else before end as after from b""")
+def reconcile(spark, sf):
+    """Ledger and fact stores after a reconciliation: violations of each code before and after it."""
+    active, archive = stores(spark, sf)
+    done = rec.reconcile({"operations": ops(spark, sf), "items": active, "item_archive": archive})
+    return rec.compare(done.before, done.after)
+
+
+@query("audit_shapes", """with e as (select event_id as key, case when event_id % 20 = 0 then '[' || props || ']' when event_id % 20 = 1 then '"x"' when event_id % 20 = 2 then '{broken' when event_id % 20 = 3 then null else props end as j from events)
+select 'OPERATION_INVALID_RECORD' as code, key::varchar as key, 1::bigint as n from e where j is null or not json_valid(j) or json_type(j) <> 'OBJECT'""")
+def audit_shapes(spark, sf):
+    m = F.col("event_id") % 20
+    j = F.when(m == 0, F.concat(F.lit("["), "props", F.lit("]"))).when(m == 1, '"x"').when(m == 2, "{broken").when(m != 3, F.col("props"))
+    return shapes.audit_records(V.table(spark, sf, "events").select("event_id", j.alias("j")), "event_id", "j", "OPERATION_INVALID_RECORD")
+
+
+@query("normalize_items", """select 'o' || o_orderkey as memory_id, case when o_orderkey % 9 = 0 then 1 else 6 - substr(o_orderpriority, 1, 1)::int end as importance,
+  case when o_orderkey % 9 = 0 then 0.7::double when o_orderkey % 4 = 0 then 0.99::double when 6 - substr(o_orderpriority, 1, 1)::int >= 4 then 0.9::double when 6 - substr(o_orderpriority, 1, 1)::int >= 3 then 0.8::double else 0.7::double end as confidence,
+  case when o_orderkey % 9 <> 0 and 6 - substr(o_orderpriority, 1, 1)::int >= 4 then 'active' when d < 30 then 'active' when d < 90 then 'aging' else 'decaying' end as status, epoch_us(o_orderdate::timestamp) as created_at
+from (select *, (epoch_us(timestamp '2001-08-02') - epoch_us(o_orderdate::timestamp)) / 86400000000.0::double as d from orders) where o_orderkey % 13 <> 0""")
+def normalize_items(spark, sf):
+    k = F.col("o_orderkey")
+    loose = V.table(spark, sf, "orders").select(
+        F.when(k % 13 == 0, "  ").otherwise(F.concat(F.lit(" order "), k)).alias("memory"), F.concat(F.lit("o"), k).alias("memory_id"), F.when(k % 9 == 0, "high").otherwise((6 - F.substring("o_orderpriority", 1, 1).cast("int")).cast("string")).alias("importance"),
+        F.when((k % 4 == 0) & (k % 9 != 0), "7.5").alias("confidence"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"), F.lit("odd").alias("status"))
+    return normalise.normalize_items(loose, V.now()).select("memory_id", "importance", "confidence", "status", F.unix_micros("created_at").alias("created_at"))
