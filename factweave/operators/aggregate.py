@@ -15,6 +15,13 @@ def consolidate(items: DataFrame, group: str) -> DataFrame:
         F.min("created_at").alias("created_at"), F.array_sort(F.collect_list("memory_id")).alias("derived_from"), F.count("*").alias("n_sources"))
 
 
+def archive_sources(items: DataFrame, merged: DataFrame, group: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(items that stay, sources archived) after ``consolidate``; merged: group and new_id. Sources point to the fact that took their place."""
+    m = merged.select(group, F.col("new_id").alias("superseded_by"))
+    gone = items.drop("superseded_by").join(m, group).withColumns({"status": F.lit("archived"), "archive_reason": F.lit("consolidated"), "archived_at": now})
+    return items.join(m.select(group), group, "left_anti"), gone
+
+
 def upsert_relations(old: DataFrame, batch: DataFrame, entities: DataFrame, least: float = 0.65, cap: int = 100) -> DataFrame:
     """Relations by (source, target, relation): highest confidence, latest non-empty evidence, union of memory ids.
 

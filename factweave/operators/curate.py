@@ -62,17 +62,27 @@ def rich_text(text: Column) -> Column:
     return strip(text)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 def rich_accepted(text: Column, low: int = 60, high: int = 6000) -> Column:
     """No refusal, every formula closed, allowed tags only and each as often closed as opened, sound tables. Null is not accepted."""
-    flat = F.regexp_replace(text, FORMULA, "M")
-    names = F.transform(F.regexp_extract_all(flat, F.lit(TAG), F.lit(2)), F.lower)
-    ends = F.regexp_extract_all(flat, F.lit(TAG), F.lit(1))
-    marks = F.zip_with(ends, names, lambda a, b: F.concat(a, b))
-    count = lambda mark: F.size(F.filter(marks, lambda m: m == mark))
-    balanced = F.forall(names, lambda n: n.isin(*ALLOWED_TAGS))
-    for name in ALLOWED_TAGS:
-        balanced = balanced & (count(name) == count(f"/{name}"))
-    return F.coalesce(accepted(text, low, high) & ~F.contains(flat, F.lit("$")) & balanced & tables_ok(text), F.lit(False))
+    count = lambda marks, mark: F.size(F.filter(marks, lambda m: m == mark))
+
+    def balanced(marks: Column) -> Column:
+        ok = F.forall(marks, lambda m: F.ltrim(m, F.lit("/")).isin(*ALLOWED_TAGS))
+        for name in ALLOWED_TAGS:
+            ok = ok & (count(marks, name) == count(marks, f"/{name}"))
+        return ok
+
+    def sound(flat: Column) -> Column:
+        ends, names = (F.regexp_extract_all(flat, F.lit(TAG), F.lit(g)) for g in (1, 2))
+        return ~F.contains(flat, F.lit("$")) & let(F.zip_with(ends, names, lambda a, b: F.lower(F.concat(a, b))), balanced)
+
+    whole = lambda t: accepted(t, low, high) & let(F.regexp_replace(t, FORMULA, "M"), sound) & tables_ok(t)
+    return F.coalesce(let(text, whole), F.lit(False))
 
 
 def parse_reply(raw: Column) -> Column:

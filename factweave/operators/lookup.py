@@ -79,3 +79,68 @@ def prune_refs(df: DataFrame, key: str, array: str, valid: DataFrame) -> DataFra
 def causality(links: DataFrame, items: DataFrame) -> DataFrame:
     """Causal links with the text of the target, ``[missing]`` where it is unknown."""
     return links.join(items.select(F.col("memory_id").alias("target"), F.col("memory").alias("target_text")), "target", "left").withColumn("target_text", F.coalesce("target_text", F.lit("[missing]")))
+
+
+def find_item(queries: DataFrame, active: DataFrame, archive: DataFrame, column: str = "memory") -> DataFrame:
+    """(query_id, memory_id, tier): first fact whose ``column`` equals q, active ones (tier 0) before archived ones (tier 1)."""
+    hit = lambda df: queries.join(df.select("memory_id", F.col(column).cast("string").alias("q")), "q").select("query_id", "memory_id")
+    return first_tier([hit(active), hit(archive)], "query_id", F.col("memory_id"))
+
+
+def resolve_reference(queries: DataFrame, active: DataFrame, archive: DataFrame, similar_active: DataFrame, similar_archive: DataFrame, least: float = 0.55) -> DataFrame:
+    """(query_id, memory_id, tier): equal text first, else the most similar active fact, else the most similar archived one, from ``least`` on.
+
+    similar_*: query_id, memory_id, sim of the vector search.
+    """
+    exact = find_item(queries, active, archive).select("query_id", "memory_id", F.lit(1.0).alias("sim"))
+    near = [s.where(F.col("sim") >= least).select("query_id", "memory_id", F.col("sim").cast("double").alias("sim")) for s in (similar_active, similar_archive)]
+    return first_tier([exact, *near], "query_id", F.col("sim").desc(), F.col("memory_id"))
+
+
+def find_by_part(queries: DataFrame, entities: DataFrame, blocks: int = 1) -> DataFrame:
+    """(query_id, entity_id) of queries whose text lies inside the names of one entity only; the last resort after ``find_entity``.
+
+    A stated query set is held against all names: queries are sent out in ``blocks`` parts, names are not shuffled. Hits are reduced to the
+    smallest and largest entity id per query before they meet.
+    """
+    names = entities.select("entity_id", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("nm")).select("entity_id", C.canonical_name(F.col("nm")).alias("nk"))
+    out = None
+    for b in range(blocks):
+        q = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", C.canonical_name(F.col("q")).alias("k")).where("k <> ''")
+        part = names.join(F.broadcast(q), F.contains("nk", "k")).groupBy("query_id").agg(F.min("entity_id").alias("entity_id"), F.max("entity_id").alias("_hi")).where("entity_id = _hi").drop("_hi")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def conflict_query(conflicts: DataFrame, text: str | None = None, status: str | None = None, decisions: tuple[str, ...] = (), n: int = 50) -> DataFrame:
+    """Newest n conflicts that hold the text in a name, have the status and one of the decisions; what isn't given doesn't filter."""
+    out = conflicts
+    if text:
+        out = out.where(F.contains(F.lower(F.concat_ws(" ", "candidate_name", "entity_name")), F.lower(F.lit(text))))
+    if status:
+        out = out.where(F.col("status") == status.strip().upper())
+    if decisions:
+        out = out.where(F.col("decision").isin(*decisions))
+    return out.orderBy(F.col("updated_at").desc(), "conflict_id").limit(n)
+
+
+def search_relations(relations: DataFrame, entities: DataFrame, text: str, k: int = 10) -> DataFrame:
+    """k most certain relations whose "source relation target" names hold the text."""
+    named = relation_names(relations, entities)
+    return named.where(F.contains(F.lower(F.concat_ws(" ", "source_name", "relation", "target_name")), F.lower(F.lit(text)))).orderBy(F.col("confidence").desc(), "source", "target").limit(k)
+
+
+def incident_relations(relations: DataFrame, ids: DataFrame, direction: str = "both") -> DataFrame:
+    """Relations that leave (out), enter (in) or touch the entities of ``ids`` (entity_id), with ``entity_id`` and ``dir``."""
+    out = relations.join(ids.select(F.col("entity_id").alias("source")), "source", "left_semi").withColumns({"entity_id": F.col("source"), "dir": F.lit("out")})
+    into = relations.join(ids.select(F.col("entity_id").alias("target")), "target", "left_semi").withColumns({"entity_id": F.col("target"), "dir": F.lit("in")})
+    return {"out": out, "in": into, "both": out.unionByName(into)}[direction]
+
+
+def context_pack(recalled: DataFrame, recent_items: DataFrame, n: int = 10) -> DataFrame:
+    """(query_id, context): recalled facts (query_id, memory, rank), then recent ones (memory, place), one line each and no text twice; the first n lines."""
+    q = recalled.select("query_id").distinct()
+    every = recalled.select("query_id", "memory", F.struct(F.lit(0).alias("t"), F.col("rank").cast("long").alias("p")).alias("o")).unionByName(
+        q.join(F.broadcast(recent_items.orderBy("place").limit(n))).select("query_id", "memory", F.struct(F.lit(1).alias("t"), F.col("place").cast("long").alias("p")).alias("o")))
+    once = every.groupBy("query_id", "memory").agg(F.min("o").alias("o")).withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("o"))).where(F.col("_n") <= n)
+    return once.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "memory"))), lambda x: F.concat(F.lit("- "), x["memory"])), "\n").alias("context"))

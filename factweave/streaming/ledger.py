@@ -68,3 +68,30 @@ def consume_once(log: DataFrame, key: str, order: str) -> DataFrame:
     """CONSUMED for the first use of each key, REPLAY_REJECTED for the later ones."""
     first = log.groupBy(key).agg(F.min(order).alias("_first"))
     return log.join(first, key).withColumn("outcome", F.when(F.col(order) == F.col("_first"), "CONSUMED").otherwise("REPLAY_REJECTED")).drop("_first")
+
+
+def journal_query(journal: DataFrame, low: int | None = None, high: int | None = None, types: tuple[str, ...] = (), reverse: bool = False, limit: int | None = None) -> DataFrame:
+    """Records of a range of sequence numbers (both ends in) and of the types, in order; a range that ends before it starts or a limit under 1 is an error."""
+    if (low is not None and high is not None and low > high) or (limit is not None and limit < 1):
+        raise ValueError("INVALID_QUERY")
+    out = journal
+    if low is not None:
+        out = out.where(F.col("sequence") >= low)
+    if high is not None:
+        out = out.where(F.col("sequence") <= high)
+    if types:
+        out = out.where(F.col("event_type").isin(*types))
+    out = out.orderBy(F.col("sequence").desc() if reverse else F.col("sequence"))
+    return out.limit(limit) if limit else out
+
+
+def coverage(journal: DataFrame, checkpoint: int) -> DataFrame:
+    """(first, last, n, compacted): what a compacted journal still covers."""
+    return journal.agg(F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count("*").alias("n")).withColumn("compacted", F.coalesce(F.col("first") > 1, F.lit(checkpoint > 0)))
+
+
+def repair_history(ops: DataFrame, n: int = 100) -> DataFrame:
+    """Newest n repairs of the ledger with what their stored result says."""
+    get = lambda f: F.get_json_object("result_data", f"$.{f}").alias(f)
+    rows = ops.where("operation_type = 'RECONCILIATION_REPAIR'").select("operation_id", "operation_key", F.col("status").alias("operation_status"), "created_at", "updated_at", get("status"), get("repaired_codes"), get("plan_fingerprint"))
+    return rows.orderBy(F.col("updated_at").desc(), "operation_id").limit(n)
