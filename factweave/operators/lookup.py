@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
+from factweave.operators.vector import query_blocks
 
 
 def first_tier(frames: list[DataFrame], by: str = "query_id", *order) -> DataFrame:
@@ -97,14 +98,14 @@ def resolve_reference(queries: DataFrame, active: DataFrame, archive: DataFrame,
     return first_tier([exact, *near], "query_id", F.col("sim").desc(), F.col("memory_id"))
 
 
-def find_by_part(queries: DataFrame, entities: DataFrame, blocks: int = 1) -> DataFrame:
+def find_by_part(queries: DataFrame, entities: DataFrame, blocks: int | None = None) -> DataFrame:
     """(query_id, entity_id) of queries whose text lies inside the names of one entity only; the last resort after ``find_entity``.
 
-    A stated query set is held against all names: queries are sent out in ``blocks`` parts, names are not shuffled. Hits are reduced to the
+    A stated query set is held against all names: queries are sent out in ``blocks`` parts (as many as ``query_blocks`` says, if not given), names are not shuffled. Hits are reduced to the
     smallest and largest entity id per query before they meet.
     """
     names = entities.select("entity_id", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("nm")).select("entity_id", C.canonical_name(F.col("nm")).alias("nk"))
-    out = None
+    out, blocks = None, blocks or query_blocks(queries)
     for b in range(blocks):
         q = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", C.canonical_name(F.col("q")).alias("k")).where("k <> ''")
         part = names.join(F.broadcast(q), F.contains("nk", "k")).groupBy("query_id").agg(F.min("entity_id").alias("entity_id"), F.max("entity_id").alias("_hi")).where("entity_id = _hi").drop("_hi")

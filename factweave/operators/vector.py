@@ -30,13 +30,18 @@ def with_norm(df: DataFrame, vector: str = "vector") -> DataFrame:
 QUERY_BLOCK = 20_000
 
 
-def similar_pairs(queries: DataFrame, corpus: DataFrame, threshold: float, blocks: int = 1) -> DataFrame:
+def query_blocks(queries: DataFrame) -> int:
+    """Parts in which a query set is sent out, so that no broadcast holds more than QUERY_BLOCK queries; counts them."""
+    return max(1, -(-queries.count() // QUERY_BLOCK))
+
+
+def similar_pairs(queries: DataFrame, corpus: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
     """Every (query, corpus row) with cosine >= threshold, as columns query_id, the corpus columns and sim.
 
     queries: query_id, vector; corpus: key, vector and more. A stated query set is held against the whole corpus: the queries
-    are sent to all tasks in ``blocks`` parts (count / QUERY_BLOCK of them), the corpus is never shuffled.
+    are sent to all tasks in ``blocks`` parts (as many as ``query_blocks`` says, if not given), the corpus is never shuffled.
     """
-    right = with_norm(corpus)
+    right, blocks = with_norm(corpus), blocks or query_blocks(queries)
     out = None
     for b in range(blocks):
         own = with_norm(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).select("query_id", F.col("vector").alias("qv"), F.col("norm").alias("qn"))
@@ -51,7 +56,7 @@ def top_k(df: DataFrame, k: int, score: str, by: str = "query_id", tie: str = "k
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, corpus: DataFrame, now: Column, threshold: float = 0.35, k: int = 10, blocks: int = 1) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame, now: Column, threshold: float = 0.35, k: int = 10, blocks: int | None = None) -> DataFrame:
     """Similar rows ranked by a composite of similarity, importance, use, lifecycle and confidence, rounded before ranking."""
     days = C.age_days(F.col("last_accessed"), now)
     found = similar_pairs(queries, corpus, threshold, blocks)
@@ -72,11 +77,12 @@ def rank_blend(queries: DataFrame, corpus: DataFrame, now: Column, threshold: fl
 
 def recover(queries: DataFrame, active: DataFrame, archive: DataFrame, now: Column) -> DataFrame:
     """Archived row to restore for each query whose best active similarity is under .70."""
-    best = similar_pairs(queries, active, -1.0).groupBy("query_id").agg(F.max("sim").alias("best"))
+    blocks = query_blocks(queries)
+    best = similar_pairs(queries, active, -1.0, blocks).groupBy("query_id").agg(F.max("sim").alias("best"))
     poor = queries.join(best, "query_id", "left").where(F.coalesce("best", F.lit(0.0)) < 0.70).select("query_id", "vector")
     days = C.age_days(F.col("last_accessed"), now)
     score = 0.60 * F.col("sim") + 0.25 * F.col("importance") / 5 + 0.15 * C.reinforcement(F.col("access_count")) - F.least(F.lit(0.2), days / 3650)
-    return top_k(similar_pairs(poor, archive, 0.55).withColumn("score", F.round(score, 4)).where(F.col("score") >= 0.62), 1, "score")
+    return top_k(similar_pairs(poor, archive, 0.55, blocks).withColumn("score", F.round(score, 4)).where(F.col("score") >= 0.62), 1, "score")
 
 
 def lexical_relevance(query: Column, text: Column) -> Column:

@@ -21,7 +21,7 @@ def test_references(spark):
 def test_find_by_part(spark):
     e = spark.createDataFrame([("1", "Apollo Data", ["Moon"]), ("2", "Apollo Music", None)], "entity_id string, name string, aliases array<string>")
     q = spark.createDataFrame([(1, "data"), (2, "apollo"), (3, "oon"), (4, " "), (5, None)], "query_id int, q string")
-    for blocks in (1, 3):
+    for blocks in (None, 3):
         assert {r.query_id: r.entity_id for r in lookup.find_by_part(q, e, blocks).collect()} == {1: "1", 3: "1"}
 
 
