@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factweave.llm.common import pick, table
@@ -26,6 +26,8 @@ from factweave.llm.common import pick, table
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: Bounds of the training sample: documents per language, windows per document, passes.
 TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, SEED = 500, 6, 6, 7
+#: Steps in which a share of the texts is measured.
+SHARES = 1 << 40
 UNKNOWN = "und"
 
 
@@ -131,23 +133,28 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_lang: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """At most ``per_lang`` labelled texts a language, the first in the order of a hash of their text.
+def training_candidates(docs: DataFrame, per_lang: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, h, text: distinct usable texts, thinned to about three times ``per_lang`` a language by that language's own number of distinct texts.
 
-    The texts are cut to what training looks at. The bounded top lists are merged from each task's own.
+    The texts are cut to what training looks at. A language of up to that many texts keeps them all, one of any size leaves as few rows.
     """
     usable = pick(docs, id_col, text_col, lang_col).where(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    ranked = usable.select(F.col(lang_col).alias("lang"), F.struct(F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, 4 * WINDOW * TRAIN_WINDOWS).alias("text")).alias("x"))
-    small = ranked.where(F.pmod(F.col("x.h"), F.lit(1 << 20)) < _share(usable, per_lang))
-    kept = small.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list("x")), 1, per_lang).alias("xs"))
-    rows = kept.orderBy("lang").collect()  # bounded by per_lang texts a language
-    return [x["text"] for r in rows for x in r["xs"]], [r["lang"] for r in rows for _ in r["xs"]]
+    hashed = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, 4 * WINDOW * TRAIN_WINDOWS).alias("text"))
+    share = F.least(F.lit(SHARES), (F.lit(float(SHARES)) * 3 * per_lang / F.greatest(F.col("n"), F.lit(1))).cast("long"))
+    shares = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).select("lang", share.alias("share"))
+    small = hashed.join(F.broadcast(shares), "lang").where(F.pmod(F.col("h"), F.lit(SHARES)) < F.col("share"))  # a row per language
+    return small.groupBy("lang", "h").agg(F.min("text").alias("text"))
+
 
+def training_sample(docs: DataFrame, per_lang: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
+    """At most ``per_lang`` different labelled texts a language, the first of the candidates in the order of a hash of their text.
 
-def _share(usable: DataFrame, per_lang: int) -> Column:
-    """Part of 2^20 that leaves about three times ``per_lang`` of the rarest language, so that what is gathered doesn't grow."""
-    counts = [r["count"] for r in usable.groupBy("lang").count().collect()]
-    return F.lit(min(1 << 20, int((1 << 20) * 3 * per_lang / max(1, min(counts, default=1)))))
+    Each task hands on its own first ones only.
+    """
+    first = Window.partitionBy("lang").orderBy("h")
+    kept = training_candidates(docs, per_lang, id_col, text_col, lang_col).withColumn("at", F.row_number().over(first)).where(F.col("at") <= per_lang)
+    rows = kept.orderBy("lang", "at").collect()  # bounded by per_lang texts a language
+    return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -247,6 +247,16 @@ def test_language_id(spark, odd):
     assert {r.lang_pred for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
+def test_language_sample(spark):
+    """Copies count once, and a rare language doesn't let all texts of a common one through."""
+    rows = [(f"common {i} text", "aa") for i in range(4000)] + [(f"rare {i}", "bb") for i in range(6)] + [(f"often {i}", "cc") for i in range(20) for _ in range(60)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    seen = {r.lang: r["count"] for r in language_id.training_candidates(docs, 10).groupBy("lang").count().collect()}
+    assert 10 <= seen["aa"] <= 60 and seen["bb"] <= 6 and seen["cc"] == 20
+    texts, labels = language_id.training_sample(docs, 10)
+    assert {x: labels.count(x) for x in set(labels)} == {"aa": 10, "bb": seen["bb"], "cc": 10} and len(set(texts)) == len(texts)
+
+
 def test_html(spark):
     chain = html_extract.trained()
     rng, n, good = random.Random(77), 0, 0
