@@ -219,10 +219,20 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the smallest id of each group only; repeated rows become one."""
-    gone = link_documents(docs, id_col, text_col, **options).where("not is_first").select(F.col(KEY).alias("_fw_gone"))
+    """``docs`` with the smallest id of each group only; rows equal in id and text become one, that of the smallest JSON of the row.
+
+    Only keys that occur repeatedly are gathered again; without any, the texts pass once.
+    """
+    linked = link_documents(docs, id_col, text_col, **options)
+    gone = linked.where("not is_first").select(F.col(KEY).alias("_fw_gone"))
     left = docs.withColumn(KEY, row_key(id_col, text_col)).join(gone.distinct(), F.col(KEY) == F.col("_fw_gone"), "left_anti")
-    return left.drop(KEY)
+    again = materialise(linked.where("is_first").groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").select(F.col(KEY).alias("_fw_again")), "again")
+    if again.isEmpty():
+        return left.drop(KEY)
+    same = F.col(KEY) == F.col("_fw_again")
+    row, others = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    one = left.join(again, same, "left_semi").groupBy(KEY).agg(F.min_by(row, F.to_json(F.struct(*others)) if others else F.lit("")).alias("x"))
+    return left.join(again, same, "left_anti").drop(KEY).unionByName(one.select("x.*"))
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:

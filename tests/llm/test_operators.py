@@ -139,6 +139,16 @@ def test_near_duplicates_odd(spark, odd):
     assert 1 - (1 - 0.8**rows) ** bands >= near_duplicates.RECALL
 
 
+def test_keep_one_row(spark, odd):
+    """Repeated rows are counted as rows, not as ids; which of them stays doesn't depend on the order."""
+    assert near_duplicates.keep_one(odd).where("doc_id in (8, 9)").count() == 1
+    same, near, apart = "one two three four five six", "one two three four five six", "something else that stands quite alone"
+    rows = [(None, same, "b"), (None, same, "a"), (3, near, "a"), (4, apart, "z"), (4, apart, "y"), (4, apart, "y"), (5, None, "x")]
+    for order in (rows, rows[::-1]):
+        kept = near_duplicates.keep_one(spark.createDataFrame(order, "doc_id long, text string, source string"))
+        assert sorted((str(r.doc_id), r.source) for r in kept.collect()) == [("4", "y"), ("5", "x"), ("None", "a")]
+
+
 def test_mixing(spark, odd):
     rng = random.Random(4)
     rows = [(i, prose(rng, 20), rng.choice(("en", "de")), "big" if i % 3 == 0 else rng.choice("xyz")) for i in range(600)]
