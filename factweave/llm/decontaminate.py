@@ -13,7 +13,8 @@ happens in the task that holds the document, so texts are not shuffled.
 
 Defined cases: null and empty texts and items have no tokens and match nothing; items of fewer
 tokens than the shortest mask has span (8) are matched as a whole, without substitution; repeated
-documents each give their result; repeated items count once by item_id.
+documents each give their result; rows that share an item_id are searched for with each of their texts
+and count once. Ids of documents and items may be null.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.common import pick, table
+from factweave.llm.common import KEY, pick, row_key, table
 
 #: 1: the token is compared, 0: it is ignored. Fixed values.
 MASKS = ("11011001", "1100011001")
@@ -75,7 +76,7 @@ def find_leaks(
     """id, item_id, n_match, n_window: the best window of each leaked item in each document that holds it."""
     shortest = min(map(len, masks))
     items = pick(benchmark, item_col, item_text).select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("ih")).where(F.size("ih") > 0)
-    items = items.groupBy("item_id").agg(F.max("ih").alias("ih")).withColumn("n", F.size("ih"))
+    items = items.distinct().withColumn("n", F.size("ih"))
     size = items.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.collect_set(F.when(F.col("n") < shortest, F.col("n"))).alias("short")).first()
     blocks = max(1, -(-int(size["all"]) // block_tokens))
     short = sorted(size["short"])  # at most span - 1 lengths
@@ -84,7 +85,7 @@ def find_leaks(
     sown = text.select("_fw_id", "h", F.explode(seeds).alias("x")).select("_fw_id", "h", F.col("x.pos").alias("pos"), F.col("x.s").alias("s"))
     found = None
     for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        own = items.where(F.pmod(F.xxhash64("item_id", "ih"), F.lit(blocks)) == b)
         item_seeds = F.when(F.col("n") >= shortest, _seeds("ih", "n", masks))
         for k in short:
             item_seeds = F.when(F.col("n") == k, _whole_seeds("ih", "n", k)).otherwise(item_seeds)
@@ -99,21 +100,24 @@ def find_leaks(
         best = hits.select("_fw_id", F.col("z.item_id").alias("item_id"), _best_window(doc_part, width).alias("n_match"), width.alias("n_window"))
         best = best.where(F.col("n_match") >= F.ceil(F.lit(similarity) * F.col("n_window") - 1e-9))
         found = best if found is None else found.unionByName(best)
-    return found.groupBy("_fw_id", "item_id").agg(F.max("n_match").alias("n_match"), F.max("n_window").alias("n_window")).withColumnRenamed("_fw_id", id_col)
+    most = F.max(F.struct("n_match", "n_window")).alias("x")
+    return found.groupBy("_fw_id", "item_id").agg(most).select(F.col("_fw_id").alias(id_col), "item_id", "x.n_match", "x.n_window")
 
 
 def flag_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """id, contaminated, n_items, items (sorted): a row per distinct id."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col, **options).select(id_col, "item_id")
-    every = pick(docs, id_col).withColumn("item_id", F.lit(None).cast(leaks.schema["item_id"].dataType))
-    return every.unionByName(leaks).groupBy(id_col).agg(F.array_sort(F.collect_set("item_id")).alias("items")).select(
-        id_col, (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"))
+    """id, contaminated, n_items, items (sorted): a row per distinct id. Items without id count as one and are not listed."""
+    leaks = find_leaks(docs, benchmark, id_col, text_col, **options).select(id_col, "item_id", F.lit(True).alias("hit"))
+    every = pick(docs, id_col).withColumns({"item_id": F.lit(None).cast(leaks.schema["item_id"].dataType), "hit": F.lit(False)})
+    nameless = F.max(F.col("hit") & F.col("item_id").isNull()).cast("long").alias("nameless")
+    return every.unionByName(leaks).groupBy(id_col).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("hit").alias("contaminated"), nameless).select(
+        id_col, "contaminated", (F.size("items") + F.col("nameless")).alias("n_items"), F.array_join("items", ",").alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    bad = find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_fw_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_fw_bad")), "left_anti")
+    """``docs`` without the rows that hold a benchmark item; other rows of the same id stay."""
+    keyed = docs.withColumn(KEY, row_key(id_col, text_col))
+    bad = find_leaks(keyed, benchmark, KEY, text_col, **options).select(F.col(KEY).alias("_fw_bad")).distinct()
+    return keyed.join(bad, F.col(KEY) == F.col("_fw_bad"), "left_anti").drop(KEY)
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,20 @@ def test_decontamination(spark, odd):
     assert decontaminate.flag_documents(odd.limit(0), bench).count() == 0
 
 
+def test_decontamination_shared_ids(spark):
+    """Every text of an item is searched for, null ids count, and only the rows that hold one go."""
+    rng = random.Random(12)
+    texts = [prose(rng, 20) for _ in range(4)]
+    bench = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3])], "item_id long, text string")
+    rows = [(k, f"see {t} end") for k, t in enumerate(texts)] + [(None, texts[0]), (None, "clean one"), (None, "clean two"), (0, "clean three"), (9, texts[1] + " . " + texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"block_tokens": 10}):
+        got = {r.doc_id: (r.contaminated, r.n_items, r["items"]) for r in decontaminate.flag_documents(docs, bench, **options).collect()}
+        assert got == {0: (True, 1, "1"), 1: (True, 1, "1"), 2: (True, 1, ""), 3: (True, 1, ""), None: (True, 1, "1"), 9: (True, 2, "1")}
+        left = decontaminate.decontaminate(docs, bench, **options)
+        assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == ["clean one", "clean three", "clean two"]
+
+
 def near_corpus(seed, n):
     rng = random.Random(seed)
     rows, i = [], 0
