@@ -15,7 +15,7 @@ import html as entities
 import math
 import random
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Container, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -33,7 +33,6 @@ _TOKEN = re.compile(
     r"<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*+(?:>|\Z)|</?[a-z][^>]*+(?:>|\Z)", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-ANCESTOR_WORDS = 64  # distinct ancestor features a block is described by
 
 
 @dataclass(frozen=True)
@@ -58,8 +57,11 @@ def _text_marks(text: str, linked: int, parent: str) -> tuple:
         f"end:{text[-1] if text[-1] in '.!?:…' else 'x'}", f"commas:{min(3, text.count(','))}", "copy" if "©" in text else "nocopy", "bias")
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order, with decoded text and white space made single spaces."""
+def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """Leaf blocks of a page in order, with decoded text and white space made single spaces.
+
+    With ``known``, blocks are described by ancestor features of that vocabulary only, which bounds them on pages of any depth.
+    """
     out: list[Block] = []
     stack: list[tuple[str, frozenset]] = []
     pieces: list[str] = []
@@ -123,8 +125,8 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID_TAGS:
             continue
         above = stack[-1][1] if stack else frozenset()
-        new = [x for x in _marks(tag, m["attrs"]) if x not in above] if block or m["attrs"] else []
-        if new and len(above) < ANCESTOR_WORDS:
+        new = [x for x in _marks(tag, m["attrs"]) if x not in above and (known is None or x in known)] if block or m["attrs"] else []
+        if new:
             above = above.union(new)
         stack.append((tag, above))
         links += tag == "a"
@@ -323,7 +325,7 @@ def trained(pages: int = 700, seed: int = 11) -> Chain:
 
 
 def main_text(page: str, chain: Chain, cache: dict[frozenset, float]) -> str:
-    own = blocks(page)
+    own = blocks(page, chain.weights)  # features without weight rate nothing
     labels = chain.decode([chain.emit(b, cache) for b in own])
     return "\n".join(b.text for b, label in zip(own, labels) if label)
 

@@ -300,6 +300,22 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0), chain).count() == 0
 
 
+def test_html_long_class_lists():
+    """Near ancestors count however many class words the outer ones have, and unknown words change no score."""
+    chain, rng = html_extract.trained(), random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = " ".join(f"zq{a}{b}" for a in letters[:10] for b in letters[:10])
+    for _ in range(60):
+        page, _ = html_extract.labelled_page(rng)
+        want = html_extract.main_text(f"<div>{page}</div>", chain, {})
+        assert html_extract.main_text(f'<div class="{many}">{page}</div>', chain, {}) == want
+        every, own = html_extract.blocks(page), html_extract.blocks(page, chain.weights)
+        assert [chain.emit(b, {}) for b in every] == pytest.approx([chain.emit(b, {}) for b in own])
+    deep = "".join(f'<section class="zq{a}{b}{c}">' for a in letters for b in letters for c in letters[:5])
+    assert html_extract.main_text(f"{deep}<nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Title</h1><p>Some longer text, with words in it.</p></article>", chain, {}) == "Title\nSome longer text, with words in it."
+    assert max(len(b.around) for b in html_extract.blocks(deep + "x", chain.weights)) <= len(chain.weights)
+
+
 def test_viterbi_brute():
     rng = random.Random(9)
     for _ in range(50):
