@@ -33,15 +33,21 @@ def find_entity(queries: DataFrame, entities: DataFrame) -> DataFrame:
     return first_tier([by_id, by_name, by_core], "query_id", F.col("entity_id"))
 
 
-def search_entities(queries: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:
+def search_entities(queries: DataFrame, entities: DataFrame, k: int = 5, blocks: int | None = None) -> DataFrame:
     """Top k entities per query: 1 for an equal name, .85 for one inside the other, else Jaccard of words; ties by mentions, confidence, id.
 
-    Only entities sharing a word with the query are compared; queries are words, so a substring without a shared word doesn't count.
+    Names and aliases that share a word with the query meet by the word. For those that only lie inside one another, different queries are sent
+    out in ``blocks`` parts (as many as ``query_blocks`` says, if not given) against all different names. Blank queries and names match nothing.
     """
-    q = queries.select("query_id", C.canonical_name(F.col("q")).alias("qk"), C.word_set(F.col("q")).alias("qw"))
+    q = queries.select("query_id", C.canonical_name(F.col("q")).alias("qk"), C.word_set(F.col("q")).alias("qw")).where("qk <> ''")
     names = entities.select("entity_id", "mention_count", "confidence", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("nm"))
-    names = names.select("entity_id", "mention_count", "confidence", C.canonical_name(F.col("nm")).alias("nk"), C.word_set(F.col("nm")).alias("nw"))
+    names = names.select("entity_id", "mention_count", "confidence", C.canonical_name(F.col("nm")).alias("nk"), C.word_set(F.col("nm")).alias("nw")).where("nk <> ''")
     hit = q.withColumn("w", F.explode("qw")).join(names.withColumn("w", F.explode("nw")), "w").drop("w").distinct()
+    texts, asked, blocks = names.select("nk", "nw").distinct(), q.select("qk", "qw").distinct(), blocks or query_blocks(queries)
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("qk"), F.lit(blocks)) == b)
+        inside = texts.join(F.broadcast(own), (F.contains("nk", "qk") | F.contains("qk", "nk")) & ~F.arrays_overlap("qw", "nw"))
+        hit = hit.unionByName(q.join(inside, ["qk", "qw"]).join(names, ["nk", "nw"]).select(hit.columns))
     jac = F.size(F.array_intersect("qw", "nw")) / F.size(F.array_union("qw", "nw"))
     score = F.when(F.col("qk") == F.col("nk"), 1.0).when(F.contains("nk", "qk") | F.contains("qk", "nk"), 0.85).otherwise(jac)
     best = hit.groupBy("query_id", "entity_id").agg(F.round(F.max(score), 4).alias("score"), F.max("mention_count").alias("mention_count"), F.max("confidence").alias("confidence"))

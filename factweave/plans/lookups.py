@@ -36,9 +36,8 @@ s as (select query_id, entity_id, mention_count, round(case when qk = nk then 1
   from q join n on len(list_intersect(qw, nw)) > 0)
 select query_id, entity_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, mention_count desc, entity_id)::int as rank from s) where rank <= 5""")
 def entity_search(spark, sf):
-    e = V.entities(spark, sf).withColumn("aliases", F.array().cast("array<string>"))
     q = V.table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("q"))
-    return lookup.search_entities(q, e).select("query_id", "entity_id", "score", "rank")
+    return lookup.search_entities(q, V.entities(spark, sf)).select("query_id", "entity_id", "score", "rank")
 
 
 @query("entity_relations", """select l_suppkey as source, l_partkey as target, s_name as source_name, p_name as target_name, count(*) as n from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey group by all""")

@@ -25,6 +25,16 @@ def test_find_by_part(spark):
         assert {r.query_id: r.entity_id for r in lookup.find_by_part(q, e, blocks).collect()} == {1: "1", 3: "1"}
 
 
+def test_search_inside(spark):
+    """A name inside the query or around it scores .85 without a shared word, aliases too."""
+    e = spark.createDataFrame([("1", "ChatGPT", None), ("2", "chat room", []), ("3", "Other", ["My Chatbot", "", None]), ("4", "hat", []), ("5", "!!", []), ("6", " ", [])], "entity_id string, name string, aliases array<string>")
+    e = e.withColumns({"mention_count": F.lit(1), "confidence": F.lit(0.5)})
+    q = spark.createDataFrame([(1, "chat"), (2, "!!"), (3, " "), (4, None), (5, "room big")], "query_id int, q string")
+    for blocks in (None, 3):
+        got = {(r.query_id, r.entity_id): r.score for r in lookup.search_entities(q, e, 10, blocks).collect()}
+        assert got == {(1, "1"): 0.85, (1, "2"): 0.85, (1, "3"): 0.85, (1, "4"): 0.85, (2, "5"): 1.0, (5, "2"): 0.3333}
+
+
 def test_filters(spark):
     c = spark.createDataFrame([("c1", "Bob", "Bobby", "ACTIVE", "SAME", 1), ("c2", "Al", "Bob", "RESOLVED", "SAME", 2), ("c3", "Al", "Al", "ACTIVE", "DIFFERENT", 3)], "conflict_id string, candidate_name string, entity_name string, status string, decision string, updated_at int")
     ids = lambda df: [r.conflict_id for r in df.collect()]
