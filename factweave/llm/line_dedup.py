@@ -22,19 +22,18 @@ WINDOW = 3
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """_fw_key, id, pos (0-based), h: one row per window with something in it."""
+    """_fw_key, id, pos (0-based), h: one row per window with something in it; h stands for all its lines in order."""
     lines = pick(docs, id_col, text_col).select(
         row_key(id_col, text_col).alias(KEY), id_col, F.split(F.col(text_col), "\n").alias("l"))
-    hashed = lines.select(KEY, id_col, F.transform("l", lambda x: F.when(x.rlike(r"[\p{L}\p{N}]"), F.xxhash64(x))).alias("h"))
+    hashed = lines.select(KEY, id_col, F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", lambda x: x.rlike(r"[\p{L}\p{N}]")).alias("said"))
     n = F.size("h")
     one = F.transform(
         F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))),
-        lambda i: F.slice("h", i + 1, F.lit(size)))
+        lambda i: F.when(F.exists(F.slice("said", i + 1, F.lit(size)), lambda x: x), F.xxhash64(F.slice("h", i + 1, F.lit(size)), F.least(n, F.lit(size)))))
     return (
         hashed.where(n > 0)
-        .select(KEY, id_col, F.posexplode(one).alias("pos", "w"))
-        .where(F.exists("w", lambda x: x.isNotNull()))
-        .select(KEY, id_col, "pos", F.xxhash64("w", F.size("w")).alias("h"))
+        .select(KEY, id_col, F.posexplode(one).alias("pos", "h"))
+        .where("h is not null")
     )
 
 

@@ -72,6 +72,13 @@ def test_line_dedup(spark, odd):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_symbol_lines(spark):
+    """Lines without letters belong to their window, and so does their place."""
+    texts = ["{\nreturn x;\n}", "---\nreturn x;\n***", "return x;\n{\n}", "{\nreturn x;\n}"]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: texts[0], 1: texts[1], 2: texts[2], 3: ""}
+
+
 def test_decontamination(spark, odd):
     rng = random.Random(3)
     item = prose(rng, 30).split()
