@@ -16,10 +16,12 @@ KEY = "_fw_key"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors see.
 
-    Where the setting is absent (tests on one machine) a local folder is made and set.
+    Where the setting is absent a local folder is made and set if all tasks run on this machine (tests); on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='factweave-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -35,8 +37,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_key(*cols: str) -> Column:
-    """64-bit identity of a row by its columns, nulls included. Repeated equal rows share it."""
-    return F.xxhash64(*[F.struct(F.col(c), F.col(c).isNull()) for c in cols])
+    """128-bit identity of a row by its columns, nulls included. Repeated equal rows share it."""
+    said = [F.col(c).cast("string") for c in cols]
+    return F.unhex(F.md5(F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in said])))
 
 
 def pick(df: DataFrame, *cols: str) -> DataFrame:

@@ -7,14 +7,17 @@ with one document, and the tokens around it are compared place by place. An item
 a document if some window of ``window`` item tokens (the whole item if shorter) agrees in at least
 ``similarity`` of its places.
 
-Only the benchmark's seeds are sent to all tasks, in blocks of at most ``block_tokens`` tokens by
-item, so that no broadcast grows with either table; every block reads the documents once. Comparing
-happens in the task that holds the document, so texts are not shuffled.
+Benchmark items are sent to all tasks in blocks of about ``block_tokens`` tokens: once as seeds (a few numbers
+each) and once as segments of their tokens, so that a block grows with its tokens and not with the length
+of an item or the number of items that share a seed; every block reads the documents once. A hit is compared in
+the task that holds the document, on the 25 tokens around it, so texts are not shuffled.
 
 Defined cases: null and empty texts and items have no tokens and match nothing; items of fewer
-tokens than the shortest mask has span (8) are matched as a whole, without substitution; repeated
-documents each give their result; rows that share an item_id are searched for with each of their texts
-and count once. Ids of documents and items may be null.
+tokens than the shortest mask has span (8) are matched as a whole, without substitution; items of 8 to 12 tokens
+are found under any substitution that leaves one mask whole, which is not all that ``similarity`` would allow
+(the masks miss 5 of the 8 places of one substitution in 8 tokens, 1 of 66 pairs of places in 12), from 13 tokens
+on nothing allowed is missed. ``flag_documents`` gives a row per distinct id, ``decontaminate`` judges each row by itself; rows that
+share an item_id are searched for with each of their texts and count once. Ids of documents and items may be null.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.common import KEY, pick, row_key, table
+from factweave.llm.common import KEY, materialise, pick, row_key, table
 
 #: 1: the token is compared, 0: it is ignored. Fixed values.
 MASKS = ("11011001", "1100011001")
@@ -38,70 +41,70 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-PLACES = "array<struct<pos:int,s:bigint>>"
+#: Tokens of a segment's own; it also holds WINDOW - 1 tokens before and after them.
+SEGMENT = 64
 
 
-def _starts(n: str, span: int) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.col(n) - span, F.lit(0)))
+def _seed_columns(h: str, n: str, masks: tuple[str, ...], short: list[int]) -> Column:
+    """The seeds that begin at place ``pos`` of a padded text: one per mask that fits there, and one per length of short items. Null where none fits."""
+    pos, token, out = F.col("pos"), lambda k: F.get(F.col(h), F.col("pos") + (WINDOW - 1 + k)), []
+    for m, mask in enumerate(masks):
+        own = F.xxhash64(F.lit(m), *[token(k) for k, c in enumerate(mask) if c == "1"])
+        out.append(F.when(pos + len(mask) <= F.col(n), own))
+    for k in short:
+        out.append(F.when(pos + k <= F.col(n), F.xxhash64(F.lit(-k), *[token(j) for j in range(k)])))
+    return F.array(*out)
 
 
-def _seeds(h: str, n: str, masks: tuple[str, ...] = MASKS) -> Column:
-    """Array of structs (pos, s): one seed per mask and place where the mask fits."""
+def _padded(h: Column) -> Column:
+    """WINDOW - 1 nulls, the tokens, and as many nulls: what lies around a place is then a slice of fixed length."""
+    none = F.array_repeat(F.lit(None).cast("long"), WINDOW - 1)
+    return F.concat(none, h, none)
 
-    def of(m: int, mask: str) -> Column:
-        at = [i for i, c in enumerate(mask) if c == "1"]
-        seed = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(m), *[F.get(F.col(h), i + k) for k in at]).alias("s"))
-        return F.when(F.col(n) >= len(mask), F.transform(_starts(n, len(mask)), seed)).otherwise(F.array().cast(PLACES))
 
-    return F.concat(*[of(m, mask) for m, mask in enumerate(masks)])
-
-
-def _whole_seeds(h: str, n: str, length: int) -> Column:
-    """Seeds of runs of ``length`` tokens, for items shorter than every mask."""
-    seed = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(-length), F.slice(F.col(h), i + 1, F.lit(length))).alias("s"))
-    return F.when(F.col(n) >= length, F.transform(_starts(n, length), seed)).otherwise(F.array().cast(PLACES))
-
-
-def _best_window(same: Column, window: Column) -> Column:
-    """Most agreeing places in any ``window`` consecutive ones; prefix sums kept in one array."""
-    sums = F.aggregate(same, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    ahead = F.slice(sums, window + 1, F.size(sums))
-    return F.array_max(F.zip_with(ahead, F.slice(sums, F.lit(1), F.size(sums) - window), lambda a, b: a - b))
+def _segments(items: DataFrame) -> DataFrame:
+    """item_no, seg, toks: the tokens of places 64 seg - 12 to 64 seg + 75 of an item, null outside it."""
+    ahead = items.select("item_no", "ih", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SEGMENT).cast("int"))).alias("seg"))
+    return ahead.select("item_no", "seg", F.slice("ih", F.col("seg") * SEGMENT + 1, F.lit(SEGMENT + 2 * (WINDOW - 1))).alias("toks"))
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    masks: tuple[str, ...] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY, block_tokens: int = BLOCK_TOKENS,
+    masks: tuple[str, ...] = MASKS, similarity: float = SIMILARITY, block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
-    """id, item_id, n_match, n_window: the best window of each leaked item in each document that holds it."""
-    shortest = min(map(len, masks))
+    """id, item_id, n_match, n_window: the best window around a hit of each leaked item in each document that holds it."""
+    shortest, window, span = min(map(len, masks)), WINDOW, 2 * WINDOW - 1
     items = pick(benchmark, item_col, item_text).select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("ih")).where(F.size("ih") > 0)
-    items = items.distinct().withColumn("n", F.size("ih"))
+    items = materialise(items.distinct().select(F.monotonically_increasing_id().alias("item_no"), "item_id", _padded(F.col("ih")).alias("ih"), F.size("ih").alias("n")), "items")
     size = items.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.collect_set(F.when(F.col("n") < shortest, F.col("n"))).alias("short")).first()
     blocks = max(1, -(-int(size["all"]) // block_tokens))
     short = sorted(size["short"])  # at most span - 1 lengths
-    text = pick(docs, id_col, text_col).select(F.col(id_col).alias("_fw_id"), tokens(F.col(text_col)).alias("h")).withColumn("n", F.size("h"))
-    seeds = F.concat(_seeds("h", "n", masks), *[_whole_seeds("h", "n", k) for k in short])
-    sown = text.select("_fw_id", "h", F.explode(seeds).alias("x")).select("_fw_id", "h", F.col("x.pos").alias("pos"), F.col("x.s").alias("s"))
-    found = None
+    # outer, so that no filter on the number of tokens is inferred, for which the text would be cut into tokens twice
+    places = lambda n: F.explode_outer(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1))).alias("pos")
+    text = pick(docs, id_col, text_col).select(F.col(id_col).alias("_fw_id"), _padded(tokens(F.col(text_col))).alias("h")).withColumn("n", F.size("h") - 2 * (window - 1))
+    sown = text.select("_fw_id", "h", "n", places("n")).select("_fw_id", "h", "pos", F.explode(_seed_columns("h", "n", masks, short)).alias("s")).where("s is not null")
+    own = items.select("item_no", "ih", "n", places("n"))
+    # an item as long as a mask has the masks' seeds, a shorter one only that of its whole length
+    whole = F.coalesce(*[F.when(F.col("n") == k, F.element_at(_seed_columns("ih", "n", masks, [k]), -1)) for k in short], F.lit(None).cast("long")) if short else F.lit(None).cast("long")
+    own = own.select("item_no", "n", F.col("pos").alias("ip"), F.explode(F.when(F.col("n") >= shortest, _seed_columns("ih", "n", masks, [])).otherwise(F.array(whole))).alias("s")).where("s is not null")
+    segments, found = _segments(items), None
     for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "ih"), F.lit(blocks)) == b)
-        item_seeds = F.when(F.col("n") >= shortest, _seeds("ih", "n", masks))
-        for k in short:
-            item_seeds = F.when(F.col("n") == k, _whole_seeds("ih", "n", k)).otherwise(item_seeds)
-        own = own.select("item_id", "ih", F.explode(item_seeds).alias("y")).select("item_id", "ih", F.col("y.pos").alias("ip"), F.col("y.s").alias("s"))
-        # one row per seed keeps the join at one match per place of a document
-        own = own.groupBy("s").agg(F.collect_list(F.struct("item_id", "ip", "ih")).alias("of"))
-        hits = sown.join(F.broadcast(own), "s").select("_fw_id", "h", "pos", F.explode("of").alias("z"))
-        ih, start = F.col("z.ih"), F.col("pos") - F.col("z.ip")
-        # the item's places that lie inside the document, aligned at the hit
-        doc_part = F.transform(ih, lambda x, j: F.when(x == F.when(start + j >= 0, F.get(F.col("h"), F.greatest(start + j, F.lit(0)))), 1).otherwise(0))
-        width = F.least(F.lit(window), F.size(ih))
-        best = hits.select("_fw_id", F.col("z.item_id").alias("item_id"), _best_window(doc_part, width).alias("n_match"), width.alias("n_window"))
-        best = best.where(F.col("n_match") >= F.ceil(F.lit(similarity) * F.col("n_window") - 1e-9))
+        mine = F.pmod(F.xxhash64("item_no", "seg"), F.lit(blocks)) == b  # seeds and segment of one stretch of an item
+        seeds = own.withColumn("seg", F.floor(F.col("ip") / SEGMENT).cast("int")).where(mine)
+        hits = sown.join(F.broadcast(seeds), "s").select("_fw_id", "item_no", "seg", "n", (F.col("ip") - F.col("seg") * SEGMENT).alias("ip"), F.slice("h", F.col("pos") + 1, F.lit(span)).alias("seen"))
+        hits = hits.join(F.broadcast(segments.where(mine)), ["item_no", "seg"])
+        same = F.zip_with("seen", F.slice("toks", F.col("ip") + 1, F.lit(span)), lambda x, y: F.when(x == y, 1).otherwise(0))
+        width = F.least(F.lit(window), F.col("n"))
+        need = F.ceil(F.lit(similarity) * width - 1e-9)
+        rated = hits.select("_fw_id", "item_no", width.alias("n_window"), need.alias("need"), same.alias("same"))
+        rated = rated.where(F.aggregate("same", F.lit(0), lambda acc, x: acc + x) >= F.col("need"))
+        most = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda k: F.aggregate(F.slice("same", k, F.lit(window)), F.lit(0), lambda acc, x: acc + x)))
+        best = rated.select("_fw_id", "item_no", most.alias("n_match"), "n_window", "need").where("n_match >= need").drop("need")
+        best = best.groupBy("_fw_id", "item_no").agg(F.max("n_match").alias("n_match"), F.max("n_window").alias("n_window"))
         found = best if found is None else found.unionByName(best)
     most = F.max(F.struct("n_match", "n_window")).alias("x")
-    return found.groupBy("_fw_id", "item_id").agg(most).select(F.col("_fw_id").alias(id_col), "item_id", "x.n_match", "x.n_window")
+    named = found.join(items.select("item_no", "item_id"), "item_no").groupBy("_fw_id", "item_id").agg(most)
+    return named.select(F.col("_fw_id").alias(id_col), "item_id", "x.n_match", "x.n_window")
 
 
 def flag_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

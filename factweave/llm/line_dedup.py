@@ -37,8 +37,8 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     )
 
 
-def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """_fw_key and ``drop``, the sorted distinct positions of lines that later occurrences cover.
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
+    """_fw_key and ``at``, the sorted distinct starts of windows that are later occurrences.
 
     The first occurrence of each window is found by a partial aggregate, so that a window shared by a
     third of the documents leaves each task as one row; the join back to the occurrences reads
@@ -49,28 +49,27 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     first = first.where(~F.col("first").eqNullSafe(F.col("last"))).select("h", "first")
     later = found.join(first, "h").where(~place.eqNullSafe(F.col("first")))
-    spots = later.groupBy(KEY).agg(F.collect_set("pos").alias("at"))
-    return spots.select(KEY, F.array_sort(F.array_distinct(F.flatten(
-        F.transform("at", lambda p: F.sequence(p, p + (size - 1)))))).alias("drop"))
+    return later.groupBy(KEY).agg(F.array_sort(F.collect_set("pos")).alias("at"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """All columns of ``docs`` with ``text_col`` cleaned, plus n_lines and n_removed (replacing columns of these names).
 
-    Rows are as many as before: a text that is all later copies becomes empty.
+    Rows are as many as before: a text that is all later copies becomes empty. The lines kept are the slices between
+    the merged windows, so the work on a document grows with its lines and not with their square.
     """
-    gone = covered_lines(docs, id_col, text_col, size).withColumnRenamed("drop", "_fw_drop")
-    joined = docs.withColumn(KEY, row_key(id_col, text_col)).join(gone, KEY, "left").drop(KEY)
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_fw_drop", i))
-    n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    n = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n)
-    out = joined.withColumns({
-        "n_lines": n,
-        "n_removed": F.coalesce(F.size(F.filter("_fw_drop", lambda p: p < n)), F.lit(0)).cast("long"),
-        "_fw_text": F.when(F.col("_fw_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
-    })
-    return out.withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long"))).withColumn(text_col, F.col("_fw_text")).drop("_fw_text", "_fw_drop")
+    gone = repeated_windows(docs, id_col, text_col, size).withColumnRenamed("at", "_fw_at")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
+    split = docs.select(*rest, F.split(F.col(text_col), "\n").alias("_fw_lines"), row_key(id_col, text_col).alias(KEY))
+    joined = split.join(gone, KEY, "left").withColumn("_fw_n", F.coalesce(F.size("_fw_lines"), F.lit(0)))
+    after = F.slice("_fw_at", F.lit(2), F.greatest(F.size("_fw_at") - 1, F.lit(0)))
+    between = F.zip_with("_fw_at", after, lambda a, b: F.slice("_fw_lines", a + size + 1, F.greatest(F.coalesce(b, F.col("_fw_n")) - a - size, F.lit(0))))
+    kept = F.flatten(F.concat(F.array(F.slice("_fw_lines", F.lit(1), F.get("_fw_at", F.lit(0)))), between))
+    out = joined.withColumn("_fw_kept", F.when(F.col("_fw_at").isNull(), F.col("_fw_lines")).otherwise(kept))
+    n = F.when(F.col("_fw_lines").isNull(), F.lit(0)).otherwise(F.col("_fw_n")).cast("long")
+    extra = {text_col: F.array_join("_fw_kept", "\n"), "n_lines": n, "n_removed": (n - F.when(F.col("_fw_lines").isNull(), F.lit(0)).otherwise(F.size("_fw_kept"))).cast("long")}
+    order = [c for c in docs.columns if c not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"]
+    return out.select(*[extra[c].alias(c) if c in extra else F.col(f"`{c}`") for c in order])
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
