@@ -8,7 +8,10 @@ inside texts are escaped reversibly, and a loss mask lists the character spans o
 Defined cases: null texts and roles are empty strings; a record whose fingerprint no mapping knows
 keeps its row with null turns and layout; an empty list of messages gives no turns; turns with one
 number are ordered by role, then text; repeated turns stay.
-A conversation is one record and so has to fit one row; conversations are never joined to one another.
+A conversation is one record and so has to fit one row; conversations are never joined to one another. The parser of
+paths refuses strings over 20 million characters; of records over ``LONG`` characters the paths are therefore read from a
+skeleton, in which escapes are dropped and string contents cut, and the texts with a reader whose limit is lifted. (A field
+name of more than 64 characters or with escapes has no mapping in such a record.)
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Other names of the roles. Fixed values.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 TURNS = "array<struct<role:string,text:string>>"
+#: Characters from which on a record's paths are read from its skeleton.
+LONG = 1_000_000
+READER = {"maxStringLen": str(2**31 - 1)}
 
 
 @dataclass(frozen=True)
@@ -45,7 +51,7 @@ class Mapping:
         return ", ".join(f"`{field}` string" for _, field in self.fields)
 
     def turns(self, record: Column) -> Column:
-        parsed = F.from_json(record, self.schema())
+        parsed = F.from_json(record, self.schema(), READER)
         if self.array is None:
             return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(parsed[field], F.lit("")).alias("text")) for role, field in self.fields])
         name, role, text = self.array
@@ -74,9 +80,14 @@ def _hash(shape: str) -> str:
     return hashlib.sha256(shape.encode()).hexdigest()[:16]
 
 
+def skeleton(record: Column) -> Column:
+    """A record with the same paths whose strings hold at most their first 64 characters."""
+    return F.regexp_replace(F.regexp_replace(record, r"\\u[0-9a-fA-F]{4}|\\.", ""), r'"([^"]{0,64})[^"]*"', '"$1"')
+
+
 def shape(record: Column) -> Column:
     """Nested field paths of a JSON record in canonical order, leaf types left out. Null if it is not JSON."""
-    described = F.schema_of_variant(F.try_parse_json(record))
+    described = F.schema_of_variant(F.try_parse_json(F.when(F.length(record) > LONG, skeleton(record)).otherwise(record)))
     kind = r"(?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\([0-9,]+\)|FLOAT|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|UUID|VARIANT)"
     return F.regexp_replace(F.regexp_replace(described, rf": {kind}(?=[,>])", ""), rf"(?<=<){kind}(?=>)", "_")
 

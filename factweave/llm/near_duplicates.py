@@ -1,8 +1,10 @@
 """N-gram Jaccard join by MinHash banding, verified on full n-gram sets.
 
 Documents are sets of five-word shingles. Band and row counts follow from the similarity and the
-target recall. Exact copies are collapsed first; band hashes are shuffled as small rows, and each
-bucket is linked to its smallest member only, which gives candidate components without pairs.
+target recall. Exact copies are collapsed first; band hashes are shuffled as small rows. Inside a bucket
+members are linked if their signatures agree in half of the places or more (a pair of .8 fails that less than once in
+10^12), by a spanning tree and without pairs, so that chance hits of a band don't chain unlike documents into one
+component; a bucket of more than ``BUCKET`` members is linked to its smallest member as a whole.
 The documents of a component meet once, in blocks of bounded size: pairs sharing a band are verified
 on their whole shingle sets inside a task, which returns per document the number of verified links
 and one edge to its block's root. Pairs are never written or shuffled; a component of any size is dealt
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from factweave.llm.common import KEY, WORD_GAP, materialise, pick, row_key, table
 
 SHINGLE, SIMILARITY, RECALL, HASHES, SEED = 5, 0.8, 0.9995, 128, 20240229
+#: Members up to which a bucket is held in one task, and the share of equal signature bytes that links two of them.
+BUCKET, AGREE = 2_000, 0.5
 #: Shingles held by one block; a document weighs LIGHT at least, which bounds a block's documents too.
 BLOCK, LIGHT = 1_000_000, 200
 
@@ -55,12 +59,13 @@ def shingles(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def signer(bands: int, rows: int, seed: int = SEED) -> Callable[[np.ndarray], np.ndarray]:
+def signer(bands: int, rows: int, seed: int = SEED) -> Callable[[np.ndarray], tuple[np.ndarray, bytes]]:
+    """From shingles to the codes of the bands and a byte of each hash."""
     rng = np.random.default_rng(seed)
     a = (rng.integers(1, 2**32, bands * rows, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
     b = rng.integers(0, 2**32, bands * rows, dtype=np.uint64).astype(np.uint32)[:, None]
 
-    def sign(s: np.ndarray) -> np.ndarray:
+    def sign(s: np.ndarray) -> tuple[np.ndarray, bytes]:
         low = np.full(bands * rows, 2**32 - 1, dtype=np.uint32)
         x = ((s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
         for i in range(0, len(x), 4096):
@@ -69,7 +74,7 @@ def signer(bands: int, rows: int, seed: int = SEED) -> Callable[[np.ndarray], np
         for column in low.reshape(bands, rows).T.astype(np.uint64):
             code = (code ^ column) * np.uint64(0x9E3779B97F4A7C15)
             code ^= code >> np.uint64(31)
-        return code.view(np.int64)
+        return code.view(np.int64), (low >> np.uint32(24)).astype(np.uint8).tobytes()
 
     return sign
 
@@ -79,7 +84,7 @@ def _words(text_col: str):
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 0, rows: int = 0) -> DataFrame:
-    """_fw_key, id, copy (digest of the word sequence, null without words), n (shingles) and bands."""
+    """_fw_key, id, copy (digest of the word sequence, null without words), n (shingles), bands and sketch."""
     words = pick(docs, id_col, text_col).select(row_key(id_col, text_col).alias(KEY), F.col(id_col).alias("id"), _words(text_col).alias("w"))
     hashed = words.select(KEY, "id", F.when(F.size("w") > 0, F.md5(F.array_join("w", " "))).alias("copy"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
 
@@ -92,13 +97,13 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for i in range(len(batch)):
                 s = shingles(flat[at[i] : at[i + 1]])
                 sizes.append(len(s))
-                signed.append(sign(s) if len(s) else None)
+                signed.append(sign(s) if len(s) else (None, None))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(KEY), batch.column("id"), batch.column("copy"), pa.array(sizes, pa.int64()), pa.array(signed, pa.list_(pa.int64()))],
-                names=[KEY, "id", "copy", "n", "bands"])
+                [batch.column(KEY), batch.column("id"), batch.column("copy"), pa.array(sizes, pa.int64()), pa.array([x for x, _ in signed], pa.list_(pa.int64())), pa.array([y for _, y in signed], pa.binary())],
+                names=[KEY, "id", "copy", "n", "bands", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return hashed.mapInArrow(run, f"{KEY} long, id {kind}, copy string, n long, bands array<long>")
+    return hashed.mapInArrow(run, f"{KEY} binary, id {kind}, copy string, n long, bands array<long>, sketch binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -121,6 +126,47 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
+def spanning_links(rep: np.ndarray, sketches: np.ndarray, agree: float = AGREE) -> list[tuple[int, int]]:
+    """Edges (larger, smaller) of a spanning forest of the members of one bucket whose sketches agree."""
+    root = np.arange(len(rep))
+    out = []
+    for i in range(len(rep) - 1):
+        for j in i + 1 + np.flatnonzero((sketches[i + 1 :] == sketches[i]).mean(axis=1) >= agree):
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((max(rep[i], rep[j]), min(rep[i], rep[j])))
+    return out
+
+
+def bucket_links(members: DataFrame, agree: float = AGREE) -> DataFrame:
+    """(u, v) of the spanning forests of all buckets; members: band, code, rep, sketch. A task reads its buckets one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def links(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            band, code, rep, sketch = rows
+            cuts = np.flatnonzero((band[1:] != band[:-1]) | (code[1:] != code[:-1])) + 1
+            edges = [e for own in np.split(np.arange(len(rep)), cuts) for e in spanning_links(rep[own], sketch[own], agree)]
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in edges], pa.int64()), pa.array([v for _, v in edges], pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(batch), -1)
+            rows = (*[batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "code", "rep")], sketch)
+            if held is not None:
+                rows = tuple(np.concatenate(pair) for pair in zip(held, rows))
+            last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])  # the bucket that may go on in the next batch
+            held = tuple(x[last] for x in rows)
+            if not last.all():
+                yield links(tuple(x[~last] for x in rows))
+        if held is not None:
+            yield links(held)
+
+    return members.repartition("band", "code").sortWithinPartitions("band", "code", "rep").select("band", "code", "rep", "sketch").mapInArrow(run, "u long, v long")
+
+
 def verify_block(ids: np.ndarray, weight: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Verified links per document (weighted by copies) and the root of each; ``side`` 0 and 1 are two blocks, else all pairs count.
 
@@ -174,25 +220,29 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     bands, rows = bands_and_rows(similarity, recall)
     signed = materialise(signatures(docs, id_col, text_col, bands, rows), "signed")
-    first = F.min(F.struct("id", KEY, "n", "bands"))
-    reps = signed.where("copy is not null").groupBy("copy").agg(first.alias("r"), F.count("*").alias("weight")).select("copy", F.col(f"r.{KEY}").alias("rep"), "r.n", "r.bands", "weight")
-    reps = materialise(reps, "reps")
+    first = F.min(F.struct("id", KEY, "n", "bands", "sketch"))
+    reps = signed.where("copy is not null").groupBy("copy").agg(first.alias("r"), F.count("*").alias("weight"))
+    # numbers of rows are unlike, as hashes needn't be; they are written and so stay what they are
+    reps = materialise(reps.select("copy", F.monotonically_increasing_id().alias("rep"), F.col(f"r.{KEY}").alias(KEY), "r.n", "r.bands", "r.sketch", "weight"), "reps")
     inside = reps.select("rep", F.posexplode("bands").alias("band", "code"))
-    star = inside.join(inside.groupBy("band", "code").agg(F.min("rep").alias("m"), F.max("rep").alias("x")).where("m <> x"), ["band", "code"]).select(F.col("rep").alias("u"), F.col("m").alias("v"))
-    roots = components(star)
+    shared = inside.groupBy("band", "code").agg(F.min("rep").alias("m"), F.count("*").alias("members")).where("members > 1")
+    shared = materialise(inside.join(shared, ["band", "code"]), "buckets")
+    star = shared.where(F.col("members") > BUCKET).select(F.col("rep").alias("u"), F.col("m").alias("v"))
+    alike = bucket_links(shared.where(F.col("members") <= BUCKET).join(reps.select("rep", "sketch"), "rep"))
+    roots = components(star.unionByName(alike))
     comp = roots.select(F.col("u").alias("rep"), "root").unionByName(roots.select(F.col("root").alias("rep"), "root").distinct())
     members = reps.join(comp, "rep").withColumn("load", F.greatest("n", F.lit(LIGHT)))
     loads = members.groupBy("root").agg(F.sum("load").alias("all")).withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
     loads = materialise(loads, "loads")
     bins = max(1, -(-int(loads.where("blocks = 1").agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]) // (BLOCK // 2)))
     dealt = members.join(loads.select("root", "blocks"), "root").select(
-        "rep", "root", "weight", "bands", "blocks",
+        "rep", KEY, "root", "weight", "bands", "blocks",
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("g"),
         F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("b"))
     dealt = materialise(dealt, "dealt")
-    text = pick(docs, id_col, text_col).select(row_key(id_col, text_col).alias("rep"), F.col(text_col).alias("t"))
+    text = pick(docs, id_col, text_col).select(row_key(id_col, text_col).alias(KEY), F.col(text_col).alias("t"))
     # repeated rows share a key and are equal, so any of them gives the words
-    held = dealt.join(text, "rep").dropDuplicates(["rep"]).withColumn("h", F.transform(_words("t"), lambda x: F.xxhash64(x))).drop("t")
+    held = dealt.join(text, KEY).dropDuplicates(["rep"]).withColumn("h", F.transform(_words("t"), lambda x: F.xxhash64(x))).drop("t", KEY)
     mine = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("b")).alias("x"), F.greatest(o, F.col("b")).alias("y")))
     cells = held.withColumn("c", F.explode(mine)).select("rep", "root", "weight", "bands", "b", "g", "h", "blocks", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
 
@@ -211,8 +261,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = components(linked.select(F.col("rep").alias("u"), F.col("to").alias("v")))
     known = reps.select("copy", "rep", "weight").join(counted, "rep", "left").join(groups.withColumnRenamed("u", "rep"), "rep", "left")
     known = known.select("copy", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"))
-    rows_out = signed.select(KEY, "id", "copy").join(known, "copy", "left").withColumn("root", F.coalesce("root", KEY))
-    rows_out = materialise(rows_out.select(KEY, "id", "root", "n_links"), "classes")
+    rows_out = signed.select(KEY, "id", "copy").join(known, "copy", "left")
+    # a row without words is a class by itself, named by its key
+    rows_out = rows_out.select(KEY, "id", F.coalesce(F.col("root").cast("string"), F.hex(KEY)).alias("root"), "n_links")
+    rows_out = materialise(rows_out, "classes")
     smallest = rows_out.groupBy("root").agg(F.min("id").alias("class_id"), F.min(F.struct("id", KEY)).alias("first"))
     return rows_out.join(smallest, "root").select(
         KEY, "id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("first")[KEY] == F.col(KEY)).alias("is_first"))
