@@ -1,9 +1,11 @@
 """WARC archives with a salvaging reader.
 
-Records are gzip members (or plain records). The reader checks each record as it stands; where a check
-fails it searches for the next gzip member that opens on a version line, or the next plain version
+Records are gzip members of one or several records, or plain records. The reader checks each record as it stands: its
+version line, header lines, length, end mark, and the block and payload digests whose algorithm it knows (MD5 and SHA in
+hexadecimal or base 32). Where a check fails it searches for the next gzip member or the next plain version
 line, goes on from there, and reports the bytes in between as a quarantined gap. Nothing after a damaged
-place is lost but what the damage covers.
+place is lost but what the damage covers. Files are read in pieces; what is held at once is one record, or the records of
+one gzip member up to ``HELD`` bytes, which wait for the member's own check.
 
 Defined cases: null html is an empty payload; of records with equal payloads of at least 100 bytes the
 smallest page_id is written as response and the others as revisits without a body; rows equal in
@@ -12,12 +14,15 @@ page_id and html are one page and are written once per row; null page_id sorts f
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import io
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,18 +34,24 @@ VERSION = b"WARC/1."
 MAGIC = b"\x1f\x8b\x08"
 REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
-ROWS_PER_FILE = 2_000
+#: Bytes after which a file is closed and the next begun; bytes read at once; longest header; what a member's records may hold while it isn't checked.
+FILE_BYTES, PIECE, HEAD, HELD = 32 << 20, 1 << 18, 1 << 20, 32 << 20
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
 
 
 def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC record: an HTTP response, or a revisit of which the payload is held by another record."""
-    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (b"" if revisit else payload)
+    """One WARC record: an HTTP response, or a revisit of which the payload is held by another record; both state the payload's length."""
+    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + (b"" if revisit else payload)
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url or '')}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", f"X-Page-Id: {'' if page_id is None else page_id}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url or '')}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-Id: {'' if page_id is None else page_id}",
     ]
     if revisit:
-        head.append(f"WARC-Refers-To-Page: {'' if refers_to is None else refers_to}")
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -51,61 +62,170 @@ def member(record: bytes, level: int = 1) -> bytes:
     return MAGIC + b"\x00\x00\x00\x00\x00\x00\xff" + pack.compress(record) + pack.flush() + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """Headers, block and end of the plain record at ``at``; None if any check fails."""
-    if not data.startswith(VERSION, at) or (stop := data.find(b"\r\n\r\n", at)) < 0:
+def digest_fits(named: str, data: bytes) -> bool | None:
+    """Whether ``data`` has the digest ``algorithm:value``; None if algorithm or form are unknown."""
+    name, _, value = named.partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
         return None
-    lines = data[at:stop].split(b"\r\n")[1:]
-    if not all(b":" in x for x in lines):
+    raw = hashlib.new(name, data).digest()
+    if len(value) == 2 * len(raw):
+        return value.lower() == raw.hex()
+    packed = base64.b32encode(raw).decode()
+    return value.upper() == packed or value.upper() == packed.rstrip("=") if len(value) in (len(packed), len(packed.rstrip("="))) else None
+
+
+def payload_of(heads: dict[str, str], block: bytes) -> tuple[bytes, dict[str, str]]:
+    """The payload of a record's block and the HTTP headers before it, if it holds an HTTP message."""
+    if not heads.get("content-type", "").lower().startswith("application/http"):
+        return block, {}
+    top, _, payload = block.partition(b"\r\n\r\n")
+    lines = (x.split(b":", 1) for x in top.split(b"\r\n")[1:] if b":" in x)
+    return payload, {k.strip().lower().decode("latin1"): v.strip().decode("latin1") for k, v in lines}
+
+
+def _sound(heads: dict[str, str], block: bytes) -> bool | None:
+    """Whether the digests of a record fit; None if there is none that could be checked."""
+    if "warc-truncated" in heads:
         return None
+    checks = [digest_fits(heads["warc-block-digest"], block)] if "warc-block-digest" in heads else []
+    if heads.get("warc-type") in ("response", "resource") and "warc-payload-digest" in heads and "warc-segment-number" not in heads:
+        payload, http = payload_of(heads, block)
+        if "transfer-encoding" not in http:  # writers differ on what the payload of such a message is
+            checks.append(digest_fits(heads["warc-payload-digest"], payload))
+    known = [x for x in checks if x is not None]
+    return all(known) if known else None
+
+
+def parse_head(data: bytes | bytearray) -> tuple[dict[str, str], int, int] | bool:
+    """Headers, start and end of the block of the record that ``data`` begins with; False if it can't be one, True if more bytes are needed."""
+    if not (data[: len(VERSION)] == VERSION or VERSION.startswith(bytes(data))):
+        return False
+    stop = data.find(b"\r\n\r\n", 0, HEAD)
+    if stop < 0:
+        return len(data) < HEAD
+    lines = bytes(data[:stop]).split(b"\r\n")[1:]
+    if not all(b":" in x for x in lines):
+        return False
     heads = {k.strip().lower().decode("latin1"): v.strip().decode("utf-8", "replace") for k, v in (x.split(b":", 1) for x in lines)}
     length = heads.get("content-length", "")
-    if not length.isdigit():
+    return (heads, stop + 4, stop + 4 + int(length)) if re.fullmatch("[0-9]{1,18}", length) else False
+
+
+Found = tuple[dict[str, str], bytes]
+
+
+def _plain(f: BinaryIO, at: int, size: int) -> tuple[Found, int] | None:
+    """The plain record at ``at`` and its end; the end mark is looked at before the block is read."""
+    f.seek(at)
+    got = parse_head(f.read(min(HEAD, size - at)))
+    if isinstance(got, bool) or at + got[2] + 4 > size:
         return None
-    begin, end = stop + 4, stop + 4 + int(length)
-    if data[end : end + 4] != b"\r\n\r\n":
+    f.seek(at + got[2])
+    if f.read(4) != b"\r\n\r\n":
         return None
-    block = data[begin:end]
-    if heads.get("warc-type") == "response" and "warc-payload-digest" in heads:
-        payload = block.split(b"\r\n\r\n", 1)[-1]
-        if hashlib.sha256(payload).hexdigest() != heads["warc-payload-digest"].removeprefix("sha256:"):
-            return None
-    return heads, block, end + 4
-
-
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
-    """('record', start, end, headers, block) and ('gap', start, end, {}, b'') in file order."""
-    at, gap = 0, None
-    while at < len(data):
-        found, end = None, at
-        if data.startswith(MAGIC, at):
-            unpack = zlib.decompressobj(31)
-            try:
-                plain = unpack.decompress(data[at:] if len(data) - at < 1 << 20 else data[at : at + (1 << 20)])
-                fed = at + (1 << 20)
-                while not unpack.eof and fed < len(data):
-                    plain += unpack.decompress(data[fed : fed + (1 << 20)])
-                    fed += 1 << 20
-                if unpack.eof and (got := parse_record(plain, 0)) and got[2] == len(plain):
-                    found, end = got, min(len(data), fed) - len(unpack.unused_data)
-            except zlib.error:
-                found = None
-        elif data.startswith(VERSION, at):
-            found = parse_record(data, at)
-            end = found[2] if found else at
-        if found:
+    f.seek(at + got[1])
+    block = f.read(got[2] - got[1])
+    return None if _sound(got[0], block) is False else ((got[0], block), at + got[2] + 4)
+
+
+def _as_far(unpack: zlib._Decompress, piece: bytes) -> bytes:
+    """What a broken piece of a gzip member gives before the damage."""
+    out = bytearray()
+    for i in range(0, len(piece), 64):
+        try:
+            out += unpack.decompress(piece[i : i + 64])
+        except zlib.error:
+            break
+    return bytes(out)
+
+
+def _member(f: BinaryIO, at: int, size: int) -> Iterator[tuple[Found | None, int]]:
+    """(record, place) of the gzip member at ``at``: places are how far the file was read for the records, the last one is the member's end.
+
+    A member that breaks off gives the records before the damage that a digest proves (or that didn't fit into HELD), and then (None, place).
+    """
+    unpack, plain, fed, held, waiting, reached = zlib.decompressobj(31), bytearray(), at, 0, [], at
+    whole = True
+    while whole and not unpack.eof and fed < size:
+        f.seek(fed)
+        piece, before = f.read(PIECE), unpack.copy()
+        fed += len(piece)
+        try:
+            plain += unpack.decompress(piece)
+        except zlib.error:
+            plain += _as_far(before, piece)
+            whole = False
+        begin = 0
+        while begin < len(plain):
+            got = parse_head(memoryview(plain)[begin : begin + HEAD].tobytes())
+            if got is True or (got and begin + got[2] + 4 > len(plain)):
+                break
+            block = bytes(plain[begin + got[1] : begin + got[2]]) if got else b""
+            sound = _sound(got[0], block) if got and plain[begin + got[2] : begin + got[2] + 4] == b"\r\n\r\n" else False
+            if sound is False:
+                whole = False
+                break
+            begin += got[2] + 4
+            waiting.append(((got[0], block), fed - len(unpack.unused_data), sound))
+            held += len(block)
+        del plain[:begin]
+        if whole and held > HELD:
+            yield from ((r, p) for r, p, _ in waiting)
+            reached, waiting, held = fed - len(unpack.unused_data), [], 0
+    if whole and unpack.eof and not plain:
+        yield from ((r, p) for r, p, _ in waiting)
+    else:
+        yield from ((r, reached) for r, _, sound in waiting if sound)
+        yield None, reached
+
+
+def _next(f: BinaryIO, at: int, size: int) -> int:
+    """First place from ``at`` on where a gzip member or a version line may begin; ``size`` if there is none."""
+    while at < size:
+        f.seek(at)
+        piece = f.read(PIECE + len(VERSION))
+        hits = [x for x in (piece.find(MAGIC), piece.find(VERSION)) if 0 <= x < PIECE]
+        if hits:
+            return at + min(hits)
+        at += PIECE
+    return size
+
+
+def salvage(source: bytes | BinaryIO) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
+    """('record', start, end, headers, block) and ('gap', start, end, {}, b'') in file order; together they cover every byte once.
+
+    Of records in one gzip member, start and end say how far the file was read for each; those read with one piece share an end.
+    Proven records of a member that breaks off have no bytes of their own; its bytes are a gap, in which the search goes on.
+    """
+    f = io.BytesIO(source) if isinstance(source, bytes) else source
+    size = f.seek(0, 2)
+    at, done, gap = 0, 0, None  # done: end of what was handed out
+    while at < size:
+        f.seek(at)
+        opening = f.read(len(VERSION))
+        found: Iterator[tuple[Found | None, int]] = iter(())
+        if opening.startswith(MAGIC):
+            found = _member(f, at, size)
+        elif opening == VERSION and (one := _plain(f, at, size)):
+            found = iter([one])
+        after, broken = at, True
+        for record, place in found:
+            broken = record is None
+            if record is None:
+                break
             if gap is not None:
                 yield "gap", gap, at, {}, b""
-                gap = None
-            yield "record", at, end, found[0], found[1]
-            at = end
-            continue
-        gap = at if gap is None else gap
-        # the next place where a record may begin; a false one fails its checks and is passed over
-        nexts = [x for x in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-        at = min(nexts, default=len(data))
+                gap, done = None, at
+            yield "record", done, place, *record
+            after = done = place
+        if broken:
+            gap = done if gap is None else gap
+            at = _next(f, max(at + 1, after), size)
+        else:
+            at = after
     if gap is not None:
-        yield "gap", gap, len(data), {}, b""
+        yield "gap", gap, size, {}, b""
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
@@ -124,10 +244,10 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("a.page_id")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
 
 
-def write_archives(rows: DataFrame, folder: str, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+def write_archives(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the rows of ``with_revisits`` as ``*.warc.gz`` under ``folder`` (any URI that pyarrow opens); path and n_records per file.
 
-    A file is written under a passing name and then moved, so a task that runs twice leaves one whole file of each name.
+    A file is closed when it holds ``file_bytes`` or more. It is written under a passing name and then moved, so a task that runs twice leaves one whole file of each name.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,25 +257,26 @@ def write_archives(rows: DataFrame, folder: str, rows_per_file: int = ROWS_PER_F
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
-        done, out, held, number = [], None, 0, 0
+        done, out, held, size, number = [], None, 0, 0, 0
 
         def close() -> None:
-            nonlocal out, held, number
+            nonlocal out, held, size, number
             if out is not None:
                 out.close()
                 name = f"part-{part:06d}-{number:05d}.warc.gz"
                 fs.move(f"{root}/{tag}", f"{root}/{name}")
                 done.append((f"{folder}/{name}", held))
-                out, held, number = None, 0, number + 1
+                out, held, size, number = None, 0, 0, number + 1
 
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
                     tag = f".writing-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(f"{root}/{tag}", compression=None)
-                out.write(member(make_record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"], row["revisit"])))
-                held += 1
-                if held >= rows_per_file:
+                packed = member(make_record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"], row["revisit"]))
+                out.write(packed)
+                held, size = held + 1, size + len(packed)
+                if size >= file_bytes:
                     close()
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["path", "n_records"])
@@ -166,8 +287,23 @@ def write_archives(rows: DataFrame, folder: str, rows_per_file: int = ROWS_PER_F
 READ_SCHEMA = "path string, kind string, start long, stop long, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
-def read_archives(paths: DataFrame) -> DataFrame:
-    """Every record and every quarantined gap of the files named in the column ``path``; a file is read by one task."""
+def _row(path: str, kind: str, start: int, stop: int, heads: dict[str, str], block: bytes, payloads: bool) -> tuple:
+    if kind == "gap":
+        return (path, kind, start, stop, *[None] * 7)
+    number = lambda x: int(x) if x and re.fullmatch("-?[0-9]{1,18}", x) else None
+    payload, http = payload_of(heads, block)
+    revisit = heads.get("warc-type") == "revisit"  # its payload is elsewhere; the record states digest and length
+    digest = heads.get("warc-payload-digest", "").removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest()
+    length = number(http.get("content-length")) if revisit else len(payload)
+    return (path, kind, start, stop, number(heads.get("x-page-id")), heads.get("warc-target-uri"), heads.get("warc-type"), number(heads.get("x-refers-to-page")),
+            digest, length, payload if payloads and not revisit else None)
+
+
+def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
+    """Every record and every quarantined gap of the files named in the column ``path``; a file is read by one task, piece by piece.
+
+    Digest and length of a payload are those of the bytes read; without ``payloads`` the bytes themselves stay in the task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
@@ -179,39 +315,40 @@ def read_archives(paths: DataFrame) -> DataFrame:
         def table_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-        number = lambda x: int(x) if x not in (None, "") else None
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 fs, name = pafs.FileSystem.from_uri(path)
-                with fs.open_input_file(name) as f:
-                    data = f.read()
                 rows, size = [], 0
-                for kind, start, stop, heads, block in salvage(data):
-                    if kind == "gap":
-                        rows.append((path, kind, start, stop, *[None] * 7))
-                    else:
-                        payload = block.split(b"\r\n\r\n", 1)[-1]
-                        rows.append((path, kind, start, stop, number(heads.get("x-page-id")), heads.get("warc-target-uri"), heads.get("warc-type"), number(heads.get("warc-refers-to-page")),
-                                     heads.get("warc-payload-digest", "").removeprefix("sha256:"), number(heads.get("x-payload-length")), payload))
-                        size += len(payload)
-                    if size > 8_000_000:
-                        yield table_of(rows)
-                        rows, size = [], 0
+                with fs.open_input_file(name) as f:
+                    for found in salvage(f):
+                        rows.append(_row(path, *found, payloads))
+                        size += len(found[4]) if payloads else 200
+                        if size > 8_000_000:
+                            yield table_of(rows)
+                            rows, size = [], 0
                 if rows:
                     yield table_of(rows)
 
     return paths.select("path").mapInArrow(run, READ_SCHEMA)
 
 
-def round_trip(pages: DataFrame, folder: str) -> DataFrame:
+def log_gaps(read: DataFrame, log: str) -> None:
+    """Append the quarantined gaps of a reading (path, start, stop) to the Parquet table ``log``."""
+    read.where("kind = 'gap'").select("path", "start", "stop").write.mode("append").parquet(log)
+
+
+def round_trip(pages: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Write all pages, read all archives back."""
     written = materialise(write_archives(with_revisits(pages), folder), "manifest")
     files = written.count()
-    return read_archives(written.repartition(max(1, files)))
+    return read_archives(written.repartition(max(1, files)), payloads)
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = round_trip(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
+    """Gaps go to the table ``gaps`` beside the archives; what is read is written once, so that neither reads the archives again."""
+    folder = shared_dir(spark, "warc")
+    got = materialise(round_trip(table(spark, sf_dir, "pages"), folder, payloads=False).drop("payload"), "warc-read")
+    log_gaps(got, f"{folder}-gaps")
     return got.where("kind = 'record'").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"))
 
