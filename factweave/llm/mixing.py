@@ -4,7 +4,10 @@ Token weights of (source, language, topic) cells are raked until their sums by s
 and by topic meet the target shares; a document is then kept with the probability of its cell, the
 ratio of raked to present tokens, scaled so that the largest is 1 (the largest sample in which no
 cell is short of tokens). Documents are pre-aggregated to cells before any shuffle; raking works on
-the cells only, each step a partial aggregate and a join, written to the shared folder.
+the cells only, each step a partial aggregate and a join, and goes on until every sum is within the
+tolerance of its target. Targets that no weights of the cells can meet (a source with one language, asked for more than
+that language's share) are noticed when the error no longer falls: the last weights are kept, or ``strict`` makes it an error;
+``achieved_margins`` says how far each sum is from its target. A column of topics can take the place of the marker rule.
 
 Defined cases: null source or language is the category ``(none)``; null text has no tokens; a target
 for a value without tokens is dropped and the other targets are scaled up; cells without tokens get
@@ -23,7 +26,9 @@ from factweave.llm.common import materialise, table
 DIMS = ("source", "lang", "topic")
 #: Exponents of the default targets: a value's share is its share of tokens to this power, normalised.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-CYCLES, TOLERANCE, SEED = 12, 1e-9, "mix-1"
+TOLERANCE, SEED = 1e-9, "mix-1"
+#: Fall of the error in a cycle below which targets count as out of reach.
+FALL = 0.999
 
 
 def topic_of(text: Column) -> Column:
@@ -43,13 +48,10 @@ def draw(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def with_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus _fw_source, _fw_lang and _fw_topic, the cell of each document."""
-    return docs.withColumns({
-        "_fw_source": F.coalesce(F.col("source").cast("string"), F.lit("(none)")),
-        "_fw_lang": F.coalesce(F.col("lang").cast("string"), F.lit("(none)")),
-        "_fw_topic": topic_of(F.col(text_col)),
-    })
+def with_cells(docs: DataFrame, text_col: str = "text", topic_col: str | None = None) -> DataFrame:
+    """``docs`` plus _fw_source, _fw_lang and _fw_topic, the cell of each document; topics are those of ``topic_col`` or else by marker."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
+    return docs.withColumns({"_fw_source": named("source"), "_fw_lang": named("lang"), "_fw_topic": named(topic_col) if topic_col else topic_of(F.col(text_col))})
 
 
 def default_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
@@ -59,50 +61,72 @@ def default_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return own.select(dim, (F.col("x") / F.lit(every)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], cycles: int = CYCLES, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float = TOLERANCE, strict: bool = False) -> DataFrame:
     """``cells`` (dims and tokens > 0) plus ``w``, raked until no sum is further from its target than ``tolerance`` of it."""
     now = cells.withColumn("w", F.col("tokens").cast("double"))
     total = now.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
     for dim in targets:
         now = now.join(targets[dim].select(dim, F.col("share").alias(f"goal_{dim}")), dim)
-    now = materialise(now, "mix-cells")
-    for _ in range(cycles):
+    before = None
+    while True:
         offs = []
         for dim in targets:
             margin = now.groupBy(dim).agg(F.sum("w").alias("m"))
             aim = F.col(f"goal_{dim}") * F.lit(total)
-            now = now.join(margin, dim).withColumns({"w": F.col("w") * aim / F.col("m"), f"off_{dim}": F.abs(F.col("m") / aim - 1)}).drop("m")
+            now = now.join(margin, dim).withColumns({f"off_{dim}": F.abs(F.col("m") / aim - 1), "w": F.col("w") * aim / F.col("m")}).drop("m")
             offs.append(f"off_{dim}")
-        now = materialise(now, "mix-step")  # one written table a cycle keeps the plans short
+        now = materialise(now, "mix-step")  # a plan doubles with each join to its own sums, so each cycle is written
         worst = now.agg(F.greatest(*[F.coalesce(F.max(c), F.lit(0.0)) for c in offs], F.lit(0.0))).first()[0]
         now = now.drop(*offs)
         if worst <= tolerance:
             break
+        if before is not None and worst > FALL * before:
+            if strict:
+                raise ValueError(f"targets can't be met: a sum stays {worst:.3g} of its target away")
+            break
+        before = worst
     return now.select(*cells.columns, "w")
 
 
-def cell_rates(docs: DataFrame, text_col: str = "text", targets: Mapping[str, DataFrame] | None = None, cycles: int = CYCLES) -> DataFrame:
-    """_fw_source, _fw_lang, _fw_topic, tokens, rate for each cell that has tokens."""
-    parts = with_cells(docs, text_col).groupBy(*[f"_fw_{d}" for d in DIMS]).agg(F.sum(count_tokens(F.col(text_col))).alias("tokens"))
+def achieved_margins(raked: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
+    """dim, value, share (the target) and achieved (the share of the weights) for every value of every dimension."""
+    out = None
+    for dim, goal in targets.items():
+        own = raked.groupBy(dim).agg(F.sum("w").alias("x"))
+        every = raked.agg(F.sum("w").alias("all"))
+        one = goal.join(own, dim, "left").join(F.broadcast(every)).select(  # one row
+            F.lit(dim).alias("dim"), F.col(dim).alias("value"), "share", (F.coalesce("x", F.lit(0.0)) / F.col("all")).alias("achieved"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def raked_cells(docs: DataFrame, text_col: str = "text", targets: Mapping[str, DataFrame] | None = None, topic_col: str | None = None, strict: bool = False) -> tuple[DataFrame, Mapping[str, DataFrame]]:
+    """(cells with tokens and weight, the targets they were raked to)."""
+    parts = with_cells(docs, text_col, topic_col).groupBy(*[f"_fw_{d}" for d in DIMS]).agg(F.sum(count_tokens(F.col(text_col))).alias("tokens"))
     cells = materialise(parts.toDF(*DIMS, "tokens").where(F.col("tokens") > 0), "mix-cells")
     goals = dict(targets) if targets else {d: default_targets(cells, d, TEMPER[d]) for d in DIMS}
-    raked = rake(cells, goals, cycles).withColumn("ratio", F.col("w") / F.col("tokens"))
+    return rake(cells, goals, strict=strict), goals
+
+
+def cell_rates(docs: DataFrame, text_col: str = "text", targets: Mapping[str, DataFrame] | None = None, topic_col: str | None = None, strict: bool = False) -> DataFrame:
+    """_fw_source, _fw_lang, _fw_topic, tokens, rate for each cell that has tokens."""
+    raked = raked_cells(docs, text_col, targets, topic_col, strict)[0].withColumn("ratio", F.col("w") / F.col("tokens"))
     top = raked.agg(F.max("ratio")).first()[0] or 1.0
     return materialise(raked.select(
         *[F.col(d).alias(f"_fw_{d}") for d in DIMS], "tokens", (F.col("ratio") / F.lit(top)).alias("rate")), "mix-rates")
 
 
-def rate_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: Mapping[str, DataFrame] | None = None, seed: str = SEED) -> DataFrame:
+def rate_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: Mapping[str, DataFrame] | None = None, seed: str = SEED, topic_col: str | None = None, strict: bool = False) -> DataFrame:
     """All columns of ``docs`` plus _fw_source, _fw_lang, _fw_topic, rate and kept."""
-    rates = cell_rates(docs, text_col, targets).drop("tokens")
+    rates = cell_rates(docs, text_col, targets, topic_col, strict).drop("tokens")
     clean = docs.drop("rate", "kept")
-    joined = with_cells(clean, text_col).join(rates, [f"_fw_{d}" for d in DIMS], "left")
+    joined = with_cells(clean, text_col, topic_col).join(rates, [f"_fw_{d}" for d in DIMS], "left")
     return joined.withColumn("rate", F.coalesce("rate", F.lit(0.0))).withColumn("kept", draw(F.col(id_col), seed) < F.col("rate"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: Mapping[str, DataFrame] | None = None, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: Mapping[str, DataFrame] | None = None, seed: str = SEED, **options) -> DataFrame:
     """The documents drawn, with the columns of ``docs``."""
-    return rate_documents(docs, id_col, text_col, targets, seed).where("kept").select(*docs.columns)
+    return rate_documents(docs, id_col, text_col, targets, seed, **options).where("kept").select(*docs.columns)
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +136,14 @@ def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
         count_tokens(F.col("text")).alias("n_tokens"), F.round("rate", 5).alias("rate"), "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_mixing": _query}
+def _margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raked, goals = raked_cells(table(spark, sf_dir, "documents"))
+    return achieved_margins(raked, goals).select("dim", "value", F.round("share", 6).alias("share"), F.round("achieved", 6).alias("achieved"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_mixing": _query, "mixing_margins": _margins}
+#: Cycles written out in the SQL; the operator's weights are then the same to more places than are compared.
+CYCLES = 12
 
 
 def _oracle() -> str:
@@ -138,4 +169,11 @@ select doc_id, source, lang, topic, n_tokens, round(coalesce(rate, 0), 5) as rat
 from d left join r using (source, lang, topic)"""
 
 
-ORACLE: dict[str, str] = {"op10_mixing": _oracle()}
+def _margins_oracle() -> str:
+    """A raked sum is its target, so the shares achieved are the targets themselves."""
+    sql = _oracle()
+    parts = [f"select '{d}' as dim, {d} as value, round(g_{d}, 6)::double as share, round(g_{d}, 6)::double as achieved from g{d}" for d in DIMS]
+    return sql[: sql.index("c0 as (")].rstrip().rstrip(",") + "\n" + "\nunion all ".join(parts)
+
+
+ORACLE: dict[str, str] = {"op10_mixing": _oracle(), "mixing_margins": _margins_oracle()}

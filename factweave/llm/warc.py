@@ -143,7 +143,7 @@ def _as_far(unpack: zlib._Decompress, piece: bytes) -> bytes:
 def _member(f: BinaryIO, at: int, size: int) -> Iterator[tuple[Found | None, int]]:
     """(record, place) of the gzip member at ``at``: places are how far the file was read for the records, the last one is the member's end.
 
-    A member that breaks off gives the records before the damage that a digest proves (or that didn't fit into HELD), and then (None, place).
+    A member that breaks off gives the records whole before the damage that a digest proves (or that didn't fit into HELD), and then (None, place).
     """
     unpack, plain, fed, held, waiting, reached = zlib.decompressobj(31), bytearray(), at, 0, [], at
     whole = True
@@ -176,7 +176,8 @@ def _member(f: BinaryIO, at: int, size: int) -> Iterator[tuple[Found | None, int
     if whole and unpack.eof and not plain:
         yield from ((r, p) for r, p, _ in waiting)
     else:
-        yield from ((r, reached) for r, _, sound in waiting if sound)
+        near = waiting if plain else waiting[:-1]  # the record that the damage touches goes with it
+        yield from ((r, reached) for r, _, sound in near if sound)
         yield None, reached
 
 
