@@ -232,8 +232,8 @@ LAYOUTS: dict[str, tuple[str, ...]] = {
 SYLLABLES = "an be ci de el fo ga hi in jo ka le mi no or pa qui re sa ti un ve wi xa yo zu".split()
 
 
-def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
-    """One page and the label of each of its leaf blocks, in order."""
+def labelled_page(rng: random.Random, layouts: dict[str, tuple[str, ...]] = LAYOUTS) -> tuple[str, list[int]]:
+    """One page of the layouts and the label of each of its leaf blocks, in order."""
     labels: list[int] = []
 
     def prose(low: int, high: int) -> str:
@@ -252,7 +252,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
         return "".join(f"</{t}>" for t in reversed(re.findall(r"<([a-z]+)", opening)))
 
     def part(kind: str) -> str:
-        opening, inside = rng.choice(LAYOUTS[kind]), ""
+        opening, inside = rng.choice(layouts[kind]), ""
         listed = kind == "menu" or rng.random() < (0.5 if kind == "sidebar" else 0.15)
         if listed:
             plain = rng.random() < 0.2
@@ -276,7 +276,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
         return opening + inside + ending(opening)
 
     def main() -> str:
-        opening, inside = rng.choice(LAYOUTS["main"]), ""
+        opening, inside = rng.choice(layouts["main"]), ""
         if rng.random() < 0.8:
             head = block("h1", prose(2, 12), 1)
             inside += f"<header>{head}</header>" if rng.random() < 0.1 else head
@@ -313,11 +313,11 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     return page + ("</body></html>" if rng.random() < 0.9 else ""), labels
 
 
-def trained(pages: int = 700, seed: int = 11) -> Chain:
-    """The chain fitted on ``pages`` labelled pages."""
+def trained(pages: int = 700, seed: int = 11, layouts: dict[str, tuple[str, ...]] = LAYOUTS) -> Chain:
+    """The chain fitted on ``pages`` labelled pages of the layouts."""
     rng, data = random.Random(seed), []
     while len(data) < pages:
-        page, labels = labelled_page(rng)
+        page, labels = labelled_page(rng, layouts)
         own = blocks(page)
         if len(own) == len(labels):
             data.append((own, labels))

@@ -3,7 +3,8 @@
 Filters of several widths run over the bytes of fixed-length windows; each filter is max-pooled over a
 window and a softmax layer rates the languages. A filter over one-hot bytes is a table of 256 numbers per
 place, so a convolution is a sum of table rows. The network is trained in numpy on labelled text and
-applied to all windows of every whole text; a text's probabilities are the means over its windows,
+applied to all windows of every whole text (training looks at ``TRAIN_DOCS`` texts a language, of each at its first 6,144
+characters and there at ``TRAIN_WINDOWS`` windows at most: that is the bound of the labelled sample); a text's probabilities are the means over its windows,
 weighted by their letters-bearing bytes.
 
 Defined cases: null text and text without letters are ``und`` with score 0; without labelled text every

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.common import WORD_GAP, pick, table
+from factweave.llm.common import WORD_GAP, materialise, pick, table
 
 SYMBOLS = "#*$%&|<>"
 #: Rule name -> condition over the measurements under which it fails. The order fixes the bits.
@@ -152,7 +152,17 @@ def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_quality_rules": _query}
+def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every policy's ablation over one stored ledger: the texts are read once, the policies see masks only."""
+    stored = materialise(ledger(table(spark, sf_dir, "documents")), "ledger")
+    out = None
+    for version in POLICIES:
+        one = ablation(stored, version).withColumn("policy", F.lit(version))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_quality_rules": _query, "quality_ablation": _ablation}
 
 ORACLE: dict[str, str] = {
     "op6_quality_rules": r"""
@@ -179,3 +189,16 @@ f as (select *, (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 as base_failed,
   failed = 0 as kept, failed, n_lines, n_letters, n_upper from f""",
 }
+
+
+def _ablation_oracle() -> str:
+    names, parts = list(RULES), []
+    for version, rules in POLICIES.items():
+        mask = policy_mask(version)
+        for rule in rules:
+            bit = 1 << names.index(rule)
+            parts.append(f"select '{version}' as policy, '{rule}' as rule, count(*) filter (failed & {bit} <> 0) as n_failed, count(*) filter (failed & {mask} = {bit}) as n_regained, coalesce(bit_or(failed & {mask}), 0)::bigint as any_bits from q")
+    return f"with q as ({ORACLE['op6_quality_rules']})\n" + "\nunion all ".join(parts)
+
+
+ORACLE["quality_ablation"] = _ablation_oracle()

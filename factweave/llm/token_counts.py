@@ -129,10 +129,15 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer_path: str, id_col: str =
     return rows.select(id_col, "n_bytes", "content").join(found, "content", "left").select(id_col, "n_bytes", "content", "n_tokens")
 
 
+#: Session setting that names the folder of a cache that outlives the session.
+CACHE_SETTING = "spark.factweave.tokenCache"
+
+
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is the table that CACHE_SETTING names, which later runs find again; without the setting it starts empty."""
     import public_tokenizers
 
-    cache = shared_dir(spark, "token-counts")
+    cache = spark.conf.get(CACHE_SETTING, "") or shared_dir(spark, "token-counts")
     counted = count_tokens(table(spark, sf_dir, "documents"), cache, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
 

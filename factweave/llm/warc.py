@@ -176,7 +176,8 @@ def _member(f: BinaryIO, at: int, size: int) -> Iterator[tuple[Found | None, int
     if whole and unpack.eof and not plain:
         yield from ((r, p) for r, p, _ in waiting)
     else:
-        near = waiting if plain else waiting[:-1]  # the record that the damage touches goes with it
+        # where a member's end is lost, its last record goes with it, and so does an only one
+        near = waiting if plain and len(waiting) > 1 else waiting[:-1]
         yield from ((r, reached) for r, _, sound in near if sound)
         yield None, reached
 

@@ -332,3 +332,190 @@ def test_viterbi_brute():
         best = max(([int(c) for c in f"{k:0{len(s)}b}"] for k in range(2 ** len(s))), key=rate)
         assert chain.decode(s) == best
     assert chain.decode([]) == [] and re.match("a", "a")
+
+
+def test_line_dedup_brute(spark):
+    """Against a plain loop, with lines of marks only, blank lines and long documents."""
+    rng = random.Random(31)
+    pool = ["---", "***", "", "  ", "}", "one", "two", "three", "four", "five"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(150)] + ["\n".join(f"line {i}" for i in range(30_000))] * 2
+    seen, want = set(), {}
+    for d, text in enumerate(texts):
+        lines, gone = text.split("\n"), set()
+        for p in range(max(1, len(lines) - 2)):
+            window = tuple(lines[p : p + 3])
+            if any(c.isalnum() for x in window for c in x):
+                if window in seen:
+                    gone |= set(range(p, min(p + 3, len(lines))))
+                seen.add(window)
+        want[d] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone))
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got} == want
+
+
+def test_decontamination_long_item(spark):
+    """The work grows with an item's length, not with its square; a leak anywhere in it is found."""
+    rng = random.Random(41)
+    item = [f"w{rng.randrange(50_000)}" for _ in range(50_000)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "w1 w2 w3")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(item[-13:])), (2, " ".join(item[30_000:30_012])), (3, "x " + " ".join(item)), (4, " ".join(item[63:76]))], "doc_id long, text string")
+    for block in (400_000, 20_000):
+        got = {r.doc_id: r["items"] for r in decontaminate.flag_documents(docs, bench, block_tokens=block).collect()}
+        assert got[1] == got[4] == "1" and got[2] == "" and got[3].startswith("1")
+
+
+def test_decontamination_brute(spark):
+    rng = random.Random(43)
+    words = [f"t{i}" for i in range(30)]
+    items = [[rng.choice(words) for _ in range(rng.randint(13, 40))] for _ in range(12)]
+    docs = []
+    for i in range(60):
+        t = [rng.choice(words) for _ in range(rng.randint(0, 30))]
+        own = list(rng.choice(items))
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(len(own))] = "zz"
+        cut = rng.randrange(max(1, len(own) - 12))
+        docs.append((i, " ".join(t + own[cut:] + t)))
+
+    def leaked(doc, item):
+        for shift in range(-len(item), len(doc)):
+            same = [0 <= shift + j < len(doc) and doc[shift + j] == x for j, x in enumerate(item)]
+            if any(sum(same[k : k + 13]) >= 11 for k in range(len(item) - 12)):
+                return True
+        return False
+
+    got = {r.doc_id: r["items"] for r in decontaminate.flag_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")).collect()}
+    assert got == {i: ",".join(str(k) for k in sorted(k for k, x in enumerate(items) if leaked(t.split(), x))) for i, t in docs}
+
+
+def test_near_duplicate_recall(spark):
+    """At the default setting nothing of the planted pairs is missed by more than one in ten."""
+    rows = near_corpus(7, 90)
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    true = sum(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a in sets for b in sets if a < b)
+    found = sum(r.n_links for r in near_duplicates.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()) / 2
+    assert 0.9 * true <= found <= true
+
+
+def test_near_duplicate_chain():
+    """Members of a bucket that are unlike aren't chained; like ones are, in one tree."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (40, 100), dtype=np.uint8)
+    assert near_duplicates.spanning_links(np.arange(40), base) == []
+    near = np.repeat(base[:4], 10, axis=0)
+    near[:, :5] = rng.integers(0, 256, (40, 5), dtype=np.uint8)
+    edges = near_duplicates.spanning_links(np.arange(40), near)
+    assert len(edges) == 36 and all(u // 10 == v // 10 and u > v for u, v in edges)
+
+
+def test_chat_long_turn(spark):
+    text = ('He said "so\n\\ok" é <|x|> & ' * 1_000_000)[:21_000_000]
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", text)]
+    done = chat_format.format_turns(chat_format.to_turns(chat_format.records_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), "record"))
+    r = done.select("layout", F.sha2(chat_format.loss_text(F.col("formatted"), F.col("loss_mask")), 256).alias("x"), F.size(chat_format.read_back(F.col("formatted"))).alias("n")).first()
+    assert r.layout in ("messages", "from_value", "prompt_response", "instruction_output") and r.n == 2 and r.x == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_warc_foreign():
+    """Digests of other algorithms, unknown ones, several records in a member, and damage inside one."""
+    import base64
+    import gzip
+
+    page = lambda i: f"<p>{i}</p>".encode() * 50
+    own = [warc.make_record(i, "http://h/", page(i), hashlib.sha256(page(i)).hexdigest(), None, False) for i in range(6)]
+    sha1 = [r.replace(b"sha256:" + hashlib.sha256(page(i)).hexdigest().encode(), b"sha1:" + base64.b32encode(hashlib.sha1(page(i)).digest())) for i, r in enumerate(own)]
+    ids = lambda s: [x[3]["x-page-id"] if x[0] == "record" else "gap" for x in warc.salvage(s)]
+    assert ids(b"".join(sha1[:5])) == list("01234")
+    bad = bytearray(sha1[1])
+    bad[-30] ^= 1
+    assert ids(sha1[0] + bytes(bad) + sha1[2]) == ["0", "gap", "2"]
+    assert ids(own[0].replace(b"sha256:", b"other9:")) == ["0"]
+    assert ids(gzip.compress(b"".join(own)) + warc.member(own[0])) == [*"012345", "0"]
+    torn = bytearray(gzip.compress(b"".join(own)))
+    torn[-6] ^= 0xFF
+    assert ids(bytes(torn) + warc.member(own[0])) == [*"01234", "gap", "0"]
+    long = warc.make_record(9, "u", b"x" * 3_000_000, hashlib.sha256(b"x" * 3_000_000).hexdigest(), None, False)
+    assert ids(b"??" + warc.member(long) + long) == ["gap", "9", "9"]
+
+
+def test_warc_gap_log(spark):
+    folder = shared_dir(spark, "test-warc")
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(8)], "page_id long, url string, html string")
+    written = warc.write_archives(warc.with_revisits(pages).coalesce(1), folder).collect()
+    path = written[0].path.removeprefix("file:").replace("//", "/")
+    data = bytearray(open(path, "rb").read())
+    data[len(data) // 2] ^= 0xFF
+    open(path, "wb").write(data)
+    read = warc.read_archives(spark.createDataFrame([(written[0].path,)], "path string"))
+    warc.log_gaps(read, f"{folder}-gaps")
+    assert spark.read.parquet(f"{folder}-gaps").count() == 1 and read.where("kind = 'record'").count() == 7
+
+
+def test_token_cache_kept(spark, odd, tmp_path):
+    """With the setting, a second run of the query finds every count and encodes nothing."""
+    odd.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set(token_counts.CACHE_SETTING, f"{tmp_path}/cache")
+    try:
+        first = sorted(map(str, token_counts._query(spark, str(tmp_path)).collect()))
+        size = token_counts.stored(spark, f"{tmp_path}/cache").count()
+        assert sorted(map(str, token_counts._query(spark, str(tmp_path)).collect())) == first
+        assert token_counts.stored(spark, f"{tmp_path}/cache").count() == size
+    finally:
+        spark.conf.unset(token_counts.CACHE_SETTING)
+
+
+def test_mixing_reach(spark):
+    """Targets within reach are met; those that no weights meet end the raking, or are an error if asked for."""
+    docs = spark.createDataFrame([(1, "a b c", "en", "s"), (2, "d e f", "de", "t"), (3, "g", "en", "t")], "doc_id long, text string, lang string, source string")
+    goal = lambda d, x: spark.createDataFrame(list(x.items()), f"{d} string, share double")
+    met = {"source": goal("source", {"s": 0.3, "t": 0.7}), "lang": goal("lang", {"en": 0.6, "de": 0.4}), "topic": goal("topic", {"prose": 1.0})}
+    raked, goals = mixing.raked_cells(docs, targets=met)
+    assert all(abs(r.share - r.achieved) < 1e-8 for r in mixing.achieved_margins(raked, goals).collect())
+    far = met | {"lang": goal("lang", {"en": 0.1, "de": 0.9})}
+    assert mixing.rate_documents(docs, targets=far).count() == 3
+    with pytest.raises(ValueError):
+        mixing.rate_documents(docs, targets=far, strict=True)
+
+
+def test_network_brute():
+    """Lookups by pairs against plain convolution; gradients against differences."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    model = language_id.train(["la le lo " * 30, "ksch tz " * 30] * 8, ["aa", "bb"] * 8, epochs=1)
+    x = rng.integers(0, 256, (5, language_id.WINDOW), dtype=np.uint8)
+    plain = []
+    for places in model.tables:
+        conv = np.stack([sum(places[k][x[:, i + k]] for k in range(len(places))) for i in range(x.shape[1] - len(places) + 1)], axis=1)
+        plain.append(conv.max(axis=1))
+    plain = np.maximum(np.concatenate(plain, axis=1) + model.bias, 0)
+    assert np.allclose(model.pooled(x), plain, atol=1e-4) and np.allclose(language_id._Fast(model).pooled(x), plain, atol=1e-4)
+    y = np.array([0, 1, 1, 0, 1])
+    loss = lambda: -np.log(model.probabilities(x)[np.arange(5), y]).mean()
+    # differences in double precision
+    model.tables = [[t.astype(np.float64) for t in places] for places in model.tables]
+    model.bias, model.dense, model.last = (p.astype(np.float64) for p in (model.bias, model.dense, model.last))
+    params = [t for places in model.tables for t in places] + [model.bias, model.dense, model.last]
+    for p, g in zip(params, language_id._gradients(model, x, y)):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        p[at] += 1e-5
+        up = loss()
+        p[at] -= 2e-5
+        down = loss()
+        p[at] += 1e-5
+        assert abs((up - down) / 2e-5 - g[at]) < 1e-3 * max(1, abs(g[at]))
+
+
+def test_html_held_out_layouts():
+    """Openings of parts that training never saw."""
+    odd_ones = {k: v[1::2] for k, v in html_extract.LAYOUTS.items()}
+    chain = html_extract.trained(layouts={k: v[::2] for k, v in html_extract.LAYOUTS.items()})
+    rng, n, good = random.Random(78), 0, 0
+    for _ in range(200):
+        page, labels = html_extract.labelled_page(rng, odd_ones)
+        got = chain.decode([chain.emit(b, {}) for b in html_extract.blocks(page)])
+        n, good = n + len(labels), good + sum(a == b for a, b in zip(got, labels))
+    print("held-out layouts", good / n)
+    assert good / n > 0.8
