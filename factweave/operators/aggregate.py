@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
@@ -32,11 +32,15 @@ def upsert_relations(old: DataFrame, batch: DataFrame, entities: DataFrame, leas
             .join(known.withColumnRenamed("entity_id", "source"), "source", "left_semi").join(known.withColumnRenamed("entity_id", "target"), "target", "left_semi"))
     cols = ["source", "target", "relation", "confidence", "evidence", "memory_id", "seq"]
     rows = good.select(*cols).withColumn("fresh", F.lit(True)).unionByName(
-        old.select("source", "target", "relation", "confidence", "evidence", F.explode_outer("memory_ids").alias("memory_id"), F.lit(-1).cast("long").alias("seq"), F.lit(False).alias("fresh")))
+        old.select("source", "target", "relation", "confidence", "evidence", F.explode_outer("memory_ids").alias("memory_id"), F.lit(-1).cast(batch.schema["seq"].dataType).alias("seq"), F.lit(False).alias("fresh")))
     said = F.when(F.trim("evidence") != "", F.struct("seq", "evidence"))
-    return rows.groupBy("source", "target", "relation").agg(
-        F.max("confidence").alias("confidence"), F.max(said)["evidence"].alias("evidence"), F.slice(F.array_sort(F.collect_set("memory_id")), 1, cap).alias("memory_ids"), F.max("fresh").alias("touched"),
-    ).withColumn("relation_id", C.relation_id(F.col("source"), F.col("target"), F.col("relation")))
+    key = ["source", "target", "relation"]
+    merged = rows.groupBy(*key).agg(F.max("confidence").alias("confidence"), F.max(said)["evidence"].alias("evidence"), F.max("fresh").alias("touched"))
+    # ranked before they are gathered, so that no relation gathers more than ``cap``
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("memory_id"))
+    ids = rows.where("memory_id is not null").select(*key, "memory_id").distinct().withColumn("_rn", first).where(F.col("_rn") <= cap)
+    ids = ids.groupBy(*key).agg(F.array_sort(F.collect_list("memory_id")).alias("memory_ids"))
+    return merged.join(ids, key, "left").withColumn("memory_ids", F.coalesce("memory_ids", F.array().cast(ids.schema["memory_ids"].dataType))).withColumn("relation_id", C.relation_id(F.col("source"), F.col("target"), F.col("relation")))
 
 
 def merge_causal(links: DataFrame, least: float = 0.7) -> DataFrame:

@@ -151,3 +151,28 @@ def context_pack(recalled: DataFrame, recent_items: DataFrame, n: int = 10) -> D
         q.join(F.broadcast(recent_items.orderBy("place").limit(n))).select("query_id", "memory", F.struct(F.lit(1).alias("t"), F.col("place").cast("long").alias("p")).alias("o")))
     once = every.groupBy("query_id", "memory").agg(F.min("o").alias("o")).withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("o"))).where(F.col("_n") <= n)
     return once.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "memory"))), lambda x: F.concat(F.lit("- "), x["memory"])), "\n").alias("context"))
+
+
+def find_archived_entity(queries: DataFrame, archive: DataFrame) -> DataFrame:
+    """(query_id, entity_id): the archived entity of that id, else the only one that has the text as name or alias."""
+    by_id = queries.join(archive.select("entity_id", F.col("entity_id").cast("string").alias("q")), "q").select("query_id", "entity_id")
+    names = archive.select("entity_id", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), C.canonical_name))).alias("k")).where("k <> ''")
+    only = names.groupBy("k").agg(F.min("entity_id").alias("entity_id"), F.max("entity_id").alias("_hi")).where("entity_id = _hi").drop("_hi")
+    by_name = queries.withColumn("k", C.canonical_name(F.col("q"))).join(only, "k").select("query_id", "entity_id")
+    return first_tier([by_id, by_name], "query_id", F.col("entity_id")).select("query_id", "entity_id")
+
+
+def search_archived_entities(queries: DataFrame, archive: DataFrame, k: int = 10, blocks: int | None = None) -> DataFrame:
+    """Newest k archived entities per query whose name and aliases, joined, hold its text. A stated query set in blocks, as in ``search_entities``."""
+    texts = archive.withColumn("_all", F.lower(F.concat_ws(" ", F.array("name"), "aliases")))
+    hit, blocks = None, blocks or query_blocks(queries)
+    for b in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.lower(F.trim("q")).alias("_q")).where("_q <> ''")
+        part = texts.join(F.broadcast(own), F.contains("_all", "_q")).drop("_all", "_q")
+        hit = part if hit is None else hit.unionByName(part)
+    w = Window.partitionBy("query_id").orderBy(F.col("archived_at").desc(), "entity_id")
+    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def active_relations(relations: DataFrame, include_inactive: bool = False) -> DataFrame:
+    return relations if include_inactive else relations.where(F.coalesce(F.lower("status"), F.lit("active")) != "inactive")

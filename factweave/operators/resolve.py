@@ -189,3 +189,17 @@ def append_log(log: DataFrame, events: DataFrame, *key: str) -> DataFrame:
     """Log with each logical event once: events already in it, and repeats inside the batch, add nothing."""
     k = C.op_key(F.lit("LOG"), **{c: F.col(c) for c in key})
     return log.unionByName(events.withColumn("_k", k).dropDuplicates(["_k"]).join(log.select(k.alias("_k")), "_k", "left_anti").drop("_k"), allowMissingColumns=True)
+
+
+def reanalyze(conflicts: DataFrame) -> DataFrame:
+    """Conflict records with the gate's decision on their stored names, types and score; ids stay, a record is RESOLVED if SAME and open again if not."""
+    name = lambda c: C.canonical_name(F.col(c))
+    core = C.gate_core(F.col("candidate_name")) == C.gate_core(F.col("entity_name"))
+    verdict = judge(F.coalesce("score", F.lit(0.0)), _kind(F.col("candidate_type")), _kind(F.col("entity_type")), F.lit(False), name("candidate_name") == name("entity_name"), core)
+    return conflicts.withColumn("decision", verdict).withColumn("status", F.when(F.col("decision") == "SAME", "RESOLVED").otherwise("ACTIVE"))
+
+
+def attach_created(conflicts: DataFrame, created: DataFrame) -> DataFrame:
+    """Conflicts with the entity that was created for them; created: conflict_id, created_entity_id."""
+    c = created.groupBy("conflict_id").agg(F.max("created_entity_id").alias("_made"))
+    return conflicts.join(c, "conflict_id", "left").withColumn("created_entity_id", F.coalesce("_made", "created_entity_id")).drop("_made")

@@ -111,3 +111,65 @@ def route_actions(actions: DataFrame) -> DataFrame:
 def newest_per_text(items: DataFrame) -> DataFrame:
     """Last duplicate text wins."""
     return first_per_key(items, "memory", F.col("created_at").desc(), F.col("memory_id").desc())
+
+
+def judge_actions(active: DataFrame, archive: DataFrame, batch: DataFrame) -> DataFrame:
+    """``batch`` plus route, success and reason of each action.
+
+    batch: ord, action, memory_text, old_memory, consolidation_memory, targets (array), effective_from, effective_to. An unknown action is
+    ignored; ADD with an old and a new text is an update, with a consolidation text and targets in the store a consolidation.
+    The stores (memory, valid_from) are taken as they stand before the batch, but of the actions that would take one active text
+    only the first takes it, and of equal new texts the first is added. Actions on texts that the same batch makes belong into the next batch.
+    """
+    said = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    known = F.upper(F.trim(F.coalesce("action", F.lit("IGNORE"))))
+    rows = batch.withColumns({"_new": said("memory_text"), "_old": said("old_memory"), "_con": said("consolidation_memory"), "_act": F.when(known.isin("ADD", "UPDATE", "DELETE", "CONSOLIDATE", "END"), known).otherwise("IGNORE")})
+    held = active.groupBy("memory").agg(F.max("valid_from").alias("_from"))
+    rows = rows.join(held.withColumnRenamed("memory", "_old"), "_old", "left")
+    rows = rows.join(held.select(F.col("memory").alias("_new"), F.lit(True).alias("_dup")), "_new", "left")
+    aims = rows.select("ord", F.explode("targets").alias("memory")).where("memory is not null and memory <> ''").distinct()
+    found = aims.join(held, "memory", "left").groupBy("ord").agg(F.count("*").alias("_aims"), F.count("_from").alias("_found"))
+    rows = rows.join(found, "ord", "left").fillna(0, ["_aims", "_found"])
+    implied = F.col("_act") == "ADD"
+    route = (F.when(implied & (F.col("_old") != "") & (F.col("_new") != ""), "UPDATE").when(implied & (F.col("_con") != "") & (F.col("_found") > 0), "CONSOLIDATE").otherwise(F.col("_act")))
+    rows = rows.withColumn("route", route)
+    has, starts = F.col("_from").isNotNull(), F.coalesce(F.col("effective_from") >= F.col("_from"), F.lit(True))
+    fits = (F.when(F.col("route") == "DELETE", has).when(F.col("route") == "END", has & F.coalesce(F.col("effective_to") > F.col("_from"), F.lit(True)))
+            .when(F.col("route") == "UPDATE", has & (F.col("_new") != "") & starts).when(F.col("route") == "CONSOLIDATE", (F.col("_con") != "") & (F.col("_found") > 0))
+            .when(F.col("route") == "ADD", (F.col("_new") != "") & F.col("_dup").isNull()).otherwise(F.lit(True)))
+    rows = rows.withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    takes = F.col("_fits") & F.col("route").isin("DELETE", "END", "UPDATE")
+    first = lambda on, key, name: rows.where(on).groupBy(key).agg(F.min("ord").alias(name))
+    rows = rows.join(first(takes, "_old", "_took"), "_old", "left").join(first(F.col("_fits") & (F.col("route") == "ADD"), "_new", "_added"), "_new", "left")
+    rows = rows.withColumn("success", F.col("_fits") & F.when(takes, F.col("ord") == F.col("_took")).when(F.col("route") == "ADD", F.col("ord") == F.col("_added")).otherwise(F.lit(True)))
+    ok = F.col("success")
+    reason = (F.when(F.col("route") == "IGNORE", "ignored").when(F.col("route").isin("DELETE", "END") & (F.col("_old") == ""), "missing_old_memory")
+              .when(F.col("route") == "DELETE", F.when(ok, "archived").otherwise("not_found")).when(F.col("route") == "END", F.when(ok, "temporal_end").otherwise("end_failed"))
+              .when((F.col("route") == "UPDATE") & ((F.col("_old") == "") | (F.col("_new") == "")), "missing_memory_data").when(F.col("route") == "UPDATE", F.when(ok, "conflict_replaced").when(implied, "conflict_resolution_failed").otherwise("update_failed"))
+              .when((F.col("route") == "CONSOLIDATE") & (F.col("_con") == ""), "missing_consolidated_memory").when((F.col("route") == "CONSOLIDATE") & (F.col("_aims") == 0), "no_target_memories")
+              .when(F.col("route") == "CONSOLIDATE", F.when(ok, "consolidated").otherwise("consolidation_failed")).when(F.col("_new") == "", "missing_memory").otherwise(F.when(ok, "added").otherwise("duplicate_or_rejected")))
+    return rows.withColumn("reason", reason).select(*batch.columns, "route", "success", "reason")
+
+
+def apply_actions(active: DataFrame, archive: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(active, archive, outcomes) after a batch of actions; stores: memory, valid_from, valid_to, status. Outcomes are those of ``judge_actions``.
+
+    DELETE archives, END closes the interval and archives, UPDATE opens the new text and archives the old one as historical, CONSOLIDATE opens one
+    text for its targets, ADD opens a text or brings an equal archived one back. A text in the archive is replaced by one that is archived again.
+    """
+    done = judge_actions(active, archive, batch).persist()  # read by several branches; the caller may unpersist the outcomes
+    good = done.where("success")
+    gone = good.where("route in ('DELETE', 'END', 'UPDATE')").select(
+        F.trim("old_memory").alias("memory"), F.when(F.col("route") == "END", F.coalesce("effective_to", now)).when(F.col("route") == "UPDATE", F.coalesce("effective_from", now)).alias("_to"),
+        F.when(F.col("route") == "DELETE", "manual_delete_request").when(F.col("route") == "END", "ended").otherwise("superseded").alias("archive_reason"))
+    merged = good.where("route = 'CONSOLIDATE'").select(F.explode("targets").alias("memory"), F.lit(None).cast("timestamp").alias("_to"), F.lit("consolidated").alias("archive_reason"))
+    gone = gone.unionByName(merged).groupBy("memory").agg(F.max("_to").alias("_to"), F.min("archive_reason").alias("archive_reason"))
+    moved = active.join(gone, "memory").withColumns({"valid_to": F.coalesce("_to", "valid_to"), "status": F.lit("archived")}).drop("_to")
+    text = F.when(F.col("route") == "CONSOLIDATE", F.trim("consolidation_memory")).otherwise(F.trim("memory_text"))
+    fresh = good.where("route in ('ADD', 'UPDATE', 'CONSOLIDATE')").groupBy(text.alias("memory")).agg(F.min(F.coalesce("effective_from", now)).alias("valid_from"))
+    fresh = fresh.withColumns({"valid_to": F.lit(None).cast("timestamp"), "status": F.lit("active")})
+    back = archive.join(fresh.select("memory"), "memory", "left_semi").withColumn("status", F.lit("active"))
+    opened = fresh.join(back.select("memory"), "memory", "left_anti").unionByName(back, allowMissingColumns=True)
+    left = active.join(gone.select("memory"), "memory", "left_anti").join(opened.select("memory"), "memory", "left_anti")
+    kept = archive.join(opened.select("memory"), "memory", "left_anti").join(moved.select("memory"), "memory", "left_anti")
+    return left.unionByName(opened, allowMissingColumns=True), kept.unionByName(moved, allowMissingColumns=True), done

@@ -225,9 +225,9 @@ def neighbors(spark, sf):
     return graph.neighbors(_graph(spark, sf), ids, 10)
 
 
-@query("subgraph", f"""with {_EDGES_SQL}, ids as (select 'p' || p_partkey as id from part where p_partkey % 50 = 0),
-n as (select id from ids union select target from edges where source in (select id from ids) union select source from edges where target in (select id from ids))
-select source, target, type, relation from edges where source in (select id from n) and target in (select id from n)""")
+@query("subgraph", f"""with {_EDGES_SQL}, e as materialized (select * from edges), ids as (select 'p' || p_partkey as id from part where p_partkey % 50 = 0),
+n as materialized (select id from ids union select target from e semi join ids on source = id union select source from e semi join ids on target = id)
+select source, target, type, relation from e semi join n a on source = a.id semi join n b on target = b.id""")
 def subgraph(spark, sf):
     ids = V.table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
     return graph.subgraph(_graph(spark, sf), ids)[1].select("source", "target", "type", "relation")

@@ -157,7 +157,10 @@ def lease_states(spark, sf):
     return ledger.lease_state(e.withColumns({"status": status, "lease": F.col("ts") + F.expr("interval 120 seconds"), "started": F.col("ts")}), V.now("2024-01-20")).select("event_id", "state")
 
 
-@query("interval_gate")
+@query("interval_gate", """with recursive r as (select user_id, epoch_us(ts::timestamp) as t, row_number() over (partition by user_id order by ts) as i from (select distinct user_id, ts from events)),
+f as (select user_id, i, t, t as last, true as keep from r where i = 1
+union all select f.user_id, r.i, r.t, case when r.t - f.last >= 21600000000 then r.t else f.last end, r.t - f.last >= 21600000000 from f join r on r.user_id = f.user_id and r.i = f.i + 1)
+select user_id, t as ts from f where keep""")
 def interval_gate(spark, sf):
     return ledger.one_per_interval(V.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", 6 * 3600).select("user_id", F.unix_micros("ts").alias("ts"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
@@ -20,14 +20,36 @@ def new_operations(ops: DataFrame, ledger: DataFrame, key: str = "operation_key"
     return ops.dropDuplicates([key]).join(ledger.select(key), key, "left_anti")
 
 
+def ops_by_key(ops: DataFrame, keys: DataFrame, key: str = "operation_key") -> DataFrame:
+    """Operations of the keys; a key of kind and payload is ``functions.columns.op_key``."""
+    return ops.join(keys.select(key), key, "left_semi")
+
+
 def dedupe_stream(stream: DataFrame, key: str, ts: str, delay: str = "10 minutes") -> DataFrame:
     """At most one effect per key within the watermark."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def apply_stream(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
-    """Hand each micro-batch of actions to ``apply`` with its id; the id belongs in the ledger, so a replay has no second effect."""
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+def apply_stream(stream: DataFrame, apply: Callable[[DataFrame, int], None], folder: str, key: str = "operation_key"):
+    """Hand each micro-batch of operations to ``apply`` without those done before; keys and batch ids are kept in a ledger under ``folder``.
+
+    Equal keys inside a batch count once (the first in the order of its columns). The ledger's part of a batch is written after its effects under
+    the batch's own name, so a batch that runs again after a loss is handed on again as a whole with the same id, and one that was done isn't.
+    """
+    def once_each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        root = f"{folder.rstrip('/')}/ledger"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fresh = once(batch, key, sorted(c for c in batch.columns if c != key)[0]).drop("n_seen").select(batch.columns)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            past = spark.read.schema(f"{key} {batch.schema[key].dataType.simpleString()}, batch long").parquet(root).where(F.col("batch") != number)
+            fresh = fresh.join(past.select(key), key, "left_anti")
+        fresh = fresh.persist()
+        apply(fresh, number)
+        fresh.select(key).write.mode("overwrite").parquet(f"{root}/batch={number}")
+        fresh.unpersist()
+
+    return stream.writeStream.foreachBatch(once_each).option("checkpointLocation", f"{folder.rstrip('/')}/checkpoint")
 
 
 def lease_state(ops: DataFrame, now: Column) -> DataFrame:
@@ -36,10 +58,19 @@ def lease_state(ops: DataFrame, now: Column) -> DataFrame:
 
 
 def one_per_interval(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Events let through if at most one per interval and key may pass, without catching up: a fold over the sorted times."""
-    times = F.sort_array(F.collect_set(F.unix_micros(ts)))
-    keep = F.aggregate(times, F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) >= seconds * 1_000_000), F.array_append(acc, t)).otherwise(acc))
-    return events.groupBy(key).agg(keep.alias("ts_")).select(key, F.explode("ts_").alias("t")).select(key, F.timestamp_micros("t").alias(ts))
+    """Events let through if at most one per interval and key may pass, without catching up.
+
+    An event an interval or more after the one before it always passes, so a key's times are cut there and each run is folded by
+    itself: what is gathered is a run of close times, not a key.
+    """
+    times = events.where(F.col(ts).isNotNull()).select(key, F.unix_micros(ts).alias("t")).distinct()
+    w = Window.partitionBy(key).orderBy("t")
+    apart = F.coalesce(F.col("t") - F.lag("t").over(w) >= seconds * 1_000_000, F.lit(True))
+    runs = times.withColumn("_new", apart).withColumn("_run", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= seconds * 1_000_000), F.struct(t.alias("last"), F.array_append(acc["out"], t).alias("out"))).otherwise(acc)
+    kept = runs.groupBy(key, "_run").agg(F.aggregate(F.sort_array(F.collect_list("t")), start, step, lambda acc: acc["out"]).alias("k"))
+    return kept.select(key, F.explode("k").alias("t")).select(key, F.timestamp_micros("t").alias(ts))
 
 
 def verify_chain(journal: DataFrame) -> DataFrame:
@@ -65,9 +96,11 @@ def as_of(journal: DataFrame, checkpoint: int, sequence: int) -> DataFrame:
 
 
 def consume_once(log: DataFrame, key: str, order: str) -> DataFrame:
-    """CONSUMED for the first use of each key, REPLAY_REJECTED for the later ones."""
+    """CONSUMED for the first use of each key, REPLAY_REJECTED for the later ones; of uses with one order the first by its other columns counts."""
     first = log.groupBy(key).agg(F.min(order).alias("_first"))
-    return log.join(first, key).withColumn("outcome", F.when(F.col(order) == F.col("_first"), "CONSUMED").otherwise("REPLAY_REJECTED")).drop("_first")
+    place = F.row_number().over(Window.partitionBy(key, order).orderBy(F.to_json(F.struct(*log.columns))))
+    rows = log.withColumn("_place", place).join(first, key)
+    return rows.withColumn("outcome", F.when((F.col(order) == F.col("_first")) & (F.col("_place") == 1), "CONSUMED").otherwise("REPLAY_REJECTED")).drop("_first", "_place")
 
 
 def journal_query(journal: DataFrame, low: int | None = None, high: int | None = None, types: tuple[str, ...] = (), reverse: bool = False, limit: int | None = None) -> DataFrame:
