@@ -255,7 +255,7 @@ def audit_relations(spark, sf):
 @query("audit_entities", """with a as (select case when k % 101 = 0 then '' else (k - case when k % 97 = 0 then 1 else 0 end)::varchar end as id, case when k % 7 = 0 then 'ARCHIVED' else 'ACTIVE' end as st, case when k % 3 = 0 then 'DORMANT' else 'ACTIVE' end as life, case when k % 11 = 0 then 'ended' else 'current' end as tmp, k from (select p_partkey as k from part where p_partkey % 5 <> 0)),
 r as (select k::varchar as id, case when k % 15 = 0 then 'ACTIVE' else 'ARCHIVED' end as st, 'ENDED' as life, k from (select p_partkey as k from part where p_partkey % 5 = 0) union all select k::varchar, 'ARCHIVED', 'ENDED', k from (select p_partkey as k from part where p_partkey % 50 = 1)), g as (select * from a where id <> '')
 select 'ENTITY_MISSING_ID' as code, id as key, 1::bigint as n from a where id = '' union all select 'ACTIVE_ENTITY_MARKED_ARCHIVED', id, 1 from g where st = 'ARCHIVED' union all select 'ENTITY_HISTORY_INVALID_VERSION', id, 1 from g where k % 17 = 0
-union all select 'ENTITY_HISTORY_CURRENT_VERSION_COLLISION', id, 1 from g where k % 19 = 0 union all select 'ENTITY_ENDED_LIFECYCLE_MISMATCH', id, 1 from g where tmp = 'ended' union all select 'ENTITY_ARCHIVE_LIFECYCLE_MISMATCH', id, 1 from g where st = 'ARCHIVED' and life = 'ACTIVE'
+union all select 'ENTITY_HISTORY_CURRENT_VERSION_COLLISION', id, 1 from g where k % 19 = 0 and k % 17 <> 0 union all select 'ENTITY_ENDED_LIFECYCLE_MISMATCH', id, 1 from g where tmp = 'ended' union all select 'ENTITY_ARCHIVE_LIFECYCLE_MISMATCH', id, 1 from g where st = 'ARCHIVED' and life = 'ACTIVE'
 union all select 'ARCHIVE_INVALID_LIFECYCLE', id, 1 from g where st = 'ARCHIVED' and life = 'ACTIVE' union all select 'ARCHIVE_ENTITY_NOT_ARCHIVED', id, 1 from r where st <> 'ARCHIVED' union all select 'ENTITY_DUPLICATE_ID_ACTIVE', id, count(*) - 1 from g group by 2 having count(*) > 1
 union all select distinct 'ENTITY_ACTIVE_ARCHIVE_OVERLAP', id, 1 from g where id in (select id from r) union all select 'ARCHIVE_ENTITY_ACTIVE_STATE_MISMATCH', id, 1 from g where st = 'ACTIVE' and id in (select id from r)""")
 def audit_entities(spark, sf):
