@@ -49,20 +49,20 @@ def as_of(versions: DataFrame, instants: DataFrame, key: str, closed: bool = Fal
     """
     v = versions.where(f"valid_from is not null and (valid_to is null or valid_to {'>=' if closed else '>'} valid_from)")
     one = F.struct(F.col("version").cast("long").alias("version"), F.col("memory_id").alias("memory_id"))
-    point = lambda df, at, step, what: df.select(key, at.alias("at"), F.lit(step).alias("step"), what.alias("v"))
+    point = lambda df, at, step, what: df.select(key, at.alias("_at"), F.lit(step).alias("_step"), what.alias("_v"))
     none = F.lit(None).cast(v.select(one.alias("x")).schema["x"].dataType)
     # of equal times: half-open ends come before starts, starts before instants, closed ends last
     marks = point(v, F.col("valid_from"), 1, one).unionByName(point(v.where("valid_to is not null"), F.col("valid_to"), 3 if closed else 0, one)).unionByName(point(instants.select(key, "instant").distinct(), F.col("instant"), 2, none))
-    w = Window.partitionBy(key).orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.sum(F.when(F.col("step") == 1, 1).when(F.col("step") == 2, 0).otherwise(-1)).over(w)
-    told = marks.withColumns({"n_matches": opened, "_top": F.max(F.when(F.col("step") == 1, F.col("v"))).over(w)})
-    hits = told.where("step = 2 and n_matches > 0")
+    w = Window.partitionBy(key).orderBy("_at", "_step").rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.sum(F.when(F.col("_step") == 1, 1).when(F.col("_step") == 2, 0).otherwise(-1)).over(w)
+    told = marks.withColumns({"n_matches": opened, "_top": F.max(F.when(F.col("_step") == 1, F.col("_v"))).over(w)})
+    hits = told.where("_step = 2 and n_matches > 0")
     # the highest version begun so far holds the instant unless it has ended; then the open ones are looked up
     ends = v.select(F.col(key), F.col("version").cast("long").alias("version"), "memory_id", "valid_to")
-    until = (F.col("at") <= F.col("valid_to")) if closed else (F.col("at") < F.col("valid_to"))
-    seen = hits.select(key, "at", "n_matches", F.col("_top.version").alias("version"), F.col("_top.memory_id").alias("memory_id")).join(ends, [key, "version", "memory_id"], "left").withColumn("holds", F.col("valid_to").isNull() | until)
-    sure = seen.where("holds").select(key, F.col("at").alias("instant"), "memory_id", "version", "n_matches")
-    rest = seen.where("not holds").select(F.col(key), F.col("at").alias("instant"))
+    until = (F.col("_at") <= F.col("valid_to")) if closed else (F.col("_at") < F.col("valid_to"))
+    seen = hits.select(key, "_at", "n_matches", F.col("_top.version").alias("version"), F.col("_top.memory_id").alias("memory_id")).join(ends, [key, "version", "memory_id"], "left").withColumn("holds", F.col("valid_to").isNull() | until)
+    sure = seen.where("holds").select(key, F.col("_at").alias("instant"), "memory_id", "version", "n_matches")
+    rest = seen.where("not holds").select(F.col(key), F.col("_at").alias("instant"))
     r, u = rest.alias("r"), v.alias("u")
     inside = (F.col("r.instant") <= F.col("u.valid_to")) if closed else (F.col("r.instant") < F.col("u.valid_to"))
     other = r.join(u, (F.col(f"r.{key}") == F.col(f"u.{key}")) & (F.col("u.valid_from") <= F.col("r.instant")) & (F.col("u.valid_to").isNull() | inside))

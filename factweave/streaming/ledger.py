@@ -63,14 +63,14 @@ def one_per_interval(events: DataFrame, key: str, ts: str, seconds: int) -> Data
     An event an interval or more after the one before it always passes, so a key's times are cut there and each run is folded by
     itself: what is gathered is a run of close times, not a key.
     """
-    times = events.where(F.col(ts).isNotNull()).select(key, F.unix_micros(ts).alias("t")).distinct()
-    w = Window.partitionBy(key).orderBy("t")
-    apart = F.coalesce(F.col("t") - F.lag("t").over(w) >= seconds * 1_000_000, F.lit(True))
+    times = events.where(F.col(ts).isNotNull()).select(key, F.unix_micros(ts).alias("_t")).distinct()
+    w = Window.partitionBy(key).orderBy("_t")
+    apart = F.coalesce(F.col("_t") - F.lag("_t").over(w) >= seconds * 1_000_000, F.lit(True))
     runs = times.withColumn("_new", apart).withColumn("_run", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
     step = lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= seconds * 1_000_000), F.struct(t.alias("last"), F.array_append(acc["out"], t).alias("out"))).otherwise(acc)
-    kept = runs.groupBy(key, "_run").agg(F.aggregate(F.sort_array(F.collect_list("t")), start, step, lambda acc: acc["out"]).alias("k"))
-    return kept.select(key, F.explode("k").alias("t")).select(key, F.timestamp_micros("t").alias(ts))
+    kept = runs.groupBy(key, "_run").agg(F.aggregate(F.sort_array(F.collect_list("_t")), start, step, lambda acc: acc["out"]).alias("_kept"))
+    return kept.select(key, F.explode("_kept").alias("_t")).select(key, F.timestamp_micros("_t").alias(ts))
 
 
 def verify_chain(journal: DataFrame) -> DataFrame:
