@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EDGE = ("source", "target", "type", "relation", "confidence")
@@ -15,14 +15,14 @@ def build_nodes(items: DataFrame, entities: DataFrame) -> DataFrame:
 def build_edges(items: DataFrame, mentions: DataFrame, relations: DataFrame, causal: DataFrame, related: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Edges of all families; of equal (source, target, type, relation) the first family's and then the most certain one stays.
 
-    mentions: memory_id, entity_id. relations: source, target, relation, directed, confidence. causal: source, target, relation, confidence.
+    mentions: memory_id, entity_id and maybe confidence. relations: source, target, relation, directed, confidence. causal: source, target, relation, confidence.
     related: source, target of facts named together in a provenance entry. With ``nodes`` (id) an edge needs both ends among them.
     """
     one = F.lit(1.0)
     w = Window.partitionBy("chain_id").orderBy("version", "valid_from", "memory_id")
     chained = items.withColumn("nxt", F.lead("memory_id").over(w))
     fam = [
-        mentions.select(F.col("memory_id").alias("source"), F.col("entity_id").alias("target"), F.lit("MEMORY_HAS_ENTITY").alias("type"), F.lit("MENTIONS").alias("relation"), one.alias("confidence")),
+        mentions.select(F.col("memory_id").alias("source"), F.col("entity_id").alias("target"), F.lit("MEMORY_HAS_ENTITY").alias("type"), F.lit("MENTIONS").alias("relation"), (F.col("confidence") if "confidence" in mentions.columns else one).alias("confidence")),
         relations.select("source", "target", F.lit("ENTITY_RELATION").alias("type"), "relation", "confidence"),
         relations.where("not directed").select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit("ENTITY_RELATION").alias("type"), "relation", "confidence"),
         items.select(F.col("memory_id").alias("source"), F.col("supersedes").alias("target"), F.lit("TEMPORAL_SUPERSEDES").alias("type"), F.lit("SUPERSEDES").alias("relation"), one.alias("confidence")),
@@ -43,6 +43,39 @@ def build_edges(items: DataFrame, mentions: DataFrame, relations: DataFrame, cau
     return good.groupBy("source", "target", "type", "relation").agg(best.alias("b")).select("source", "target", "type", "relation", (-F.col("b.neg")).alias("confidence"))
 
 
+def _column(df: DataFrame, name: str, kind: str) -> Column:
+    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+
+
+def rebuild(items: DataFrame, entities: DataFrame, relations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) derived anew from all facts and entities, active and archived.
+
+    items: memory_id; chain_id, version, valid_from, supersedes, superseded_by, derived_from, causal_links and provenance where there are any.
+    entities: entity_id; memory_ids and confidence where there are any. Rows with a blank id give nothing, a repeated id gives one node,
+    a fact without a chain is its own, and an edge needs both its ends.
+    """
+    items = items.where(F.trim(F.col("memory_id").cast("string")) != "").withColumn("memory_id", F.trim(F.col("memory_id").cast("string")))
+    entities = entities.where(F.trim(F.col("entity_id").cast("string")) != "").withColumn("entity_id", F.trim(F.col("entity_id").cast("string")))
+    nodes = build_nodes(items, entities).dropDuplicates(["id", "kind"])
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(_column(entities, "confidence", "double"), F.lit(1.0))))
+    mentions = entities.select(F.explode(_column(entities, "memory_ids", "array<string>")).alias("memory_id"), "entity_id", sure.alias("confidence"))
+    facts = items.select(
+        "memory_id", F.coalesce(_column(items, "chain_id", "string"), F.col("memory_id")).alias("chain_id"), F.coalesce(_column(items, "version", "int"), F.lit(1)).alias("version"), _column(items, "valid_from", "timestamp").alias("valid_from"),
+        _column(items, "supersedes", "string").alias("supersedes"), _column(items, "superseded_by", "string").alias("superseded_by"), _column(items, "derived_from", "array<string>").alias("derived_from"))
+    none = nodes.where("false").select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit("").alias("relation"), F.lit(True).alias("directed"), F.lit(0.0).alias("confidence"))
+    known, causal, related = none, none, None
+    if relations is not None:
+        known = relations.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.coalesce(F.upper(_column(relations, "relation", "string")), F.lit("RELATED_TO")).alias("relation"),
+                                 F.coalesce(_column(relations, "directed", "boolean"), F.lit(True)).alias("directed"), F.coalesce(_column(relations, "confidence", "double"), F.lit(0.7)).alias("confidence"))
+    if "causal_links" in items.columns:
+        links = items.select(F.col("memory_id").alias("source"), F.explode("causal_links").alias("x"))
+        causal = links.select("source", F.col("x.target_memory_id").cast("string").alias("target"), F.upper("x.relation").alias("relation"), F.coalesce(F.col("x.confidence").cast("double"), F.lit(0.0)).alias("confidence"))
+    if "provenance" in items.columns:
+        entries = items.select(F.col("memory_id").alias("source"), F.explode("provenance").alias("x"))
+        related = entries.select("source", F.explode("x.related_memory_ids").cast("string").alias("target"))
+    return nodes, build_edges(facts, mentions, known, causal, related, nodes)
+
+
 def neighbors(edges: DataFrame, ids: DataFrame, k: int = 10, direction: str = "both") -> DataFrame:
     """First k distinct neighbours of each id in edge order, with direction."""
     out = edges.select(F.col("source").alias("id"), F.col("target").alias("neighbor"), F.lit("out").alias("dir"), "type", "relation")

@@ -53,6 +53,29 @@ def _own_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 12))
 
 
+def _history(c: _Loose, current: Column) -> Column:
+    """Snapshots of a history. An entry without one is a snapshot itself, as older stores have it; one without a name has the entity's own, one with a blank name goes."""
+    kind = c.types.get("history")
+    if kind is None or kind.typeName() != "array" or kind.elementType.typeName() != "struct":
+        return F.array().cast(HISTORY)
+    own = set(kind.elementType.names)
+    wrapped = kind.elementType["snapshot"].dataType if "snapshot" in own else None
+    inner = set(wrapped.names) if wrapped is not None and wrapped.typeName() == "struct" else set()
+
+    def field(h: Column, name: str) -> Column:
+        bare = (h[name] if name in own else F.lit(None)).cast("string")
+        if not inner:
+            return bare
+        return F.when(h["snapshot"].isNotNull(), (h["snapshot"][name] if name in inner else F.lit(None)).cast("string")).otherwise(bare)
+
+    def entry(h: Column) -> Column:
+        named = C.norm_name(F.coalesce(field(h, "name"), current))
+        return F.struct(F.struct(field(h, "version").alias("version"), named.alias("name"), *[field(h, n).alias(n) for n in ("type", "valid_from", "valid_to")]).alias("snapshot"))
+
+    whole = F.filter(F.coalesce(F.col("history"), F.array().cast(kind)), lambda h: h.isNotNull())
+    return F.filter(F.transform(whole, entry), lambda h: h["snapshot"]["name"] != "").cast(HISTORY)
+
+
 def normalize_items(df: DataFrame, now: Column, archived: bool = False) -> DataFrame:
     """Facts in 20 columns (22 for archived ones); rows without a text go.
 
@@ -86,7 +109,7 @@ def normalize_entities(df: DataFrame, now: Column) -> DataFrame:
     share = lambda n, default: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c.number(n, "double"), F.lit(default)))), 4)
     count = lambda n, default: F.greatest(F.lit(0), F.coalesce(c.number(n), default))
     temporal = F.when(c.text("temporal_status").isin(*C.TEMPORAL_STATUSES), c.text("temporal_status")).otherwise("current")
-    history = C.keep_newest(F.filter(c.list("history", HISTORY), lambda h: h["snapshot"].isNotNull()), 20)
+    history = C.keep_newest(_history(c, name), 20)
     return df.where(name.isNotNull()).select(
         key.alias("entity_id"), F.coalesce(squeeze("entity_chain_id"), key).alias("entity_chain_id"), F.greatest(F.lit(1), F.coalesce(c.number("version"), F.lit(1))).alias("version"),
         F.coalesce(c.time("valid_from"), created).alias("valid_from"), c.time("valid_to").alias("valid_to"), temporal.alias("temporal_status"), history.alias("history"), name.alias("name"),

@@ -1,7 +1,7 @@
 """Reconciliation: audit, classify, policy, dry run or approval, repair, audit again, status.
 
 Stores are DataFrames by name; those that are absent aren't audited: operations, items, item_archive, entities, entity_archive,
-relations, conflicts, recoveries. A dry run is the repaired plan without a write, since DataFrames don't change. What reaches the driver
+relations, conflicts, recoveries, and nodes with edges. A dry run is the repaired plan without a write, since DataFrames don't change. What reaches the driver
 are the codes found, of which there are 76 at most.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.operators import audit as A
+from factweave.operators import graph
 
 Stores = dict[str, DataFrame]
 
@@ -47,16 +48,35 @@ def audit(stores: Stores) -> DataFrame:
         out.append(A.audit_conflicts(stores["conflicts"], ents))
     if "recoveries" in stores and {"entities", "entity_archive"} <= set(stores):
         out.append(A.audit_recoveries(stores["recoveries"], stores["entities"], stores["entity_archive"]))
+    if items is not None and (links := _causal(stores)) is not None:
+        out.append(A.audit_causal(links, items))
+    if {"nodes", "edges"} <= set(stores) and items is not None and ents is not None:
+        out.append(A.audit_graph(stores["nodes"], stores["edges"], items, ents))
     return A.union(*out)
 
 
+def _causal(stores: Stores) -> DataFrame | None:
+    """(source, target) of the causal links of the fact stores that have any."""
+    have = [stores[n] for n in ("items", "item_archive") if n in stores and "causal_links" in stores[n].columns]
+    return A.union(*[s.select(F.col("memory_id").alias("source"), F.explode("causal_links").alias("x")).select("source", F.col("x.target_memory_id").alias("target")) for s in have]) if have else None
+
+
+def _whole(stores: Stores, a: str, b: str) -> DataFrame:
+    """Both stores of a kind with all their columns."""
+    have = [stores[n] for n in (a, b) if n in stores]
+    return have[0] if len(have) == 1 else have[0].unionByName(have[1], allowMissingColumns=True)
+
+
 def _clean_links(df: DataFrame, key: str, items: DataFrame) -> DataFrame:
     fixed = A.repair_links(df.select(F.col(key).alias("entity_id"), "memory_ids"), items).select(F.col("entity_id").alias(key), F.col("memory_ids").alias("_ids"))
     return df.join(fixed, key, "left").withColumn("memory_ids", F.coalesce("_ids", "memory_ids")).drop("_ids")
 
 
+LINK_CODES = ("ENTITY_EMPTY_MEMORY_LINK", "ENTITY_DUPLICATE_MEMORY_LINK", "ENTITY_MEMORY_REFERENCE_MISSING")
+
+
 def repair(stores: Stores, codes: set[str]) -> Stores:
-    """Stores after the repairs that belong to the codes; the rest is handed on as it is. Rows of a repeated id are left alone by link repair's key."""
+    """Stores after the repairs that belong to the codes. The graph is derived, so any of its faults, and any mended link, has it built anew; the rest is handed on as it is. Rows of a repeated id are left alone by link repair's key."""
     out = dict(stores)
     if "COMPLETED_OPERATION_HAS_LEASE" in codes:
         out["operations"] = A.repair_leases(out["operations"])
@@ -65,12 +85,14 @@ def repair(stores: Stores, codes: set[str]) -> Stores:
     if "ARCHIVE_ENTITY_NOT_ARCHIVED" in codes:
         out["entity_archive"] = out["entity_archive"].withColumn("archive_state", F.lit("ARCHIVED"))
     items = _both(out, "items", "item_archive", "memory_id")
-    if codes & {"ENTITY_EMPTY_MEMORY_LINK", "ENTITY_DUPLICATE_MEMORY_LINK", "ENTITY_MEMORY_REFERENCE_MISSING"}:
+    if codes & set(LINK_CODES):
         for name in ("entities", "entity_archive"):
             if name in out:
                 out[name] = _clean_links(out[name], "entity_id", items)
     if "RELATION_MEMORY_REFERENCE_MISSING" in codes:
         out["relations"] = _clean_links(out["relations"], "relation_id", items)
+    if {"nodes", "edges"} <= set(out) and any(c.startswith("GRAPH_") or c in LINK_CODES for c in codes):
+        out["nodes"], out["edges"] = graph.rebuild(_whole(out, "items", "item_archive"), _whole(out, "entities", "entity_archive"), out.get("relations"))
     return out
 
 

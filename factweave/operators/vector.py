@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factweave.functions import columns as C
 
@@ -35,17 +40,86 @@ def query_blocks(queries: DataFrame) -> int:
     return max(1, -(-queries.count() // QUERY_BLOCK))
 
 
+#: (query, row) cells of one matrix product: what a task holds at a time, whatever the sizes of both sides.
+CELLS = 1_000_000
+
+
+class Vectors:
+    """Vectors of an Arrow list column, read by their lengths. One that is null, empty, without length or not finite is ``flat``: its cosine with any other is 0."""
+
+    def __init__(self, column: pa.Array):
+        self.size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("int64")
+        self.start = column.offsets.to_numpy()[:-1].astype("int64")
+        self.values = column.values.to_numpy(zero_copy_only=False).astype("float64")
+        self.norm = np.zeros(len(column))
+        for n in np.unique(self.size[self.size > 0]):
+            rows = np.flatnonzero(self.size == n)
+            m = self.of(rows)
+            self.norm[rows] = np.sqrt(np.einsum("ij,ij->i", m, m))
+        self.flat = ~(np.isfinite(self.norm) & (self.norm > 0))
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """Rows of one length as a matrix."""
+        return self.values[self.start[rows][:, None] + np.arange(self.size[rows[0]] if len(rows) else 0)]
+
+
+def _near(rows: Vectors, asked: Vectors, part: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, cosine) of the pairs at or above the threshold. A matrix product finds them with a margin; the cosine of each found pair is
+    then summed by itself, so that equal vectors have equal cosines wherever they stand."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if threshold <= 0:
+        i, j = np.nonzero(rows.flat[part][:, None] | asked.flat[None, :])
+        found.append((part[i], j, np.zeros(len(i))))
+    for n in np.unique(rows.size[part][~rows.flat[part]]):
+        own = part[(rows.size[part] == n) & ~rows.flat[part]]
+        other = np.flatnonzero((asked.size == n) & ~asked.flat)
+        if len(other):
+            a, b = rows.of(own), asked.of(other)
+            i, j = np.nonzero((a / rows.norm[own][:, None]) @ (b / asked.norm[other][:, None]).T >= threshold - 1e-9)
+            sim = np.empty(len(i))
+            for s in range(0, len(i), 65_536):
+                e = slice(s, s + 65_536)
+                sim[e] = np.einsum("ij,ij->i", a[i[e]], b[j[e]]) / (rows.norm[own[i[e]]] * asked.norm[other[j[e]]])
+            keep = sim >= threshold
+            found.append((own[i[keep]], other[j[keep]], sim[keep]))
+    if not found:
+        return np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def similar_pairs(queries: DataFrame, corpus: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
-    """Every (query, corpus row) with cosine >= threshold, as columns query_id, the corpus columns and sim.
+    """Every (query, corpus row) with cosine >= threshold, as the corpus columns without the vector, query_id and sim.
 
     queries: query_id, vector; corpus: key, vector and more. A stated query set is held against the whole corpus: the queries
-    are sent to all tasks in ``blocks`` parts (as many as ``query_blocks`` says, if not given), the corpus is never shuffled.
+    are sent to all tasks in ``blocks`` parts (as many as ``query_blocks`` says, if not given), the corpus is never shuffled; a task multiplies
+    slices of its rows with them. Vectors of different lengths aren't compared; one that is null, empty, without length or
+    not finite has cosine 0 with all others.
     """
-    right, blocks = with_norm(corpus), blocks or query_blocks(queries)
+    spark, blocks = corpus.sparkSession, blocks or query_blocks(queries)
+    corpus = corpus.withColumn("vector", F.col("vector").cast("array<double>"))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    schema = T.StructType([f for f in corpus.schema if f.name != "vector"] + [asked.schema["query_id"], T.StructField("sim", T.DoubleType())])
     out = None
     for b in range(blocks):
-        own = with_norm(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).select("query_id", F.col("vector").alias("qv"), F.col("norm").alias("qn"))
-        part = right.join(F.broadcast(own), F.lit(True)).withColumn("sim", cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("norm"))).where(F.col("sim") >= threshold).drop("qv", "qn", "norm", "vector")
+        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        sent = spark.sparkContext.broadcast(own.toArrow().combine_chunks())
+
+        def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            table = sent.value
+            if not table.num_rows:
+                return
+            ids, theirs = table.column("query_id").chunk(0), Vectors(table.column("vector").chunk(0))
+            step = max(1, CELLS // table.num_rows)
+            for batch in batches:
+                place = batch.schema.get_field_index("vector")
+                rows, kept = Vectors(batch.column(place)), [c for i, c in enumerate(batch.columns) if i != place]
+                names = [n for n in batch.schema.names if n != "vector"]
+                for s in range(0, batch.num_rows, step):
+                    i, j, sim = _near(rows, theirs, np.arange(s, min(s + step, batch.num_rows)), threshold)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([*[c.take(pa.array(i)) for c in kept], ids.take(pa.array(j)), pa.array(sim)], names=[*names, "query_id", "sim"])
+
+        part = corpus.mapInArrow(match, schema)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
-from factweave.operators import aggregate, audit, graph, lookup, resolve, temporal, vector, windows
+from factweave.operators import aggregate, audit, graph, lookup, reconcile, resolve, temporal, vector, windows
 from factweave.plans import governance as G
 from factweave.plans import views as V
 from factweave.streaming import ledger
@@ -274,12 +275,60 @@ union all select 'GRAPH_MEMORY_NODE_MISSING_SOURCE', id, count(*) from n where i
 union all select 'GRAPH_EDGE_NODE_MISSING', edge, count(*) from refs where ref not in (select id from ids) group by 2 union all select 'GRAPH_MEMORY_ENTITY_MEMORY_MISSING', edge, count(*) from e where s not in (select 'm' || o_orderkey from orders where o_orderkey % 41 <> 0) group by 2
 union all select 'GRAPH_MEMORY_ENTITY_ENTITY_MISSING', edge, count(*) from e where t = 'none' group by 2""")
 def audit_graph(spark, sf):
-    k, o = F.col("o_orderkey"), V.table(spark, sf, "orders")
-    ents = V.table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("entity_id"))
-    nodes = o.select(F.when(k % 101 == 0, "").otherwise(F.concat(F.lit("m"), k - F.when(k % 97 == 0, 1).otherwise(0))).alias("id"), F.lit("memory").alias("kind")).unionByName(ents.select(F.col("entity_id").alias("id"), F.lit("entity").alias("kind")))
-    n = F.col("l_orderkey")
+    nodes, edges = _faulty_graph(spark, sf)
+    items = V.table(spark, sf, "orders").where("o_orderkey % 41 <> 0").select(F.concat(F.lit("m"), "o_orderkey").alias("memory_id"))
+    return audit.audit_graph(nodes, edges, items, V.table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("entity_id")))
+
+
+def _faulty_graph(spark, sf):
+    k, n = F.col("o_orderkey"), F.col("l_orderkey")
+    ents = V.table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.lit("entity").alias("kind"))
+    nodes = V.table(spark, sf, "orders").select(F.when(k % 101 == 0, "").otherwise(F.concat(F.lit("m"), k - F.when(k % 97 == 0, 1).otherwise(0))).alias("id"), F.lit("memory").alias("kind")).unionByName(ents)
     edges = V.table(spark, sf, "lineitem").select(F.concat(F.lit("m"), n).alias("source"), F.when(n % 31 == 0, "none").otherwise(F.concat(F.lit("p"), "l_partkey")).alias("target"), F.lit("MEMORY_HAS_ENTITY").alias("type"))
-    return audit.audit_graph(nodes, edges, o.where(k % 41 != 0).select(F.concat(F.lit("m"), k).alias("memory_id")), ents)
+    return nodes, edges
+
+
+_LIVE = "select o_orderkey as k from orders where o_orderkey % 41 <> 0"
+
+
+def _graph_stores(spark, sf):
+    """Fact, entity and relation stores with the faulty graph of ``audit_graph``; some causal links lead nowhere."""
+    k = F.col("o_orderkey")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    m = lambda c: F.concat(F.lit("m"), c)
+    link = F.struct(m(k + 1).alias("target_memory_id"), F.lit("causes").alias("relation"), F.lit(0.8).alias("confidence"))
+    items = V.table(spark, sf, "orders").where(k % 41 != 0).select(
+        m(k).alias("memory_id"), F.concat(F.lit("c"), "o_custkey").alias("chain_id"), F.row_number().over(w).alias("version"), F.col("o_orderdate").cast("timestamp").alias("valid_from"),
+        F.when(k % 7 == 0, m(k - 1)).alias("supersedes"), F.lit(None).cast("string").alias("superseded_by"), F.when(k % 10 == 0, F.array(link)).alias("causal_links"))
+    named = V.table(spark, sf, "lineitem").where("l_orderkey % 41 <> 0").select("l_partkey", m(F.col("l_orderkey")).alias("m")).distinct().groupBy("l_partkey").agg(F.collect_list("m").alias("memory_ids"))
+    part = V.table(spark, sf, "part").select("p_partkey", F.concat(F.lit("p"), "p_partkey").alias("entity_id"))
+    ents = part.join(named, F.col("p_partkey") == F.col("l_partkey"), "left").select("entity_id", "memory_ids")
+    p = F.col("p_partkey")
+    rel = part.where(p % 3 == 0).select(F.concat(F.lit("r"), p).alias("relation_id"), "entity_id", (p % 2 == 0).alias("directed"), F.when(p >= 3, F.concat(F.lit("p"), p - 3)).otherwise(F.col("entity_id")).alias("target"))
+    rel = rel.where("target <> entity_id").select("relation_id", F.col("entity_id").alias("source"), "target", F.lit("PART_OF").alias("relation"), "directed", F.lit(0.8).alias("confidence"), F.array().cast("array<string>").alias("memory_ids"))
+    nodes, edges = _faulty_graph(spark, sf)
+    return {"items": items, "entities": ents, "relations": rel, "nodes": nodes, "edges": edges}
+
+
+@query("reconcile_graph", f"""with live as ({_LIVE}), b as (select code, sum(n)::bigint as before from ({ORACLE['audit_graph']}) group by 1
+union all select 'MEMORY_CAUSAL_REFERENCE_MISSING', count(*) from live where k % 10 = 0 and k + 1 not in (select k from live))
+select code, before, case when code like 'GRAPH%' then 0 else before end as after from b where before > 0""")
+def reconcile_graph(spark, sf):
+    """Violations of a faulty graph and of causal links before and after a reconciliation, which builds the graph anew."""
+    done = reconcile.reconcile(_graph_stores(spark, sf))
+    return reconcile.compare(done.before, done.after)
+
+
+@query("rebuilt_edges", f"""with live as ({_LIVE}), p as (select p_partkey as p from part), o as (select o_orderkey as k, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as nxt from orders where o_orderkey % 41 <> 0)
+select distinct 'm' || l_orderkey as source, 'p' || l_partkey as target, 'MEMORY_HAS_ENTITY' as type, 'MENTIONS' as relation, 1.0::double as confidence from lineitem where l_orderkey in (select k from live) and l_partkey in (select p from p)
+union all select 'p' || p, 'p' || (p - 3), 'ENTITY_RELATION', 'PART_OF', 0.8::double from p where p % 3 = 0 and p - 3 in (select p from p)
+union all select 'p' || (p - 3), 'p' || p, 'ENTITY_RELATION', 'PART_OF', 0.8::double from p where p % 3 = 0 and p % 2 <> 0 and p - 3 in (select p from p)
+union all select 'm' || k, 'm' || (k - 1), 'TEMPORAL_SUPERSEDES', 'SUPERSEDES', 1.0::double from live where k % 7 = 0 and k - 1 in (select k from live)
+union all select 'm' || k, 'm' || (k + 1), 'CAUSAL', 'CAUSES', 0.8::double from live where k % 10 = 0 and k + 1 in (select k from live)
+union all select 'm' || k, 'm' || nxt, 'TEMPORAL_SAME_CHAIN', 'NEXT_VERSION', 1.0::double from o where nxt is not null""")
+def rebuilt_edges(spark, sf):
+    s = _graph_stores(spark, sf)
+    return graph.rebuild(s["items"], s["entities"], s["relations"])[1]
 
 
 @query("item_entities", "select distinct l_orderkey as memory_id, l_partkey as entity_id from lineitem where l_orderkey % 3 = 0")

@@ -1,6 +1,7 @@
 """Rules that are easy to get wrong, each on a few rows."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +191,30 @@ def test_candidates_of_replies(spark):
 def test_facts_may_be_strings(spark):
     raw = spark.createDataFrame([(1, '{"facts":["plain",{"text":"obj","type":"goal","importance":5},{"text":"sk-abcdefghij12"},"a","b"]}')], "k int, raw string")
     assert [(r.memory, r.type, r.importance) for r in curate.fact_rows(raw, "raw", "k").collect()] == [("plain", "other", 3), ("obj", "goal", 5), ("a", "other", 3)]
+
+
+def test_similar_pairs_brute_force(spark):
+    """Against pairs compared one by one: odd vectors, equal ones, other lengths, several blocks, any width of slices."""
+    rng = random.Random(3)
+    vecs = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(40)]
+    vecs += [vecs[0], vecs[1], [0.0] * 5, [], None, [1.0, None, 2.0, 0.0, 1.0], [1.0, 2.0], [float("nan")] * 5]
+    rows = spark.createDataFrame([(i, v, f"n{i}") for i, v in enumerate(vecs)], "key long, vector array<double>, query_name string")
+    asked = rows.where("key % 3 = 0 or key >= 40").select(F.col("key").alias("query_id"), "vector")
+
+    def size(v):
+        return math.sqrt(sum(x * x for x in v)) if v and all(x is not None and x == x for x in v) else 0.0
+
+    def sim(a, b):
+        if not size(a) or not size(b):
+            return 0.0
+        return sum(x * y for x, y in zip(a, b)) / (size(a) * size(b)) if len(a) == len(b) else None
+
+    for least in (0.3, 0.0, -1.0):
+        want = {(q, k): s for q in range(len(vecs)) if q % 3 == 0 or q >= 40 for k in range(len(vecs)) if (s := sim(vecs[q], vecs[k])) is not None and s >= least}
+        for blocks in (1, 3):
+            out = vector.similar_pairs(asked, rows, least, blocks)
+            got = {(r.query_id, r.key): r.sim for r in out.collect()}
+            assert out.columns == ["key", "query_name", "query_id", "sim"] and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in got)
+    same = {r.key: r.sim for r in vector.similar_pairs(asked.where("query_id = 3"), rows, -1.0).collect()}
+    assert same[0] == same[40] and same[1] == same[41]
+    assert vector.similar_pairs(asked.limit(0), rows, 0.0).count() == 0 and vector.similar_pairs(asked, rows.limit(0), 0.0).count() == 0

@@ -78,3 +78,25 @@ def test_reconcile_policies(spark, stores):
     broken = stores | {"items": stores["items"].unionByName(stores["items"])}
     assert reconcile.reconcile(broken).status == "PARTIALLY_REPAIRED"
     assert reconcile.reconcile({"items": broken["items"], "item_archive": broken["item_archive"]}).status == "BLOCKED"
+
+
+def test_reconcile_graph(spark, stores):
+    fixed = reconcile.reconcile(stores).stores
+    items = spark.createDataFrame([("m1", "active", None, None, "c", [("m1", "causes", 0.5), ("m9", "causes", 0.5)]), ("m2", "active", "m1", None, "c", None), (" ", "active", None, None, None, None)],
+                                  "memory_id string, status string, supersedes string, superseded_by string, chain_id string, causal_links array<struct<target_memory_id:string,relation:string,confidence:double>>")
+    nodes = spark.createDataFrame([("m1", "memory"), ("m1", "memory"), ("x", "entity"), (None, "memory")], "id string, kind string")
+    edges = spark.createDataFrame([("m1", "x", "MEMORY_HAS_ENTITY", "MENTIONS", 1.0), ("e1", "e7", "ENTITY_RELATION", "USES", 1.0)], "source string, target string, type string, relation string, confidence double")
+    done = reconcile.reconcile(fixed | {"items": items, "nodes": nodes, "edges": edges})
+    n = {r.code: (r.before, r.after) for r in reconcile.compare(done.before, done.after).collect() if r.code.startswith("GRAPH") or "CAUSAL" in r.code}
+    assert n == {"GRAPH_NODE_MISSING_ID": (1, 0), "GRAPH_DUPLICATE_NODE_ID": (1, 0), "GRAPH_ENTITY_NODE_MISSING_SOURCE": (1, 0), "GRAPH_EDGE_NODE_MISSING": (2, 0), "GRAPH_MEMORY_ENTITY_ENTITY_MISSING": (1, 0),
+                 "GRAPH_ENTITY_RELATION_ENTITY_MISSING": (1, 0), "MEMORY_CAUSAL_REFERENCE_MISSING": (1, 1)}
+    assert sorted(r.id for r in done.stores["nodes"].collect()) == ["e1", "e2", "m1", "m2"]
+    assert {(r.source, r.target, r.relation) for r in done.stores["edges"].collect()} == {("m1", "e1", "MENTIONS"), ("e1", "e2", "RELATED_TO"), ("m2", "m1", "SUPERSEDES"), ("m1", "m2", "NEXT_VERSION")}
+
+
+def test_bare_history(spark):
+    names = lambda j, t: [h.snapshot.name for h in normalise.normalize_entities(spark.createDataFrame([("e", "Bob", j)], f"entity_id string, name string, history {t}"), now()).first().history]
+    bare = "version:string,name:string,type:string"
+    assert names([("1", " Old  Bob ", None), ("2", None, None), ("3", " ", None), None], f"array<struct<{bare}>>") == ["Old Bob", "Bob"]
+    assert names([(("1", "In"), "out"), (None, "out")], "array<struct<snapshot:struct<version:string,name:string>,name:string>>") == ["In", "out"]
+    assert names(None, f"array<struct<{bare}>>") == [] and names("odd", "string") == []
