@@ -1,6 +1,9 @@
 """Stateful stream operators: the lease machine of operations and the interval gate.
 
-Both keep a few numbers per key in the state store (RocksDB provider). Events of one micro-batch are taken in the order of their
+Both keep a few numbers per key in the state store (RocksDB provider). With ``keep_seconds`` a key that was not written for so long (processing
+time) is forgotten, so the state holds the keys in use and not every key ever seen: a stream that runs on for ever should name it. It needs
+a trigger that fires again by time; Spark goes on making empty batches there, so a run with ``availableNow`` has no end and has to leave it out.
+A lease that was forgotten is unknown and a later BEGIN claims it anew; a gate that was forgotten passes the next event. Events of one micro-batch are taken in the order of their
 times; an event older than one already taken is judged against the state as it is. Rows with a null time are ignored.
 """
 
@@ -56,8 +59,11 @@ def _micros(ts: pd.Series) -> np.ndarray:
 
 
 class LeaseMachine(StatefulProcessor):
+    def __init__(self, keep_seconds: int | None):
+        self.keep = keep_seconds and keep_seconds * 1000
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("lease", "status string, until long, attempts int, recoveries int")
+        self.state = handle.getValueState("lease", "status string, until long, attempts int, recoveries int", self.keep)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         events = _ordered(rows, "ts", "kind")
@@ -75,11 +81,11 @@ class LeaseMachine(StatefulProcessor):
 
 
 class IntervalGate(StatefulProcessor):
-    def __init__(self, seconds: int):
-        self.step = seconds * 1_000_000
+    def __init__(self, seconds: int, keep_seconds: int | None):
+        self.step, self.keep = seconds * 1_000_000, keep_seconds and keep_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at long")
+        self.last = handle.getValueState("last", "at long", self.keep)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         ts = _ordered(rows, "ts")["ts"]
@@ -99,14 +105,18 @@ class IntervalGate(StatefulProcessor):
         pass
 
 
-def lease_stream(events: DataFrame) -> DataFrame:
+def _mode(keep_seconds: int | None) -> str:
+    return "None" if keep_seconds is None else "ProcessingTime"
+
+
+def lease_stream(events: DataFrame, keep_seconds: int | None = None) -> DataFrame:
     """Outcome of each event (operation_key, ts, kind) of a stream of BEGIN, HEARTBEAT, COMPLETE and FAIL."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    return events.select("operation_key", "ts", "kind").groupBy("operation_key").transformWithStateInPandas(LeaseMachine(), LEASE_OUT, "Append", "None")
+    return events.select("operation_key", "ts", "kind").groupBy("operation_key").transformWithStateInPandas(LeaseMachine(keep_seconds), LEASE_OUT, "Append", _mode(keep_seconds))
 
 
-def interval_stream(events: DataFrame, key: str, seconds: int) -> DataFrame:
+def interval_stream(events: DataFrame, key: str, seconds: int, keep_seconds: int | None = None) -> DataFrame:
     """Events (key, ts) let through if at most one per interval and key may pass, without catching up."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     kind = events.schema[key].dataType.simpleString()
-    return events.select(key, "ts").groupBy(key).transformWithStateInPandas(IntervalGate(seconds), f"key {kind}, ts timestamp", "Append", "None").withColumnRenamed("key", key)
+    return events.select(key, "ts").groupBy(key).transformWithStateInPandas(IntervalGate(seconds, keep_seconds), f"key {kind}, ts timestamp", "Append", _mode(keep_seconds)).withColumnRenamed("key", key)

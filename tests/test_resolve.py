@@ -1,6 +1,7 @@
 """Resolution, ingest and recovery against pairs compared one by one; stateful streams against a fold."""
 
 import itertools
+import time
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -113,3 +114,23 @@ def test_interval_stream_equals_batch(spark, tmp_path):
     e.coalesce(1).write.parquet(f"{tmp_path}/in")
     got = run(stateful.interval_stream(spark.readStream.schema("user_id long, ts timestamp").parquet(f"{tmp_path}/in"), "user_id", 6 * 3600), "gated", tmp_path)
     assert sorted(map(tuple, got)) == sorted(map(tuple, ledger.one_per_interval(e, "user_id", "ts", 6 * 3600).collect()))
+
+
+def test_lease_stream_forgets(spark, tmp_path):
+    """A key that wasn't written for the time kept is unknown again."""
+    batch = lambda n, s: spark.createDataFrame([("a", s, "BEGIN")], "operation_key string, s int, kind string").select("operation_key", F.timestamp_seconds("s").alias("ts"), "kind").coalesce(1).write.parquet(f"{tmp_path}/in/p={n}")
+    batch(0, 0)
+    stream = spark.readStream.schema("operation_key string, ts timestamp, kind string").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    q = stateful.lease_stream(stream, 15).writeStream.format("memory").queryName("forgotten").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
+    try:
+        outcomes = lambda: [r.outcome for r in spark.table("forgotten").orderBy("ts").collect()]
+        for n, want in ((1, ["CLAIMED"]), (2, ["CLAIMED", "CLAIMED"])):
+            end = time.time() + 60
+            while len(outcomes()) < n and time.time() < end:
+                time.sleep(0.5)
+            assert outcomes() == want
+            if n == 1:
+                time.sleep(20)
+                batch(1, 1)
+    finally:
+        q.stop()
