@@ -2,10 +2,49 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+class Requirement(NamedTuple):
+    """What a policy asks of an approval beyond its being granted and in time."""
+
+    need_requester: bool = False
+    no_requester: bool = False
+    no_requester_role: bool = False
+    allowed_roles: tuple[str, ...] = ()
+    need_role: bool = False
+    delegation: bool = False
+    need_reference: bool = False
+
+
+def bound_to(approvals: DataFrame, plans: DataFrame, need: Requirement) -> DataFrame:
+    """approvals with ``code``, the first rule in order by which one isn't bound to its plan's policy, cycle, requester, role or delegator; null if it holds.
+
+    approvals: plan_id, actor, role, requester, requester_role, policy_version, policy_fingerprint, plan_fingerprint, previous_id,
+    previous_key, delegated_by, delegation_reference. plans: plan_id (one row each) and the five columns from policy_version to
+    previous_key. Blank and null are the same for names; an approval of an unknown plan is held against nulls.
+    """
+    bound = {"policy_version": "POLICY_VERSION_MISMATCH", "policy_fingerprint": "POLICY_FINGERPRINT_MISMATCH", "plan_fingerprint": "REPAIR_PLAN_MISMATCH", "previous_id": "CYCLE_MISMATCH", "previous_key": "CYCLE_KEY_MISMATCH"}
+    j = approvals.join(plans.select("plan_id", *[F.col(c).alias(f"_{c}") for c in bound]), "plan_id", "left")
+    said = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    actor, role, asker, asker_role, giver = said("actor"), said("role"), said("requester"), said("requester_role"), said("delegated_by")
+    roles = list(need.allowed_roles)
+    rules = [(code, ~F.col(c).eqNullSafe(F.col(f"_{c}"))) for c, code in bound.items()]
+    rules += [("REQUESTER_REQUIRED", asker == "")] if need.need_requester else []
+    rules += [("REQUESTER_APPROVAL_FORBIDDEN", (asker != "") & (actor == asker))] if need.no_requester else []
+    rules += [("REQUESTER_ROLE_REQUIRED", asker_role == ""), ("REQUESTER_ROLE_FORBIDDEN", role == asker_role)] if need.no_requester_role else []
+    rules += [("ROLE_REQUIRED", role == "")] if roles or need.need_role else []
+    rules += [("ROLE_NOT_ALLOWED", ~role.isin(roles))] if roles else []
+    rules += [("REQUESTER_DELEGATION_FORBIDDEN", (giver != "") & (giver == asker))] if need.no_requester else []
+    rules += [("DELEGATOR_SELF_REFERENCE", (giver != "") & (giver == actor))] if need.delegation else [("DELEGATION_NOT_ALLOWED", giver != "")]
+    if need.need_reference:
+        rules += [("DELEGATION_REFERENCE_REQUIRED", (giver != "") & (said("delegation_reference") == "")), ("DELEGATION_REFERENCE_WITHOUT_DELEGATOR", (giver == "") & (said("delegation_reference") != ""))]
+    return j.withColumn("code", F.coalesce(*[F.when(broken, f"APPROVAL_{code}") for code, broken in rules])).drop(*[f"_{c}" for c in bound])
+
+
 def validate_approvals(approvals: DataFrame, plans: DataFrame, now: Column, roles: tuple[str, ...]) -> DataFrame:
     """approvals with ``failure``, the first failing rule in order (null if none), and ``valid``.
 

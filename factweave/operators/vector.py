@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,6 +140,25 @@ def search(queries: DataFrame, corpus: DataFrame, now: Column, threshold: float
     return top_k(found.withColumn("score", F.round(score, 4)), k, "score")
 
 
+def decision_candidates(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The three nearest facts with a cosine of .75 or more for each new one: what a decision on conflicts looks at."""
+    return top_k(similar_pairs(queries, corpus, 0.75), 3, "sim")
+
+
+def with_vectors(df: DataFrame, text: str, provider: Callable[[list[str]], np.ndarray], vector: str = "vector") -> DataFrame:
+    """``vector`` of each text by a provider that takes a list of texts and gives one row of numbers for each; null texts have a null vector.
+
+    The provider is sent to the tasks and called once for each Arrow batch.
+    """
+    def embed(texts: pd.Series) -> pd.Series:
+        known, out = texts.dropna(), pd.Series([None] * len(texts), index=texts.index, dtype="object")
+        if len(known):
+            out.loc[known.index] = pd.Series(list(np.asarray(provider(known.tolist()), dtype="float64")), index=known.index)
+        return out
+
+    return df.withColumn(vector, F.pandas_udf(embed, "array<double>")(F.col(text)))
+
+
 def rank_blend(queries: DataFrame, corpus: DataFrame, now: Column, threshold: float = 0.0, k: int = 10) -> DataFrame:
     """Blend of similarity, importance, confidence, lifecycle, use and exponential recency."""
     days = C.age_days(F.col("last_accessed"), now)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
-from factweave.operators import aggregate, audit, graph, lookup, reconcile, resolve, temporal, vector, windows
+from factweave.operators import aggregate, approvals, audit, graph, lookup, reconcile, resolve, temporal, vector, windows
 from factweave.plans import governance as G
 from factweave.plans import views as V
 from factweave.streaming import ledger
@@ -439,3 +439,26 @@ def conflicts_reanalyzed(spark, sf):
     c = V.table(spark, sf, "part").select(k.alias("conflict_id"), F.concat(F.lit("name "), k).alias("candidate_name"), _pick(("PERSON", "SOFTWARE", "OTHER"), k).alias("candidate_type"), F.when(k % 5 == 0, F.concat(F.lit("NAME "), k)).otherwise(F.concat(F.lit("else "), k)).alias("entity_name"),
                                           _pick(("PERSON", "SOFTWARE"), k).alias("entity_type"), (k % 100 / 100.0).alias("score"), F.lit("ACTIVE").alias("status"), F.lit("DIFFERENT").alias("decision"))
     return resolve.reanalyze(c).select("conflict_id", "decision", "status")
+
+
+@query("decision_candidates", f"with {V.VECTORS_SQL} select * from (select query_id, key, round(sim, 4) as sim, row_number() over (partition by query_id order by sim desc, key)::bigint as rank from sims where sim >= 0.75) where rank <= 3")
+def decision_candidates(spark, sf):
+    v = V.vectors(spark, sf)
+    return vector.decision_candidates(V.queries_of(v), v).select("query_id", "key", F.round("sim", 4).alias("sim"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("approval_bounds", """select event_id, 'APPROVAL_' || case when event_id % 29 = 0 then 'POLICY_VERSION_MISMATCH' when event_id % 31 = 0 then 'CYCLE_KEY_MISMATCH' when event_id % 11 = 0 then 'REQUESTER_REQUIRED' when event_id % 7 = 0 then 'REQUESTER_APPROVAL_FORBIDDEN'
+ when event_type not in ('click', 'purchase', 'signup') then 'ROLE_NOT_ALLOWED' when event_id % 5 = 0 then 'REQUESTER_DELEGATION_FORBIDDEN' when event_id % 5 = 1 then 'DELEGATOR_SELF_REFERENCE'
+ when event_id % 5 = 2 and event_id % 2 = 0 then 'DELEGATION_REFERENCE_REQUIRED' when event_id % 5 in (3, 4) and event_id % 2 = 1 then 'DELEGATION_REFERENCE_WITHOUT_DELEGATOR' end as code from events""")
+def approval_bounds(spark, sf):
+    """Events as approvals of their user's plan, with wrong policies, cycles, requesters and delegators planted by their numbers."""
+    n, e = F.col("event_id"), V.table(spark, sf, "events")
+    actor, asker = F.concat(F.lit("a"), "user_id"), F.concat(F.lit("q"), "user_id")
+    bound = [F.lit("f").alias("policy_fingerprint"), F.lit("p").alias("plan_fingerprint"), F.lit("o").alias("previous_id")]
+    a = e.select(
+        n, F.col("user_id").alias("plan_id"), actor.alias("actor"), F.col("event_type").alias("role"), F.when(n % 11 == 0, " ").when(n % 7 == 0, actor).otherwise(asker).alias("requester"), F.lit(None).cast("string").alias("requester_role"),
+        F.when(n % 29 == 0, 1).otherwise(2).alias("policy_version"), *bound, F.when(n % 31 != 0, F.lit("k")).alias("previous_key"),
+        F.when(n % 5 == 0, asker).when(n % 5 == 1, actor).when(n % 5 == 2, "d").alias("delegated_by"), F.when(n % 2 == 1, "ref").otherwise("").alias("delegation_reference"))
+    plans = e.select(F.col("user_id").alias("plan_id")).distinct().select("plan_id", F.lit(2).alias("policy_version"), *bound, F.lit("k").alias("previous_key"))
+    need = approvals.Requirement(need_requester=True, no_requester=True, allowed_roles=("click", "purchase", "signup"), delegation=True, need_reference=True)
+    return approvals.bound_to(a, plans, need).select("event_id", "code")

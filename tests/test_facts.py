@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
-from factweave.operators import aggregate, audit, curate, graph, resolve, temporal, vector, windows
+from factweave.operators import aggregate, approvals, audit, curate, graph, resolve, temporal, vector, windows
 from factweave.streaming import ledger
 
 
@@ -218,3 +218,22 @@ def test_similar_pairs_brute_force(spark):
     same = {r.key: r.sim for r in vector.similar_pairs(asked.where("query_id = 3"), rows, -1.0).collect()}
     assert same[0] == same[40] and same[1] == same[41]
     assert vector.similar_pairs(asked.limit(0), rows, 0.0).count() == 0 and vector.similar_pairs(asked, rows.limit(0), 0.0).count() == 0
+
+
+def test_with_vectors(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "i int, t string")
+    got = {r.i: r.vector for r in vector.with_vectors(df, "t", lambda texts: [[len(t), 1.0] for t in texts]).collect()}
+    assert got == {1: [2.0, 1.0], 2: None, 3: [0.0, 1.0]} and vector.with_vectors(df.where("false"), "t", lambda texts: []).count() == 0
+
+
+def test_bound_to(spark):
+    """Each rule in its order; a policy that asks for nothing lets all but wrong bindings and delegations pass."""
+    cols = "plan_id string, actor string, role string, requester string, requester_role string, policy_version int, policy_fingerprint string, plan_fingerprint string, previous_id string, previous_key string, delegated_by string, delegation_reference string"
+    row = lambda **k: tuple((dict(plan_id="p", actor="a", role="r", requester="q", requester_role="s", policy_version=1, policy_fingerprint="f", plan_fingerprint="g", previous_id=None, previous_key=None, delegated_by=None, delegation_reference=None) | k).values())
+    plans = spark.createDataFrame([("p", 1, "f", "g", None, None)], "plan_id string, policy_version int, policy_fingerprint string, plan_fingerprint string, previous_id string, previous_key string")
+    codes = lambda need, *rows: [r.code and r.code[9:] for r in approvals.bound_to(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{cols}, i int"), plans, need).orderBy("i").collect()]
+    assert codes(approvals.Requirement(), row(), row(plan_id="x"), row(policy_fingerprint="z"), row(plan_fingerprint=None), row(previous_id="o"), row(delegated_by="d"), row(actor="q")) == [
+        None, "POLICY_VERSION_MISMATCH", "POLICY_FINGERPRINT_MISMATCH", "REPAIR_PLAN_MISMATCH", "CYCLE_MISMATCH", "DELEGATION_NOT_ALLOWED", None]
+    strict = approvals.Requirement(True, True, True, (), True, True, True)
+    assert codes(strict, row(), row(requester=" "), row(requester_role=None), row(role="s"), row(role=""), row(delegated_by="q"), row(delegated_by="a"), row(delegated_by="d"), row(delegated_by="d", delegation_reference="x"), row(delegation_reference="x")) == [
+        None, "REQUESTER_REQUIRED", "REQUESTER_ROLE_REQUIRED", "REQUESTER_ROLE_FORBIDDEN", "ROLE_REQUIRED", "REQUESTER_DELEGATION_FORBIDDEN", "DELEGATOR_SELF_REFERENCE", "DELEGATION_REFERENCE_REQUIRED", None, "DELEGATION_REFERENCE_WITHOUT_DELEGATOR"]
