@@ -117,12 +117,16 @@ def asof_closed(spark, sf):
     return windows.as_of(V.items(spark, sf, False), _instants(spark, sf), "chain_id", closed=True).select("chain_id", F.unix_micros("instant").alias("instant"), "version", "n_matches")
 
 
-@query("scd2", f"""with {V.ITEMS_SQL}, cur as (select * from items where valid_to is null and chain_id % 7 = 0)
-select memory_id, chain_id, version, epoch_us(case when memory_id in (select memory_id from cur) then timestamp '2001-08-02' else valid_to end) as valid_to from items
+@query("scd2", f"""with {V.ITEMS_SQL}, e as (select *, case chain_id % 3 when 0 then timestamp '2001-08-02' when 1 then timestamp '1997-06-01' else timestamp '1990-01-01' end as eff from items),
+cur as (select * from e where valid_to is null and eff >= valid_from)
+select memory_id, chain_id, version, epoch_us(case when memory_id in (select memory_id from cur) then eff else valid_to end) as valid_to from e
 union all select -chain_id, chain_id, version + 1, null from cur""")
 def scd2(spark, sf):
+    """A change for every customer: accepted, too early for some chains, or of a chain without versions."""
     i = V.items(spark, sf, False).withColumns({"superseded_by": F.lit(None).cast("long"), "memory": F.lit("x")})
-    batch = V.table(spark, sf, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("chain_id"), (-F.col("c_custkey")).alias("new_id"), F.lit("new").alias("memory"), V.now().alias("effective_from"))
+    k = F.col("c_custkey")
+    start = F.when(k % 3 == 0, V.now()).when(k % 3 == 1, V.now("1997-06-01")).otherwise(V.now("1990-01-01"))
+    batch = V.table(spark, sf, "customer").select(k.alias("chain_id"), (-k).alias("new_id"), F.lit("new").alias("memory"), start.alias("effective_from"))
     return temporal.supersede(i, batch)[0].select("memory_id", "chain_id", "version", F.unix_micros("valid_to").alias("valid_to"))
 
 

@@ -191,7 +191,22 @@ def facts(spark, sf):
     return curate.fact_rows(d.select("doc_id", raw.alias("raw")), "raw", "doc_id")
 
 
-@query("rich_post")
+_TAGS_SQL = "['details', 'summary', 'blockquote', 'sub', 'sup', 'u']"
+
+
+@query("rich_post", r"""with p as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from documents),
+f as (select doc_id, regexp_replace(t, '(?s)^```(?:markdown|md)?\s*\n(.*)\n```$', '\1', 'g') as t from p),
+l as (select doc_id, regexp_replace(regexp_replace(t, '\[([^\]]*)\]\(https?://[^)]*\)', '\1', 'g'), 'https?://\S+', '', 'g') as t from f),
+r as (select row_number() over () as id, doc_id, regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as t from l),
+m as (select *, regexp_replace(t, '(?s)\$\$.*?\$\$|\$[^$\n]+\$', 'M', 'g') as flat from r where length(t) between 60 and 6000 and not regexp_matches(t, '(?i)^\s*(sorry|i can''t|i cannot|i''m sorry|as an ai)')),
+g as (select *, list_transform(regexp_extract_all(flat, '</?[a-zA-Z][\w-]*[^>]*>'), lambda x: lower(regexp_extract(x, '^<(/?[a-zA-Z][\w-]*)', 1))) as tags from m where not contains(flat, '$')),
+k as (select id, doc_id, t, regexp_split_to_array(t, '\r?\n') as ls from g where len(list_filter(tags, lambda x: not list_contains(""" + _TAGS_SQL + r""", ltrim(x, '/')))) = 0
+  and len(list_filter(""" + _TAGS_SQL + r""", lambda a: len(list_filter(tags, lambda x: x = a)) <> len(list_filter(tags, lambda x: x = '/' || a)))) = 0),
+u as (select id, pos, trim(x) as x from (select id, unnest(ls) as x, generate_subscripts(ls, 1) as pos from k) where starts_with(trim(x), '|')),
+v as (select id, pos - row_number() over (partition by id order by pos) as run, pos, len(string_split(trim(x, '|'), '|')) as n, regexp_matches(x, '^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?$') as mark from u),
+y as (select id, run, n, mark, row_number() over (partition by id, run order by pos) as i, first_value(n) over (partition by id, run order by pos) as cols, count(*) over (partition by id, run) as size from v),
+bad as (select distinct id from y where size = 1 or n <> cols or cols > 6 or (i = 2 and not mark))
+select doc_id, t as text from k where id not in (select id from bad)""")
 def rich_post(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", curate.rich_text(F.col("text")).alias("text"))
     return d.where(curate.rich_accepted(F.col("text")))

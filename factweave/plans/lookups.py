@@ -23,20 +23,26 @@ def query(name: str, sql: str | None = None):
 
 
 @query("entity_find", r"""with n as (select p_partkey as entity_id, lower(trim(regexp_replace(p_name, '\s+', ' ', 'g'))) as k from part union select p_partkey, lower(p_brand) from part)
-select c_custkey as query_id, min(entity_id) as entity_id from customer join part p on p.p_partkey = c_custkey join n on n.k = lower(p.p_name) group by 1""")
+select p.p_partkey as query_id, min(entity_id) as entity_id from part p join n on n.k = lower(case when p_partkey % 2 = 0 then p.p_name else p.p_brand end) group by 1""")
 def entity_find(spark, sf):
-    p = V.table(spark, sf, "part")
-    q = V.table(spark, sf, "customer").join(p, F.col("c_custkey") == F.col("p_partkey")).select(F.col("c_custkey").alias("query_id"), F.upper("p_name").alias("q"))
+    """Every part asked for by its name (even keys) or its brand, an alias."""
+    asked = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.col("p_brand"))
+    q = V.table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), F.upper(asked).alias("q"))
     return lookup.find_entity(q, V.entities(spark, sf)).select("query_id", "entity_id")
 
 
-@query("entity_search", r"""with q as (select p_partkey as query_id, lower(p_name) as qk, list_distinct(string_split(lower(p_name), ' ')) as qw from part where p_partkey % 50 = 0),
-""" + V.ENTITIES_SQL.strip() + r""", n as (select entity_id, mention_count, lower(name) as nk, list_distinct(string_split(lower(name), ' ')) as nw from ents),
-s as (select query_id, entity_id, mention_count, round(case when qk = nk then 1 when contains(nk, qk) or contains(qk, nk) then 0.85 else len(list_intersect(qw, nw)) / len(list_distinct(list_concat(qw, nw))) end, 4)::double as score
-  from q join n on len(list_intersect(qw, nw)) > 0)
+@query("entity_search", r"""with w as (select p_partkey, lower(p_name) as nm, lower(p_brand) as br, lower(left(p_name, length(p_name) - 2)) as cut from part),
+t as (select k, list_distinct(list_filter(regexp_split_to_array(regexp_replace(k, '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+'), lambda x: x <> '')) as ws from (select nm as k from w union select br from w union select cut from w)),
+q as (select p_partkey as query_id, trim(case p_partkey % 3 when 0 then nm when 1 then br else cut end) as qk, ws as qw from w join t on k = case p_partkey % 3 when 0 then nm when 1 then br else cut end where p_partkey % 50 = 0),
+""" + V.ENTITIES_SQL.strip() + r""", n as (select entity_id, mention_count, k as nk, ws as nw from (select entity_id, mention_count, unnest([nm, br]) as nk from ents join w on p_partkey = entity_id) join t on k = nk),
+s as (select query_id, entity_id, any_value(mention_count) as mention_count, round(max(case when qk = nk then 1 when contains(nk, qk) or contains(qk, nk) then 0.85 else len(list_intersect(qw, nw)) / len(list_distinct(list_concat(qw, nw))) end), 4)::double as score
+  from q join n on len(list_intersect(qw, nw)) > 0 or contains(nk, qk) or contains(qk, nk) group by 1, 2)
 select query_id, entity_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, mention_count desc, entity_id)::int as rank from s) where rank <= 5""")
 def entity_search(spark, sf):
-    q = V.table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("q"))
+    """Asked for by the whole name, by the brand (an alias) or by a name whose last two letters are missing, so that its last word is only part of one."""
+    k = F.col("p_partkey")
+    asked = F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, F.col("p_brand")).otherwise(F.expr("left(p_name, length(p_name) - 2)"))
+    q = V.table(spark, sf, "part").where("p_partkey % 50 = 0").select(k.alias("query_id"), asked.alias("q"))
     return lookup.search_entities(q, V.entities(spark, sf)).select("query_id", "entity_id", "score", "rank")
 
 
