@@ -1,4 +1,4 @@
-"""Change of facts over time: insert, supersede, end, archive, restore, and routing of actions."""
+"""Change of facts over time: insert, archive, restore, and routing of actions. Batches of changes of versions are in ``changes``."""
 
 from __future__ import annotations
 
@@ -60,46 +60,6 @@ def add_items(active: DataFrame, archive: DataFrame, batch: DataFrame, near: Dat
                              .when(F.col("is_archived"), "RESTORE").when(F.col("is_near"), "DUPLICATE").otherwise("ADDED")).drop("is_active", "is_archived", "is_near")
 
 
-def supersede(items: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items with old versions closed and new ones opened, outcome per row of ``batch``).
-
-    batch: chain_id, new_id, memory, effective_from; one row per chain (earlier ones first, by separate calls).
-    A change before the current version's start, or of a chain without a current version, is rejected.
-    """
-    current = items.where("valid_to is null").select("chain_id", F.col("memory_id").alias("old_id"), F.col("version").alias("old_version"), F.col("valid_from").alias("old_from"))
-    judged = batch.join(current, "chain_id", "left").withColumn("outcome", F.when(F.col("old_id").isNull(), "NO_CURRENT").when(F.col("effective_from") < F.col("old_from"), "TOO_EARLY").otherwise("SUPERSEDED"))
-    good = judged.where("outcome = 'SUPERSEDED'")
-    closed = items.join(good.select(F.col("old_id").alias("memory_id"), F.col("effective_from").alias("_to"), F.col("new_id").alias("_by")), "memory_id", "left").withColumns({
-        "valid_to": F.coalesce("_to", "valid_to"), "superseded_by": F.coalesce("_by", "superseded_by")}).drop("_to", "_by")
-    opened = good.select(F.col("new_id").alias("memory_id"), "chain_id", (F.col("old_version") + 1).alias("version"), F.col("effective_from").alias("valid_from"), F.col("old_id").alias("supersedes"), "memory")
-    return closed.unionByName(opened, allowMissingColumns=True), judged.select("chain_id", "new_id", "outcome")
-
-
-def end_items(items: DataFrame, batch: DataFrame) -> DataFrame:
-    """Items with the intervals of ``batch`` (memory_id, ended_at) closed; ends not after the start are ignored."""
-    return items.join(batch.select("memory_id", "ended_at"), "memory_id", "left").withColumn("_ok", F.col("ended_at") > F.col("valid_from")).withColumns({
-        "valid_to": F.when(F.col("_ok"), F.col("ended_at")).otherwise(F.col("valid_to")),
-        "temporal_status": F.when(F.col("_ok"), "ended").otherwise(F.col("temporal_status"))}).drop("_ok", "ended_at")
-
-
-def evolve_entities(entities: DataFrame, batch: DataFrame) -> DataFrame:
-    """CHANGE pushes the current state to history and applies new name (old one becomes an alias) and type; END closes."""
-    b = batch.select("entity_id", "action", "new_name", "new_type", "effective")
-    snap = F.struct(F.struct("version", "name", "valid_from", F.col("effective").alias("valid_to")).alias("snapshot"))
-    change = (F.col("action") == "CHANGE") & F.coalesce(F.col("effective") >= F.col("valid_from"), F.lit(True))
-    rename = change & F.col("new_name").isNotNull() & (C.canonical_name(F.col("new_name")) != C.canonical_name(F.col("name")))
-    kind = C.norm_enum(F.col("new_type"), C.ENTITY_TYPES, "OTHER")
-    return entities.join(b, "entity_id", "left").withColumns({
-        "history": F.when(change, F.slice(F.array_append("history", snap), F.greatest(F.size("history") - 18, F.lit(1)), 20)).otherwise(F.col("history")),
-        "aliases": F.when(rename, C.clean_aliases(F.array_append("aliases", F.col("name")), F.col("new_name"))).otherwise(F.col("aliases")),
-        "valid_to": F.when(F.col("action") == "END", F.col("effective")).otherwise(F.col("valid_to")),
-    }).withColumns({
-        "name": F.when(rename, C.norm_name(F.col("new_name"))).otherwise(F.col("name")),
-        "type": F.when(change & (kind != "OTHER"), kind).otherwise(F.col("type")),
-        "version": F.when(change, F.col("version") + 1).otherwise(F.col("version")),
-        "valid_from": F.when(change, F.col("effective")).otherwise(F.col("valid_from"))}).drop("action", "new_name", "new_type", "effective")
-
-
 def route_actions(actions: DataFrame) -> DataFrame:
     """Route of each action row: a known action, else UPDATE with old and new text, CONSOLIDATE with several sources, else ADD."""
     known = F.upper(F.trim("action"))

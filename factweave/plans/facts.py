@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
-from factweave.operators import aggregate, graph, temporal, vector, windows
+from factweave.operators import aggregate, changes, graph, temporal, vector, windows
 from factweave.plans import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,7 +127,7 @@ def scd2(spark, sf):
     k = F.col("c_custkey")
     start = F.when(k % 3 == 0, V.now()).when(k % 3 == 1, V.now("1997-06-01")).otherwise(V.now("1990-01-01"))
     batch = V.table(spark, sf, "customer").select(k.alias("chain_id"), (-k).alias("new_id"), F.lit("new").alias("memory"), start.alias("effective_from"))
-    return temporal.supersede(i, batch)[0].select("memory_id", "chain_id", "version", F.unix_micros("valid_to").alias("valid_to"))
+    return changes.supersede(i, batch)[0].select("memory_id", "chain_id", "version", F.unix_micros("valid_to").alias("valid_to"))
 
 
 _DAYS = f"(epoch_us(timestamp '{V.NOW_ORDERS}') - epoch_us(last_accessed)) / 86400000000.0::double"

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
-from factweave.operators import aggregate, approvals, audit, graph, lookup, reconcile, resolve, temporal, vector, windows
+from factweave.operators import aggregate, approvals, audit, changes, graph, lookup, reconcile, resolve, temporal, vector, windows
 from factweave.plans import governance as G
 from factweave.plans import views as V
 from factweave.streaming import ledger
@@ -123,10 +123,10 @@ def end_items(spark, sf):
     i = V.items(spark, sf, False).withColumn("temporal_status", F.lit("current"))
     k = F.col("memory_id")
     batch = i.where(k % 4 == 0).select("memory_id", F.when(k % 8 == 4, F.col("valid_from") + F.expr("interval 5 days")).otherwise(F.col("valid_from")).alias("ended_at"))
-    return temporal.end_items(i, batch).select("memory_id", F.unix_micros("valid_to").alias("valid_to"), "temporal_status")
+    return changes.end_items(i, batch).select("memory_id", F.unix_micros("valid_to").alias("valid_to"), "temporal_status")
 
 
-@query("evolve_entities", """select p_partkey as entity_id, case when p_partkey % 3 = 0 then p_name || ' new' else p_name end as name, case when p_partkey % 3 = 0 then 2 else 1 end::int as version, case when p_partkey % 3 = 0 then 1 else 0 end::int as n_history,
+@query("evolve_entities", """select p_partkey as entity_id, case when p_partkey % 3 = 0 then p_name || ' new' else p_name end as name, case when p_partkey % 3 <> 2 then 2 else 1 end::int as version, case when p_partkey % 3 <> 2 then 1 else 0 end::int as n_history,
   case when p_partkey % 3 = 0 then p_brand || '|' || p_name else p_brand end as aliases, case when p_partkey % 6 = 0 then 'SOFTWARE' else 'PRODUCT' end as type, p_partkey % 3 = 1 as ended from part""")
 def evolve_entities(spark, sf):
     k, none = F.col("p_partkey"), F.lit(None).cast("timestamp")
@@ -134,7 +134,7 @@ def evolve_entities(spark, sf):
     p = V.table(spark, sf, "part")
     e = p.select(k.alias("entity_id"), F.col("p_name").alias("name"), F.lit(1).alias("version"), empty.alias("history"), F.array("p_brand").alias("aliases"), F.lit("PRODUCT").alias("type"), V.now("2000-01-01").alias("valid_from"), none.alias("valid_to"))
     b = p.where(k % 3 != 2).select(k.alias("entity_id"), F.when(k % 3 == 0, "CHANGE").otherwise("END").alias("action"), F.concat("p_name", F.lit(" new")).alias("new_name"), F.when(k % 6 == 0, "software").otherwise("odd").alias("new_type"), V.now().alias("effective"))
-    return temporal.evolve_entities(e, b).select("entity_id", "name", "version", F.size("history").alias("n_history"), F.array_join("aliases", "|").alias("aliases"), "type", F.col("valid_to").isNotNull().alias("ended"))
+    return changes.evolve_entities(e, b)[0].select("entity_id", "name", "version", F.size("history").alias("n_history"), F.array_join("aliases", "|").alias("aliases"), "type", F.col("valid_to").isNotNull().alias("ended"))
 
 
 def _actions(spark, sf):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
-from factweave.operators import aggregate, approvals, audit, curate, graph, resolve, temporal, vector, windows
+from factweave.operators import aggregate, approvals, audit, changes, curate, graph, resolve, temporal, vector, windows
 from factweave.streaming import ledger
 
 
@@ -59,11 +59,11 @@ def test_cosine_of_nothing(spark):
 def test_supersede(spark):
     items = spark.sql("select 'm1' memory_id, 'c' chain_id, 1 version, timestamp'2020-01-01' valid_from, cast(null as timestamp) valid_to, cast(null as string) superseded_by, 'old' memory")
     batch = spark.sql("select 'c' chain_id, 'm2' new_id, 'new' memory, timestamp'2021-01-01' effective_from union all select 'zz', 'm3', 'x', timestamp'2021-01-01'")
-    new, out = temporal.supersede(items, batch)
+    new, out = changes.supersede(items, batch)
     got = {r.memory_id: r for r in new.collect()}
     assert got["m1"].superseded_by == "m2" and got["m2"].version == 2 and got["m2"].valid_to is None
     assert {r.new_id: r.outcome for r in out.collect()} == {"m2": "SUPERSEDED", "m3": "NO_CURRENT"}
-    early = temporal.supersede(items, batch.withColumn("effective_from", F.to_timestamp(F.lit("2019-01-01"))))[1]
+    early = changes.supersede(items, batch.withColumn("effective_from", F.to_timestamp(F.lit("2019-01-01"))))[1]
     assert {r.outcome for r in early.collect()} == {"TOO_EARLY", "NO_CURRENT"}
 
 
