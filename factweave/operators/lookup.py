@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
-from factweave.operators.vector import query_blocks
+from factweave.operators import trigrams
 
 
 def first_tier(frames: list[DataFrame], by: str = "query_id", *order) -> DataFrame:
@@ -18,13 +18,17 @@ def first_tier(frames: list[DataFrame], by: str = "query_id", *order) -> DataFra
     return every.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy("tier", *order))).where("_rn = 1").drop("_rn")
 
 
+def _all_names(entities: DataFrame) -> Column:
+    return F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+
+
 def find_entity(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """(query_id, entity_id, tier): by id, then by canonical name or alias, then by core words if they fit one entity only.
 
-    queries: query_id, q. entities: entity_id, name, aliases.
+    queries: query_id, q. entities: entity_id, name, aliases. Of the entities that bear a name the smallest id is taken before queries meet it.
     """
     q = queries.withColumn("k", C.canonical_name(F.col("q")))
-    names = entities.select("entity_id", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), C.canonical_name))).alias("k"))
+    names = entities.select("entity_id", F.explode(_all_names(entities)).alias("nm")).groupBy(C.canonical_name(F.col("nm")).alias("k")).agg(F.min("entity_id").alias("entity_id"))
     by_id = q.join(entities.select("entity_id", F.col("entity_id").cast("string").alias("q")), "q").select("query_id", "entity_id")
     by_name = q.join(names, "k").select("query_id", "entity_id")
     core = entities.select("entity_id", C.core_key(F.col("name")).alias("c")).where("c <> ''")
@@ -33,26 +37,28 @@ def find_entity(queries: DataFrame, entities: DataFrame) -> DataFrame:
     return first_tier([by_id, by_name, by_core], "query_id", F.col("entity_id"))
 
 
-def search_entities(queries: DataFrame, entities: DataFrame, k: int = 5, blocks: int | None = None) -> DataFrame:
+def search_entities(queries: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:
     """Top k entities per query: 1 for an equal name, .85 for one inside the other, else Jaccard of words; ties by mentions, confidence, id.
 
-    Names and aliases that share a word with the query meet by the word. For those that only lie inside one another, different queries are sent
-    out in ``blocks`` parts (as many as ``query_blocks`` says, if not given) against all different names. Blank queries and names match nothing.
+    Different queries meet different names by a shared word, or by the trigram index where one lies inside the other. Only the best k entities
+    of a name are kept, since they stand before its others in every result. Blank queries and names match nothing.
     """
+    order = (F.col("mention_count").desc(), F.col("confidence").desc(), F.col("entity_id"))
     q = queries.select("query_id", C.canonical_name(F.col("q")).alias("qk"), C.word_set(F.col("q")).alias("qw")).where("qk <> ''")
-    names = entities.select("entity_id", "mention_count", "confidence", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("nm"))
+    names = entities.select("entity_id", "mention_count", "confidence", F.explode(_all_names(entities)).alias("nm"))
     names = names.select("entity_id", "mention_count", "confidence", C.canonical_name(F.col("nm")).alias("nk"), C.word_set(F.col("nm")).alias("nw")).where("nk <> ''")
-    hit = q.withColumn("w", F.explode("qw")).join(names.withColumn("w", F.explode("nw")), "w").drop("w").distinct()
-    texts, asked, blocks = names.select("nk", "nw").distinct(), q.select("qk", "qw").distinct(), blocks or query_blocks(queries)
-    for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("qk"), F.lit(blocks)) == b)
-        inside = texts.join(F.broadcast(own), (F.contains("nk", "qk") | F.contains("qk", "nk")) & ~F.arrays_overlap("qw", "nw"))
-        hit = hit.unionByName(q.join(inside, ["qk", "qw"]).join(names, ["nk", "nw"]).select(hit.columns))
-    jac = F.size(F.array_intersect("qw", "nw")) / F.size(F.array_union("qw", "nw"))
-    score = F.when(F.col("qk") == F.col("nk"), 1.0).when(F.contains("nk", "qk") | F.contains("qk", "nk"), 0.85).otherwise(jac)
-    best = hit.groupBy("query_id", "entity_id").agg(F.round(F.max(score), 4).alias("score"), F.max("mention_count").alias("mention_count"), F.max("confidence").alias("confidence"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("mention_count").desc(), F.col("confidence").desc(), "entity_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    asked, texts = q.select("qk", "qw").distinct(), names.select("nk", "nw").distinct()
+    shared = asked.withColumn("w", F.explode("qw")).join(texts.withColumn("w", F.explode("nw")), "w").select("qk", "nk", "qw", "nw").distinct()
+    jac = shared.groupBy("qk", "nk").agg(F.max(F.size(F.array_intersect("qw", "nw")) / F.size(F.array_union("qw", "nw"))).alias("score"))
+    inside = trigrams.containing(asked, texts, "qk", "nk").toDF("qk", "nk").unionByName(trigrams.containing(texts, asked, "nk", "qk").toDF("nk", "qk"))
+    score = F.when(F.col("qk") == F.col("nk"), 1.0).otherwise(0.85)
+    # a name inside the other counts by that alone, whatever words they share
+    scored = jac.join(inside.distinct().withColumn("part", score), ["qk", "nk"], "full").select("qk", "nk", F.round(F.coalesce("part", "score"), 4).alias("score"))
+    hit = scored.join(trigrams.best_per_text(names.select("entity_id", "mention_count", "confidence", "nk").distinct(), "nk", k, *order), "nk")
+    best = hit.groupBy("qk", "entity_id").agg(F.max("score").alias("score"), F.max("mention_count").alias("mention_count"), F.max("confidence").alias("confidence"))
+    w = Window.partitionBy("qk").orderBy(F.col("score").desc(), *order)
+    best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return q.select("query_id", "qk").join(best, "qk").select("query_id", "entity_id", "score", "mention_count", "confidence", "rank")
 
 
 def recent(items: DataFrame, n: int) -> DataFrame:
@@ -90,7 +96,7 @@ def causality(links: DataFrame, items: DataFrame) -> DataFrame:
 
 def find_item(queries: DataFrame, active: DataFrame, archive: DataFrame, column: str = "memory") -> DataFrame:
     """(query_id, memory_id, tier): first fact whose ``column`` equals q, active ones (tier 0) before archived ones (tier 1)."""
-    hit = lambda df: queries.join(df.select("memory_id", F.col(column).cast("string").alias("q")), "q").select("query_id", "memory_id")
+    hit = lambda df: queries.join(df.groupBy(F.col(column).cast("string").alias("q")).agg(F.min("memory_id").alias("memory_id")), "q").select("query_id", "memory_id")
     return first_tier([hit(active), hit(archive)], "query_id", F.col("memory_id"))
 
 
@@ -104,19 +110,16 @@ def resolve_reference(queries: DataFrame, active: DataFrame, archive: DataFrame,
     return first_tier([exact, *near], "query_id", F.col("sim").desc(), F.col("memory_id"))
 
 
-def find_by_part(queries: DataFrame, entities: DataFrame, blocks: int | None = None) -> DataFrame:
+def find_by_part(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """(query_id, entity_id) of queries whose text lies inside the names of one entity only; the last resort after ``find_entity``.
 
-    A stated query set is held against all names: queries are sent out in ``blocks`` parts (as many as ``query_blocks`` says, if not given), names are not shuffled. Hits are reduced to the
-    smallest and largest entity id per query before they meet.
+    Names are found by the trigram index; each stands for the smallest and the largest id that bear it.
     """
-    names = entities.select("entity_id", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("nm")).select("entity_id", C.canonical_name(F.col("nm")).alias("nk"))
-    out, blocks = None, blocks or query_blocks(queries)
-    for b in range(blocks):
-        q = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", C.canonical_name(F.col("q")).alias("k")).where("k <> ''")
-        part = names.join(F.broadcast(q), F.contains("nk", "k")).groupBy("query_id").agg(F.min("entity_id").alias("entity_id"), F.max("entity_id").alias("_hi")).where("entity_id = _hi").drop("_hi")
-        out = part if out is None else out.unionByName(part)
-    return out
+    names = entities.select("entity_id", F.explode(_all_names(entities)).alias("nm")).groupBy(C.canonical_name(F.col("nm")).alias("nk")).agg(F.min("entity_id").alias("_lo"), F.max("entity_id").alias("_hi"))
+    q = queries.select("query_id", C.canonical_name(F.col("q")).alias("k")).where("k <> ''")
+    found = trigrams.containing(q, names, "k", "nk").join(names.withColumnRenamed("nk", "text"), "text")
+    only = found.groupBy(F.col("pattern").alias("k")).agg(F.min("_lo").alias("entity_id"), F.max("_hi").alias("_hi")).where("entity_id = _hi")
+    return q.join(only, "k").select("query_id", "entity_id")
 
 
 def conflict_query(conflicts: DataFrame, text: str | None = None, status: str | None = None, decisions: tuple[str, ...] = (), n: int = 50) -> DataFrame:
@@ -162,16 +165,14 @@ def find_archived_entity(queries: DataFrame, archive: DataFrame) -> DataFrame:
     return first_tier([by_id, by_name], "query_id", F.col("entity_id")).select("query_id", "entity_id")
 
 
-def search_archived_entities(queries: DataFrame, archive: DataFrame, k: int = 10, blocks: int | None = None) -> DataFrame:
-    """Newest k archived entities per query whose name and aliases, joined, hold its text. A stated query set in blocks, as in ``search_entities``."""
-    texts = archive.withColumn("_all", F.lower(F.concat_ws(" ", F.array("name"), "aliases")))
-    hit, blocks = None, blocks or query_blocks(queries)
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.lower(F.trim("q")).alias("_q")).where("_q <> ''")
-        part = texts.join(F.broadcast(own), F.contains("_all", "_q")).drop("_all", "_q")
-        hit = part if hit is None else hit.unionByName(part)
-    w = Window.partitionBy("query_id").orderBy(F.col("archived_at").desc(), "entity_id")
-    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def search_archived_entities(queries: DataFrame, archive: DataFrame, k: int = 10) -> DataFrame:
+    """Newest k archived entities per query whose name and aliases, joined, hold its text; found by the trigram index, the newest k of each text."""
+    order = (F.col("archived_at").desc(), F.col("entity_id"))
+    texts = archive.withColumn("text", F.lower(F.concat_ws(" ", F.array("name"), "aliases")))
+    q = queries.select("query_id", F.lower(F.trim("q")).alias("pattern")).where("pattern <> ''")
+    hit = trigrams.containing(q, texts).join(trigrams.best_per_text(texts, "text", k, *order), "text").drop("text")
+    best = hit.withColumn("rank", F.row_number().over(Window.partitionBy("pattern").orderBy(*order))).where(F.col("rank") <= k)
+    return q.join(best, "pattern").drop("pattern")
 
 
 def active_relations(relations: DataFrame, include_inactive: bool = False) -> DataFrame:

@@ -31,19 +31,30 @@ def entity_find(spark, sf):
     return lookup.find_entity(q, V.entities(spark, sf)).select("query_id", "entity_id")
 
 
-@query("entity_search", r"""with w as (select p_partkey, lower(p_name) as nm, lower(p_brand) as br, lower(left(p_name, length(p_name) - 2)) as cut from part),
+@query("entity_search", r"""with w as (select p_partkey, lower(p_name) as nm, lower(p_brand) as br, trim(lower(left(p_name, length(p_name) - 2))) as cut from part),
 t as (select k, list_distinct(list_filter(regexp_split_to_array(regexp_replace(k, '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+'), lambda x: x <> '')) as ws from (select nm as k from w union select br from w union select cut from w)),
-q as (select p_partkey as query_id, trim(case p_partkey % 3 when 0 then nm when 1 then br else cut end) as qk, ws as qw from w join t on k = case p_partkey % 3 when 0 then nm when 1 then br else cut end where p_partkey % 50 = 0),
-""" + V.ENTITIES_SQL.strip() + r""", n as (select entity_id, mention_count, k as nk, ws as nw from (select entity_id, mention_count, unnest([nm, br]) as nk from ents join w on p_partkey = entity_id) join t on k = nk),
-s as (select query_id, entity_id, any_value(mention_count) as mention_count, round(max(case when qk = nk then 1 when contains(nk, qk) or contains(qk, nk) then 0.85 else len(list_intersect(qw, nw)) / len(list_distinct(list_concat(qw, nw))) end), 4)::double as score
-  from q join n on len(list_intersect(qw, nw)) > 0 or contains(nk, qk) or contains(qk, nk) group by 1, 2)
-select query_id, entity_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, mention_count desc, entity_id)::int as rank from s) where rank <= 5""")
+q as (select p_partkey as query_id, case p_partkey % 3 when 0 then nm when 1 then br else cut end as qk from w),
+""" + V.ENTITIES_SQL.strip() + r""", n as (select entity_id, mention_count, unnest([nm, br]) as nk from ents join w on p_partkey = entity_id),
+p as (select a.k as qk, b.k as nk, round(case when a.k = b.k then 1 when contains(b.k, a.k) or contains(a.k, b.k) then 0.85 else len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) end, 4)::double as score
+  from t a join t b on len(list_intersect(a.ws, b.ws)) > 0 or contains(b.k, a.k) or contains(a.k, b.k) where a.k in (select qk from q) and b.k in (select nk from n)),
+s as (select qk, entity_id, any_value(mention_count) as mention_count, max(score) as score from p join n using (nk) group by 1, 2),
+r as (select *, row_number() over (partition by qk order by score desc, mention_count desc, entity_id)::int as rank from s)
+select query_id, entity_id, score, rank from q join r using (qk) where rank <= 5""")
 def entity_search(spark, sf):
-    """Asked for by the whole name, by the brand (an alias) or by a name whose last two letters are missing, so that its last word is only part of one."""
+    """Every part asked for by the whole name, by the brand (an alias) or by a name whose last two letters are missing, so that its last word is only part of one."""
     k = F.col("p_partkey")
     asked = F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, F.col("p_brand")).otherwise(F.expr("left(p_name, length(p_name) - 2)"))
-    q = V.table(spark, sf, "part").where("p_partkey % 50 = 0").select(k.alias("query_id"), asked.alias("q"))
-    return lookup.search_entities(q, V.entities(spark, sf)).select("query_id", "entity_id", "score", "rank")
+    return lookup.search_entities(V.table(spark, sf, "part").select(k.alias("query_id"), asked.alias("q")), V.entities(spark, sf)).select("query_id", "entity_id", "score", "rank")
+
+
+@query("entity_parts", """with c as (select c_custkey as entity_id, lower(c_name) as nm from customer), q as (select c_custkey as query_id, lower(right(c_name, case when c_custkey % 3 = 0 then 5 when c_custkey % 3 = 1 then 3 else 2 end)) as k from customer)
+select query_id, min(entity_id) as entity_id from (select distinct k from q) join c on contains(nm, k) join q using (k) group by query_id having count(*) = 1""")
+def entity_parts(spark, sf):
+    """Every customer asked for by the end of the name: five, three or two characters. A query that lies in the names of several finds none."""
+    k = F.col("c_custkey")
+    c = V.table(spark, sf, "customer")
+    q = c.select(k.alias("query_id"), F.expr("right(c_name, case when c_custkey % 3 = 0 then 5 when c_custkey % 3 = 1 then 3 else 2 end)").alias("q"))
+    return lookup.find_by_part(q, c.select(k.alias("entity_id"), F.col("c_name").alias("name"), F.lit(None).cast("array<string>").alias("aliases")))
 
 
 @query("entity_relations", """select l_suppkey as source, l_partkey as target, s_name as source_name, p_name as target_name, count(*) as n from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey group by all""")

@@ -403,11 +403,15 @@ def archived_found(spark, sf):
     return lookup.find_archived_entity(q, p.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.array("p_brand").alias("aliases")))
 
 
-@query("archived_search", """with q as (select s_suppkey as query_id, 'brand#' || (s_suppkey % 5 + 1) as q from supplier where s_suppkey % 50 = 0)
-select query_id, entity_id, rank from (select query_id, p_partkey as entity_id, row_number() over (partition by query_id order by p_size desc, p_partkey)::int as rank from q join part on contains(lower(p_name || ' ' || p_brand), q)) where rank <= 10""")
+@query("archived_search", """with a as (select p_partkey, p_size, lower(p_name || ' ' || p_brand) as txt from part), q as (select s_suppkey as query_id, case when s_suppkey % 2 = 0 then 'brand#' || (s_suppkey % 5 + 1) else lower(substr(p_name, 2, s_suppkey % 6 + 1)) end as q from supplier join part on p_partkey = s_suppkey),
+t as (select q, p_partkey, row_number() over (partition by q order by p_size desc, p_partkey)::int as rank from (select distinct q from q where trim(q) <> '') join a on contains(txt, trim(q)))
+select query_id, p_partkey as entity_id, rank from q join t using (q) where rank <= 10""")
 def archived_search(spark, sf):
-    q = V.table(spark, sf, "supplier").where("s_suppkey % 50 = 0").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("Brand#"), F.col("s_suppkey") % 5 + 1).alias("q"))
-    a = V.table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.array("p_brand").alias("aliases"), F.col("p_size").alias("archived_at"))
+    """Every supplier asks for a brand or for one to six letters from the middle of a name."""
+    k = F.col("s_suppkey")
+    p = V.table(spark, sf, "part")
+    q = V.table(spark, sf, "supplier").join(p, k == F.col("p_partkey")).select(k.alias("query_id"), F.when(k % 2 == 0, F.concat(F.lit("Brand#"), k % 5 + 1)).otherwise(F.upper(F.substring(F.col("p_name"), F.lit(2), (k % 6 + 1).cast("int")))).alias("q"))
+    a = p.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.array("p_brand").alias("aliases"), F.col("p_size").alias("archived_at"))
     return lookup.search_archived_entities(q, a, 10).select("query_id", "entity_id", "rank")
 
 

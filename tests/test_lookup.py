@@ -1,11 +1,12 @@
 """Look-ups, journal ranges, logs and graphs on a few rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.operators import aggregate, lookup
+from factweave.operators import aggregate, lookup, trigrams
 from factweave.sources import stores
 from factweave.streaming import ledger
 
@@ -21,8 +22,7 @@ def test_references(spark):
 def test_find_by_part(spark):
     e = spark.createDataFrame([("1", "Apollo Data", ["Moon"]), ("2", "Apollo Music", None)], "entity_id string, name string, aliases array<string>")
     q = spark.createDataFrame([(1, "data"), (2, "apollo"), (3, "oon"), (4, " "), (5, None)], "query_id int, q string")
-    for blocks in (None, 3):
-        assert {r.query_id: r.entity_id for r in lookup.find_by_part(q, e, blocks).collect()} == {1: "1", 3: "1"}
+    assert {r.query_id: r.entity_id for r in lookup.find_by_part(q, e).collect()} == {1: "1", 3: "1"}
 
 
 def test_search_inside(spark):
@@ -30,9 +30,43 @@ def test_search_inside(spark):
     e = spark.createDataFrame([("1", "ChatGPT", None), ("2", "chat room", []), ("3", "Other", ["My Chatbot", "", None]), ("4", "hat", []), ("5", "!!", []), ("6", " ", [])], "entity_id string, name string, aliases array<string>")
     e = e.withColumns({"mention_count": F.lit(1), "confidence": F.lit(0.5)})
     q = spark.createDataFrame([(1, "chat"), (2, "!!"), (3, " "), (4, None), (5, "room big")], "query_id int, q string")
-    for blocks in (None, 3):
-        got = {(r.query_id, r.entity_id): r.score for r in lookup.search_entities(q, e, 10, blocks).collect()}
-        assert got == {(1, "1"): 0.85, (1, "2"): 0.85, (1, "3"): 0.85, (1, "4"): 0.85, (2, "5"): 1.0, (5, "2"): 0.3333}
+    got = {(r.query_id, r.entity_id): r.score for r in lookup.search_entities(q, e, 10).collect()}
+    assert got == {(1, "1"): 0.85, (1, "2"): 0.85, (1, "3"): 0.85, (1, "4"): 0.85, (2, "5"): 1.0, (5, "2"): 0.3333}
+
+
+def test_trigrams_brute(spark):
+    """All patterns against all texts, short and blank ones, texts in several scripts; no nested loop in the plan."""
+    rng = random.Random(8)
+    make = lambda low, high: "".join(rng.choice("abAé 日") for _ in range(rng.randint(low, high)))
+    texts, patterns = [make(0, 14) for _ in range(150)] + [None, "aaaaaaaa"], [make(0, 5) for _ in range(200)] + [None, "aaa", "zzz"]
+    p, t = spark.createDataFrame([(x,) for x in patterns], "pattern string"), spark.createDataFrame([(x,) for x in texts], "text string")
+    found = trigrams.containing(p, t)
+    assert sorted(map(tuple, found.collect())) == sorted({(x, y) for x in patterns if x for y in texts if y is not None and x in y})
+    assert sorted(map(tuple, trigrams.containing(p, t, postings=trigrams.index(t, "text")).collect())) == sorted(map(tuple, found.collect()))
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+
+
+def test_search_brute(spark):
+    """Every rank of a search against scores of all pairs; more entities of one name than are asked for."""
+    rng = random.Random(9)
+    names = ["red car", "Car", "red  CAR", "art", "blue cart", "x", "green"]
+    rows = [(k, rng.choice(names), [rng.choice(names)] * rng.randint(0, 1), rng.randint(0, 2), 0.5) for k in range(40)]
+    asked = [(k, rng.choice([*names, "a", "ca", "red thing"])) for k in range(30)]
+    e = spark.createDataFrame(rows, "entity_id int, name string, aliases array<string>, mention_count int, confidence double")
+    got = {(r.query_id, r["rank"]): (r.entity_id, r.score) for r in lookup.search_entities(spark.createDataFrame(asked, "query_id int, q string"), e, 4).collect()}
+    canon = lambda x: " ".join(x.lower().split())
+    for k, q in asked:
+        scores = []
+        for i, name, aliases, mentions, _ in rows:
+            def score(n, q=canon(q)):
+                a, b = set(q.split()), set(n.split())
+                return 1.0 if n == q else 0.85 if n in q or q in n else len(a & b) / len(a | b)
+            best = max(score(canon(n)) for n in [name, *aliases])
+            if best > 0:
+                scores.append((-round(best, 4), -mentions, i))
+        for place, (s, _, i) in enumerate(sorted(scores)[:4], 1):
+            assert got.pop((k, place)) == (i, -s)
+    assert not got
 
 
 def test_filters(spark):
