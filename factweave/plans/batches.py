@@ -1,10 +1,10 @@
-"""Queries over batches with several changes of one key, each with SQL that applies one change after the other."""
+"""Queries over batches with several changes of one key, each with SQL that applies one change after the other, and over indexes."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factweave.operators import changes
+from factweave.operators import changes, vector_index
 from factweave.plans import views as V
 
 QUERIES: dict = {}
@@ -116,3 +116,26 @@ def entity_changes(spark, sf):
     said = lambda h: F.concat_ws(":", h["snapshot"]["version"], h["snapshot"]["name"], h["snapshot"]["type"], F.unix_micros(h["snapshot"]["valid_from"]), F.unix_micros(h["snapshot"]["valid_to"]))
     out = changes.evolve_entities(e, b)[0]
     return out.select("entity_id", "name", "type", "version", F.array_join("aliases", "|").alias("aliases"), F.unix_micros("valid_from").alias("valid_from"), F.unix_micros("valid_to").alias("valid_to"), F.array_join(F.transform("history", said), "|").alias("history"))
+
+
+_ALL_PAIRS = """with p as (select a.vec_id as query_id, b.vec_id as key, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as sim from embeddings a, embeddings b where b.vec_id % 5 <> 0)"""
+
+
+def _index(spark, sf):
+    """An index of two thirds of the rows to which the rest is appended."""
+    v = V.vectors(spark, sf).where("active").select("key", "vector")
+    return vector_index.build(v.where("key % 3 <> 0")).append(v.where("key % 3 = 0"))
+
+
+@query("vec_index_exact", f"{_ALL_PAIRS} select * from (select query_id, key, round(sim, 4) as sim, row_number() over (partition by query_id order by sim desc, key) as rank from p where sim >= 0.2) where rank <= 5")
+def vec_index_exact(spark, sf):
+    """The best five facts for every vector, by lists read as far as the result needs."""
+    asked = V.vectors(spark, sf).select(F.col("key").alias("query_id"), "vector")
+    return vector_index.search(_index(spark, sf), asked, 5, 0.2, exact=True).select("query_id", "key", F.round("sim", 4).alias("sim"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("vec_index_probe")
+def vec_index_probe(spark, sf):
+    """The same from the nearest lists only, as many as a recall of .95 takes on a sample of queries; the test measures the recall of all."""
+    asked, index = V.vectors(spark, sf).select(F.col("key").alias("query_id"), "vector"), _index(spark, sf)
+    return vector_index.search(index, asked, 5, 0.2, probes=vector_index.probes_for(index, asked, 5, 0.2)).select("query_id", "key", F.round("sim", 4).alias("sim"), F.col("rank").cast("long").alias("rank"))
