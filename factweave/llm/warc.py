@@ -34,7 +34,7 @@ VERSION = b"WARC/1."
 MAGIC = b"\x1f\x8b\x08"
 REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
-#: Bytes after which a file is closed and the next begun; bytes read at once; longest header; what a member's records may hold while it isn't checked.
+#: Bytes after which a file is closed and the next begun; bytes read at once; first look at a header, which may be longer; what a member's records may hold while it isn't checked.
 FILE_BYTES, PIECE, HEAD, HELD = 32 << 20, 1 << 18, 1 << 20, 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -101,9 +101,9 @@ def parse_head(data: bytes | bytearray) -> tuple[dict[str, str], int, int] | boo
     """Headers, start and end of the block of the record that ``data`` begins with; False if it can't be one, True if more bytes are needed."""
     if not (data[: len(VERSION)] == VERSION or VERSION.startswith(bytes(data))):
         return False
-    stop = data.find(b"\r\n\r\n", 0, HEAD)
+    stop = data.find(b"\r\n\r\n")
     if stop < 0:
-        return len(data) < HEAD
+        return all(b":" in x for x in bytes(data).split(b"\r\n")[1:-1])  # headers so far: the rest may follow
     lines = bytes(data[:stop]).split(b"\r\n")[1:]
     if not all(b":" in x for x in lines):
         return False
@@ -117,8 +117,13 @@ Found = tuple[dict[str, str], bytes]
 
 def _plain(f: BinaryIO, at: int, size: int) -> tuple[Found, int] | None:
     """The plain record at ``at`` and its end; the end mark is looked at before the block is read."""
-    f.seek(at)
-    got = parse_head(f.read(min(HEAD, size - at)))
+    look, got = HEAD, True
+    while got is True:
+        f.seek(at)
+        got = parse_head(f.read(min(look, size - at)))
+        if look >= size - at:
+            break
+        look *= 4
     if isinstance(got, bool) or at + got[2] + 4 > size:
         return None
     f.seek(at + got[2])
@@ -159,6 +164,8 @@ def _member(f: BinaryIO, at: int, size: int) -> Iterator[tuple[Found | None, int
         begin = 0
         while begin < len(plain):
             got = parse_head(memoryview(plain)[begin : begin + HEAD].tobytes())
+            if got is True and len(plain) > begin + HEAD:
+                got = parse_head(memoryview(plain)[begin:].tobytes())
             if got is True or (got and begin + got[2] + 4 > len(plain)):
                 break
             block = bytes(plain[begin + got[1] : begin + got[2]]) if got else b""
@@ -249,7 +256,8 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 def write_archives(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the rows of ``with_revisits`` as ``*.warc.gz`` under ``folder`` (any URI that pyarrow opens); path and n_records per file.
 
-    A file is closed when it holds ``file_bytes`` or more. It is written under a passing name and then moved, so a task that runs twice leaves one whole file of each name.
+    A file is closed when it holds ``file_bytes`` or more. It is written under a passing name and then moved. Its name holds the attempt: where a task runs twice,
+    the result (the manifest) names the files of the attempt that counts, and files of the other are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,14 +266,14 @@ def write_archives(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -
 
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        part = TaskContext.get().partitionId()
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         done, out, held, size, number = [], None, 0, 0, 0
 
         def close() -> None:
             nonlocal out, held, size, number
             if out is not None:
                 out.close()
-                name = f"part-{part:06d}-{number:05d}.warc.gz"
+                name = f"part-{part:06d}-{number:05d}-{attempt}.warc.gz"
                 fs.move(f"{root}/{tag}", f"{root}/{name}")
                 done.append((f"{folder}/{name}", held))
                 out, held, size, number = None, 0, 0, number + 1
@@ -292,7 +300,7 @@ READ_SCHEMA = "path string, kind string, start long, stop long, page_id long, ur
 def _row(path: str, kind: str, start: int, stop: int, heads: dict[str, str], block: bytes, payloads: bool) -> tuple:
     if kind == "gap":
         return (path, kind, start, stop, *[None] * 7)
-    number = lambda x: int(x) if x and re.fullmatch("-?[0-9]{1,18}", x) else None
+    number = lambda x: int(x) if x and re.fullmatch("-?[0-9]{1,19}", x) and -(1 << 63) <= int(x) < 1 << 63 else None
     payload, http = payload_of(heads, block)
     revisit = heads.get("warc-type") == "revisit"  # its payload is elsewhere; the record states digest and length
     digest = heads.get("warc-payload-digest", "").removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest()

@@ -440,6 +440,25 @@ def test_warc_foreign():
     assert ids(b"??" + warc.member(long) + long) == ["gap", "9", "9"]
 
 
+def test_warc_ids_and_long_headers(spark):
+    """Ids at both ends of 64 bits, and a url longer than the first look at a header."""
+    ids = [2**63 - 1, -(2**63), 10**18 + 5, 10**17, None]
+    pages = spark.createDataFrame([(x, "u", "<p>same</p>" * 40) for x in ids] + [(7, "v" * 3_000_000, "<p>long url</p>")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(pages, shared_dir(spark, "test-warc")).collect()}
+    assert set(got) == {*ids, 7} and len(got[7].url) == 3_000_000
+    assert all(r.refers_to == (None if r.page_id in (None, 7) else None if r.record_type == "response" else r.refers_to) for r in got.values())
+    assert {got[x].refers_to for x in ids if got[x].record_type == "revisit"} <= set(ids)
+    long = warc.make_record(9, "w" * 2_500_000, b"x", hashlib.sha256(b"x").hexdigest(), None, False)
+    assert [x[3].get("x-page-id") for x in warc.salvage(b"??" + long + warc.member(long))] == [None, "9", "9"]
+    assert [x[0] for x in warc.salvage(b"WARC/1.1\r\n" + b"a" * 2_000_000 + b"\r\nno header\r\n" + long)] == ["gap", "record"]
+
+
+def test_html_formulas():
+    """Text of formulas and the text inside an object are content."""
+    page = "<article><p>The formula <math><mi>E</mi>=<mi>m</mi></math> holds, <object data='x'>as said</object> here.</p></article>"
+    assert [b.text for b in html_extract.blocks(page)] == ["The formula E=m holds, as said here."]
+
+
 def test_warc_gap_log(spark):
     folder = shared_dir(spark, "test-warc")
     pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(8)], "page_id long, url string, html string")
