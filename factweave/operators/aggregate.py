@@ -94,4 +94,4 @@ def combine_requirements(requirements: DataFrame) -> DataFrame:
     return requirements.groupBy("plan_id").agg(
         F.max("min_approvals").alias("min_approvals"), F.bool_or("distinct_actors").alias("distinct_actors"), F.bool_and("allow_delegation").alias("allow_delegation"),
         F.collect_set("allowed_roles").alias("_a"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("required_roles")))).alias("required_roles"),
-    ).withColumn("allowed_roles", F.array_sort(F.aggregate(F.slice("_a", 2, 1000), F.get("_a", F.lit(0)), lambda acc, x: F.array_intersect(acc, x)))).drop("_a")
+    ).withColumn("allowed_roles", F.array_sort(F.aggregate(F.slice("_a", F.lit(2), F.size("_a")), F.get("_a", F.lit(0)), lambda acc, x: F.array_intersect(acc, x)))).drop("_a")
