@@ -30,16 +30,45 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def name_scores(candidates: DataFrame, entities: DataFrame) -> DataFrame:
+#: Names of more core tokens or characters may be outdone by one with other tokens even where a core key decides.
+PLAIN_TOKENS, PLAIN_CHARS = 12, 80
+
+
+def plausible_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, jaccard, containment) of the pairs of names that can change a decision.
+
+    Where a core key decides (the name's own stands among the entities, .98 or more), only names of the same set of tokens can be equal to it or
+    better: another one has .45 + .55 * .9 at most if its tokens lie inside the name's, and differs from it by a whole token. Such names meet by their
+    set of tokens; those of more than PLAIN_TOKENS tokens or PLAIN_CHARS characters, for which a token may be too little, go with the rest. The
+    rest meet by each shared token, and only pairs of which the two lengths allow a ratio that matters are kept: the second best counts down
+    to MARGIN under REVIEW, so .45 ratio + .55 part + .04 has to reach .60.
+    """
+    said = lambda df, n: df.select(F.col("name").alias(n)).distinct().withColumns({f"w{n}": F.array_sort(F.array_distinct(C.core_tokens(F.col(n)))), f"k{n}": C.core_key(F.col(n)), f"l{n}": F.length(C.identity_text(F.col(n)))})
+    a, b = said(left, "a"), said(right, "b")
+    held = b.where("kb <> ''").select(F.col("kb").alias("ka")).distinct().withColumn("_held", F.lit(True))
+    a = a.join(held, "ka", "left").withColumn("_plain", F.coalesce("_held", F.lit(False)) & (F.size("wa") <= PLAIN_TOKENS) & (F.col("la") <= PLAIN_CHARS))
+    same = a.where("_plain").join(b, F.col("wa") == F.col("wb")).select("a", "b", F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("containment"))
+    hits = a.where("not _plain").select("a", "la", F.size("wa").alias("na"), F.explode("wa").alias("t")).join(b.select("b", "lb", F.size("wb").alias("nb"), F.explode("wb").alias("t")), "t")
+    both = hits.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("la").alias("la"), F.first("lb").alias("lb"))
+    rest = both.select("a", "b", "la", "lb", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard"), (F.col("n") / F.least("na", "nb")).alias("containment"))
+    most = 2 * F.least("la", "lb") / (F.col("la") + F.col("lb"))
+    rest = rest.where(0.45 * most + 0.55 * F.greatest("jaccard", 0.9 * F.col("containment")) + 0.04 >= REVIEW - MARGIN - 1e-9)
+    return same.unionByName(rest.select("a", "b", "jaccard", "containment"))
+
+
+def name_scores(candidates: DataFrame, entities: DataFrame, all_pairs: bool = False) -> DataFrame:
     """(a, b, score): .98 for equal core keys, else .45 ratio + .55 of the token part, for pairs of names sharing a core token.
 
-    A pair that shares none stays under .49, below every threshold, so leaving it out changes no decision.
+    A pair that shares none stays under .49, below every threshold, so leaving it out changes no decision; so do those that ``plausible_pairs`` leaves
+    out, unless scores are lifted afterwards: then ``all_pairs`` is asked for.
     """
-    p = token_pairs(candidates, entities)
+    p = token_pairs(candidates, entities) if all_pairs else plausible_pairs(candidates, entities)
     part = F.greatest("jaccard", 0.9 * F.col("containment"))
-    ratio = sequence_ratio(C.identity_text(F.col("a")), C.identity_text(F.col("b")))
     same = (C.core_key(F.col("a")) == C.core_key(F.col("b"))) & (C.core_key(F.col("a")) != "")
-    return p.withColumn("ratio", ratio).select("a", "b", F.when(same, 0.98).otherwise(0.45 * F.col("ratio") + 0.55 * part).alias("score"))
+    equal = p.withColumn("_same", same)
+    ratio = sequence_ratio(C.identity_text(F.col("a")), C.identity_text(F.col("b")))
+    rest = equal.where("not _same").withColumn("ratio", ratio).select("a", "b", (0.45 * F.col("ratio") + 0.55 * part).alias("score"))
+    return equal.where("_same").select("a", "b", F.lit(0.98).alias("score")).unionByName(rest)
 
 
 def _kind(c: Column) -> Column:
@@ -64,7 +93,7 @@ def resolve(candidates: DataFrame, entities: DataFrame, similarity: DataFrame |
     left = cand.where("a <> ''").select("a", "ct").distinct()
     classes = entities.select("entity_id", _names(entities).alias("names"), _kind(F.col("type")).alias("et")).groupBy("names", "et").agg(F.min("entity_id").alias("entity_id"), F.count("*").alias("n"))
     named = classes.select("entity_id", "et", "n", F.explode("names").alias("b"))
-    pairs = name_scores(left.select(F.col("a").alias("name")), named.select(F.col("b").alias("name")))
+    pairs = name_scores(left.select(F.col("a").alias("name")), named.select(F.col("b").alias("name")), similarity is not None)
     if similarity is not None:
         pairs = pairs.join(similarity.select("a", "b", "sim"), ["a", "b"], "left").withColumn("score", F.when((F.col("score") >= 0.45) & F.col("sim").isNotNull(), F.greatest("score", 0.75 * F.col("sim") + 0.25 * F.col("score"))).otherwise(F.col("score"))).drop("sim")
     bonus = F.when((F.col("ct") == F.col("et")) & (F.col("ct") != "OTHER"), 0.04).otherwise(0.0)

@@ -114,6 +114,16 @@ def entity_resolve(spark, sf):
     return resolve.resolve(candidates(spark, sf), _entities(spark, sf, False))
 
 
+@query("entity_core", """with c as (select p_partkey as k, p_name, ['PRODUCT', 'SOFTWARE', 'PLACE', 'OTHER'][(p_size + 1) % 4 + 1] as ct from part where p_partkey % 3 <> 2),
+e as (select p_partkey as entity_id, p_name, ['PRODUCT', 'SOFTWARE', 'PLACE', 'OTHER'][p_size % 4 + 1] as et from part where p_size % 2 = 0),
+s as (select k, entity_id, case when ct = et and ct <> 'OTHER' then 1.0 else 0.98 end::double as score from c join e using (p_name))
+select k as candidate_id, entity_id, score, 'MATCHED' as decision from (select *, row_number() over (partition by k order by score desc, entity_id) as r from s) where r = 1""")
+def entity_core(spark, sf):
+    """Candidates that a core key decides: those named as an entity, with or without a generic word."""
+    c = candidates(spark, sf).where("candidate_id % 3 <> 2")
+    return resolve.resolve(c, _entities(spark, sf, False)).where("score >= 0.98").select("candidate_id", "entity_id", "score", "decision")
+
+
 @query("entity_recover")
 def entity_recover(spark, sf):
     return resolve.recover_entities(candidates(spark, sf), _entities(spark, sf, True))

@@ -1,6 +1,7 @@
 """Resolution, ingest and recovery against pairs compared one by one; stateful streams against a fold."""
 
 import itertools
+import random
 import time
 from difflib import SequenceMatcher
 
@@ -46,6 +47,20 @@ def test_resolve_equals_all_pairs(spark):
     assert got == by_pairs(spark, cands, ents)
 
 
+def test_resolve_hot_token(spark):
+    """Names that all share one token: the decisions of all pairs, and no pair for names that a core key decides."""
+    rng = random.Random(3)
+    make = lambda: f"orbital {''.join(rng.choice('abcdefg') for _ in range(rng.randint(1, 9)))}{rng.choice(['', ' x', ' data hub'])}"
+    names = list({make() for _ in range(90)})
+    ents = [(f"e{i:03d}", n, [], ("PERSON", "OTHER", "PRODUCT")[i % 3]) for i, n in enumerate(names[:60])]
+    cands = [(i, n, ("PERSON", "OTHER")[i % 2]) for i, n in enumerate(names[:30] + names[60:])]
+    e, c = spark.createDataFrame(ents, "entity_id string, name string, aliases array<string>, type string"), spark.createDataFrame(cands, "candidate_id int, name string, type string")
+    got = {r.candidate_id: (r.decision, r.entity_id if r.decision != "NOT_FOUND" else None) for r in resolve.resolve(c, e).collect()}
+    assert got == by_pairs(spark, cands, ents)
+    every, made = resolve.token_pairs(c, e).count(), resolve.plausible_pairs(c, e)
+    assert made.count() < 0.75 * every and made.where(F.col("a").isin(names[:30])).count() == made.where(F.col("a").isin(names[:30]) & (F.col("jaccard") == 1)).count()
+
+
 def test_resolve_nothing(spark):
     e = spark.createDataFrame([("e", "Bob", None, None), ("f", None, ["Al"], "PERSON")], "entity_id string, name string, aliases array<string>, type string")
     c = spark.createDataFrame([(1, None, None), (2, " ", "X"), (3, "al", None), (3, "al", None)], "candidate_id int, name string, type string")
