@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factweave.operators import changes, vector_index
 from factweave.plans import views as V
+from factweave.streaming import stateful
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -139,3 +140,22 @@ def vec_index_probe(spark, sf):
     """The same from the nearest lists only, as many as a recall of .95 takes on a sample of queries; the test measures the recall of all."""
     asked, index = V.vectors(spark, sf).select(F.col("key").alias("query_id"), "vector"), _index(spark, sf)
     return vector_index.search(index, asked, 5, 0.2, probes=vector_index.probes_for(index, asked, 5, 0.2)).select("query_id", "key", F.round("sim", 4).alias("sim"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("lease_fold", """with recursive e as (select user_id || ':' || (event_id % 3) as k, epoch_us(ts::timestamp) as at_us, case event_type when 'click' then 'HEARTBEAT' when 'purchase' then 'COMPLETE' when 'error' then 'FAIL' else 'BEGIN' end as kind from events),
+o as (select *, row_number() over (partition by k order by at_us, kind) as i from e), lim as (select 43200000000 as lease),
+r as (select distinct k, 0::bigint as i, null::varchar as status, null::bigint as until, 0 as attempts, 0 as recoveries, null::bigint as at_us, null::varchar as kind, null::varchar as outcome from e
+  union all select k, i, case outcome when 'LIMIT' then 'FAILED' when 'ENDED' then case kind when 'COMPLETE' then 'COMPLETED' else 'FAILED' end when 'CLAIMED' then 'STARTED' else status end,
+    case when outcome in ('LIMIT', 'ENDED') then null when outcome in ('CLAIMED', 'RECLAIMED', 'EXTENDED') then at_us + lease else until end, attempts + case when outcome in ('CLAIMED', 'RECLAIMED') then 1 else 0 end,
+    recoveries + case when outcome = 'RECLAIMED' then 1 else 0 end, at_us, kind, outcome
+  from (select r.k, o.i, r.status, r.until, r.attempts, r.recoveries, o.at_us, o.kind, lease,
+      case when r.status is null then case when o.kind = 'BEGIN' then 'CLAIMED' else 'IGNORED' end
+        when o.kind = 'BEGIN' then case when r.status <> 'STARTED' or r.until > o.at_us then 'REFUSED' when r.recoveries >= 3 then 'LIMIT' else 'RECLAIMED' end
+        when o.kind = 'HEARTBEAT' then case when r.status = 'STARTED' then 'EXTENDED' else 'IGNORED' end else 'ENDED' end as outcome from r join o on o.k = r.k and o.i = r.i + 1, lim))
+select k as operation_key, at_us, kind, outcome, status, attempts as attempt_count, recoveries as recovery_count from r where i > 0""")
+def lease_fold(spark, sf):
+    """Each user's events, dealt out to three operations, as claims, heartbeats and ends with a lease of twelve hours."""
+    t = F.col("event_type")
+    kind = F.when(t == "click", "HEARTBEAT").when(t == "purchase", "COMPLETE").when(t == "error", "FAIL").otherwise("BEGIN")
+    e = V.table(spark, sf, "events").select(F.concat_ws(":", "user_id", F.col("event_id") % 3).alias("operation_key"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
+    return stateful.lease_batch(e, 43200).select("operation_key", F.unix_micros("ts").alias("at_us"), "kind", "outcome", "status", "attempt_count", "recovery_count")

@@ -131,6 +131,22 @@ def test_interval_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, ledger.one_per_interval(e, "user_id", "ts", 6 * 3600).collect()))
 
 
+def test_lease_timers(spark, tmp_path):
+    """A lease ends by the watermark without an event of its key; operations of the store are known; events have the outcomes of the batch form."""
+    make = lambda rows: spark.createDataFrame(rows, "operation_key string, s int, kind string").select("operation_key", F.timestamp_seconds(F.col("s") + 1000).alias("ts"), "kind").coalesce(1)
+    parts = [[("a", 0, "BEGIN"), ("b", 0, "BEGIN"), ("c", 5, "BEGIN"), ("old", 6, "BEGIN")], [("b", 100, "HEARTBEAT"), ("c", 110, "COMPLETE"), ("z", 200, "FAIL")], [("z", 900, "BEGIN"), ("b", 901, "BEGIN")]]
+    for n, rows in enumerate(parts):
+        make(rows).write.parquet(f"{tmp_path}/in/p={n}")
+    stream = spark.readStream.schema("operation_key string, ts timestamp, kind string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    store = spark.createDataFrame([("old", "STARTED", 50, 2, 1), ("done", "COMPLETED", None, 1, 0)], "operation_key string, status string, s int, attempts int, recoveries int").withColumn("lease", F.timestamp_seconds(F.col("s") + 1000))
+    got = run(stateful.lease_stream(stream, watermark="0 seconds", store=store), "timed", tmp_path)
+    said = sorted((r.operation_key, r.ts.timestamp() - 1000, r.outcome, r.recovery_count) for r in got if r.kind == "TIMER")
+    assert said == [("a", 120.0, "EXPIRED", 0), ("old", 50.0, "EXPIRED", 1)]
+    events = {(r.operation_key, r.kind, r.ts): r.outcome for r in got if r.kind != "TIMER"}
+    batch = {(r.operation_key, r.kind, r.ts): r.outcome for r in stateful.lease_batch(make([r for p in parts for r in p])).collect()}
+    assert events == batch | {k: "REFUSED" for k in batch if k[0] == "old"} and [v for k, v in events.items() if k[0] == "b"].count("RECLAIMED") == 1
+
+
 def test_lease_stream_forgets(spark, tmp_path):
     """A key that wasn't written for the time kept is unknown again."""
     batch = lambda n, s: spark.createDataFrame([("a", s, "BEGIN")], "operation_key string, s int, kind string").select("operation_key", F.timestamp_seconds("s").alias("ts"), "kind").coalesce(1).write.parquet(f"{tmp_path}/in/p={n}")
