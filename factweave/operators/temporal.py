@@ -124,11 +124,12 @@ def apply_actions(active: DataFrame, archive: DataFrame, batch: DataFrame, now:
         F.when(F.col("route") == "DELETE", "manual_delete_request").when(F.col("route") == "END", "ended").otherwise("superseded").alias("archive_reason"))
     merged = good.where("route = 'CONSOLIDATE'").select(F.explode("targets").alias("memory"), F.lit(None).cast("timestamp").alias("_to"), F.lit("consolidated").alias("archive_reason"))
     gone = gone.unionByName(merged).groupBy("memory").agg(F.max("_to").alias("_to"), F.min("archive_reason").alias("archive_reason"))
-    moved = active.join(gone, "memory").withColumns({"valid_to": F.coalesce("_to", "valid_to"), "status": F.lit("archived")}).drop("_to")
+    moved = active.drop("archive_reason").join(gone, "memory").withColumns({"valid_to": F.coalesce("_to", "valid_to"), "status": F.lit("archived")}).drop("_to")
     text = F.when(F.col("route") == "CONSOLIDATE", F.trim("consolidation_memory")).otherwise(F.trim("memory_text"))
     fresh = good.where("route in ('ADD', 'UPDATE', 'CONSOLIDATE')").groupBy(text.alias("memory")).agg(F.min(F.coalesce("effective_from", now)).alias("valid_from"))
     fresh = fresh.withColumns({"valid_to": F.lit(None).cast("timestamp"), "status": F.lit("active")})
     back = archive.join(fresh.select("memory"), "memory", "left_semi").withColumn("status", F.lit("active"))
+    back = back if "archive_reason" in active.columns else back.drop("archive_reason")
     opened = fresh.join(back.select("memory"), "memory", "left_anti").unionByName(back, allowMissingColumns=True)
     left = active.join(gone.select("memory"), "memory", "left_anti").join(opened.select("memory"), "memory", "left_anti")
     kept = archive.join(opened.select("memory"), "memory", "left_anti").join(moved.select("memory"), "memory", "left_anti")
