@@ -188,12 +188,6 @@ def core_key(c: Column) -> Column:
     return F.array_join(core_tokens(c), " ")
 
 
-def op_key(kind: Column, **payload: Column) -> Column:
-    """SHA-256 of the operation's kind and its payload as JSON with sorted keys: equal payloads share it in any field order."""
-    body = F.struct(*[payload[k].alias(k) for k in sorted(payload)])
-    return F.sha2(F.concat_ws("|", kind, F.to_json(body)), 256)
-
-
 def relation_id(source: Column, target: Column, relation: Column) -> Column:
     return F.concat(F.lit("rel_"), F.substring(F.sha2(F.concat_ws("|", source, target, relation), 256), 1, 16))
 

@@ -187,9 +187,3 @@ def table_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     fields = F.array(*[F.when(both & ~F.col(f"b_{c}").eqNullSafe(F.col(f"a_{c}")), F.struct(F.lit(c).alias("field"), F.lit("value_changed").alias("change"), F.col(f"b_{c}").alias("old"), F.col(f"a_{c}").alias("new"))) for c in cols],
                      F.when(~both, F.struct(F.lit("*").alias("field"), F.when(F.col("_b").isNull(), "added").otherwise("removed").alias("change"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new"))))
     return j.select(key, F.explode(F.array_compact(fields)).alias("x")).select(key, "x.*")
-
-
-def fingerprint(df: DataFrame, *cols: str) -> DataFrame:
-    """One row: the hash of a table whatever its order. Row hashes are summed, so nothing is gathered."""
-    h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(cols))), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.sha2(F.concat_ws("|", F.count("*"), F.coalesce(F.sum(h), F.lit(0))), 256).alias("fingerprint"))

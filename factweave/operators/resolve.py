@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from factweave.functions import columns as C
+from factweave.functions.canonical import op_key
 
 #: Scores from which a name is linked, is worth a review, and leaves no doubt; the distance to the second that is too small. Fixed values.
 MATCH, REVIEW, CLEAR, MARGIN = 0.82, 0.68, 0.92, 0.08
@@ -216,8 +217,8 @@ def set_conflict_status(conflicts: DataFrame, changes: DataFrame) -> DataFrame:
 
 def append_log(log: DataFrame, events: DataFrame, *key: str) -> DataFrame:
     """Log with each logical event once: events already in it, and repeats inside the batch, add nothing."""
-    k = C.op_key(F.lit("LOG"), **{c: F.col(c) for c in key})
-    return log.unionByName(events.withColumn("_k", k).dropDuplicates(["_k"]).join(log.select(k.alias("_k")), "_k", "left_anti").drop("_k"), allowMissingColumns=True)
+    k = lambda df: op_key(df, F.lit("LOG"), **{c: F.col(c) for c in key})
+    return log.unionByName(events.withColumn("_k", k(events)).dropDuplicates(["_k"]).join(log.select(k(log).alias("_k")), "_k", "left_anti").drop("_k"), allowMissingColumns=True)
 
 
 def reanalyze(conflicts: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
-from factweave.operators import aggregate, approvals, audit, changes, graph, lookup, reconcile, resolve, temporal, vector, windows
+from factweave.functions.canonical import op_key
+from factweave.operators import aggregate, approvals, audit, changes, diff, graph, lookup, reconcile, resolve, temporal, vector, windows
 from factweave.plans import governance as G
 from factweave.plans import views as V
 from factweave.streaming import ledger
@@ -357,9 +358,42 @@ def lexical(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", vector.budget_rank(F.lit("The license, der contact"), F.col("text"), F.col("doc_id") % 5 + 1).alias("score"))
 
 
-@query("table_fingerprint", """with h as (select ('0x' || substr(sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}'), 1, 15))::bigint as h from orders) select sha256(count(*) || '|' || sum(h::hugeint)) as fingerprint from h""")
+@query("table_fingerprint", """with d as (select sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') as d from orders), r as (select d, count(*) as n from d group by 1),
+n2 as (select substr(d, 1, 2) as p, sha256(string_agg(d || ':' || n, ',' order by d)) as h from r group by 1), n1 as (select substr(p, 1, 1) as p, sha256(string_agg(p || ':' || h, ',' order by p)) as h from n2 group by 1)
+select sha256((select sha256(string_agg(p || ':' || h, ',' order by p)) from n1)) as fingerprint""")
 def table_fingerprint(spark, sf):
-    return audit.fingerprint(V.table(spark, sf, "orders"), "o_orderstatus", "o_orderkey")
+    return diff.fingerprint(V.table(spark, sf, "orders"), "o_orderstatus", "o_orderkey", depth=2)
+
+
+@query("differing_ranges", """with x as (select o_orderkey as k, o_totalprice, substr(sha256(o_orderkey::varchar), 1, 2) as prefix, o_orderkey % 4001 = 7 as changed, o_orderkey % 5003 = 11 as gone from orders)
+select prefix, min(k) as low, max(k) as high, count(*)::bigint as rows_before, count(*) filter (not gone)::bigint as rows_after from x group by 1 having bool_or(changed or gone)""")
+def differing_ranges(spark, sf):
+    """A few rows of the orders are changed or missing: the ranges that hold them."""
+    o, k = V.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_comment" if "o_comment" in V.table(spark, sf, "orders").columns else "o_orderstatus"), F.col("o_orderkey")
+    after = o.where(k % 5003 != 11).withColumn("o_totalprice", F.col("o_totalprice") + F.when(k % 4001 == 7, 1).otherwise(0))
+    return diff.differing(o, after, "o_orderkey", depth=2)
+
+
+@query("nested_diff", """with n as (select o_orderkey as k, o_totalprice as price, o_orderstatus as st, count(*) as n, arg_min(l_quantity, l_linenumber) as q1, arg_max(l_partkey, l_linenumber) as plast, arg_max(l_quantity, l_linenumber) as qlast from orders join lineitem on l_orderkey = o_orderkey group by all)
+select k, '$.info.price' as path, 'value_changed' as change from n where k % 5 = 0 union all select k, '$.lines[' || (n - 1) || ']', 'removed' from n where k % 5 = 1
+union all select k, '$.lines[0].qty', 'value_changed' from n where k % 5 = 2 union all select k, '$.info.status', 'type_changed' from n where k % 5 = 3
+union all select k, '$.lines[' || n || ']', 'added' from n where k % 5 = 4 and k % 2 = 0 union all select k, '$.tags.b', 'added' from n where k % 7 = 0 union all select k, '$.tags.a', 'removed' from n where k % 7 = 0
+union all select k, '$', 'removed' from n where k % 5 = 4 and k % 2 = 1""".replace("k % 7 = 0", "k % 7 = 0 and not (k % 5 = 4 and k % 2 = 1)"))
+def nested_diff(spark, sf):
+    """Orders with their lines as one nested row, of which every one but some is changed inside or gone."""
+    line = F.struct("l_linenumber", F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"))
+    lines = V.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.sort_array(F.collect_list(line)), lambda x: F.struct(x["part"].alias("part"), x["qty"].alias("qty"))).alias("lines"))
+    o = V.table(spark, sf, "orders").join(lines, "o_orderkey")
+    k = F.col("o_orderkey")
+    before = o.select(k.alias("k"), F.struct(F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status")).alias("info"), "lines", F.create_map(F.lit("a"), F.lit(1)).alias("tags"))
+    k = F.col("k")
+    last = F.size("lines")
+    after = before.where(~((k % 5 == 4) & (k % 2 == 1))).select(
+        "k", F.struct((F.col("info.price") + F.when(k % 5 == 0, 1).otherwise(0)).alias("price"), F.when(k % 5 != 3, F.col("info.status")).alias("status")).alias("info"),
+        F.when(k % 5 == 1, F.slice("lines", F.lit(1), last - 1)).when(k % 5 == 2, F.transform("lines", lambda x, i: F.struct(x["part"].alias("part"), (x["qty"] + F.when(i == 0, 1).otherwise(0)).alias("qty"))))
+        .when(k % 5 == 4, F.concat("lines", F.slice("lines", -1, 1))).otherwise(F.col("lines")).alias("lines"),
+        F.when(k % 7 == 0, F.create_map(F.lit("b"), F.lit(1))).otherwise(F.col("tags")).alias("tags"))
+    return diff.nested_diff(before, after, "k").select("k", "path", "change")
 
 
 _CHAINED = """i as (select 'm' || o_orderkey as id, o_orderkey as k, 'm' || lag(o_orderkey) over w as prev, 'm' || lead(o_orderkey) over w as nxt from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey))"""
@@ -423,8 +457,10 @@ def active_relations(spark, sf):
 @query("operations_by_key", "select e.event_id from events e join (select distinct user_id, props from events where event_id % 50 = 0 and event_type = 'click') q using (user_id, props) where e.event_type = 'click'")
 def operations_by_key(spark, sf):
     e = V.table(spark, sf, "events")
-    keyed = e.withColumn("operation_key", C.op_key(F.col("event_type"), user=F.col("user_id"), props=F.col("props")))
-    asked = e.where("event_id % 50 = 0 and event_type = 'click'").select(C.op_key(F.lit("click"), props=F.col("props"), user=F.col("user_id")).alias("operation_key"))
+    keyed = e.withColumn("operation_key", op_key(e, F.col("event_type"), payload=F.struct("user_id", "props")))
+    some = e.where("event_id % 50 = 0 and event_type = 'click'")
+    spaced = F.concat(F.lit("  "), F.regexp_replace("props", " ", "  \t"))  # the same payload in another form
+    asked = some.select(op_key(some, F.lit(" Click"), payload=F.struct(spaced.alias("props"), "user_id")).alias("operation_key"))
     return ledger.ops_by_key(keyed, asked).select("event_id")
 
 

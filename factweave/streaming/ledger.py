@@ -21,7 +21,7 @@ def new_operations(ops: DataFrame, ledger: DataFrame, key: str = "operation_key"
 
 
 def ops_by_key(ops: DataFrame, keys: DataFrame, key: str = "operation_key") -> DataFrame:
-    """Operations of the keys; a key of kind and payload is ``functions.columns.op_key``."""
+    """Operations of the keys; a key of kind and payload is ``functions.canonical.op_key``."""
     return ops.join(keys.select(key), key, "left_semi")
 
 
