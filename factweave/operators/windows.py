@@ -63,10 +63,9 @@ def as_of(versions: DataFrame, instants: DataFrame, key: str, closed: bool = Fal
     seen = hits.select(key, "_at", "n_matches", F.col("_top.version").alias("version"), F.col("_top.memory_id").alias("memory_id")).join(ends, [key, "version", "memory_id"], "left").withColumn("holds", F.col("valid_to").isNull() | until)
     sure = seen.where("holds").select(key, F.col("_at").alias("instant"), "memory_id", "version", "n_matches")
     rest = seen.where("not holds").select(F.col(key), F.col("_at").alias("instant"))
-    r, u = rest.alias("r"), v.alias("u")
-    inside = (F.col("r.instant") <= F.col("u.valid_to")) if closed else (F.col("r.instant") < F.col("u.valid_to"))
-    other = r.join(u, (F.col(f"r.{key}") == F.col(f"u.{key}")) & (F.col("u.valid_from") <= F.col("r.instant")) & (F.col("u.valid_to").isNull() | inside))
-    other = other.groupBy(F.col(f"r.{key}").alias(key), F.col("r.instant").alias("instant")).agg(F.max_by("u.memory_id", F.struct("u.version", "u.memory_id")).alias("memory_id"), F.max("u.version").cast("long").alias("version"), F.count("*").alias("n_matches"))
+    from factweave.operators import intervals
+
+    other = intervals.as_of(v, rest, key, closed).select(sure.columns)
     return sure.unionByName(other)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factweave.operators import changes, vector_index
+from factweave.operators import changes, intervals, vector_index
 from factweave.plans import views as V
 from factweave.streaming import stateful
 
@@ -95,15 +95,16 @@ def end_outcomes(spark, sf):
     return _ended(spark, sf)[2].select("memory_id", "ord", "outcome")
 
 
-@query("entity_changes", f"""with recursive {_STEPS}, bt as (select p_partkey as k, i, case when i = 3 and k % 3 = 0 then 'END' else 'CHANGE' end as event,
+_ENTITY_RUN = f"""with recursive {_STEPS}, bt as (select p_partkey as k, i, case when i = 3 and k % 3 = 0 then 'END' else 'CHANGE' end as event,
   case when i = 1 then p_name || ' new' when i = 2 then upper(p_name || ' new') when k % 3 = 1 then p_name when k % 3 = 2 then 'thing ' || k end as new_name, case i when 1 then 'SOFTWARE' when 2 then 'OTHER' else 'PLACE' end as kind,
   timestamp '2001-08-02' + to_days(i::int) as eff from part, steps),
 r as (select p_partkey as k, 0 as i, p_name as name, 'PRODUCT' as type, 1 as version, [p_brand] as aliases, timestamp '2000-01-01' as valid_from, null::timestamp as valid_to, []::varchar[] as history from part
   union all select r.k, bt.i, case when event = 'CHANGE' and lower(new_name) <> lower(name) then new_name else name end, case when event = 'CHANGE' and kind <> 'OTHER' then kind else type end, version + 1,
     case when event = 'CHANGE' and lower(new_name) <> lower(name) then list_filter(list_append(aliases, name), lambda x: lower(x) <> lower(new_name)) else aliases end, eff, case when event = 'END' then eff end,
-    list_append(history, version || ':' || name || ':' || type || ':' || epoch_us(valid_from) || ':' || epoch_us(eff)) from r join bt on bt.k = r.k and bt.i = r.i + 1)
-select k as entity_id, name, type, version::int as version, array_to_string(aliases, '|') as aliases, epoch_us(valid_from) as valid_from, epoch_us(valid_to) as valid_to, array_to_string(history, '|') as history from r where i = 3""")
-def entity_changes(spark, sf):
+    list_append(history, version || ':' || name || ':' || type || ':' || epoch_us(valid_from) || ':' || epoch_us(eff)) from r join bt on bt.k = r.k and bt.i = r.i + 1)"""
+
+
+def _evolved(spark, sf):
     """Three changes of every part: renamed, renamed to other letters only, then ended, renamed back or renamed again."""
     k, i, none = F.col("p_partkey"), F.col("i"), F.lit(None).cast("timestamp")
     p = V.table(spark, sf, "part")
@@ -114,9 +115,27 @@ def entity_changes(spark, sf):
     b = b.select(k.alias("entity_id"), i.alias("ord"), F.when((i == 3) & (k % 3 == 0), "end").when(i == 2, None).otherwise("Change").alias("action"),
                  F.when(i == 1, new).when(i == 2, F.upper(new)).when(k % 3 == 1, F.col("p_name")).when(k % 3 == 2, F.concat(F.lit("thing "), k)).alias("new_name"),
                  F.when(i == 1, "software").when(i == 2, "odd").otherwise("PLACE").alias("new_type"), (V.now() + F.make_dt_interval(days=i)).alias("effective"))
+    return changes.evolve_entities(e, b)[0]
+
+
+@query("entity_changes", f"""{_ENTITY_RUN}
+select k as entity_id, name, type, version::int as version, array_to_string(aliases, '|') as aliases, epoch_us(valid_from) as valid_from, epoch_us(valid_to) as valid_to, array_to_string(history, '|') as history from r where i = 3""")
+def entity_changes(spark, sf):
     said = lambda h: F.concat_ws(":", h["snapshot"]["version"], h["snapshot"]["name"], h["snapshot"]["type"], F.unix_micros(h["snapshot"]["valid_from"]), F.unix_micros(h["snapshot"]["valid_to"]))
-    out = changes.evolve_entities(e, b)[0]
-    return out.select("entity_id", "name", "type", "version", F.array_join("aliases", "|").alias("aliases"), F.unix_micros("valid_from").alias("valid_from"), F.unix_micros("valid_to").alias("valid_to"), F.array_join(F.transform("history", said), "|").alias("history"))
+    return _evolved(spark, sf).select("entity_id", "name", "type", "version", F.array_join("aliases", "|").alias("aliases"), F.unix_micros("valid_from").alias("valid_from"), F.unix_micros("valid_to").alias("valid_to"), F.array_join(F.transform("history", said), "|").alias("history"))
+
+
+@query("entity_asof", f"""{_ENTITY_RUN}, h as (select k, version, name, type, valid_from, lead(valid_from) over (partition by k order by i) as valid_to, valid_to as own_to, i from r),
+t as (select distinct p_partkey as k, unnest([timestamp '2000-06-01', timestamp '2001-08-03', timestamp '2001-08-04' + to_hours((p_partkey % 30)::int), timestamp '2001-08-05' + to_minutes((p_partkey % 2)::int), timestamp '2009-01-01', timestamp '1999-01-01']) as instant from part),
+m as (select t.k, instant, version, name, type, i = 3 as current from t join h on h.k = t.k and valid_from <= instant and (coalesce(valid_to, own_to) is null or instant <= coalesce(valid_to, own_to)))
+select k as entity_id, epoch_us(instant) as instant, max(version)::bigint as version, arg_max(name, version) as name, arg_max(type, version) as type, arg_max(current, version) as current, count(*) as n_matches from m group by k, instant""")
+def entity_asof(spark, sf):
+    """What every entity was at six times, among them the times of its changes, where two versions hold."""
+    k = F.col("p_partkey")
+    day = lambda text: V.now(text)
+    times = F.array(day("2000-06-01"), day("2001-08-03"), day("2001-08-04") + F.make_dt_interval(hours=(k % 30).cast("int")), day("2001-08-05") + F.make_dt_interval(mins=(k % 2).cast("int")), day("2009-01-01"), day("1999-01-01"))
+    asked = V.table(spark, sf, "part").select(k.alias("entity_id"), F.explode(times).alias("instant"))
+    return intervals.entity_as_of(_evolved(spark, sf), asked).withColumn("instant", F.unix_micros("instant"))
 
 
 _ALL_PAIRS = """with p as (select a.vec_id as query_id, b.vec_id as key, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as sim from embeddings a, embeddings b where b.vec_id % 5 <> 0)"""
