@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from factweave.operators import changes, intervals, vector_index
+from factweave.operators import changes, context, intervals, leaders, vector_index
 from factweave.plans import views as V
-from factweave.streaming import stateful
+from factweave.sources import shared
+from factweave.streaming import journal, stateful
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -178,3 +180,80 @@ def lease_fold(spark, sf):
     kind = F.when(t == "click", "HEARTBEAT").when(t == "purchase", "COMPLETE").when(t == "error", "FAIL").otherwise("BEGIN")
     e = V.table(spark, sf, "events").select(F.concat_ws(":", "user_id", F.col("event_id") % 3).alias("operation_key"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
     return stateful.lease_batch(e, 43200).select("operation_key", F.unix_micros("ts").alias("at_us"), "kind", "outcome", "status", "attempt_count", "recovery_count")
+
+
+@query("batch_near", """with recursive e as (select vec_id as ord, embedding::double[] as v, vec_id % 40 = 3 as forced from embeddings),
+p as materialized (select b.ord as later, a.ord as earlier from e a, e b where a.ord < b.ord and list_cosine_similarity(a.v, b.v) >= 0.4), o as (select *, row_number() over (order by ord) as i from e),
+r as (select 0::bigint as i, []::bigint[] as kept, null::bigint as ord, false as drops
+  union all select o.i, case when forced or not exists (select 1 from p where later = o.ord and list_contains(kept, earlier)) then list_append(kept, o.ord) else kept end, o.ord,
+    not forced and exists (select 1 from p where later = o.ord and list_contains(kept, earlier)) from r join o on o.i = r.i + 1)
+select ord from r where drops""")
+def batch_near(spark, sf):
+    """Vectors as a batch in the order of their ids, some of them restored and so kept: those near an earlier one that stays."""
+    rows = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"), (F.col("vec_id") % 40 == 3).alias("forced"))
+    return leaders.near_earlier(rows, shared.folder(spark, "batch-near"), 0.4)
+
+
+@query("journal_states", """with j as (select event_id + 1 as sequence, user_id as key, event_type as value from events), n as (select max(sequence) as head from j), s as (select unnest([head - 300, head - 150, head]) as at_sequence from n)
+select at_sequence, key, arg_max(value, sequence) as value, max(sequence) as sequence from j join s on sequence <= at_sequence group by 1, 2""")
+def journal_states(spark, sf):
+    """The state at the checkpoint, inside the tail and at the head, from a journal of events that was compacted twice."""
+    rows = V.table(spark, sf, "events").select((F.col("event_id") + 1).alias("sequence"), F.col("user_id").alias("key"), F.col("event_type").alias("value"), F.lit(None).cast("string").alias("previous_record_hash"))
+    rows = journal.record_hash(rows)
+    head = rows.agg(F.max("sequence")).first()[0]
+    meta, state, tail = journal.compacted(rows, 500)
+    meta, state, tail = journal.compacted(tail, 300, (meta, state))
+    out = None
+    for at in (head - 300, head - 150, head):
+        one = journal.state_at(meta, state, tail, at)[1].select(F.lit(at).cast("long").alias("at_sequence"), "key", "value", "sequence")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_CONTEXT = f"""with {V.ITEMS_SQL}, ev as (select distinct user_id % (select max(o_orderkey) from orders) as q from events), hits as (select q as query_id, memory_id, row_number() over (partition by q order by importance desc, memory_id) as rank from ev join items on chain_id = q % (select max(c_custkey) from customer)),
+h as (select * from hits where rank <= 8), nxt as (select memory_id, lead(memory_id) over w as n1, lag(memory_id) over w as n2 from items window w as (partition by chain_id order by version)),
+nb as (select memory_id as id, unnest([n1, n2]) as neighbor, unnest(['NEXT_VERSION', 'PREVIOUS_VERSION']) as relation, unnest([0, 1]) as dir from nxt),"""
+
+
+@query("graph_context", f"""{_CONTEXT} g as (select query_id, rank, relation, neighbor, row_number() over (partition by query_id, rank order by dir, relation, neighbor) as place from h join nb on id = memory_id where rank <= 3 and neighbor is not null),
+f as (select query_id, neighbor, relation, rank, place, row_number() over (partition by query_id, neighbor order by rank, place) as seen from g where place <= 5),
+e as (select query_id, l_partkey as entity, min(rank) as rank from h join lineitem on l_orderkey = memory_id where rank <= 5 group by 1, 2),
+gl as (select query_id, string_agg('- ' || relation || ': fact ' || neighbor, chr(10) order by rank, place) as graph from f where seen = 1 group by 1), el as (select query_id, string_agg('- part ' || entity || ' (PRODUCT)', chr(10) order by rank, entity) as entities from e group by 1)
+select q.query_id, coalesce(graph, 'No graph-related memories found.') as graph, coalesce(entities, 'No known entities connected.') as entities from (select distinct query_id from h) q left join gl using (query_id) left join el using (query_id)""")
+def graph_context(spark, sf):
+    """For each user the neighbours of the first three hits and the entities of the first five, as text."""
+    items, hits, edges = _context(spark, sf)
+    mentions = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("memory_id"), F.col("l_partkey").alias("entity_id")).distinct()
+    named = mentions.select("memory_id", "entity_id", F.concat(F.lit("part "), "entity_id").alias("name"), F.lit("PRODUCT").alias("type"))
+    return context.graph_context(hits, edges, items.select("memory_id", F.concat(F.lit("fact "), "memory_id").alias("memory")), named)
+
+
+def _context(spark, sf):
+    items = V.items(spark, sf, False)
+    most, last = V.table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0], V.table(spark, sf, "customer").agg(F.max("c_custkey")).first()[0]
+    asked = V.table(spark, sf, "events").select((F.col("user_id") % most).alias("query_id")).distinct()
+    w = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("importance").desc(), "memory_id"))
+    hits = asked.join(items, F.col("chain_id") == F.col("query_id") % last).select("query_id", "memory_id", "importance", w.alias("rank")).where("rank <= 8")
+    v = Window.partitionBy("chain_id").orderBy("version")
+    near = items.select("memory_id", F.lead("memory_id").over(v).alias("after"), F.lag("memory_id").over(v).alias("before"))
+    one = lambda c, relation, place: F.struct(F.col(c).alias("n"), F.lit(relation).alias("relation"), F.lit(place).alias("dir"))
+    both = near.select("memory_id", F.explode(F.array(one("after", "NEXT_VERSION", 0), one("before", "PREVIOUS_VERSION", 1))).alias("e"))
+    return items, hits, both.select("memory_id", F.col("e.n").alias("neighbor"), "e.relation", "e.dir").where("neighbor is not null")
+
+
+@query("causal_candidates", f"""with {V.VECTORS_SQL}, a as (select query_id, key, sim, row_number() over (partition by query_id order by sim desc, key) as r1 from sims where active and sim >= 0.35), b as (select query_id, key, sim, row_number() over (partition by query_id order by sim desc, key) as r2 from sims where active and sim >= 0.2),
+c as (select query_id, key, sim, 0 as tier from a where r1 <= 3 union all select query_id, key, sim, 1 from b where r2 <= 12 union all select query_id, key, 0.0, 2 from q, vecs where active),
+d as (select query_id, key, arg_min(sim, tier) as sim, min(tier) as tier from c group by 1, 2)
+select query_id, key, round(sim, 4)::double as sim, tier from (select *, row_number() over (partition by query_id order by tier, sim desc, key) as r from d) where r <= 12""")
+def causal_candidates(spark, sf):
+    """Recall, then the broad search, then other facts at similarity 0, twelve for each query."""
+    v = V.vectors(spark, sf).where("active")
+    return context.causal_candidates(V.queries_of(V.vectors(spark, sf)), v, recall=3).select("query_id", "key", F.round("sim", 4).alias("sim"), "tier")
+
+
+@query("token_budget", r"""with t as (select *, len(string_split(text, ' '))::bigint as cost, row_number() over (partition by conv_id, role = 'system' order by turn desc) as r from conversations)
+select conv_id, sum(cost)::bigint as used_before, sum(case when role = 'system' or r <= 4 then cost else 0 end)::bigint as used_after, (200 - sum(case when role = 'system' or r <= 4 then cost else 0 end))::bigint as remaining,
+  sum(cost) <= 200 as fits_before, sum(case when role = 'system' or r <= 4 then cost else 0 end) <= 200 as fits_after from t group by 1""")
+def token_budget(spark, sf):
+    t = V.table(spark, sf, "conversations").withColumn("cost", F.size(F.split("text", " ")))
+    return context.token_budget(t, "cost", 200)
