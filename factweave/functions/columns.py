@@ -47,8 +47,9 @@ def norm_name(c: Column) -> Column:
 
 
 def canonical_name(c: Column) -> Column:
-    """Case-folded name; the sharp s becomes ss, other fold-only letters stay."""
-    return F.replace(F.lower(norm_name(c)), F.lit("ß"), F.lit("ss"))
+    """Case-folded name: the small form of the capital, so that ligatures and letters with several small forms agree; the dotless i stays one of its own."""
+    kept = F.replace(norm_name(c), F.lit("ı"), F.lit("\ue000"))
+    return F.replace(F.lower(F.replace(F.upper(kept), F.lit("\ue000"), F.lit("ı"))), F.lit("ς"), F.lit("σ"))
 
 
 def norm_entity_type(c: Column) -> Column:

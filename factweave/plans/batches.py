@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from factweave.operators import changes, context, intervals, leaders, vector_index
+from factweave.operators import changes, context, intervals, leaders, moves, vector_index
 from factweave.plans import views as V
 from factweave.sources import shared
 from factweave.streaming import journal, stateful
@@ -257,3 +257,47 @@ select conv_id, sum(cost)::bigint as used_before, sum(case when role = 'system'
 def token_budget(spark, sf):
     t = V.table(spark, sf, "conversations").withColumn("cost", F.size(F.split("text", " ")))
     return context.token_budget(t, "cost", 200)
+
+
+_AGES = f"""with {V.ENTITIES_SQL}, x as (select *, (epoch_us(timestamp '{V.NOW_ORDERS}') - epoch_us(last_seen)) / 86400000000.0::double as d from ents),
+life as (select entity_id, case when ended then 'ENDED' when d is null then 'DORMANT' when greatest(d, 0) <= 30 then 'ACTIVE' when greatest(d, 0) <= 90 then 'AGING' else 'DORMANT' end as lifecycle from x)"""
+
+
+@query("entity_archive", f"{_AGES} select entity_id, case when lifecycle in ('DORMANT', 'ENDED') then 'archive' else 'active' end as store, case when lifecycle in ('DORMANT', 'ENDED') then lifecycle end as before from life")
+def entity_archive(spark, sf):
+    """All entities whose lifecycle is over move to the archive and keep the state they had."""
+    e = V.entities(spark, sf)
+    active, archive, _ = moves.archive_entities(e, e.limit(0), V.now())
+    return active.select("entity_id", F.lit("active").alias("store"), F.lit(None).cast("string").alias("before")).unionByName(archive.select("entity_id", F.lit("archive").alias("store"), F.col("pre_archive_lifecycle").alias("before")))
+
+
+@query("entity_archive_outcomes", f"""{_AGES}, n as (select p_name as k, min(p_partkey) as id, count(*) as c from part group by 1),
+q as (select p_partkey as query_id, case when p_partkey % 3 = 0 then p_partkey when p_partkey % 3 = 1 and c = 1 then id end as entity_id from part join n on k = p_name)
+select query_id, q.entity_id, case when q.entity_id is null then 'NOT_FOUND' when lifecycle in ('DORMANT', 'ENDED') then 'ARCHIVED' else 'NOT_ARCHIVABLE' end as outcome from q left join life using (entity_id)""")
+def entity_archive_outcomes(spark, sf):
+    """A request for every entity: by id, by name (found where only one bears it) or by a name there is not."""
+    e, k = V.entities(spark, sf), F.col("p_partkey")
+    q = V.table(spark, sf, "part").select(k.alias("query_id"), F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.upper("p_name")).otherwise(F.concat(F.lit("no such "), k)).alias("q"))
+    return moves.archive_entities(e, e.limit(0), V.now(), q)[2]
+
+
+@query("recover_moves", f"""with {V.VECTORS_SQL}, best as (select query_id, max(sim) as best from sims where active group by 1),
+c as (select query_id, key, round(0.6 * sim + 0.25 * importance / 5 + 0.15 * {V.REINF_SQL} - least(0.2, days / 3650.0::double), 4) as score from sims join best using (query_id) where best < 0.7 and not active and sim >= 0.55),
+f as (select key from (select *, row_number() over (partition by query_id order by score desc, key) as r from c where score >= 0.62) where r = 1) select key, case when active or key in (select key from f) then 'active' else 'archive' end as store from vecs""")
+def recover_moves(spark, sf):
+    v = V.vectors(spark, sf)
+    active, archive, _ = moves.recover_items(V.queries_of(v), v.where("active"), v.where("not active"), V.now(V.NOW_EVENTS))
+    return active.select("key", F.lit("active").alias("store")).unionByName(archive.select("key", F.lit("archive").alias("store")))
+
+
+@query("causality_both", f"""with {V.ITEMS_SQL}, l as (select memory_id as s, unnest([memory_id - 1, memory_id + 3]) as t, unnest(['CAUSES', 'ENABLES']) as relation, unnest([0.9, 0.7])::double as confidence, unnest([valid_from, valid_from + interval 1 day]) as link_at from items where memory_id % 3 = 0),
+cl as (select s as memory_id, 'out' as dir, relation, t as other, case when i.memory_id is null then '[missing]' else 'fact ' || t end as text, l.confidence, link_at from l left join items i on i.memory_id = t
+  union all select t, 'in', relation, s, 'fact ' || s, confidence, link_at from l)
+select memory_id, dir, relation, other, text, confidence, epoch_us(link_at) as link_at, row_number() over (partition by memory_id order by link_at, dir, relation, other)::int as place from cl where memory_id in (select memory_id from items where memory_id % 2 = 0)""")
+def causality_both(spark, sf):
+    """Causes and effects of every other fact, some of them unknown."""
+    i, k = V.items(spark, sf, False), F.col("memory_id")
+    link = lambda n, relation, sure, at: F.struct((k + n).alias("target_memory_id"), F.lit(relation).alias("relation"), F.lit(sure).alias("confidence"), at.alias("timestamp"))
+    links = F.array(link(-1, "causes", 0.9, F.col("valid_from")), link(3, "enables", 0.7, F.col("valid_from") + F.expr("interval 1 day")))
+    rows = i.select(k, F.concat(F.lit("fact "), k).alias("memory"), F.when(k % 3 == 0, links).alias("causal_links"))
+    return moves.causality(rows, rows.where(k % 2 == 0)).select("memory_id", "dir", "relation", "other", "text", "confidence", F.unix_micros("at").alias("link_at"), "place")

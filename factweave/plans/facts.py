@@ -229,9 +229,11 @@ def neighbors(spark, sf):
     return graph.neighbors(_graph(spark, sf), ids, 10)
 
 
-@query("subgraph", f"""with {_EDGES_SQL}, e as materialized (select * from edges), ids as (select 'p' || p_partkey as id from part where p_partkey % 50 = 0),
-n as materialized (select id from ids union select target from e semi join ids on source = id union select source from e semi join ids on target = id)
-select source, target, type, relation from e semi join n a on source = a.id semi join n b on target = b.id""")
+@query("subgraph", f"""with {V.ITEMS_SQL}, l as materialized (select distinct l_orderkey, l_suppkey, l_partkey from lineitem where l_partkey % 50 = 0 and l_partkey in (select p_partkey from part)), near as materialized (select distinct l_orderkey as k from l),
+nxt as (select memory_id as a, lead(memory_id) over (partition by chain_id order by version) as b from items)
+select distinct 'm' || l_orderkey as source, 'p' || l_partkey as target, 'MEMORY_HAS_ENTITY' as type, 'MENTIONS' as relation from l
+union all select distinct 's' || l_suppkey, 'p' || l_partkey, 'ENTITY_RELATION', 'SUPPLIES' from l
+union all select 'm' || a, 'm' || b, 'TEMPORAL_SAME_CHAIN', 'NEXT_VERSION' from nxt where a in (select k from near) and b in (select k from near)""")
 def subgraph(spark, sf):
     ids = V.table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
     return graph.subgraph(_graph(spark, sf), ids)[1].select("source", "target", "type", "relation")
