@@ -12,17 +12,17 @@ each) and once as segments of their tokens, so that a block grows with its token
 of an item or the number of items that share a seed; every block reads the documents once. A hit is compared in
 the task that holds the document, on the 25 tokens around it, so texts are not shuffled.
 
-Defined cases: null and empty texts and items have no tokens and match nothing; items of fewer
-tokens than the shortest mask has span (8) are matched as a whole, without substitution; items of 8 to 12 tokens
-are found under any substitution that leaves one mask whole, which is not all that ``similarity`` would allow
-(the masks miss 5 of the 8 places of one substitution in 8 tokens, 1 of 66 pairs of places in 12), from 13 tokens
-on nothing allowed is missed. ``flag_documents`` gives a row per distinct id, ``decontaminate`` judges each row by itself; rows that
+Defined cases: null and empty texts and items have no tokens and match nothing; items of fewer than 13 tokens are found by masks
+of their own length, which leave one whole under every substitution that ``similarity`` allows (none under 5 tokens: those match as a whole), so that
+nothing allowed is missed at any length. ``flag_documents`` gives a row per distinct id, ``decontaminate`` judges each row by itself; rows that
 share an item_id are searched for with each of their texts and count once. Ids of documents and items may be null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,14 +45,24 @@ def tokens(text: Column) -> Column:
 SEGMENT = 64
 
 
-def _seed_columns(h: str, n: str, masks: tuple[str, ...], short: list[int]) -> Column:
-    """The seeds that begin at place ``pos`` of a padded text: one per mask that fits there, and one per length of short items. Null where none fits."""
-    pos, token, out = F.col("pos"), lambda k: F.get(F.col(h), F.col("pos") + (WINDOW - 1 + k)), []
+def short_masks(n: int, similarity: float = SIMILARITY) -> list[str]:
+    """Masks of an item of ``n`` tokens: it is cut into two stretches more than places may differ, so two at least stay whole; each pair of stretches is a mask."""
+    differ = n - ceil(similarity * n - 1e-9)
+    if not differ:
+        return ["1" * n]
+    parts = min(differ + 2, n)
+    return ["".join("1" if k * parts // n in chosen else "0" for k in range(n)) for chosen in combinations(range(parts), parts - differ)]
+
+
+def _seed_columns(n: str, masks: tuple[str, ...], short: list[int], similarity: float) -> Column:
+    """The seeds that begin in the middle of ``seen``, the tokens around place ``pos``: one per mask that fits there, and those of each length of short items. Null where none fits."""
+    pos, token, out = F.col("pos"), lambda k: F.get(F.col("seen"), F.lit(WINDOW - 1 + k)), []
     for m, mask in enumerate(masks):
         own = F.xxhash64(F.lit(m), *[token(k) for k, c in enumerate(mask) if c == "1"])
         out.append(F.when(pos + len(mask) <= F.col(n), own))
-    for k in short:
-        out.append(F.when(pos + k <= F.col(n), F.xxhash64(F.lit(-k), *[token(j) for j in range(k)])))
+    for size in short:
+        for m, mask in enumerate(short_masks(size, similarity)):
+            out.append(F.when(pos + size <= F.col(n), F.xxhash64(F.lit(-size), F.lit(m), *[token(k) for k, c in enumerate(mask) if c == "1"])))
     return F.array(*out)
 
 
@@ -73,25 +83,29 @@ def find_leaks(
     masks: tuple[str, ...] = MASKS, similarity: float = SIMILARITY, block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """id, item_id, n_match, n_window: the best window around a hit of each leaked item in each document that holds it."""
-    shortest, window, span = min(map(len, masks)), WINDOW, 2 * WINDOW - 1
+    window, span = WINDOW, 2 * WINDOW - 1
     items = pick(benchmark, item_col, item_text).select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("ih")).where(F.size("ih") > 0)
     items = materialise(items.distinct().select(F.monotonically_increasing_id().alias("item_no"), "item_id", _padded(F.col("ih")).alias("ih"), F.size("ih").alias("n")), "items")
-    size = items.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.collect_set(F.when(F.col("n") < shortest, F.col("n"))).alias("short")).first()
+    size = items.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.collect_set(F.when(F.col("n") < window, F.col("n"))).alias("short")).first()
     blocks = max(1, -(-int(size["all"]) // block_tokens))
-    short = sorted(size["short"])  # at most span - 1 lengths
+    short = sorted(size["short"])  # at most window - 1 lengths
     # outer, so that no filter on the number of tokens is inferred, for which the text would be cut into tokens twice
     places = lambda n: F.explode_outer(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1))).alias("pos")
     text = pick(docs, id_col, text_col).select(F.col(id_col).alias("_fw_id"), _padded(tokens(F.col(text_col))).alias("h")).withColumn("n", F.size("h") - 2 * (window - 1))
-    sown = text.select("_fw_id", "h", "n", places("n")).select("_fw_id", "h", "pos", F.explode(_seed_columns("h", "n", masks, short)).alias("s")).where("s is not null")
-    own = items.select("item_no", "ih", "n", places("n"))
-    # an item as long as a mask has the masks' seeds, a shorter one only that of its whole length
-    whole = F.coalesce(*[F.when(F.col("n") == k, F.element_at(_seed_columns("ih", "n", masks, [k]), -1)) for k in short], F.lit(None).cast("long")) if short else F.lit(None).cast("long")
-    own = own.select("item_no", "n", F.col("pos").alias("ip"), F.explode(F.when(F.col("n") >= shortest, _seed_columns("ih", "n", masks, [])).otherwise(F.array(whole))).alias("s")).where("s is not null")
+    around = lambda h: F.slice(h, F.col("pos") + 1, F.lit(span)).alias("seen")  # noqa: E731  what is handed on is 25 tokens a place and not the text
+    sown = text.select("_fw_id", "h", "n", places("n")).select("_fw_id", "n", "pos", around("h")).select("_fw_id", "seen", F.explode(_seed_columns("n", masks, short, similarity)).alias("s")).where("s is not null")
+    own = items.select("item_no", "ih", "n", places("n")).select("item_no", "n", "pos", around("ih"))
+    # a short item has the seeds of its own length; of places with equal surroundings one stands for all, since what is compared there is the same
+    seeds_of = F.when(F.col("n") >= window, _seed_columns("n", masks, [], similarity))
+    for k in short:
+        seeds_of = seeds_of.when(F.col("n") == k, _seed_columns("n", (), [k], similarity))
+    own = own.select("item_no", "n", "pos", "seen", F.explode(seeds_of).alias("s")).where("s is not null")
+    own = own.groupBy("item_no", "n", "s", "seen").agg(F.min("pos").alias("ip")).drop("seen")
     segments, found = _segments(items), None
     for b in range(blocks):
         mine = F.pmod(F.xxhash64("item_no", "seg"), F.lit(blocks)) == b  # seeds and segment of one stretch of an item
         seeds = own.withColumn("seg", F.floor(F.col("ip") / SEGMENT).cast("int")).where(mine)
-        hits = sown.join(F.broadcast(seeds), "s").select("_fw_id", "item_no", "seg", "n", (F.col("ip") - F.col("seg") * SEGMENT).alias("ip"), F.slice("h", F.col("pos") + 1, F.lit(span)).alias("seen"))
+        hits = sown.join(F.broadcast(seeds), "s").select("_fw_id", "item_no", "seg", "n", (F.col("ip") - F.col("seg") * SEGMENT).alias("ip"), "seen")
         hits = hits.join(F.broadcast(segments.where(mine)), ["item_no", "seg"])
         same = F.zip_with("seen", F.slice("toks", F.col("ip") + 1, F.lit(span)), lambda x, y: F.when(x == y, 1).otherwise(0))
         width = F.least(F.lit(window), F.col("n"))

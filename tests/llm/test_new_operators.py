@@ -178,3 +178,44 @@ def test_runs_query(spark, odd_rows, tmp_path):
         want.append((r[0], len(runs), *best, 1000 * best[1] // best[2] if runs else None, sha("".join(f"{s},{m},{q}\n" for s, m, q in runs)), sha(" ".join(w for i, w in enumerate(words) if i not in gone))))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert period_runs.find_runs(frame(spark, rows).where("false")).count() == 0
+
+
+def test_short_masks_miss_nothing():
+    """Every pattern of places that may differ leaves one mask of the length whole."""
+    from itertools import combinations
+    from math import ceil
+
+    from factweave.llm import decontaminate
+
+    for n in range(1, decontaminate.WINDOW):
+        allowed = n - ceil(0.8 * n - 1e-9)
+        masks = decontaminate.short_masks(n)
+        assert all(len(m) == n and "1" in m for m in masks)
+        for changed in combinations(range(n), allowed):
+            assert any(all(m[k] == "0" for k in changed) for m in masks)
+
+
+def test_short_items_and_hot_seeds(spark):
+    """Items of 3 to 12 tokens at the limit of what may differ and beyond it; an item of equal tokens in a document of equal tokens."""
+    from math import ceil
+
+    from factweave.llm import decontaminate
+
+    rng = random.Random(12)
+    items, docs, want = [], [], {}
+    for n in range(3, 13):
+        words = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        allowed = n - ceil(0.8 * n - 1e-9)
+        for extra in (0, 1):
+            for turn in range(6):
+                changed = set(rng.sample(range(n), min(n, allowed + extra)))
+                said = ["before", "it", *[("other" if k in changed else w) for k, w in enumerate(words)], "after"]
+                docs.append((len(docs), " ".join(said)))
+                want[len(docs) - 1] = not extra
+    items.append((99, "zero " * 3000))
+    docs += [(1000, "zero " * 4000), (1001, "zero " * 12), (1002, "zero " * 9 + "one zero zero " + "two " * 5)]
+    want |= {1000: True, 1001: True, 1002: True}
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    got = {r.doc_id: r.contaminated for r in decontaminate.flag_documents(spark.createDataFrame(docs, "doc_id int, text string"), bench).collect()}
+    assert got == want
