@@ -48,13 +48,15 @@ def plausible_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     a, b = said(left, "a"), said(right, "b")
     held = b.where("kb <> ''").select(F.col("kb").alias("ka")).distinct().withColumn("_held", F.lit(True))
     a = a.join(held, "ka", "left").withColumn("_plain", F.coalesce("_held", F.lit(False)) & (F.size("wa") <= PLAIN_TOKENS) & (F.col("la") <= PLAIN_CHARS))
-    same = a.where("_plain").join(b, F.col("wa") == F.col("wb")).select("a", "b", F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("containment"))
-    hits = a.where("not _plain").select("a", "la", F.size("wa").alias("na"), F.explode("wa").alias("t")).join(b.select("b", "lb", F.size("wb").alias("nb"), F.explode("wb").alias("t")), "t")
-    both = hits.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("la").alias("la"), F.first("lb").alias("lb"))
-    rest = both.select("a", "b", "la", "lb", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard"), (F.col("n") / F.least("na", "nb")).alias("containment"))
+    # one join for both: the set of tokens is a word of its own, which the names to be met by it have alone and all entities have besides
+    whole = lambda w: F.array(F.concat(F.lit("="), F.array_join(w, " ")))
+    left = a.select("a", "la", "_plain", F.size("wa").alias("na"), F.explode(F.when(F.col("_plain"), whole("wa")).otherwise(F.col("wa"))).alias("t"))
+    hits = left.join(b.select("b", "lb", F.size("wb").alias("nb"), F.explode(F.concat("wb", whole("wb"))).alias("t")), "t")
+    both = hits.groupBy("a", "b").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("na", "nb", "la", "lb", "_plain")])
+    one = lambda c: F.when(F.col("_plain"), 1.0).otherwise(c)
+    both = both.select("a", "b", "la", "lb", "_plain", one(F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard"), one(F.col("n") / F.least("na", "nb")).alias("containment"))
     most = 2 * F.least("la", "lb") / (F.col("la") + F.col("lb"))
-    rest = rest.where(0.45 * most + 0.55 * F.greatest("jaccard", 0.9 * F.col("containment")) + 0.04 >= REVIEW - MARGIN - 1e-9)
-    return same.unionByName(rest.select("a", "b", "jaccard", "containment"))
+    return both.where(F.col("_plain") | (0.45 * most + 0.55 * F.greatest("jaccard", 0.9 * F.col("containment")) + 0.04 >= REVIEW - MARGIN - 1e-9)).select("a", "b", "jaccard", "containment")
 
 
 def name_scores(candidates: DataFrame, entities: DataFrame, all_pairs: bool = False) -> DataFrame:
@@ -66,10 +68,8 @@ def name_scores(candidates: DataFrame, entities: DataFrame, all_pairs: bool = Fa
     p = token_pairs(candidates, entities) if all_pairs else plausible_pairs(candidates, entities)
     part = F.greatest("jaccard", 0.9 * F.col("containment"))
     same = (C.core_key(F.col("a")) == C.core_key(F.col("b"))) & (C.core_key(F.col("a")) != "")
-    equal = p.withColumn("_same", same)
     ratio = sequence_ratio(C.identity_text(F.col("a")), C.identity_text(F.col("b")))
-    rest = equal.where("not _same").withColumn("ratio", ratio).select("a", "b", (0.45 * F.col("ratio") + 0.55 * part).alias("score"))
-    return equal.where("_same").select("a", "b", F.lit(0.98).alias("score")).unionByName(rest)
+    return p.withColumn("ratio", ratio).select("a", "b", F.when(same, 0.98).otherwise(0.45 * F.col("ratio") + 0.55 * part).alias("score"))
 
 
 def _kind(c: Column) -> Column:
