@@ -8,10 +8,9 @@ inside texts are escaped reversibly, and a loss mask lists the character spans o
 Defined cases: null texts and roles are empty strings; a record whose fingerprint no mapping knows
 keeps its row with null turns and layout; an empty list of messages gives no turns; turns with one
 number are ordered by role, then text; repeated turns stay.
-A conversation is one record and so has to fit one row; conversations are never joined to one another. The parser of
-paths refuses strings over 20 million characters; of records over ``LONG`` characters the paths are therefore read from a
-skeleton, in which escapes are dropped and string contents cut, and the texts with a reader whose limit is lifted. (A field
-name of more than 64 characters or with escapes has no mapping in such a record.)
+A conversation is one record and so has to fit one row; conversations are never joined to one another. Paths are read from
+a skeleton, the record with its string values emptied, so records of every size go one way and the parser's limit on strings
+(20 million characters) isn't met; texts are read with a reader whose limit is lifted.
 """
 
 from __future__ import annotations
@@ -29,8 +28,8 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Other names of the roles. Fixed values.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 TURNS = "array<struct<role:string,text:string>>"
-#: Characters from which on a record's paths are read from its skeleton.
-LONG = 1_000_000
+#: A JSON string: quotes around plain characters and whole escapes. Anything else that starts with a quote is left for the parser to refuse.
+BODY = r'[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+'
 READER = {"maxStringLen": str(2**31 - 1)}
 
 
@@ -81,13 +80,13 @@ def _hash(shape: str) -> str:
 
 
 def skeleton(record: Column) -> Column:
-    """A record with the same paths whose strings hold at most their first 64 characters."""
-    return F.regexp_replace(F.regexp_replace(record, r"\\u[0-9a-fA-F]{4}|\\.", ""), r'"([^"]{0,64})[^"]*"', '"$1"')
+    """A record with the same paths, its string values empty; names and faulty strings stay as they are, the latter taken up to their fault so that none is read from each of its quotes."""
+    return F.regexp_replace(record, rf'("{BODY}"\s*+:\s*+)(?:("){BODY}("))?+|("){BODY}(")|("{BODY})', "$1$2$3$4$5$6")
 
 
 def shape(record: Column) -> Column:
     """Nested field paths of a JSON record in canonical order, leaf types left out. Null if it is not JSON."""
-    described = F.schema_of_variant(F.try_parse_json(F.when(F.length(record) > LONG, skeleton(record)).otherwise(record)))
+    described = F.schema_of_variant(F.try_parse_json(skeleton(record)))
     kind = r"(?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\([0-9,]+\)|FLOAT|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|UUID|VARIANT)"
     return F.regexp_replace(F.regexp_replace(described, rf": {kind}(?=[,>])", ""), rf"(?<=<){kind}(?=>)", "_")
 

@@ -4,7 +4,8 @@ Documents are sets of five-word shingles. Band and row counts follow from the si
 target recall. Exact copies are collapsed first; band hashes are shuffled as small rows. Inside a bucket
 members are linked if their signatures agree in half of the places or more (a pair of .8 fails that less than once in
 10^12), by a spanning tree and without pairs, so that chance hits of a band don't chain unlike documents into one
-component; a bucket of more than ``BUCKET`` members is linked to its smallest member as a whole.
+component. A bucket is dealt out in parts of ``PART`` members, of which every two meet in one cell: the same rule holds at
+every size, and a task holds one cell at a time.
 The documents of a component meet once, in blocks of bounded size: pairs sharing a band are verified
 on their whole shingle sets inside a task, which returns per document the number of verified links
 and one edge to its block's root. Pairs are never written or shuffled; a component of any size is dealt
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from factweave.llm.common import KEY, WORD_GAP, materialise, pick, row_key, table
 
 SHINGLE, SIMILARITY, RECALL, HASHES, SEED = 5, 0.8, 0.9995, 128, 20240229
-#: Members up to which a bucket is held in one task, and the share of equal signature bytes that links two of them.
-BUCKET, AGREE = 2_000, 0.5
+#: Members of one part of a bucket, and the share of equal signature bytes that links two members.
+PART, AGREE = 2_000, 0.5
 #: Shingles held by one block; a document weighs LIGHT at least, which bounds a block's documents too.
 BLOCK, LIGHT = 1_000_000, 200
 
@@ -127,26 +128,42 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def spanning_links(rep: np.ndarray, sketches: np.ndarray, agree: float = AGREE) -> list[tuple[int, int]]:
-    """Edges (larger, smaller) of a spanning forest of the members of one bucket whose sketches agree."""
+    """Edges (larger, smaller) of a spanning forest of the members whose sketches agree.
+
+    A member is compared with those that aren't in its tree yet, so a cell of alike members takes one pass.
+    """
     root = np.arange(len(rep))
     out = []
     for i in range(len(rep) - 1):
-        for j in i + 1 + np.flatnonzero((sketches[i + 1 :] == sketches[i]).mean(axis=1) >= agree):
-            if root[j] != root[i]:
-                root[root == root[j]] = root[i]
-                out.append((max(rep[i], rep[j]), min(rep[i], rep[j])))
+        other = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        if not len(other):
+            continue
+        hit = other[(sketches[other] == sketches[i]).mean(axis=1) >= agree]
+        trees, first = np.unique(root[hit], return_index=True)
+        out += [(max(rep[i], rep[j]), min(rep[i], rep[j])) for j in hit[first]]
+        root[np.isin(root, trees)] = root[i]
     return out
 
 
+def bucket_cells(members: DataFrame, part: int) -> DataFrame:
+    """``members`` (band, code, rep, members) with the cell (x, y) of each two parts of a bucket; a bucket of one part is one cell."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("members") / part)).cast("int")
+    dealt = members.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("_parts") - 1), lambda o: (o != F.col("_own")) | (F.col("_parts") == 1))
+    cells = F.transform(others, lambda o: F.struct(F.least(o, F.col("_own")).alias("x"), F.greatest(o, F.col("_own")).alias("y")))
+    return dealt.withColumn("_c", F.explode(cells)).withColumns({"x": F.col("_c.x"), "y": F.col("_c.y")}).drop("_parts", "_own", "_c")
+
+
 def bucket_links(members: DataFrame, agree: float = AGREE) -> DataFrame:
-    """(u, v) of the spanning forests of all buckets; members: band, code, rep, sketch. A task reads its buckets one after the other."""
+    """(u, v) of the spanning forests of all cells; members: band, code, x, y, rep, sketch. A task reads its cells one after the other."""
+    cell = ["band", "code", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def links(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            band, code, rep, sketch = rows
-            cuts = np.flatnonzero((band[1:] != band[:-1]) | (code[1:] != code[:-1])) + 1
+            *keys, rep, sketch = rows
+            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             edges = [e for own in np.split(np.arange(len(rep)), cuts) for e in spanning_links(rep[own], sketch[own], agree)]
             return pa.RecordBatch.from_arrays([pa.array([u for u, _ in edges], pa.int64()), pa.array([v for _, v in edges], pa.int64())], names=["u", "v"])
 
@@ -154,17 +171,17 @@ def bucket_links(members: DataFrame, agree: float = AGREE) -> DataFrame:
             if not len(batch):
                 continue
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(batch), -1)
-            rows = (*[batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "code", "rep")], sketch)
+            rows = (*[batch.column(c).to_numpy(zero_copy_only=False) for c in (*cell, "rep")], sketch)
             if held is not None:
                 rows = tuple(np.concatenate(pair) for pair in zip(held, rows))
-            last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])  # the bucket that may go on in the next batch
+            last = np.all([k == k[-1] for k in rows[: len(cell)]], axis=0)  # the cell that may go on in the next batch
             held = tuple(x[last] for x in rows)
             if not last.all():
                 yield links(tuple(x[~last] for x in rows))
         if held is not None:
             yield links(held)
 
-    return members.repartition("band", "code").sortWithinPartitions("band", "code", "rep").select("band", "code", "rep", "sketch").mapInArrow(run, "u long, v long")
+    return members.repartition(*cell).sortWithinPartitions(*cell, "rep").select(*cell, "rep", "sketch").mapInArrow(run, "u long, v long")
 
 
 def verify_block(ids: np.ndarray, weight: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -215,8 +232,8 @@ def verify_block(ids: np.ndarray, weight: np.ndarray, bands: np.ndarray, sets: l
     return links, np.array([find(i) for i in range(n)], dtype=np.int64)
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """_fw_key, id, class_id, n_links for every row of ``docs``."""
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, part: int = PART) -> DataFrame:
+    """_fw_key, id, class_id, n_links for every row of ``docs``; ``part`` sets how finely buckets are dealt out, not what is found."""
     spark = docs.sparkSession
     bands, rows = bands_and_rows(similarity, recall)
     signed = materialise(signatures(docs, id_col, text_col, bands, rows), "signed")
@@ -225,11 +242,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # numbers of rows are unlike, as hashes needn't be; they are written and so stay what they are
     reps = materialise(reps.select("copy", F.monotonically_increasing_id().alias("rep"), F.col(f"r.{KEY}").alias(KEY), "r.n", "r.bands", "r.sketch", "weight"), "reps")
     inside = reps.select("rep", F.posexplode("bands").alias("band", "code"))
-    shared = inside.groupBy("band", "code").agg(F.min("rep").alias("m"), F.count("*").alias("members")).where("members > 1")
+    shared = inside.groupBy("band", "code").agg(F.count("*").alias("members")).where("members > 1")
     shared = materialise(inside.join(shared, ["band", "code"]), "buckets")
-    star = shared.where(F.col("members") > BUCKET).select(F.col("rep").alias("u"), F.col("m").alias("v"))
-    alike = bucket_links(shared.where(F.col("members") <= BUCKET).join(reps.select("rep", "sketch"), "rep"))
-    roots = components(star.unionByName(alike))
+    roots = components(bucket_links(bucket_cells(shared, part).join(reps.select("rep", "sketch"), "rep")))
     comp = roots.select(F.col("u").alias("rep"), "root").unionByName(roots.select(F.col("root").alias("rep"), "root").distinct())
     members = reps.join(comp, "rep").withColumn("load", F.greatest("n", F.lit(LIGHT)))
     loads = members.groupBy("root").agg(F.sum("load").alias("all")).withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))

@@ -1,6 +1,7 @@
 """Small cases and brute-force twins of the training-data operators."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -410,6 +411,55 @@ def test_near_duplicate_chain():
     assert len(edges) == 36 and all(u // 10 == v // 10 and u > v for u, v in edges)
 
 
+def test_near_duplicate_forest_brute():
+    """The forest joins just the members that a chain of agreeing sketches joins."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 256, (6, 100), dtype=np.uint8)
+    sketches = base[rng.integers(0, 6, 70)].copy()
+    for row in sketches:
+        at = rng.choice(100, rng.integers(0, 60), replace=False)
+        row[at] = rng.integers(0, 256, len(at))
+
+    def trees(edges):
+        root = list(range(70))
+        for u, v in edges:
+            root = [root[v] if r == root[u] else r for r in root]
+        return [root.index(r) for r in root]
+
+    edges = near_duplicates.spanning_links(np.arange(70), sketches)
+    every = [(i, j) for i in range(70) for j in range(i) if (sketches[i] == sketches[j]).mean() >= near_duplicates.AGREE]
+    assert trees(edges) == trees(every) and len(edges) == 70 - len(set(trees(every)))
+
+
+def test_near_duplicate_parts(spark):
+    """How finely buckets are dealt out changes nothing: one part, and parts of a few members."""
+    rows = near_corpus(3, 60)
+    hot = "north wind carries small grey birds over the old stone bridge near river mouth at dawn while boats wait for rain and the long road goes on to town".split()
+    rows += [(1000 + i, " ".join([*hot[:-1], f"w{i}"])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, fine = ({tuple(r[:3]) for r in near_duplicates.link_documents(docs, part=p).select("id", "class_id", "n_links").collect()} for p in (2_000, 7))
+    assert whole == fine and {(1000 + i, 1000, 39) for i in range(40)} <= fine
+    members = spark.createDataFrame([(0, 5, i, 40) for i in range(40)] + [(1, 5, i, 3) for i in range(3)], "band int, code long, rep long, members long")
+    cells = near_duplicates.bucket_cells(members, 7).groupBy("band", "x", "y").agg(F.collect_set("rep").alias("r")).collect()
+    assert {frozenset((a, b)) for c in cells if c.band == 0 for a in c.r for b in c.r if a < b} == {frozenset((a, b)) for a in range(40) for b in range(a)}
+    assert [(c.x, c.y, sorted(c.r)) for c in cells if c.band == 1] == [(0, 0, [0, 1, 2])]
+
+
+def test_chat_sizes(spark):
+    """A layout is known by its paths whatever the size of its texts; faulty strings are refused at every size."""
+    own = chat_format.Mapping("long_name", "OBJECT<%s: ARRAY<OBJECT<content, role>>>" % ("n" * 70), array=("n" * 70, "role", "content"))
+    for size in (100, 1_100_000):
+        said = ('é \\"q\\": \\\\ ' * size)[:size].rstrip("\\")
+        raw = ['{"mess\\u0061ges" : [{"role":"user", "content" : "%s"}]}' % said, '{"%s":[{"role":"user","content":"%s"}]}' % ("n" * 70, said), '{"prompt":"%s\\q","response":"x"}' % said,
+               '{"prompt":"%s\n","response":"x"}' % said, '{"prompt":"%s","response":"x}' % said, '{"prompt":"%s","response":null}' % said, '["%s", {"a":"b"}]' % said]
+        got = {r.i: r for r in chat_format.to_turns(spark.createDataFrame(list(enumerate(raw)), "i int, r string"), "r", (*chat_format.MAPPINGS, own)).collect()}
+        assert [got[i].layout for i in range(7)] == ["messages", "long_name", None, None, None, "prompt_response", None]
+        text = json.loads('"%s"' % said)
+        assert got[0].turns[0].text == text and got[1].turns[0].text == text and got[5].turns[0].text == text
+
+
 def test_chat_long_turn(spark):
     text = ('He said "so\n\\ok" é <|x|> & ' * 1_000_000)[:21_000_000]
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", text)]
