@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factweave.operators import audit, curate, normalise, shapes
 from factweave.operators import reconcile as rec
 from factweave.plans import views as V
-from factweave.streaming import ledger
+from factweave.streaming import ledger, schedule
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -165,6 +165,30 @@ def interval_gate(spark, sf):
     return ledger.one_per_interval(V.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", 6 * 3600).select("user_id", F.unix_micros("ts").alias("ts"))
 
 
+#: Kinds of the planted schedule by type and number of an event.
+_POST_KIND = """case event_type when 'error' then case event_id % 2 when 0 then 'TICK_FAILS' else 'TICK_UNSEEN' end when 'signup' then case when event_id % 4 = 0 then 'PAUSE' else 'RESUME' end
+when 'purchase' then case event_id % 3 when 0 then 'SKIP' else 'APPROVE' end else 'TICK' end"""
+
+
+@query("post_schedule", f"""with recursive e as (select m.review, user_id as k, epoch_us(ts::timestamp) as at_us, {_POST_KIND} as kind from events, (values (false), (true)) m(review)),
+o as (select *, row_number() over (partition by review, k order by at_us, kind) as i from e), lim as (select 86400000000 as step, 43200000000 as wait),
+r as (select review, k, 0::bigint as i, min(at_us) as last, null::bigint as retry, null::bigint as draft, false as paused, 0 as done, null::bigint as at_us, null::varchar as kind, null::varchar as outcome from e group by review, k
+  union all select review, k, i, case when outcome in ('POSTED', 'SKIPPED') then at_us else last end, case when outcome = 'FAILED' then at_us + wait else retry end,
+    case when outcome = 'DRAFTED' then at_us when outcome in ('POSTED', 'SKIPPED') or (outcome = 'FAILED' and kind = 'TICK_UNSEEN') then null else draft end,
+    case outcome when 'PAUSED' then true when 'RESUMED' then false else paused end, done + case when outcome in ('POSTED', 'SKIPPED') then 1 else 0 end, at_us, kind, outcome
+  from (select r.review, r.k, o.i, r.last, r.retry, r.draft, r.paused, r.done, o.at_us, o.kind, step, wait,
+      case when o.kind = 'PAUSE' then 'PAUSED' when o.kind = 'RESUME' then 'RESUMED' when o.kind in ('APPROVE', 'SKIP') then case when r.draft is null then 'IGNORED' when o.kind = 'SKIP' then 'SKIPPED' else 'POSTED' end
+        when r.paused then 'HELD' when o.at_us < r.retry then 'RETRY_WAIT' when r.review and r.draft is not null and o.at_us - r.draft < step then 'DRAFT_WAITS'
+        when (not r.review or r.draft is null) and o.at_us - r.last < step then 'NOT_DUE' when o.kind <> 'TICK' then 'FAILED' when r.review then 'DRAFTED' else 'POSTED' end as outcome
+    from r join o on o.review = r.review and o.k = r.k and o.i = r.i + 1, lim))
+select review, k as user_id, at_us, kind, outcome, done as n_done, draft is not null as waiting, paused from r where i > 0""")
+def post_schedule(spark, sf):
+    """Each user's events as ticks, failures, pauses and verdicts: one output a day, half a day of rest after a failure, with and without review."""
+    e = V.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.expr(_POST_KIND).alias("kind"))
+    both = [schedule.post_batch(e, "user_id", 86400, 43200, review).withColumn("review", F.lit(review)) for review in (False, True)]
+    return both[0].unionByName(both[1]).select("review", "user_id", F.unix_micros("ts").alias("at_us"), "kind", "outcome", "n_done", "waiting", "paused")
+
+
 @query("secret_filter", r"select doc_id from documents where regexp_matches(text, '(?i)(password|passwd|api[_ -]?key|secret|token)\s*(is|:|=)|sk-[A-Za-z0-9]{10,}')")
 def secret_filter(spark, sf):
     return V.table(spark, sf, "documents").where(curate.has_secret(F.col("text"))).select("doc_id")
