@@ -93,3 +93,18 @@ def subgraph(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = ids.select("id").unionByName(out).unionByName(into).distinct()
     inner = edges.join(nodes.withColumnRenamed("id", "source"), "source", "left_semi").join(nodes.withColumnRenamed("id", "target"), "target", "left_semi")
     return nodes, inner
+
+
+def view(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None, archived: bool = True, most: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(first ``most`` nodes by id, edges): of the whole graph, or of ``ids`` and their one-hop neighbours among the nodes (id, archived, ...).
+
+    Edges are those of the whole graph, or those between the selected nodes; the cut to ``most`` is one of the nodes shown only. Without
+    ``archived`` archived nodes and their edges are left out of a neighbourhood; null counts as not archived.
+    """
+    chosen, inner = nodes, edges
+    if ids is not None:
+        chosen = nodes.join(subgraph(edges, ids)[0], "id", "left_semi")
+        chosen = chosen if archived else chosen.where(~F.coalesce("archived", F.lit(False)))
+        ends = chosen.select("id").distinct()
+        inner = edges.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_semi").select(edges.columns)
+    return chosen.orderBy("id").limit(most), inner

@@ -239,6 +239,15 @@ def subgraph(spark, sf):
     return graph.subgraph(_graph(spark, sf), ids)[1].select("source", "target", "type", "relation")
 
 
+@query("graph_view", """with n as (select distinct 'm' || o_orderkey as id, 'memory' as kind from lineitem join orders on l_orderkey = o_orderkey where l_partkey % 50 = 0 and l_partkey in (select p_partkey from part) and o_orderstatus <> 'F'
+union all select 'p' || p_partkey, 'entity' from part where p_partkey % 50 = 0) select id, kind from n order by id limit 50""")
+def graph_view(spark, sf):
+    """The first 50 nodes around the asked parts, facts of finished orders being archived."""
+    done = V.table(spark, sf, "orders").select(F.concat(F.lit("m"), "o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("archived"))
+    ids = V.table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    return graph.view(nodes(spark, sf).join(done, "id", "left"), _graph(spark, sf), ids, archived=False)[0].select("id", "kind")
+
+
 @query("token_sim", r"""with n as (select distinct p_name as name from part), t as (select name, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(name), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+'), lambda x: x <> '')) as w from n)
 select a.name as a, b.name as b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 4)::double as jaccard from t a join t b on a.name < b.name and len(list_intersect(a.w, b.w)) > 0""")
 def token_sim(spark, sf):
