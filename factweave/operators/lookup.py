@@ -66,8 +66,25 @@ def recent(items: DataFrame, n: int) -> DataFrame:
 
 
 def log_history(log: DataFrame, text: str, columns: tuple[str, ...], ts: str, n: int) -> DataFrame:
-    """Newest n log rows that hold the text in one of the columns."""
-    return log.where(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lower(F.lit(text)))).orderBy(F.col(ts).desc()).limit(n)
+    """Newest n log rows, newest first, that hold the text (trimmed, case aside) in one of the columns; an empty text asks for all. Equal times go by the columns."""
+    wanted = text.strip().lower()
+    holds = [F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(wanted)) for c in columns]
+    return log.where(F.array_max(F.array(*holds))).orderBy(F.col(ts).desc(), *columns).limit(n)
+
+
+def by_lifecycle(entities: DataFrame, state: str | None = None) -> DataFrame:
+    """Entities in a lifecycle state (any case; ACTIVE, AGING, DORMANT or ENDED), all without one; a name that is no state asks for all as well."""
+    wanted = (state or "").strip().upper()
+    return entities.where(F.upper(F.trim("lifecycle_status")) == wanted) if wanted in C.LIFECYCLES else entities
+
+
+def entity_lifecycle(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """Lifecycle columns of the entity that each query (query_id, q) finds; one row per query that finds one."""
+    state = F.upper(F.trim(F.coalesce("lifecycle_status", F.lit(""))))
+    shown = entities.select(
+        "entity_id", "name", F.coalesce("temporal_status", F.lit("current")).alias("temporal_status"), F.when(state.isin(*C.LIFECYCLES), state).otherwise("ACTIVE").alias("lifecycle_status"),
+        F.coalesce("lifecycle_score", F.lit(0.0)).alias("lifecycle_score"), "first_seen_at", "last_seen_at", F.coalesce("mention_count", F.lit(0)).alias("mention_count"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    return find_entity(queries, entities).join(shown, "entity_id").select("query_id", *shown.columns)
 
 
 def entities_of_items(entities: DataFrame, items: DataFrame) -> DataFrame:

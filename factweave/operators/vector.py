@@ -140,6 +140,15 @@ def search(queries: DataFrame, corpus: DataFrame, now: Column, threshold: float
     return top_k(found.withColumn("score", F.round(score, 4)), k, "score")
 
 
+def recall(queries: DataFrame, corpus: DataFrame, now: Column, k: int = 5) -> DataFrame:
+    """What ``search`` finds from a similarity of .2 on, at most ten rows a query, as a reader wants it.
+
+    k is brought into 1 to 10. corpus also has memory, type and valid_from. Gives query_id, memory, type, importance, similarity, valid_from, rank.
+    """
+    found = search(queries, corpus, now, 0.2, min(10, max(1, k)))
+    return found.select("query_id", "key", F.round("sim", 4).alias("similarity"), "rank").join(corpus.select("key", "memory", "type", "importance", "valid_from"), "key").select("query_id", "memory", "type", "importance", "similarity", "valid_from", "rank")
+
+
 def decision_candidates(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """The three nearest facts with a cosine of .75 or more for each new one: what a decision on conflicts looks at."""
     return top_k(similar_pairs(queries, corpus, 0.75), 3, "sim")
