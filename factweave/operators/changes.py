@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from factweave.functions import columns as C
+from factweave.operators.joins import large
 
 HISTORY, ALIASES = 20, 20
 
@@ -41,7 +42,7 @@ def supersede(items: DataFrame, batch: DataFrame, now: Column | None = None) ->
     current = current.select("chain_id", F.col("c.memory_id").alias("old_id"), F.col("c.version").alias("old_version"), F.col("c.valid_from").alias("old_from"))
     known = items.select("chain_id", F.col("memory_id").alias("new_id")).distinct().withColumn("_known", F.lit(True))
     firsts = asked.where("new_id is not null").groupBy("new_id").agg(F.min("ord").alias("_first"))
-    asked = asked.join(current, "chain_id", "left").join(known, ["chain_id", "new_id"], "left").join(firsts, "new_id", "left")
+    asked = asked.join(large(current), "chain_id", "left").join(large(known), ["chain_id", "new_id"], "left").join(large(firsts), "new_id", "left")
     refused = (F.when(F.col("_text") == "", "BLANK").when(F.col("_text") == F.trim(_optional(batch, "old_memory")), "SAME_TEXT").when(F.col("new_id").isNull(), "NO_ID")
                .when(F.col("_known"), "KNOWN_ID").when(F.col("ord") > F.col("_first"), "REPEATED").when(F.col("old_id").isNull(), "NO_CURRENT"))
     w = Window.partitionBy("chain_id").orderBy("ord", "new_id", "_eff", "_text")
@@ -55,7 +56,7 @@ def supersede(items: DataFrame, batch: DataFrame, now: Column | None = None) ->
     ended = good.where("_n = 1").select("chain_id", F.col("old_id").alias("memory_id"), F.col("_eff").alias("_to"), F.col("new_id").alias("_by"))
     has_status = "temporal_status" in items.columns
     changes = {"valid_to": F.coalesce("_to", "valid_to"), "superseded_by": F.coalesce("_by", "superseded_by")}
-    closed = items.join(ended, ["chain_id", "memory_id"], "left").withColumns(changes | ({"temporal_status": F.when(F.col("_to").isNotNull(), "historical").otherwise(F.col("temporal_status"))} if has_status else {})).drop("_to", "_by")
+    closed = items.join(large(ended), ["chain_id", "memory_id"], "left").withColumns(changes | ({"temporal_status": F.when(F.col("_to").isNotNull(), "historical").otherwise(F.col("temporal_status"))} if has_status else {})).drop("_to", "_by")
     opened = good.select(F.col("new_id").alias("memory_id"), "chain_id", (F.col("old_version") + F.col("_n")).alias("version"), F.col("_eff").alias("valid_from"), F.col("_until").alias("valid_to"),
                          F.col("_prev").alias("supersedes"), F.col("_next").alias("superseded_by"), F.col("_text").alias("memory"),
                          *([F.when(F.col("_next").isNull(), "current").otherwise("historical").alias("temporal_status")] if has_status else []))
@@ -66,9 +67,9 @@ def judge_ends(items: DataFrame, batch: DataFrame, now: Column | None = None) ->
     """``batch`` (memory_id, ended_at) with outcome: ENDED for the first end of an item that is after its start, then ALREADY_ENDED; NOT_AFTER_START, NOT_FOUND."""
     asked = _ordered(batch, "ended_at").withColumn("ended_at", F.coalesce("ended_at", now if now is not None else F.current_timestamp()))
     starts = items.groupBy("memory_id").agg(F.min("valid_from").alias("_from"), F.lit(True).alias("_found"))
-    asked = asked.join(starts, "memory_id", "left").withColumn("_fits", F.col("_found") & (F.col("_from").isNull() | (F.col("ended_at") > F.col("_from"))))
+    asked = asked.join(large(starts), "memory_id", "left").withColumn("_fits", F.col("_found") & (F.col("_from").isNull() | (F.col("ended_at") > F.col("_from"))))
     first = asked.where("_fits").groupBy("memory_id").agg(F.min(F.struct("ord", "ended_at")).alias("_first"))
-    judged = asked.join(first, "memory_id", "left").withColumn("outcome", F.when(F.col("_found").isNull(), "NOT_FOUND").when(~F.col("_fits"), "NOT_AFTER_START")
+    judged = asked.join(large(first), "memory_id", "left").withColumn("outcome", F.when(F.col("_found").isNull(), "NOT_FOUND").when(~F.col("_fits"), "NOT_AFTER_START")
                                                                .when(F.struct("ord", "ended_at") == F.col("_first"), "ENDED").otherwise("ALREADY_ENDED"))
     return judged.drop("_from", "_found", "_fits", "_first", *([] if "ord" in batch.columns else ["ord"]))
 
@@ -76,7 +77,7 @@ def judge_ends(items: DataFrame, batch: DataFrame, now: Column | None = None) ->
 def _ends(items: DataFrame, batch: DataFrame, now: Column | None) -> tuple[DataFrame, DataFrame]:
     judged = judge_ends(items, batch, now)
     ends = judged.where("outcome = 'ENDED'").groupBy("memory_id").agg(F.min("ended_at").alias("_to"))  # equal rows of a batch are one
-    return items.join(ends, "memory_id", "left").withColumns({
+    return items.join(large(ends), "memory_id", "left").withColumns({
         "valid_to": F.coalesce("_to", "valid_to"), "temporal_status": F.when(F.col("_to").isNotNull(), "ended").otherwise(F.col("temporal_status"))}), judged
 
 
@@ -89,7 +90,7 @@ def end_and_archive(active: DataFrame, archive: DataFrame, batch: DataFrame, now
     """(active, archive, outcomes): ended items leave the active store; in the archive they replace rows of their id."""
     marked, judged = _ends(active, batch, now)
     gone = marked.where("_to is not null").withColumns({"status": F.lit("archived"), "archive_reason": F.lit(reason), "archived_at": now}).drop("_to")
-    kept = archive.join(gone.select("memory_id"), "memory_id", "left_anti").unionByName(gone, allowMissingColumns=True)
+    kept = archive.join(large(gone.select("memory_id")), "memory_id", "left_anti").unionByName(gone, allowMissingColumns=True)
     return marked.where("_to is null").drop("_to"), kept, judged
 
 
@@ -109,7 +110,7 @@ def evolve_entities(entities: DataFrame, batch: DataFrame) -> tuple[DataFrame, D
     """
     asked = _ordered(batch, "effective", "action", "new_name", "new_type").withColumn("_event", F.upper(F.trim(F.coalesce(F.when(F.trim("action") != "", F.col("action")), F.lit("CHANGE")))))
     base = entities.select("entity_id", *[F.col(c).alias(f"_{c}") for c in ("name", "type", "version", "valid_from")], _optional(entities, "description").alias("_description"))
-    asked = asked.join(base.dropDuplicates(["entity_id"]), "entity_id", "left").withColumn("outcome", F.when(~F.col("_event").isin("CHANGE", "END"), "UNKNOWN_EVENT").when(F.col("_version").isNull(), "NOT_FOUND").otherwise("APPLIED"))
+    asked = asked.join(large(base.dropDuplicates(["entity_id"])), "entity_id", "left").withColumn("outcome", F.when(~F.col("_event").isin("CHANGE", "END"), "UNKNOWN_EVENT").when(F.col("_version").isNull(), "NOT_FOUND").otherwise("APPLIED"))
     w = Window.partitionBy("entity_id").orderBy("ord", "effective", "_event", "new_name")
     said = lambda c: F.when((F.col("_event") == "CHANGE") & (F.trim(c) != ""), c)
     rows = asked.where("outcome = 'APPLIED'").withColumns({"_asked": F.when(said(F.col("new_name")).isNotNull(), C.canonical_name(F.col("new_name"))), "_n": F.row_number().over(w), "_last": F.count("*").over(Window.partitionBy("entity_id"))})
@@ -135,7 +136,7 @@ def evolve_entities(entities: DataFrame, batch: DataFrame) -> tuple[DataFrame, D
     final = rows.where("_n = _last").select(
         "entity_id", F.coalesce("_new", "_name_before").alias("_to_name"), F.coalesce("_kind", "_type_before").alias("_to_type"), F.coalesce("_said", "_desc_before").alias("_to_description"), F.col("effective").alias("_to_from"), F.col("_event").alias("_to_event"), F.col("_last").alias("_more"))
     changed, ended = F.col("_more").isNotNull(), F.col("_to_event") == "END"
-    out = entities.join(final, "entity_id", "left").join(newest, "entity_id", "left").join(names, "entity_id", "left")
+    out = entities.join(large(final), "entity_id", "left").join(large(newest), "entity_id", "left").join(large(names), "entity_id", "left")
     new = {"history": F.when(changed, C.keep_newest(F.concat("history", "_pushed"), HISTORY)).otherwise(F.col("history")), "aliases": F.when(F.col("_named").isNotNull(), C.clean_aliases(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), "_named"), F.col("_to_name"))).otherwise(F.col("aliases")),
            "name": F.coalesce("_to_name", "name"), "type": F.coalesce("_to_type", "type"), "version": (F.col("version") + F.coalesce("_more", F.lit(0))).cast(entities.schema["version"].dataType),
            "valid_from": F.when(changed, F.col("_to_from")).otherwise(F.col("valid_from")), "valid_to": F.when(ended, F.col("_to_from")).when(changed, F.lit(None)).otherwise(F.col("valid_to"))}
