@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
 from factweave.operators import trigrams
+from factweave.operators.joins import large
 
 
 def first_tier(frames: list[DataFrame], by: str = "query_id", *order) -> DataFrame:
@@ -95,7 +96,7 @@ def entities_of_items(entities: DataFrame, items: DataFrame) -> DataFrame:
 def relation_names(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Relations with the names of their ends, the id where a name is unknown."""
     n = entities.select("entity_id", "name")
-    return (relations.join(n.select(F.col("entity_id").alias("source"), F.col("name").alias("_s")), "source", "left").join(n.select(F.col("entity_id").alias("target"), F.col("name").alias("_t")), "target", "left")
+    return (relations.join(large(n.select(F.col("entity_id").alias("source"), F.col("name").alias("_s"))), "source", "left").join(large(n.select(F.col("entity_id").alias("target"), F.col("name").alias("_t"))), "target", "left")
             .withColumns({"source_name": F.coalesce("_s", "source"), "target_name": F.coalesce("_t", "target")}).drop("_s", "_t"))
 
 
@@ -134,9 +135,9 @@ def find_by_part(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """
     names = entities.select("entity_id", F.explode(_all_names(entities)).alias("nm")).groupBy(C.canonical_name(F.col("nm")).alias("nk")).agg(F.min("entity_id").alias("_lo"), F.max("entity_id").alias("_hi"))
     q = queries.select("query_id", C.canonical_name(F.col("q")).alias("k")).where("k <> ''")
-    found = trigrams.containing(q, names, "k", "nk").join(names.withColumnRenamed("nk", "text"), "text")
+    found = trigrams.containing(q, names, "k", "nk").join(large(names.withColumnRenamed("nk", "text")), "text")
     only = found.groupBy(F.col("pattern").alias("k")).agg(F.min("_lo").alias("entity_id"), F.max("_hi").alias("_hi")).where("entity_id = _hi")
-    return q.join(only, "k").select("query_id", "entity_id")
+    return q.join(large(only), "k").select("query_id", "entity_id")
 
 
 def conflict_query(conflicts: DataFrame, text: str | None = None, status: str | None = None, decisions: tuple[str, ...] = (), n: int = 50) -> DataFrame:

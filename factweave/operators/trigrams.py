@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.operators.joins import large
+
 
 def grams(text: Column, n: int) -> Column:
     """The different stretches of n characters."""
@@ -30,14 +32,14 @@ def containing(patterns: DataFrame, texts: DataFrame, pattern: str = "pattern",
     p = patterns.select(F.col(pattern).alias("pattern")).where("pattern <> ''").distinct()
     long = p.where(F.char_length("pattern") >= 3).select("pattern", F.explode(grams(F.col("pattern"), 3)).alias("gram"))
     postings = index(texts, text) if postings is None else postings
-    held = postings.join(long.select("gram").distinct(), "gram", "left_semi")  # only what is asked for meets the patterns
+    held = postings.join(large(long.select("gram").distinct()), "gram", "left_semi")  # only what is asked for meets the patterns
     common = held.groupBy("gram").agg(F.count("*").alias("held_by"))
-    rarest = long.join(common, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("held_by", F.lit(0)).alias("held_by"), F.col("gram").alias("gram"))).alias("r"))
+    rarest = long.join(large(common), "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("held_by", F.lit(0)).alias("held_by"), F.col("gram").alias("gram"))).alias("r"))
     rarest = rarest.where("r.held_by > 0").select("pattern", "r.gram")
-    out = rarest.join(held, "gram").where(F.contains("text", "pattern")).select("pattern", "text")
+    out = rarest.join(large(held), "gram").where(F.contains("text", "pattern")).select("pattern", "text")
     for n in (1, 2):
         short = p.where(F.char_length("pattern") == n).select("pattern", F.col("pattern").alias("gram"))
-        out = out.unionByName(short.join(index(texts, text, n), "gram").select("pattern", "text"))
+        out = out.unionByName(short.join(large(index(texts, text, n)), "gram").select("pattern", "text"))
     return out
 
 
