@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.operators.joins import large
+
 #: Seconds of the smallest cell, cells that one of the next size holds, number of sizes.
 CELL_SECONDS, RADIX, SIZES = 3600, 16, 5
 
@@ -44,19 +46,20 @@ def as_of(versions: DataFrame, instants: DataFrame, key: str, closed: bool = Fal
     """
     size = cell_seconds * 1_000_000
     asked = instants.where("instant is not null").select(key, "instant").distinct().withColumn("_t", F.unix_micros("instant"))
-    newest = asked.agg(F.max("_t")).first()[0]
-    newest = 0 if newest is None else newest
+    # only the stretch of a key's time that is asked for is cut into cells
+    reach = asked.groupBy(key).agg(F.min("_t").alias("_low"), (F.max("_t") + 1).alias("_high"))
     best = F.struct(F.col("version").cast("long").alias("version"), "memory_id")
     start, end = F.unix_micros("valid_from"), F.unix_micros("valid_to") + (1 if closed else 0)
-    v = versions.where("valid_from is not null").select(key, best.alias("best"), start.alias("_from"), F.coalesce(F.least(end, F.lit(newest + 1)), F.lit(newest + 1)).alias("_to")).where("_from < _to")
+    v = versions.where("valid_from is not null").select(key, best.alias("best"), start.alias("_start"), end.alias("_end")).where("_end is null or _start < _end").join(large(reach), key)
+    v = v.select(key, "best", F.greatest("_start", "_low").alias("_from"), F.least("_end", "_high").alias("_to")).where("_from < _to")
     v = v.withColumns({"_first": F.ceil(F.col("_from") / size).cast("long"), "_last": F.floor(F.col("_to") / size).cast("long") - 1})
     whole = with_cover(v.where("_first <= _last"), "_first", "_last").groupBy(key, "level", "cell").agg(F.max("best").alias("best"), F.count("*").alias("n"))
     # pieces: the cells that hold an end and don't lie whole inside
     ends = F.array_distinct(F.array(F.floor(F.col("_from") / size).cast("long"), F.floor((F.col("_to") - 1) / size).cast("long")))
     pieces = v.select(key, "best", "_from", "_to", "_first", "_last", F.explode(ends).alias("cell")).where("not (cell between _first and _last)")
     levels = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("_t") / (size * RADIX**n)).cast("long").alias("cell")) for n in range(SIZES)])
-    up = asked.select(key, "instant", F.explode(levels).alias("c")).select(key, "instant", "c.level", "c.cell").join(whole, [key, "level", "cell"]).select(key, "instant", "best", "n")
-    near = asked.select(key, "instant", "_t", F.floor(F.col("_t") / size).cast("long").alias("cell")).join(pieces, [key, "cell"]).where("_from <= _t and _t < _to").select(key, "instant", "best", F.lit(1).cast("long").alias("n"))
+    up = asked.select(key, "instant", F.explode(levels).alias("c")).select(key, "instant", "c.level", "c.cell").join(large(whole), [key, "level", "cell"]).select(key, "instant", "best", "n")
+    near = asked.select(key, "instant", "_t", F.floor(F.col("_t") / size).cast("long").alias("cell")).join(large(pieces), [key, "cell"]).where("_from <= _t and _t < _to").select(key, "instant", "best", F.lit(1).cast("long").alias("n"))
     found = up.unionByName(near).groupBy(key, "instant").agg(F.max("best").alias("best"), F.sum("n").alias("n_matches"))
     return found.select(key, "instant", F.col("best.memory_id").alias("memory_id"), F.col("best.version").alias("version"), "n_matches")
 
@@ -64,8 +67,12 @@ def as_of(versions: DataFrame, instants: DataFrame, key: str, closed: bool = Fal
 def entity_as_of(entities: DataFrame, instants: DataFrame) -> DataFrame:
     """(entity_id, instant, version, name, type, current, n_matches) from the history and the current version of entities, closed at both ends."""
     fields = ["version", "name", "type", "valid_from", "valid_to"]
-    old = entities.select("entity_id", F.explode("history").alias("h")).select("entity_id", *[f"h.snapshot.{f}" for f in fields], F.lit(False).alias("current"))
-    every = old.unionByName(entities.select("entity_id", *fields, F.lit(True).alias("current")))
+    kinds = {f.name: f.dataType for f in entities.select(*fields).schema}
+    version = lambda at, current: F.struct(*[at(f).cast(kinds[f]).alias(f) for f in fields], F.lit(current).alias("current"))
+    old = F.transform("history", lambda h: version(lambda f: h["snapshot"][f], False))
+    every = entities.select("entity_id", F.explode(F.concat(F.coalesce(old, F.array()), F.array(version(F.col, True)))).alias("v")).select("entity_id", "v.*")
     state = F.struct("name", "type", "current").alias("memory_id")
-    found = as_of(every.select("entity_id", "version", state, "valid_from", "valid_to"), instants, "entity_id", closed=True)
+    from factweave.operators import windows
+
+    found = windows.as_of(every.select("entity_id", "version", state, "valid_from", "valid_to"), instants, "entity_id", closed=True)
     return found.select("entity_id", "instant", "version", "memory_id.name", "memory_id.type", "memory_id.current", "n_matches")

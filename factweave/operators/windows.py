@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.sources import shared
+
 
 def first_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """One row per key, the first in the given order."""
@@ -48,21 +50,25 @@ def as_of(versions: DataFrame, instants: DataFrame, key: str, closed: bool = Fal
     and not versions times instants. Intervals may overlap; open versions are few at any time.
     """
     v = versions.where(f"valid_from is not null and (valid_to is null or valid_to {'>=' if closed else '>'} valid_from)")
-    one = F.struct(F.col("version").cast("long").alias("version"), F.col("memory_id").alias("memory_id"))
-    point = lambda df, at, step, what: df.select(key, at.alias("_at"), F.lit(step).alias("_step"), what.alias("_v"))
+    # of equal versions and ids the one that holds longest stands last
+    one = F.struct(F.col("version").cast("long").alias("version"), F.col("memory_id").alias("memory_id"), F.col("valid_to").isNull().alias("open"), F.col("valid_to").alias("until"))
     none = F.lit(None).cast(v.select(one.alias("x")).schema["x"].dataType)
     # of equal times: half-open ends come before starts, starts before instants, closed ends last
-    marks = point(v, F.col("valid_from"), 1, one).unionByName(point(v.where("valid_to is not null"), F.col("valid_to"), 3 if closed else 0, one)).unionByName(point(instants.select(key, "instant").distinct(), F.col("instant"), 2, none))
+    mark = lambda at, step: F.struct(F.col(at).cast("timestamp").alias("at"), F.lit(step).alias("step"))
+    ends = v.select(key, one.alias("_v"), F.explode(F.array(mark("valid_from", 1), mark("valid_to", 3 if closed else 0))).alias("_m")).where("_m.at is not null")
+    marks = ends.unionByName(instants.select(key, "instant").distinct().select(key, none.alias("_v"), mark("instant", 2).alias("_m"))).select(key, F.col("_m.at").alias("_at"), F.col("_m.step").alias("_step"), "_v")
     w = Window.partitionBy(key).orderBy("_at", "_step").rowsBetween(Window.unboundedPreceding, 0)
     opened = F.sum(F.when(F.col("_step") == 1, 1).when(F.col("_step") == 2, 0).otherwise(-1)).over(w)
     told = marks.withColumns({"n_matches": opened, "_top": F.max(F.when(F.col("_step") == 1, F.col("_v"))).over(w)})
     hits = told.where("_step = 2 and n_matches > 0")
     # the highest version begun so far holds the instant unless it has ended; then the open ones are looked up
-    ends = v.select(F.col(key), F.col("version").cast("long").alias("version"), "memory_id", "valid_to")
-    until = (F.col("_at") <= F.col("valid_to")) if closed else (F.col("_at") < F.col("valid_to"))
-    seen = hits.select(key, "_at", "n_matches", F.col("_top.version").alias("version"), F.col("_top.memory_id").alias("memory_id")).join(ends, [key, "version", "memory_id"], "left").withColumn("holds", F.col("valid_to").isNull() | until)
+    until = (F.col("_at") <= F.col("_top.until")) if closed else (F.col("_at") < F.col("_top.until"))
+    seen = hits.select(key, "_at", "n_matches", "_top.version", "_top.memory_id", (F.col("_top.open") | until).alias("holds"))
+    seen = shared.kept(seen, "as-of")
     sure = seen.where("holds").select(key, F.col("_at").alias("instant"), "memory_id", "version", "n_matches")
     rest = seen.where("not holds").select(F.col(key), F.col("_at").alias("instant"))
+    if rest.isEmpty():
+        return sure
     from factweave.operators import intervals
 
     other = intervals.as_of(v, rest, key, closed).select(sure.columns)
