@@ -56,11 +56,14 @@ def as_of(versions: DataFrame, instants: DataFrame, key: str, closed: bool = Fal
     # of equal times: half-open ends come before starts, starts before instants, closed ends last
     mark = lambda at, step: F.struct(F.col(at).cast("timestamp").alias("at"), F.lit(step).alias("step"))
     ends = v.select(key, one.alias("_v"), F.explode(F.array(mark("valid_from", 1), mark("valid_to", 3 if closed else 0))).alias("_m")).where("_m.at is not null")
-    marks = ends.unionByName(instants.select(key, "instant").distinct().select(key, none.alias("_v"), mark("instant", 2).alias("_m"))).select(key, F.col("_m.at").alias("_at"), F.col("_m.step").alias("_step"), "_v")
+    marks = ends.unionByName(instants.select(key, none.alias("_v"), mark("instant", 2).alias("_m"))).select(key, F.col("_m.at").alias("_at"), F.col("_m.step").alias("_step"), "_v")
     w = Window.partitionBy(key).orderBy("_at", "_step").rowsBetween(Window.unboundedPreceding, 0)
     opened = F.sum(F.when(F.col("_step") == 1, 1).when(F.col("_step") == 2, 0).otherwise(-1)).over(w)
     told = marks.withColumns({"n_matches": opened, "_top": F.max(F.when(F.col("_step") == 1, F.col("_v"))).over(w)})
-    hits = told.where("_step = 2 and n_matches > 0")
+    # an instant asked twice stands beside itself: no set of instants is held
+    order = Window.partitionBy(key).orderBy("_at", "_step")
+    told = told.withColumn("_again", (F.lag("_at").over(order) == F.col("_at")) & (F.lag("_step").over(order) == 2))
+    hits = told.where("_step = 2 and n_matches > 0 and not coalesce(_again, false)")
     # the highest version begun so far holds the instant unless it has ended; then the open ones are looked up
     until = (F.col("_at") <= F.col("_top.until")) if closed else (F.col("_at") < F.col("_top.until"))
     seen = hits.select(key, "_at", "n_matches", "_top.version", "_top.memory_id", (F.col("_top.open") | until).alias("holds"))

@@ -39,3 +39,13 @@ def test_equal_versions_give_one_row(spark, closed):
     asked = spark.createDataFrame([("a", 3), ("a", 6), ("a", 10)], "k string, s int").select("k", F.timestamp_seconds("s").alias("instant"))
     one, other = (sorted((r.instant, r.memory_id, r.version, r.n_matches) for r in f.as_of(v, asked, "k", closed).collect()) for f in (windows, intervals))
     assert one == other and [x[1:] for x in one] == [("m", 1, 3), ("m", 1, 2), ("o", 0, 1)]
+
+
+@pytest.mark.parametrize("name", ["asof_half_open", "asof_closed"])
+def test_instants_are_not_held_as_a_set(spark, name, monkeypatch):
+    """Repeated instants are dropped in the sorted order; no task builds a table of all that its rows make."""
+    seen = []
+    monkeypatch.setattr(windows.shared, "kept", lambda df, _: seen.append(plan(df)) or df)
+    rows = QUERIES[name](spark, SF)
+    assert "HashAggregate" not in seen[0]
+    assert rows.count() == rows.select("chain_id", "instant").distinct().count() > 0
