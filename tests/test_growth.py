@@ -49,3 +49,13 @@ def test_instants_are_not_held_as_a_set(spark, name, monkeypatch):
     rows = QUERIES[name](spark, SF)
     assert "HashAggregate" not in seen[0]
     assert rows.count() == rows.select("chain_id", "instant").distinct().count() > 0
+
+
+@pytest.mark.parametrize("name", ["edges", "neighbors"])
+def test_edges_are_dealt_out_before_their_minimum(spark, name):
+    """The minimum of structs sorts its rows: it stands after the exchange and not before it, where a task has a whole part of a file."""
+    found = QUERIES[name](spark, SF)
+    below = plan(found).split("Initial Plan")[-1].splitlines()
+    first = next(i for i, line in enumerate(below) if "partial_min" in line)
+    final = next(i for i, line in enumerate(below) if "functions=[min(" in line)
+    assert not [line for line in below[final:first] if "Exchange" in line]
