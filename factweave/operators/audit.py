@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.operators.joins import large
+
 
 def blank(c: Column) -> Column:
     return F.coalesce(F.trim(c.cast("string")) == "", F.lit(True))
@@ -122,23 +124,38 @@ def audit_relations(relations: DataFrame, entities: DataFrame, items: DataFrame)
 def audit_links(entities: DataFrame, items: DataFrame) -> DataFrame:
     """Elements of memory_ids that are blank, repeated or unknown."""
     links = entities.select("entity_id", F.explode("memory_ids").alias("ref"))
-    twice = links.where(~blank(F.col("ref"))).groupBy("entity_id", "ref").agg((F.count("*") - 1).alias("n")).where("n > 0")
+    counted = links.where(~blank(F.col("ref"))).groupBy("entity_id", "ref").agg(F.count("*").alias("n"))
+    twice = counted.where("n > 1").groupBy(F.col("entity_id").cast("string").alias("key")).agg(F.sum(F.col("n") - 1).alias("n"))
     return union(
         row_rules(links, "entity_id", {"ENTITY_EMPTY_MEMORY_LINK": blank(F.col("ref"))}).groupBy("code", "key").agg(F.sum("n").alias("n")),
-        twice.groupBy(F.col("entity_id").cast("string").alias("key")).agg(F.sum("n").alias("n")).select(F.lit("ENTITY_DUPLICATE_MEMORY_LINK").alias("code"), "key", "n"),
-        dangling(links.distinct(), "ref", "entity_id", items, "memory_id", "ENTITY_MEMORY_REFERENCE_MISSING"))
+        twice.select(F.lit("ENTITY_DUPLICATE_MEMORY_LINK").alias("code"), "key", "n"), dangling(counted, "ref", "entity_id", items, "memory_id", "ENTITY_MEMORY_REFERENCE_MISSING"))
+
+
+def _known_ids(nodes: DataFrame, items: DataFrame, entities: DataFrame) -> DataFrame:
+    """A row for each id that isn't blank: its nodes, its nodes of either kind, and whether a fact and an entity have it."""
+    n = lambda on: F.coalesce(on, F.lit(False)).cast("long")
+    no = F.lit(0).cast("long")
+    rows = lambda df, key, nodes, memory, entity, items, ents: df.select(
+        F.col(key).cast("string").alias("ref"), nodes.alias("nodes"), memory.alias("memory_nodes"), entity.alias("entity_nodes"), items.alias("items"), ents.alias("ents"))
+    every = union(rows(nodes, "id", no + 1, n(F.col("kind") == "memory"), n(F.col("kind") == "entity"), no, no), rows(items, "memory_id", no, no, no, no + 1, no), rows(entities, "entity_id", no, no, no, no, no + 1))
+    return every.where(~blank(F.col("ref"))).groupBy("ref").agg(*[F.sum(c).alias(c) for c in ("nodes", "memory_nodes", "entity_nodes", "items", "ents")])
 
 
 def audit_graph(nodes: DataFrame, edges: DataFrame, items: DataFrame, entities: DataFrame) -> DataFrame:
-    ends = edges.select("source", "target", "type").withColumn("edge", F.concat_ws(">", "source", "target"))
-    every = ends.select("edge", F.explode(F.array("source", "target")).alias("ref"))
-    mention, relation = ends.where("type = 'MEMORY_HAS_ENTITY'"), ends.where("type = 'ENTITY_RELATION'")
-    return union(
-        row_rules(nodes, "id", {"GRAPH_NODE_MISSING_ID": blank(F.col("id"))}), repeated(nodes, "id", "GRAPH_DUPLICATE_NODE_ID"),
-        dangling(nodes.where("kind = 'memory'"), "id", "id", items, "memory_id", "GRAPH_MEMORY_NODE_MISSING_SOURCE"), dangling(nodes.where("kind = 'entity'"), "id", "id", entities, "entity_id", "GRAPH_ENTITY_NODE_MISSING_SOURCE"),
-        dangling(every, "ref", "edge", nodes, "id", "GRAPH_EDGE_NODE_MISSING"), dangling(mention, "source", "edge", items, "memory_id", "GRAPH_MEMORY_ENTITY_MEMORY_MISSING"),
-        dangling(mention, "target", "edge", entities, "entity_id", "GRAPH_MEMORY_ENTITY_ENTITY_MISSING"),
-        dangling(relation.select("edge", F.explode(F.array("source", "target")).alias("ref")), "ref", "edge", entities, "entity_id", "GRAPH_ENTITY_RELATION_ENTITY_MISSING"))
+    """Faults of nodes and edges. All rules of an end of an edge are seen when it meets the row of its id, so that an edge is shuffled once for each end, not for each rule."""
+    known = _known_ids(nodes, items, entities)
+    by_id = known.select(F.col("ref").alias("key"), F.explode(F.array(*[F.struct(F.lit(code).alias("code"), n.alias("n")) for code, n in (
+        ("GRAPH_DUPLICATE_NODE_ID", F.col("nodes") - 1), ("GRAPH_MEMORY_NODE_MISSING_SOURCE", F.when(F.col("items") == 0, F.col("memory_nodes"))), ("GRAPH_ENTITY_NODE_MISSING_SOURCE", F.when(F.col("ents") == 0, F.col("entity_nodes"))))])).alias("x"))
+    end = lambda ref, other, first: F.struct(F.col(ref).cast("string").alias("ref"), F.col(other).cast("string").alias("other"), F.lit(first).alias("first"))
+    kind = F.when(F.col("type") == "MEMORY_HAS_ENTITY", 1).when(F.col("type") == "ENTITY_RELATION", 2).otherwise(0).alias("kind")
+    ends = edges.select(kind, F.explode(F.array(end("source", "target", True), end("target", "source", False))).alias("x")).select("kind", "x.*").where(~blank(F.col("ref")))
+    met = ends.join(large(known.select("ref", *[(F.col(c) > 0).alias(c) for c in ("nodes", "items", "ents")])), "ref", "left")
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    met = met.withColumn("edge", F.when(F.col("first"), F.concat_ws(">", "ref", "other")).otherwise(F.concat_ws(">", "other", "ref")))
+    faults = row_rules(met, "edge", {
+        "GRAPH_EDGE_NODE_MISSING": no("nodes"), "GRAPH_MEMORY_ENTITY_MEMORY_MISSING": (F.col("kind") == 1) & F.col("first") & no("items"),
+        "GRAPH_MEMORY_ENTITY_ENTITY_MISSING": (F.col("kind") == 1) & ~F.col("first") & no("ents"), "GRAPH_ENTITY_RELATION_ENTITY_MISSING": (F.col("kind") == 2) & no("ents")})
+    return union(row_rules(nodes, "id", {"GRAPH_NODE_MISSING_ID": blank(F.col("id"))}), by_id.select("x.code", "key", "x.n").where("n > 0"), faults.groupBy("code", "key").agg(F.sum("n").alias("n")))
 
 
 #: Codes repaired without a person. Fixed values.

@@ -59,3 +59,12 @@ def test_edges_are_dealt_out_before_their_minimum(spark, name):
     first = next(i for i, line in enumerate(below) if "partial_min" in line)
     final = next(i for i, line in enumerate(below) if "functions=[min(" in line)
     assert not [line for line in below[final:first] if "Exchange" in line]
+
+
+def test_edges_are_read_once_by_the_audit_of_the_graph(spark):
+    """All rules of an end of an edge are seen in one join; no side is sent out."""
+    found = plan(QUERIES["audit_graph"](spark, SF)).split("Initial Plan")[-1]
+    assert found.count("[l_orderkey") + found.count("(l_orderkey") >= 1 and sum("FileScan" in x and "lineitem" in x for x in found.splitlines()) == 1
+    assert "Broadcast" not in found
+
+
