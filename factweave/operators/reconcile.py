@@ -1,8 +1,8 @@
 """Reconciliation: audit, classify, policy, dry run or approval, repair, audit again, status.
 
 Stores are DataFrames by name; those that are absent aren't audited: operations, items, item_archive, entities, entity_archive,
-relations, conflicts, recoveries, and nodes with edges. A dry run is the repaired plan without a write, since DataFrames don't change. What reaches the driver
-are the codes found, of which there are 76 at most.
+relations, conflicts, recoveries, and nodes with edges. A dry run is the repaired plan, which writes to no store, since DataFrames don't change. Violations and a graph built
+anew are made once, in folders under ``spark.checkpoint.dir``. What reaches the driver are the codes found, of which there are 76 at most.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from factweave.operators import audit as A
 from factweave.operators import graph
+from factweave.sources import shared
 
 Stores = dict[str, DataFrame]
 
@@ -30,29 +31,35 @@ def _both(stores: Stores, a: str, b: str, *cols: str) -> DataFrame | None:
     return A.union(*have) if have else None
 
 
-def audit(stores: Stores) -> DataFrame:
-    """(code, key, n) over all stores given."""
+def _audits(stores: Stores) -> list[tuple[tuple[str, ...], DataFrame]]:
+    """The groups of the audit that the stores given allow, each with the stores that it reads."""
     items, ents = _both(stores, "items", "item_archive", "memory_id"), _both(stores, "entities", "entity_archive", "entity_id")
+    facts, named = ("items", "item_archive"), ("entities", "entity_archive")
     out = []
     if "operations" in stores:
-        out.append(A.audit_operations(stores["operations"]))
-    if {"items", "item_archive"} <= set(stores):
-        out.append(A.audit_items(stores["items"], stores["item_archive"]))
-    if {"entities", "entity_archive"} <= set(stores):
-        out.append(A.audit_entities(stores["entities"], stores["entity_archive"]))
+        out.append((("operations",), A.audit_operations(stores["operations"])))
+    if set(facts) <= set(stores):
+        out.append((facts, A.audit_items(stores["items"], stores["item_archive"])))
+    if set(named) <= set(stores):
+        out.append((named, A.audit_entities(stores["entities"], stores["entity_archive"])))
     if items is not None and ents is not None:
-        out.append(A.audit_links(_both(stores, "entities", "entity_archive", "entity_id", "memory_ids"), items))
+        out.append((facts + named, A.audit_links(_both(stores, "entities", "entity_archive", "entity_id", "memory_ids"), items)))
         if "relations" in stores:
-            out.append(A.audit_relations(stores["relations"], ents, items))
+            out.append((("relations", *facts, *named), A.audit_relations(stores["relations"], ents, items)))
     if "conflicts" in stores and ents is not None:
-        out.append(A.audit_conflicts(stores["conflicts"], ents))
-    if "recoveries" in stores and {"entities", "entity_archive"} <= set(stores):
-        out.append(A.audit_recoveries(stores["recoveries"], stores["entities"], stores["entity_archive"]))
+        out.append((("conflicts", *named), A.audit_conflicts(stores["conflicts"], ents)))
+    if "recoveries" in stores and set(named) <= set(stores):
+        out.append((("recoveries", *named), A.audit_recoveries(stores["recoveries"], stores["entities"], stores["entity_archive"])))
     if items is not None and (links := _causal(stores)) is not None:
-        out.append(A.audit_causal(links, items))
+        out.append((facts, A.audit_causal(links, items)))
     if {"nodes", "edges"} <= set(stores) and items is not None and ents is not None:
-        out.append(A.audit_graph(stores["nodes"], stores["edges"], items, ents))
-    return A.union(*out)
+        out.append((("nodes", "edges", *facts, *named), A.audit_graph(stores["nodes"], stores["edges"], items, ents)))
+    return out
+
+
+def audit(stores: Stores) -> DataFrame:
+    """(code, key, n) over all stores given."""
+    return A.union(*[found for _, found in _audits(stores)])
 
 
 def _causal(stores: Stores) -> DataFrame | None:
@@ -92,7 +99,8 @@ def repair(stores: Stores, codes: set[str]) -> Stores:
     if "RELATION_MEMORY_REFERENCE_MISSING" in codes:
         out["relations"] = _clean_links(out["relations"], "relation_id", items)
     if {"nodes", "edges"} <= set(out) and any(c.startswith("GRAPH_") or c in LINK_CODES for c in codes):
-        out["nodes"], out["edges"] = graph.rebuild(_whole(out, "items", "item_archive"), _whole(out, "entities", "entity_archive"), out.get("relations"))
+        built = graph.rebuild(_whole(out, "items", "item_archive"), _whole(out, "entities", "entity_archive"), out.get("relations"))
+        out["nodes"], out["edges"] = (shared.kept(df, name) for df, name in zip(built, ("nodes", "edges")))
     return out
 
 
@@ -103,7 +111,9 @@ def reconcile(stores: Stores, policy: dict[str, str] | None = None, dry_run: boo
     DRY_RUN: what a repair would give. DRY_RUN_REQUIRED and APPROVAL_REQUIRED: the policy asks for it. Else the repair is made:
     REPAIRED if no violation is left, PARTIALLY_REPAIRED otherwise. Repairable codes without a rule are AUTO.
     """
-    before = audit(stores)
+    first = _audits(stores)
+    rows = shared.kept(A.union(*[found.withColumn("part", F.lit(i)) for i, (_, found) in enumerate(first)]), "violations")
+    before = rows.drop("part")
     found = {r.code for r in before.select("code").distinct().collect()}
     if not found:
         return Outcome("HEALTHY", stores, before, before)
@@ -111,14 +121,18 @@ def reconcile(stores: Stores, policy: dict[str, str] | None = None, dry_run: boo
     strictest = min((A.RANKS[(policy or {}).get(c, "AUTO")] for c in codes), default=A.RANKS["BLOCKED"])
     if strictest == A.RANKS["BLOCKED"]:
         return Outcome("DRY_RUN_BLOCKED" if dry_run else "BLOCKED", stores, before, before)
+    if not dry_run and strictest == A.RANKS["DRY_RUN_ONLY"]:
+        return Outcome("DRY_RUN_REQUIRED", stores, before, before)
+    if not dry_run and strictest == A.RANKS["APPROVAL_REQUIRED"] and not approved:
+        return Outcome("APPROVAL_REQUIRED", stores, before, before)
     fixed = repair(stores, codes)
-    after = audit(fixed)
+    # a group of which no store has changed has the violations that it had
+    same = [all(fixed.get(n) is stores.get(n) for n in names) for names, _ in first]
+    again = [found for (_, found), old in zip(_audits(fixed), same) if not old]
+    after = rows.where(F.col("part").isin([i for i, old in enumerate(same) if old])).drop("part")
+    after = shared.kept(A.union(after, *again), "violations") if again else after
     if dry_run:
         return Outcome("DRY_RUN", fixed, before, after)
-    if strictest == A.RANKS["DRY_RUN_ONLY"]:
-        return Outcome("DRY_RUN_REQUIRED", stores, before, before)
-    if strictest == A.RANKS["APPROVAL_REQUIRED"] and not approved:
-        return Outcome("APPROVAL_REQUIRED", stores, before, before)
     return Outcome("REPAIRED" if after.isEmpty() else "PARTIALLY_REPAIRED", fixed, before, after)
 
 

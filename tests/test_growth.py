@@ -68,3 +68,14 @@ def test_edges_are_read_once_by_the_audit_of_the_graph(spark):
     assert "Broadcast" not in found
 
 
+def test_violations_are_made_once_by_a_reconciliation(spark):
+    """What is found before and after stands in a folder: comparing the two doesn't derive stores and graph again."""
+    from factweave.operators import reconcile
+
+    items = spark.createDataFrame([("m1",), ("m2",)], "memory_id string")
+    ents = spark.createDataFrame([("p1", ["m1"])], "entity_id string, memory_ids array<string>")
+    nodes = spark.createDataFrame([("m1", "memory"), ("m1", "memory"), ("p1", "entity")], "id string, kind string")
+    edges = spark.createDataFrame([("m1", "p9", "MEMORY_HAS_ENTITY")], "source string, target string, type string")
+    done = reconcile.reconcile({"items": items, "entities": ents, "nodes": nodes, "edges": edges})
+    assert done.status == "REPAIRED" and done.before.count() == 3 and done.after.isEmpty()
+    assert all("Join" not in plan(df) and "Exchange" not in plan(df) for df in (done.before, done.after))
