@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,9 @@ def query_blocks(queries: DataFrame) -> int:
 
 
 #: (query, row) cells of one matrix product: what a task holds at a time, whatever the sizes of both sides.
-CELLS = 1_000_000
+CELLS = 250_000
+#: Pairs of which the products are summed at a time, and rows of a batch that a task hands on.
+SUMMED, HANDED = 16_384, 20_000
 
 
 class Vectors:
@@ -78,8 +81,8 @@ def _near(rows: Vectors, asked: Vectors, part: np.ndarray, threshold: float) ->
             a, b = rows.of(own), asked.of(other)
             i, j = np.nonzero((a / rows.norm[own][:, None]) @ (b / asked.norm[other][:, None]).T >= threshold - 1e-9)
             sim = np.empty(len(i))
-            for s in range(0, len(i), 65_536):
-                e = slice(s, s + 65_536)
+            for s in range(0, len(i), SUMMED):
+                e = slice(s, s + SUMMED)
                 sim[e] = np.einsum("ij,ij->i", a[i[e]], b[j[e]]) / (rows.norm[own[i[e]]] * asked.norm[other[j[e]]])
             keep = sim >= threshold
             found.append((own[i[keep]], other[j[keep]], sim[keep]))
@@ -88,18 +91,68 @@ def _near(rows: Vectors, asked: Vectors, part: np.ndarray, threshold: float) ->
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def similar_pairs(queries: DataFrame, corpus: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
+class _Best:
+    """Of the pairs that a task finds those that can be among the best ``k`` of their query by round(weight * sim + rest, digits), ties by the smaller key.
+
+    The score itself is made later, as a column. Here a pair has the lowest and the highest value that it may be rounded to, which differ only next to a half; a pair
+    goes if k others of its query come before it in any case. Without ``digits`` the score is sim.
+    """
+
+    def __init__(self, k: int, weight: float, digits: int | None, queries: int):
+        self.k, self.weight, self.digits = k, weight, digits
+        self.least = np.full(queries, -np.inf)  # of the k-th pair of each query so far
+        self.held: list[pa.Table] = []
+
+    def bounds(self, sim: np.ndarray, rest: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
+        if self.digits is None:
+            return sim, sim
+        score = self.weight * sim + rest.to_numpy(zero_copy_only=False).astype("float64")
+        score[np.isnan(score)] = np.inf  # comes first
+        score[rest.is_null().to_numpy(zero_copy_only=False)] = -np.inf  # comes last
+        x = score * 10.0**self.digits + 0.5
+        off = np.where(np.isfinite(x), np.maximum(1e-6, np.abs(x) * 1e-12), 0.0)
+        return np.floor(x - off), np.floor(x + off)
+
+    def add(self, rows: pa.RecordBatch, i: np.ndarray, j: np.ndarray, sim: np.ndarray, rest: pa.Array | None) -> None:
+        low, high = self.bounds(sim, None if rest is None else rest.take(pa.array(i)))
+        good = np.flatnonzero(high >= self.least[j])
+        if len(good):
+            at = pa.array(i[good])
+            self.held.append(pa.table([*[c.take(at) for c in rows.columns], pa.array(sim[good]), pa.array(j[good]), pa.array(low[good]), pa.array(high[good])], names=[*rows.schema.names, "sim", "_q", "_low", "_high"]))
+            if sum(t.num_rows for t in self.held) > 2 * self.k * len(self.least) + CELLS:
+                self.cut()
+
+    def cut(self) -> pa.Table | None:
+        if not self.held:
+            return None
+        found = pa.concat_tables(self.held)
+        found = found.take(pc.sort_indices(found, [("_q", "ascending"), ("_low", "descending"), ("key", "ascending")], null_placement="at_start"))
+        q, low, high = (found.column(c).to_numpy() for c in ("_q", "_low", "_high"))
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        size = np.diff(np.r_[first, len(q)])
+        place = np.arange(len(q)) - np.repeat(first, size)
+        full = size >= self.k
+        self.least[q[first[full]]] = low[first[full] + self.k - 1]
+        self.held = [found.filter(pa.array((place < self.k) | ((low < high) & (high >= self.least[q])))).combine_chunks()]
+        return self.held[0]
+
+
+def similar_pairs(queries: DataFrame, corpus: DataFrame, threshold: float, blocks: int | None = None, k: int | None = None, weight: float = 1.0, rest: Column | None = None, digits: int = 4, apart: bool = False) -> DataFrame:
     """Every (query, corpus row) with cosine >= threshold, as the corpus columns without the vector, query_id and sim.
 
     queries: query_id, vector; corpus: key, vector and more. A stated query set is held against the whole corpus: the queries
     are sent to all tasks in ``blocks`` parts (as many as ``query_blocks`` says, if not given), the corpus is never shuffled; a task multiplies
     slices of its rows with them. Vectors of different lengths aren't compared; one that is null, empty, without length or
-    not finite has cosine 0 with all others.
+    not finite has cosine 0 with all others. With ``k`` a task hands on only those that can be among the best k rows of a query by sim, or, with ``rest``
+    (of the corpus row), by round(weight * sim + rest, digits), ties by key. With ``apart`` a row isn't paired with the query of its key.
     """
     spark, blocks = corpus.sparkSession, blocks or query_blocks(queries)
     corpus = corpus.withColumn("vector", F.col("vector").cast("array<double>"))
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     schema = T.StructType([f for f in corpus.schema if f.name != "vector"] + [asked.schema["query_id"], T.StructField("sim", T.DoubleType())])
+    if rest is not None:
+        corpus = corpus.withColumn("_rest", rest.cast("double"))
+    ranked = (weight, None if rest is None else digits)
     out = None
     for b in range(blocks):
         own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
@@ -111,14 +164,24 @@ def similar_pairs(queries: DataFrame, corpus: DataFrame, threshold: float, block
                 return
             ids, theirs = table.column("query_id").chunk(0), Vectors(table.column("vector").chunk(0))
             step = max(1, CELLS // table.num_rows)
+            best = _Best(k, *ranked, table.num_rows) if k else None
             for batch in batches:
-                place = batch.schema.get_field_index("vector")
-                rows, kept = Vectors(batch.column(place)), [c for i, c in enumerate(batch.columns) if i != place]
-                names = [n for n in batch.schema.names if n != "vector"]
+                rows = Vectors(batch.column(batch.schema.get_field_index("vector")))
+                kept = batch.drop_columns([n for n in ("vector", "_rest") if n in batch.schema.names])
+                own = batch.column("_rest") if "_rest" in batch.schema.names else None
                 for s in range(0, batch.num_rows, step):
                     i, j, sim = _near(rows, theirs, np.arange(s, min(s + step, batch.num_rows)), threshold)
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([*[c.take(pa.array(i)) for c in kept], ids.take(pa.array(j)), pa.array(sim)], names=[*names, "query_id", "sim"])
+                    if apart and len(i):
+                        other = pc.fill_null(pc.not_equal(kept.column("key").take(pa.array(i)), ids.take(pa.array(j))), False).to_numpy(zero_copy_only=False)
+                        i, j, sim = i[other], j[other], sim[other]
+                    if best is not None:
+                        best.add(kept, i, j, sim, own)
+                        continue
+                    for e in (slice(x, x + HANDED) for x in range(0, len(i), HANDED)):
+                        yield pa.RecordBatch.from_arrays([*[c.take(pa.array(i[e])) for c in kept.columns], ids.take(pa.array(j[e])), pa.array(sim[e])], names=[*kept.schema.names, "query_id", "sim"])
+            if best is not None and (found := best.cut()) is not None:
+                for part in found.to_batches(max_chunksize=HANDED):
+                    yield pa.RecordBatch.from_arrays([*[part.column(n) for n in schema.names[:-2]], ids.take(part.column("_q")), part.column("sim")], names=schema.names)
 
         part = corpus.mapInArrow(match, schema)
         out = part if out is None else out.unionByName(part)
@@ -134,7 +197,9 @@ def top_k(df: DataFrame, k: int, score: str, by: str = "query_id", tie: str = "k
 def search(queries: DataFrame, corpus: DataFrame, now: Column, threshold: float = 0.35, k: int = 10, blocks: int | None = None) -> DataFrame:
     """Similar rows ranked by a composite of similarity, importance, use, lifecycle and confidence, rounded before ranking."""
     days = C.age_days(F.col("last_accessed"), now)
-    found = similar_pairs(queries, corpus, threshold, blocks)
+    rest = (0.15 * F.col("importance") / 5 + 0.10 * C.reinforcement(F.col("access_count"))
+            + 0.10 * C.item_lifecycle_score(F.col("importance"), days, F.col("access_count")) + 0.10 * F.col("confidence"))
+    found = similar_pairs(queries, corpus, threshold, blocks, k, 0.55, rest)
     score = (0.55 * F.col("sim") + 0.15 * F.col("importance") / 5 + 0.10 * C.reinforcement(F.col("access_count"))
              + 0.10 * C.item_lifecycle_score(F.col("importance"), days, F.col("access_count")) + 0.10 * F.col("confidence"))
     return top_k(found.withColumn("score", F.round(score, 4)), k, "score")
@@ -151,7 +216,7 @@ def recall(queries: DataFrame, corpus: DataFrame, now: Column, k: int = 5) -> Da
 
 def decision_candidates(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """The three nearest facts with a cosine of .75 or more for each new one: what a decision on conflicts looks at."""
-    return top_k(similar_pairs(queries, corpus, 0.75), 3, "sim")
+    return top_k(similar_pairs(queries, corpus, 0.75, k=3), 3, "sim")
 
 
 def with_vectors(df: DataFrame, text: str, provider: Callable[[list[str]], np.ndarray], vector: str = "vector") -> DataFrame:
@@ -175,17 +240,20 @@ def rank_blend(queries: DataFrame, corpus: DataFrame, now: Column, threshold: fl
     life = F.when(band == "active", 1.0).when(band == "aging", 0.7).when(band == "decaying", 0.4).otherwise(0.2)
     score = (0.35 * F.col("sim") + 0.20 * F.col("importance") / 5 + 0.15 * F.col("confidence") + 0.10 * life
              + 0.10 * C.ratio_cap(F.col("access_count"), 20.0) + 0.10 * C.exp_recency(days))
-    return top_k(similar_pairs(queries, corpus, threshold).withColumn("score", F.round(score, 4)), k, "score")
+    rest = (0.20 * F.col("importance") / 5 + 0.15 * F.col("confidence") + 0.10 * life
+            + 0.10 * C.ratio_cap(F.col("access_count"), 20.0) + 0.10 * C.exp_recency(days))
+    return top_k(similar_pairs(queries, corpus, threshold, k=k, weight=0.35, rest=rest).withColumn("score", F.round(score, 4)), k, "score")
 
 
 def recover(queries: DataFrame, active: DataFrame, archive: DataFrame, now: Column) -> DataFrame:
     """Archived row to restore for each query whose best active similarity is under .70."""
     blocks = query_blocks(queries)
-    best = similar_pairs(queries, active, -1.0, blocks).groupBy("query_id").agg(F.max("sim").alias("best"))
+    best = similar_pairs(queries, active, -1.0, blocks, k=1).groupBy("query_id").agg(F.max("sim").alias("best"))
     poor = queries.join(best, "query_id", "left").where(F.coalesce("best", F.lit(0.0)) < 0.70).select("query_id", "vector")
     days = C.age_days(F.col("last_accessed"), now)
     score = 0.60 * F.col("sim") + 0.25 * F.col("importance") / 5 + 0.15 * C.reinforcement(F.col("access_count")) - F.least(F.lit(0.2), days / 3650)
-    return top_k(similar_pairs(poor, archive, 0.55, blocks).withColumn("score", F.round(score, 4)).where(F.col("score") >= 0.62), 1, "score")
+    rest = 0.25 * F.col("importance") / 5 + 0.15 * C.reinforcement(F.col("access_count")) - F.least(F.lit(0.2), days / 3650)
+    return top_k(similar_pairs(poor, archive, 0.55, blocks, 1, 0.60, rest).withColumn("score", F.round(score, 4)).where(F.col("score") >= 0.62), 1, "score")
 
 
 def lexical_relevance(query: Column, text: Column) -> Column:
