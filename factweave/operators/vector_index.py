@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factweave.operators.vector import CELLS, Vectors, _near, top_k
+from factweave.operators.vector import CELLS, HANDED, Vectors, _near, top_k
 
 #: Rows the centroids are fitted on, at most: those with the smallest hashes of their keys.
 SAMPLE = 50_000
@@ -125,9 +125,9 @@ def _probe(queries: DataFrame, index: VectorIndex, probes: int, radius: np.ndarr
                     least = batch.column(batch.schema.get_field_index("least")).to_numpy()[rows]
                     read = ~read & (np.cos(np.maximum(0, angle - reach[None, :])) >= least[:, None] - SLACK)
                 i, j = np.nonzero(read)
-                if len(i):
-                    at = pa.array(rows[i])
-                    yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("query_id")).take(at), vectors.take(at), pa.array(j.astype(np.int32)), pa.array(rank[i, j].astype(np.int32))], names=["query_id", "vector", "list", "place"])
+                for e in (slice(x, x + HANDED) for x in range(0, len(i), HANDED)):  # a query that reads all lists is copied as often
+                    at = pa.array(rows[i[e]])
+                    yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("query_id")).take(at), vectors.take(at), pa.array(j[e].astype(np.int32)), pa.array(rank[i[e], j[e]].astype(np.int32))], names=["query_id", "vector", "list", "place"])
 
     return queries.mapInArrow(pick, schema)
 

@@ -48,3 +48,17 @@ def test_query_recall(spark):
     true = {(r.query_id, r.key) for r in QUERIES["vec_index_exact"](spark, "/root/testdata/sf0.01").collect()}
     found = {(r.query_id, r.key) for r in QUERIES["vec_index_probe"](spark, "/root/testdata/sf0.01").collect()}
     assert len(true & found) >= 0.9 * len(true)
+
+
+def test_an_index_hands_on_queries_in_small_batches(spark, rows, monkeypatch):
+    """A query that reads many lists is copied for each; the copies leave a task in batches of bounded size."""
+    monkeypatch.setattr(vector_index, "HANDED", 50)
+    asked = rows.select(F.col("key").alias("query_id"), "vector")
+    index = vector_index.build(rows, 16, 200)
+
+    class Asked:  # hands back the function that tasks run
+        sparkSession, schema = spark, asked.schema
+        mapInArrow = staticmethod(lambda pick, schema: pick)
+
+    sizes = [b.num_rows for b in vector_index._probe(Asked, index, 16, None)(iter(asked.toArrow().combine_chunks().to_batches()))]
+    assert sum(sizes) == 630 * 16 and max(sizes) == 50
