@@ -38,3 +38,19 @@ def test_apply_stream(spark, tmp_path):
         run.awaitTermination(60)
         assert run.exception() is None
     assert seen == [["a", "b"], ["c"]]
+
+
+def test_rows_without_a_text_are_dealt_out(spark, request):
+    """Rows that lack a text do not meet in one task, whatever the store holds under a blank text; no side is sent out."""
+    active = spark.createDataFrame([("", "2020-01-01"), ("a", "2020-01-01")], "memory string, t string").select("memory", F.to_timestamp("t").alias("valid_from"))
+    kind = "ord long, action string, memory_text string, old_memory string, consolidation_memory string, targets array<string>, effective_from timestamp, effective_to timestamp"
+    batch = spark.createDataFrame([(k, "ADD", f"n{k}", "", None, [], None, None) for k in range(400)] + [(400, "DELETE", "", "a", None, [], None, None), (401, "ADD", "a", None, None, [], None, None)], kind)
+    done = temporal.judge_actions(active, active.limit(0), batch)
+    got = {r.ord: (r.route, r.success, r.reason) for r in done.collect()}
+    assert len(got) == 402 and all(got[k] == ("ADD", True, "added") for k in range(400)) and got[400] == ("DELETE", True, "archived") and got[401] == ("ADD", False, "duplicate_or_rejected")
+    assert "Broadcast" not in done._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small parts would be put together again
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    parts = temporal._by_text(batch.withColumnRenamed("old_memory", "_old"), "_old", active.select(F.col("memory").alias("_old"), F.lit(1).alias("one")))
+    most = max(r["count"] for r in parts.where("_old = ''").groupBy(F.spark_partition_id()).count().collect())
+    assert parts.where("one = 1").count() == 401 and most < 400
