@@ -68,8 +68,9 @@ def judge_ends(items: DataFrame, batch: DataFrame, now: Column | None = None) ->
     asked = _ordered(batch, "ended_at").withColumn("ended_at", F.coalesce("ended_at", now if now is not None else F.current_timestamp()))
     starts = items.groupBy("memory_id").agg(F.min("valid_from").alias("_from"), F.lit(True).alias("_found"))
     asked = asked.join(large(starts), "memory_id", "left").withColumn("_fits", F.col("_found") & (F.col("_from").isNull() | (F.col("ended_at") > F.col("_from"))))
-    first = asked.where("_fits").groupBy("memory_id").agg(F.min(F.struct("ord", "ended_at")).alias("_first"))
-    judged = asked.join(large(first), "memory_id", "left").withColumn("outcome", F.when(F.col("_found").isNull(), "NOT_FOUND").when(~F.col("_fits"), "NOT_AFTER_START")
+    # over the rows as the join has sorted them; a second join would sort the batch once more in the same task
+    first = F.min(F.when(F.col("_fits"), F.struct("ord", "ended_at"))).over(Window.partitionBy("memory_id"))
+    judged = asked.withColumn("_first", first).withColumn("outcome", F.when(F.col("_found").isNull(), "NOT_FOUND").when(~F.col("_fits"), "NOT_AFTER_START")
                                                                .when(F.struct("ord", "ended_at") == F.col("_first"), "ENDED").otherwise("ALREADY_ENDED"))
     return judged.drop("_from", "_found", "_fits", "_first", *([] if "ord" in batch.columns else ["ord"]))
 

@@ -100,3 +100,15 @@ def test_tasks_hand_on_what_can_be_best(spark, rest, digits):
     ranked = [sorted(map(tuple, vector.top_k(df.withColumn("score", score), 4, "score").select("query_id", "key", "score", "rank").collect()), key=lambda r: (r[0], r[3])) for df in (every, cut)]
     assert ranked[0] == ranked[1] and len(ranked[0]) == 4 * 31
     assert cut.count() <= 4 * 31 * 3 + 20 < every.count()
+
+
+def test_ends_meet_their_items_in_one_join(spark):
+    """The first end that fits is found over the rows as joined, not by a second join that sorts the batch again."""
+    from factweave.operators import changes
+
+    t = lambda c: F.timestamp_seconds(c).alias(c)
+    items = spark.createDataFrame([(1, 10), (2, None)], "memory_id long, valid_from long").select("memory_id", t("valid_from"))
+    batch = spark.createDataFrame([(1, 1, 5), (1, 2, 20), (1, 3, 30), (2, 4, 1), (3, 5, 9), (None, 6, 9), (None, 7, 9)], "memory_id long, ord long, ended_at long").select("memory_id", "ord", t("ended_at"))
+    done = changes.judge_ends(items, batch)
+    assert [r.outcome for r in sorted(done.collect(), key=lambda r: r.ord)] == ["NOT_AFTER_START", "ENDED", "ALREADY_ENDED", "ENDED", "NOT_FOUND", "NOT_FOUND", "NOT_FOUND"]
+    assert plan(done).split("Initial Plan")[-1].count("SortMergeJoin") == 1
