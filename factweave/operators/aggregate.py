@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
+from factweave.operators.joins import large
+from factweave.sources.shared import kept
 
 
 def consolidate(items: DataFrame, group: str) -> DataFrame:
@@ -22,25 +24,57 @@ def archive_sources(items: DataFrame, merged: DataFrame, group: str, now: Column
     return items.join(m.select(group), group, "left_anti"), gone
 
 
+#: Relations are counted in so many buckets; those of a bucket with more than so many rows are cut in so many parts first. Up to so many unknown endpoints are sent to all tasks.
+_BUCKETS, _MANY, _PARTS, _FEW = 65_536, 100_000, 32, 100_000
+
+
+def _unknown_ends(rows: DataFrame, entities: DataFrame) -> DataFrame:
+    """Endpoints of rows that are no entities, each once."""
+    ends = rows.select(F.explode(F.array("source", "target")).alias("entity_id")).distinct()
+    return kept(ends.join(large(entities.select("entity_id")), "entity_id", "left_anti"), "unknown-ends")
+
+
+def _first_ids(rows: DataFrame, dealt: list[str], key: list[str], cap: int) -> DataFrame:
+    """The first ``cap`` ids of each group (``dealt`` and ``key``) and a missing one, a row each, with the group's highest confidence, latest evidence and freshness.
+
+    Rows are dealt out and sorted once and then read through; no group is gathered.
+    """
+    by = [*dealt, *key]
+    place = Window.partitionBy(*by).orderBy("memory_id")
+    whole = place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    most = {c: F.max(c) for c in ("confidence", "said", "touched")}
+    ids = rows.repartition(*dealt).groupBy(*by, "memory_id").agg(*[m.alias(c) for c, m in most.items()])
+    return ids.withColumns({c: m.over(whole) for c, m in most.items()} | {"_rn": F.row_number().over(place)}).where(F.col("_rn") <= cap + 1)
+
+
 def upsert_relations(old: DataFrame, batch: DataFrame, entities: DataFrame, least: float = 0.65, cap: int = 100) -> DataFrame:
     """Relations by (source, target, relation): highest confidence, latest non-empty evidence, union of memory ids.
 
     Batch rows need two different known endpoints and enough confidence; a relation in the batch is active again.
+    Rows are dealt out once; only relations of very many rows are first cut in parts to what their first ids and highest values need.
     """
-    known = entities.select("entity_id")
-    good = (batch.where((F.col("source") != F.col("target")) & (F.col("confidence") >= least))
-            .join(known.withColumnRenamed("entity_id", "source"), "source", "left_semi").join(known.withColumnRenamed("entity_id", "target"), "target", "left_semi"))
-    cols = ["source", "target", "relation", "confidence", "evidence", "memory_id", "seq"]
-    rows = good.select(*cols).withColumn("fresh", F.lit(True)).unionByName(
-        old.select("source", "target", "relation", "confidence", "evidence", F.explode_outer("memory_ids").alias("memory_id"), F.lit(-1).cast(batch.schema["seq"].dataType).alias("seq"), F.lit(False).alias("fresh")))
-    said = F.when(F.trim("evidence") != "", F.struct("seq", "evidence"))
     key = ["source", "target", "relation"]
-    merged = rows.groupBy(*key).agg(F.max("confidence").alias("confidence"), F.max(said)["evidence"].alias("evidence"), F.max("fresh").alias("touched"))
-    # ranked before they are gathered, so that no relation gathers more than ``cap``
-    first = F.row_number().over(Window.partitionBy(*key).orderBy("memory_id"))
-    ids = rows.where("memory_id is not null").select(*key, "memory_id").distinct().withColumn("_rn", first).where(F.col("_rn") <= cap)
-    ids = ids.groupBy(*key).agg(F.array_sort(F.collect_list("memory_id")).alias("memory_ids"))
-    return merged.join(ids, key, "left").withColumn("memory_ids", F.coalesce("memory_ids", F.array().cast(ids.schema["memory_ids"].dataType))).withColumn("relation_id", C.relation_id(F.col("source"), F.col("target"), F.col("relation")))
+    cols = ["_h", *key, "memory_id", "confidence", F.when(F.trim("evidence") != "", F.struct("seq", "evidence")).alias("said"), "touched"]
+    good = batch.where((F.col("source") != F.col("target")) & (F.col("confidence") >= least)).withColumn("_h", F.xxhash64(*key))
+    bucket = F.pmod("_h", F.lit(_BUCKETS)).alias("_bucket")
+    crowded = F.broadcast(good.groupBy(bucket).count().where(F.col("count") > _MANY).select("_bucket"))
+    unknown = _unknown_ends(good, entities)
+    side = F.broadcast if unknown.limit(_FEW + 1).count() <= _FEW else large
+
+    def met(how: str) -> DataFrame:
+        rows = good.withColumn("_bucket", bucket).join(crowded, "_bucket", how)
+        for end in ("source", "target"):
+            rows = rows.join(side(unknown.select(F.col("entity_id").alias(end))), end, "left_anti")
+        return rows.withColumn("touched", F.lit(True))
+
+    parts = met("left_semi").select(F.pmod(F.hash("memory_id", "seq"), F.lit(_PARTS)).alias("_part"), *cols)
+    stored = old.select(*key, "confidence", "evidence", F.explode_outer("memory_ids").alias("memory_id"), F.lit(-1).cast(batch.schema["seq"].dataType).alias("seq"), F.lit(False).alias("touched"))
+    rows = met("left_anti").select(*cols).unionByName(stored.withColumn("_h", F.xxhash64(*key)).select(*cols)).unionByName(_first_ids(parts, ["_h", "_part"], key, cap).drop("_part", "_rn"))
+    # by a hash first, since names of one kind begin alike and are slow to sort
+    first = _first_ids(rows, ["_h"], key, cap)
+    whole = Window.partitionBy("_h", *key).orderBy("memory_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    merged = first.withColumn("memory_ids", F.slice(F.collect_list("memory_id").over(whole), 1, cap)).where("_rn = 1")
+    return merged.select(*key, "confidence", F.col("said")["evidence"].alias("evidence"), "touched", "memory_ids", C.relation_id(F.col("source"), F.col("target"), F.col("relation")).alias("relation_id"))
 
 
 def merge_causal(links: DataFrame, least: float = 0.7) -> DataFrame:

@@ -1,11 +1,12 @@
 """What grows with the input is neither sent to the driver nor cut into cells that nobody asks for."""
 
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.operators import intervals, windows
+from factweave.operators import aggregate, intervals, windows
 from factweave.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +113,36 @@ def test_ends_meet_their_items_in_one_join(spark):
     done = changes.judge_ends(items, batch)
     assert [r.outcome for r in sorted(done.collect(), key=lambda r: r.ord)] == ["NOT_AFTER_START", "ENDED", "ALREADY_ENDED", "ENDED", "NOT_FOUND", "NOT_FOUND", "NOT_FOUND"]
     assert plan(done).split("Initial Plan")[-1].count("SortMergeJoin") == 1
+
+
+@pytest.mark.parametrize("name", ["relation_upsert", "relation_merge"])
+def test_relations_are_dealt_out_once(spark, name):
+    """Rows are neither sorted to meet their endpoints nor dealt out anew for their ids: what is read for the rows leaves in one exchange, crowded relations in one more."""
+    found = plan(QUERIES[name](spark, SF)).split("Initial Plan")[-1]
+    assert "SortMergeJoin" not in found
+    assert sum("Exchange hashpartitioning(" in line and "memory_id" not in line and "_h" in line for line in found.splitlines()) == 2
+    assert sum("FileScan" in line and "l_orderkey" in line for line in found.splitlines()) == 2
+
+
+@pytest.mark.parametrize("many,few", [(100_000, 100_000), (20, 0), (0, 0)])
+def test_relations_in_parts(spark, monkeypatch, many, few):
+    """Crowded relations that are cut first, and unknown endpoints that are joined by sorting, give what a loop over the rows gives."""
+    for k, v in {"_MANY": many, "_FEW": few}.items():
+        monkeypatch.setattr(aggregate, k, v, raising=False)
+    draw, cap = random.Random(3), 7
+    batch = [(draw.choice("abbbx"), draw.choice("bccccy"), draw.choice(["R", "R", "R", "S", None]), draw.choice([0.5, 0.65, 0.8, 0.9]), draw.choice(["", " ", None, "e", "f"]), draw.choice([None, *range(20)]), draw.randrange(40)) for _ in range(400)]
+    old = [("a", "c", "R", 0.95, "kept", [90, 3]), ("b", "c", None, 0.7, "old", [91, 2]), ("x", "y", "R", 0.7, None, [5, 4]), ("a", "d", "S", 0.7, " ", [])]
+    want = {}
+    for s, t, r, c, e, ids in old:
+        want[s, t, r] = [c, {(-1, e)} if e and e.strip() else set(), set(ids), False]
+    for s, t, r, c, e, i, n in batch:
+        if s != t and c >= 0.65 and {s, t} <= set("abcd"):
+            w = want.setdefault((s, t, r), [c, set(), set(), False])
+            w[0], w[3] = max(w[0], c), True
+            w[1] |= {(n, e)} if e and e.strip() else set()
+            w[2] |= {i} - {None}
+    want = {k: (c, max(said)[1] if said else None, touched, sorted(ids)[:cap]) for k, (c, said, ids, touched) in want.items()}
+    frame = lambda rows, kind: spark.createDataFrame(rows, f"source string, target string, relation string, confidence double, evidence string, {kind}")
+    got = aggregate.upsert_relations(frame(old, "memory_ids array<long>"), frame(batch, "memory_id long, seq long"), spark.createDataFrame([(x,) for x in "abcd"], "entity_id string"), cap=cap)
+    rows = got.collect()
+    assert {(r.source, r.target, r.relation): (r.confidence, r.evidence, r.touched, list(r.memory_ids)) for r in rows} == want and len(rows) == len(want)
