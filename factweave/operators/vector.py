@@ -67,16 +67,17 @@ class Vectors:
         return self.values[self.start[rows][:, None] + np.arange(self.size[rows[0]] if len(rows) else 0)]
 
 
-def _near(rows: Vectors, asked: Vectors, part: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, query, cosine) of the pairs at or above the threshold. A matrix product finds them with a margin; the cosine of each found pair is
-    then summed by itself, so that equal vectors have equal cosines wherever they stand."""
+def _near(rows: Vectors, asked: Vectors, part: np.ndarray, threshold: float, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, cosine) of the pairs at or above the threshold, with ``among`` of these queries only. A matrix product finds them with a margin; the
+    cosine of each found pair is then summed by itself, so that equal vectors have equal cosines wherever they stand."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    among = np.arange(len(asked.size)) if among is None else among
     if threshold <= 0:
-        i, j = np.nonzero(rows.flat[part][:, None] | asked.flat[None, :])
-        found.append((part[i], j, np.zeros(len(i))))
+        i, j = np.nonzero(rows.flat[part][:, None] | asked.flat[among][None, :])
+        found.append((part[i], among[j], np.zeros(len(i))))
     for n in np.unique(rows.size[part][~rows.flat[part]]):
         own = part[(rows.size[part] == n) & ~rows.flat[part]]
-        other = np.flatnonzero((asked.size == n) & ~asked.flat)
+        other = among[(asked.size[among] == n) & ~asked.flat[among]]
         if len(other):
             a, b = rows.of(own), asked.of(other)
             i, j = np.nonzero((a / rows.norm[own][:, None]) @ (b / asked.norm[other][:, None]).T >= threshold - 1e-9)
@@ -91,6 +92,38 @@ def _near(rows: Vectors, asked: Vectors, part: np.ndarray, threshold: float) ->
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def rounding(width: int) -> float:
+    """What a product of two unit vectors of single precision may differ by from their cosine, and more."""
+    return (width + 8) * 1e-7
+
+
+def near_any(rows: Vectors, asked: Vectors, part: np.ndarray, threshold: float, among: np.ndarray | None = None) -> np.ndarray:
+    """For each of ``part`` whether its cosine with any query (any of ``among``) is at or above the threshold.
+
+    Products of single precision settle it but for the rows of which the largest lies next to the threshold; their pairs are summed as ``_near`` sums them.
+    """
+    among = np.arange(len(asked.size)) if among is None else among
+    hit = np.zeros(len(part), bool)
+    if threshold <= 0 and len(among):
+        hit = rows.flat[part] | asked.flat[among].any()
+    for n in np.unique(rows.size[part][~rows.flat[part]]):
+        at = np.flatnonzero((rows.size[part] == n) & ~rows.flat[part] & ~hit)
+        other = among[(asked.size[among] == n) & ~asked.flat[among]]
+        if not len(at) or not len(other):
+            continue
+        off, step = rounding(n), max(1, CELLS // len(other))
+        b = (asked.of(other) / asked.norm[other][:, None]).astype("float32").T
+        for s in range(0, len(at), step):
+            e = at[s:s + step]
+            own = part[e]
+            most = ((rows.of(own) / rows.norm[own][:, None]).astype("float32") @ b).max(axis=1)
+            hit[e] = most >= threshold + off
+            close = own[(most >= threshold - off) & ~hit[e]]
+            for x in range(0, len(close), step):
+                hit[e] |= np.isin(own, _near(rows, asked, close[x:x + step], threshold, other)[0])
+    return hit
+
+
 class _Best:
     """Of the pairs that a task finds those that can be among the best ``k`` of their query by round(weight * sim + rest, digits), ties by the smaller key.
 

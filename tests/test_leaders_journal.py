@@ -30,6 +30,30 @@ def test_leaders(spark, tmp_path):
     assert sorted(r.ord for r in got.collect()) == dropped and len(dropped) > 20
 
 
+@pytest.mark.parametrize("head,step", [(7, 3), (50, 256)])
+def test_leaders_in_rounds(spark, tmp_path, monkeypatch, head, step):
+    """Rounds of a few rows, each settled in order, drop what one pass over all rows drops, for a product of either sign of error at the threshold."""
+    monkeypatch.setattr(leaders, "HEAD", head, raising=False)
+    monkeypatch.setattr(leaders, "STEP", step, raising=False)
+    rng = random.Random(8)
+    rows = [(3 * k, [rng.choice([-2.0, -1.0, 0.0, 1.0, 2.0]) for _ in range(rng.choice([3, 3, 4]))], rng.random() < 0.2) for k in range(150)]
+    # at the threshold of .6 itself: 3, 4 against 5, 0 and multiples of them
+    rows += [(1000 + k, [[5.0, 0.0], [3.0, 4.0], [0.3, 0.4], [-4.0, 3.0], [0.0, 7.0]][k % 5] + [0.0] * 3, False) for k in range(10)]
+    kept, dropped = [], []
+    for k, v, forced in rows:
+        near = any(len(v) == len(y) and sum(a * a for a in v) and sum(b * b for b in y) and (sum(a * b for a, b in zip(v, y)) / (sum(a * a for a in v) * sum(b * b for b in y)) ** 0.5 >= 0.6 or v == y) for y in kept)
+        (dropped if near and not forced else kept).append(k if near and not forced else v)
+    got = leaders.near_earlier(spark.createDataFrame(rows, "ord long, vector array<double>, forced boolean").repartition(3), f"file://{tmp_path}", 0.6)
+    assert sorted(r.ord for r in got.collect()) == dropped and 20 < len(dropped) < 150
+
+
+def test_a_dense_group_is_not_written_as_pairs(spark, tmp_path):
+    """Near rows of one group, all different: what is written grows with the rows and not with their pairs."""
+    rows = spark.range(1500).selectExpr("id as ord", "array(100 + rand(1), rand(2)) as vector")
+    assert leaders.near_earlier(rows, f"file://{tmp_path}").count() == 1499
+    assert sum(spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()) <= 4 * 1500
+
+
 def test_compaction(spark, tmp_path):
     """Two compactions, a NOOP, states on both sides of the checkpoint, and damage of a record, of the chain and a gap."""
     rng, rows, last = random.Random(1), [], journal.NOTHING
