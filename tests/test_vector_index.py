@@ -62,3 +62,30 @@ def test_an_index_hands_on_queries_in_small_batches(spark, rows, monkeypatch):
 
     sizes = [b.num_rows for b in vector_index._probe(Asked, index, 16, None)(iter(asked.toArrow().combine_chunks().to_batches()))]
     assert sum(sizes) == 630 * 16 and max(sizes) == 50
+
+
+def test_a_search_shuffles_each_vector_once(spark, rows):
+    """Queries that read every list, and rows that all queries meet, are packed once and not copied for each list or block."""
+    asked = rows.where("key < 2000").select(F.col("key").alias("query_id"), "vector")
+    index = vector_index.build(rows, 16, 200)
+    found = vector_index.search(index, asked, 7, 0.3, 16)
+    said = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" in said and "CoGroup" not in said and "explode" not in said.lower()
+    lists = vector_index.assign(asked, index.centroids)
+    blocks = [vector_index._table(vector_index.pa.py_buffer(r.block)) for r in vector_index._asked(lists, index, 16, None, 4).collect()]
+    assert sorted(k for b in blocks for k in b.column("query_id").to_pylist()) == sorted(r.query_id for r in asked.collect())
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_ties_thresholds_and_copies_in_blocks(spark, monkeypatch, single):
+    """Cosines at the threshold itself, ties by key, more equal vectors than are asked for and blocks of a few rows: what all pairs give, in single and double precision."""
+    for k, v in {"ROWS": 11, "QUERIES": 4, "HELD": 2, "HANDED": 5}.items():
+        monkeypatch.setattr(vector_index, k, v, raising=False)
+    rng, some = random.Random(6), [[5.0, 0.0], [3.0, 4.0], [1.5, 2.0], [-4.0, 3.0], [0.0, 7.0], [4.0, -3.0]]
+    data = [(k, [x * (1 if single else 1.1) for x in rng.choice(some)] + [0.0]) for k in range(120)] + [(500 + k, [0.1 + (0.4 if single else 0.3), rng.random(), 0.0]) for k in range(40)]
+    frame = spark.createDataFrame(data, "key long, vector array<double>").repartition(3)
+    asked = frame.where("key % 4 = 0").select(F.col("key").alias("query_id"), "vector")
+    want = sorted(tuple(r) for r in vector.top_k(vector.similar_pairs(asked, frame, 0.6), 4, "sim").select("query_id", "key", "sim", "rank").collect())
+    index = vector_index.build(frame, 5)
+    for found in (vector_index.search(index, asked, 4, 0.6, exact=True), vector_index.search(index, asked, 4, 0.6, 2, exact=True), vector_index.search(index, asked, 4, 0.6, 5)):
+        assert sorted(tuple(r) for r in found.collect()) == want
