@@ -307,7 +307,7 @@ def _read(asked: DataFrame, held: DataFrame, schema: T.StructType, k: int, thres
 
 def probes_for(index: VectorIndex, queries: DataFrame, k: int, threshold: float, recall: float = 0.95, sample: int = 500) -> int:
     """Lists to read for a recall: of at most ``sample`` queries (smallest hashes of their ids) the true neighbours are found, and the place that their list has for the query."""
-    some = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+    some = shared.kept(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).orderBy(F.xxhash64("query_id"), "query_id").limit(sample), "index-sample")
     true = search(index, some, k, threshold, exact=True).select("query_id", "key").join(index.rows.select("key", "list"), "key")
     place = true.join(_probe(some, index, len(index.centroids), None).select("query_id", "list", "place"), ["query_id", "list"])
     worst = place.agg(F.expr(f"percentile_disc({recall}) within group (order by place)")).first()[0]

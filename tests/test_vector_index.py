@@ -89,3 +89,12 @@ def test_ties_thresholds_and_copies_in_blocks(spark, monkeypatch, single):
     index = vector_index.build(frame, 5)
     for found in (vector_index.search(index, asked, 4, 0.6, exact=True), vector_index.search(index, asked, 4, 0.6, 2, exact=True), vector_index.search(index, asked, 4, 0.6, 5)):
         assert sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_the_sample_of_queries_is_taken_once(rows, monkeypatch):
+    """The queries that recall is measured on are found once and not by a sort of all queries in each step."""
+    taken, search = [], vector_index.search
+    monkeypatch.setattr(vector_index, "search", lambda index, queries, *a, **b: taken.append(queries) or search(index, queries, *a, **b))
+    asked = rows.select(F.col("key").alias("query_id"), "vector")
+    assert 1 <= vector_index.probes_for(vector_index.build(rows, 16), asked, 5, 0.2, 0.95, 50) <= 16
+    assert taken[0].count() == 50 and "xxhash64" not in taken[0]._jdf.queryExecution().toString()
